@@ -21,6 +21,13 @@ def effect_label(effect: Column) -> Column:
             .when(size < 0.50, "Moderate").otherwise("Large"))
 
 
+def _middle(arm: int) -> Column:
+    """Median of one group from running counts: mean of the values at the two middle positions."""
+    n, before, here = F.col(f"c{arm}_total"), F.col(f"c{arm}_before"), F.col(f"_c{arm}")
+    at = lambda i: F.max(F.when((before <= i) & (i < before + here), F.col("value")))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+
+
 def mann_whitney(df: DataFrame, columns: Sequence[str], group: str, p_value: bool = True) -> DataFrame:
     """Two-sample rank test of each column between group 0 and group 1.
 
@@ -30,20 +37,19 @@ def mann_whitney(df: DataFrame, columns: Sequence[str], group: str, p_value: boo
     long = _long(df, [group], columns, "double").where(f"value is not null and {group} in (0, 1)")
     cells = long.groupBy("variable", "value").agg(
         F.count_if(F.col(group) == 0).alias("_c0"), F.count_if(F.col(group) == 1).alias("_c1"))
-    run = running_sums(cells, ["variable"], "value", {"b": F.col("_c1")})
+    run = running_sums(cells, ["variable"], "value", {"c0": F.col("_c0"), "c1": F.col("_c1")})
     c0, c1 = F.col("_c0").cast("double"), F.col("_c1").cast("double")
     t = c0 + c1
     sums = run.groupBy("variable").agg(
         F.sum("_c0").alias("n_0"), F.sum("_c1").alias("n_1"),
-        F.sum(c0 * (F.col("b_before") + 0.5 * c1)).alias("u_statistic"), F.sum(t * t * t - t).alias("_ties"))
-    medians = [exact_quantiles(long.where(F.col(group) == a), ["variable"], "value", {f"median_{a}": 0.5})
-               for a in (0, 1)]
+        F.sum(c0 * (F.col("c1_before") + 0.5 * c1)).alias("u_statistic"), F.sum(t * t * t - t).alias("_ties"),
+        *[_middle(a).alias(f"median_{a}") for a in (0, 1)])
     n0, n1, u = F.col("n_0").cast("double"), F.col("n_1").cast("double"), F.col("u_statistic")
     n = n0 + n1
     sd = F.sqrt(n0 * n1 / 12.0 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
     z = F.try_divide(F.greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5, sd)
     effect = 1 - 2 * u / (n0 * n1)
-    out = sums.join(medians[0], "variable").join(medians[1], "variable").select(
+    out = sums.select(
         "variable", "n_0", "n_1", "median_0", "median_1",
         (F.col("median_1") - F.col("median_0")).alias("median_difference"), "u_statistic",
         z.alias("z"), effect.alias("rank_biserial"), effect_label(effect).alias("magnitude"))

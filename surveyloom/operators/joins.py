@@ -43,15 +43,18 @@ def member_rows(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
 
 def align_zero(totals: DataFrame, roster: DataFrame, keys: Sequence[str], values: Sequence[str],
-               marker: str | None = None) -> DataFrame:
-    """Extend cluster totals by the roster's other clusters, with zeros; fail on unknown clusters."""
+               marker: str = "in_domain") -> DataFrame:
+    """Extend cluster totals by the roster's other clusters, with zeros.
+
+    Totals of a cluster outside the roster make the job fail when it runs; the check
+    rides on the join instead of a pass of its own.
+    """
     keys = list(keys)
-    if totals.join(roster.select(*keys), keys, "left_anti").limit(1).count():
-        raise ValueError("Totals contain clusters that are absent from the roster")
-    joined = roster.select(*keys).join(totals.withColumn("_in_domain", F.lit(True)), keys, "left")
-    out = joined.select(*keys, *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values],
-                        *([F.coalesce("_in_domain", F.lit(False)).alias(marker)] if marker else []))
-    return out
+    joined = roster.select(*keys, F.lit(True).alias("_known")).join(
+        totals.withColumn(marker, F.lit(True)), keys, "full_outer")
+    checked = joined.where(F.assert_true("_known", "Totals contain clusters that are absent from the roster").isNull())
+    return checked.select(*keys, *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values],
+                          F.coalesce(marker, F.lit(False)).alias(marker))
 
 
 def asof_snapshot(events: DataFrame, snapshots: DataFrame, by: str, at: str, snapshot_at: str, value: str,

@@ -40,14 +40,13 @@ def quantile_bins(df: DataFrame, value: str, reference: Column, bins: int, out:
     """Bins cut at quantiles of the reference rows; repeated or extreme cuts are dropped, outer edges are open."""
     chosen = df.where(reference)
     names = {f"q{i}": i / bins for i in range(1, bins)}
-    cuts = exact_quantiles(chosen, [], value, names)
-    low = chosen.agg(F.min(value).alias("v")).scalar()
-    high = chosen.agg(F.max(value).alias("v")).scalar()
-    edges = cuts.select(F.array_distinct(F.array(*names)).alias("edges")).scalar()
-    inner = F.filter(edges, lambda e: (e > low) & (e < high))
-    return df.withColumn("_edges", inner).withColumn(
-        out, F.concat(F.lit("Q"), (1 + F.size(F.filter("_edges", lambda e: e < F.col(value)))).cast("string"))).drop(
-        "_edges")
+    extremes = chosen.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    cuts = exact_quantiles(chosen, [], value, names).select(
+        F.array_distinct(F.array(*names)).alias("edges"), extremes.select("low").scalar().alias("low"),
+        extremes.select("high").scalar().alias("high"))
+    inner = cuts.select(F.filter("edges", lambda e: (e > F.col("low")) & (e < F.col("high"))).alias("v")).scalar()
+    number = 1 + F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    return df.withColumn("_edges", inner).withColumn(out, F.concat(F.lit("Q"), number.cast("string"))).drop("_edges")
 
 
 def hash_split(df: DataFrame, units: Sequence[str], by: Sequence[str], fraction: float, seed: int,
@@ -68,8 +67,8 @@ def grouped_partition(df: DataFrame, group: str, label: str, fractions: tuple[fl
     """Train, validation and test parts that never split a group, balanced on the group's label rate."""
     if abs(sum(fractions) - 1) > 1e-9 or any(not 0 < f < 1 for f in fractions):
         raise ValueError("Expected three positive fractions that sum to 1")
-    groups = df.groupBy(group).agg((F.avg(label) >= 0.5).cast("int").alias("_bucket"))
-    ranked = hash_ranks(groups.withColumn("_h", digest(seed, group)), ["_bucket"], "_h")
+    groups = df.groupBy(group).agg((F.avg(label) >= 0.5).cast("int").alias("_majority"))
+    ranked = hash_ranks(groups.withColumn("_h", digest(seed, group)), ["_majority"], "_h")
     cut = lambda f: F.bround(F.col("group_size") * F.lit(f), 0)
     part = (F.when(F.col("rank") <= cut(fractions[0]), "train")
             .when(F.col("rank") <= cut(fractions[0] + fractions[1]), "validation").otherwise("test"))

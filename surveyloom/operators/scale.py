@@ -50,6 +50,8 @@ def scalar(df: DataFrame, value: Column) -> Column:
 
 
 def _grouping(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    if "_bucket" in df.columns:
+        raise ValueError("Column name _bucket is used by this operator")
     return (df, list(by)) if by else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 

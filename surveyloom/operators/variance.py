@@ -121,22 +121,18 @@ def design_difference(df: DataFrame, design: SurveyDesign, outcome: str, a: Colu
         "*", (gap - NORMAL_CRITICAL * se).alias("ci_low_pct"), (gap + NORMAL_CRITICAL * se).alias("ci_high_pct"))
 
 
-def roster_totals(df: DataFrame, design: SurveyDesign, metrics: Sequence[str], roster: DataFrame) -> DataFrame:
-    """Cluster totals over the roster's clusters inside strata that hold analytic rows."""
-    totals = df.groupBy(*design.cluster).agg(*[F.sum(m).alias(m) for m in metrics])
-    active = totals.select(*design.strata).distinct()
-    selected = roster.join(active, list(design.strata), "left_semi")
-    return align_zero(totals, selected, design.cluster, metrics, "in_domain")
-
-
 def roster_moments(df: DataFrame, design: SurveyDesign, metrics: Sequence[str], roster: DataFrame) -> DataFrame:
-    """One row with everything the covariance needs: counts, stratum parts, single clusters, grand sums."""
+    """One row with everything the covariance needs: counts, stratum parts, single clusters, grand sums.
+
+    Roster clusters count inside strata that hold at least one analytic row.
+    """
     pairs = [(i, j) for i in range(len(metrics)) for j in range(i, len(metrics))]
     col = lambda i: F.col(metrics[i])
-    strata = roster_totals(df, design, metrics, roster).groupBy(*design.strata).agg(
+    totals = df.groupBy(*design.cluster).agg(*[F.sum(m).alias(m) for m in metrics])
+    strata = align_zero(totals, roster, design.cluster, metrics).groupBy(*design.strata).agg(
         F.count("*").alias("_n"), F.count_if("in_domain").alias("_domain"),
         *[F.sum(col(i)).alias(f"_s{i}") for i in range(len(metrics))],
-        *[F.sum(col(i) * col(j)).alias(f"_p{i}_{j}") for i, j in pairs])
+        *[F.sum(col(i) * col(j)).alias(f"_p{i}_{j}") for i, j in pairs]).where("_domain > 0")
     n, single = F.col("_n"), F.col("_n") == 1
     total = lambda value: F.coalesce(F.sum(value), F.lit(0.0))
     return strata.agg(
@@ -295,11 +291,10 @@ def unit_descriptive(df: DataFrame, design: SurveyDesign, outcome: str, arm: str
     shares = units.select(unit, "p0", "p1", F.col("w0").alias("_W0"), F.col("w1").alias("_W1"))
     totals = clusters.join(shares, unit).select(*design.cluster, *[v.alias(k) for k, v in linear.items()]).withColumn(
         "t2", F.col("t1") - F.col("t0"))
-    selected = roster.join(totals.select(*design.strata).distinct(), list(design.strata), "left_semi")
     values = ["t0", "t1", "t2"]
-    strata = align_zero(totals, selected, design.cluster, values).groupBy(*design.strata).agg(
-        F.count("*").alias("_n"), *[F.sum(v).alias(f"_s{v}") for v in values],
-        *[F.sum(F.col(v) * F.col(v)).alias(f"_q{v}") for v in values])
+    strata = align_zero(totals, roster, design.cluster, values).groupBy(*design.strata).agg(
+        F.count("*").alias("_n"), F.count_if("in_domain").alias("_domain"), *[F.sum(v).alias(f"_s{v}") for v in values],
+        *[F.sum(F.col(v) * F.col(v)).alias(f"_q{v}") for v in values]).where("_domain > 0")
     single, n = F.col("_n") == 1, F.col("_n")
     zero = F.lit(0.0)
     moments = strata.groupBy(unit).agg(

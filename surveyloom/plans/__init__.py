@@ -1,6 +1,6 @@
 """Queries: operators bound to the given tables, each with its SQL twin where SQL can say it."""
 
-from surveyloom.plans import cohorts, flagship, inference, joining
+from surveyloom.plans import associations, cohorts, flagship, inference, joining, profiles, ranking
 from surveyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cohorts", "flagship", "inference", "joining"]
+__all__ = ["ORACLES", "QUERIES", "associations", "cohorts", "flagship", "inference", "joining", "profiles", "ranking"]

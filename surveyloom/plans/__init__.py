@@ -1,6 +1,8 @@
 """Queries: operators bound to the given tables, each with its SQL twin where SQL can say it."""
 
-from surveyloom.plans import associations, cohorts, flagship, inference, joining, profiles, ranking
+from surveyloom.plans import (associations, bootstraps, causal, cohorts, contracts, evaluation, flagship, imputation,
+                              inference, joining, profiles, ranking)
 from surveyloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "associations", "cohorts", "flagship", "inference", "joining", "profiles", "ranking"]
+__all__ = ["ORACLES", "QUERIES", "associations", "bootstraps", "causal", "cohorts", "contracts", "evaluation",
+           "flagship", "imputation", "inference", "joining", "profiles", "ranking"]

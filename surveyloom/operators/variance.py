@@ -31,12 +31,23 @@ def domain_share(df: DataFrame, weight: str, outcome: str, domain: Column | None
     return F.try_divide(events, total), total
 
 
+def domain_influences(df: DataFrame, weight: str, outcome: str, domains: Mapping[str, Column | None]) -> dict[str, Column]:
+    """Linearised value of each domain's weighted proportion (zero outside the domain).
+
+    Every share is a scalar subquery over ``df`` itself, so many domains do not nest plans.
+    """
+    out = {}
+    for name, domain in domains.items():
+        share, total = domain_share(df, weight, outcome, domain)
+        out[name] = F.when(_in(domain), F.col(weight) * (F.col(outcome) - share) / total).otherwise(F.lit(0.0))
+    return out
+
+
 def domain_proportion(df: DataFrame, design: SurveyDesign, outcome: str, domain: Column | None = None,
                       estimate: str = "estimate", z: str = "z") -> DataFrame:
-    """Ratio estimate and its linearised value per row (zero outside the domain)."""
-    share, total = domain_share(df, design.weight, outcome, domain)
-    linear = F.when(_in(domain), F.col(design.weight) * (F.col(outcome) - share) / total).otherwise(F.lit(0.0))
-    return df.withColumns({estimate: share, z: linear})
+    """Ratio estimate and its linearised value per row."""
+    share, _ = domain_share(df, design.weight, outcome, domain)
+    return df.withColumns({estimate: share} | domain_influences(df, design.weight, outcome, {z: domain}))
 
 
 def stratum_moments(totals: DataFrame, strata: Sequence[str], value: str) -> DataFrame:
@@ -121,12 +132,17 @@ def design_difference(df: DataFrame, design: SurveyDesign, outcome: str, a: Colu
         "*", (gap - NORMAL_CRITICAL * se).alias("ci_low_pct"), (gap + NORMAL_CRITICAL * se).alias("ci_high_pct"))
 
 
-def roster_moments(df: DataFrame, design: SurveyDesign, metrics: Sequence[str], roster: DataFrame) -> DataFrame:
+def _pairs(count: int, diagonal: bool) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(count) for j in range(i, count) if i == j or not diagonal]
+
+
+def roster_moments(df: DataFrame, design: SurveyDesign, metrics: Sequence[str], roster: DataFrame,
+                   diagonal: bool = False) -> DataFrame:
     """One row with everything the covariance needs: counts, stratum parts, single clusters, grand sums.
 
     Roster clusters count inside strata that hold at least one analytic row.
     """
-    pairs = [(i, j) for i in range(len(metrics)) for j in range(i, len(metrics))]
+    pairs = _pairs(len(metrics), diagonal)
     col = lambda i: F.col(metrics[i])
     totals = df.groupBy(*design.cluster).agg(*[F.sum(m).alias(m) for m in metrics])
     strata = align_zero(totals, roster, design.cluster, metrics).groupBy(*design.strata).agg(
@@ -145,7 +161,7 @@ def roster_moments(df: DataFrame, design: SurveyDesign, metrics: Sequence[str],
           for i, j in pairs])
 
 
-def covariance_from_moments(moments: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def covariance_from_moments(moments: DataFrame, metrics: Sequence[str], diagonal: bool = False) -> DataFrame:
     """Long covariance ``(singleton, row_key, col_key, cov, design_df)`` under three single-cluster rules.
 
     adjust: single clusters are centred on the mean of all cluster totals, average:
@@ -155,7 +171,7 @@ def covariance_from_moments(moments: DataFrame, metrics: Sequence[str]) -> DataF
     regular = F.col("strata") - singles
     rows = []
     for i in range(len(metrics)):
-        for j in range(len(metrics)):
+        for j in ([i] if diagonal else range(len(metrics))):
             a, b = min(i, j), max(i, j)
             base = F.col(f"_b{a}_{b}")
             gi, gj = F.col(f"_g{i}") / psus, F.col(f"_g{j}") / psus
@@ -173,6 +189,11 @@ def roster_covariance(df: DataFrame, design: SurveyDesign, metrics: Sequence[str
     return covariance_from_moments(roster_moments(df, design, metrics, roster), metrics)
 
 
+def roster_variances(df: DataFrame, design: SurveyDesign, metrics: Sequence[str], roster: DataFrame) -> DataFrame:
+    """Diagonal of :func:`roster_covariance`, without the cross products."""
+    return covariance_from_moments(roster_moments(df, design, metrics, roster, True), metrics, True)
+
+
 def variance_from_sufficient_stats(stats: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Scalar variance from additive ``(strata..., n, total, squares)`` rows, mergeable across sites."""
     merged = stats.groupBy(*strata).agg(F.sum("n").alias("n"), F.sum("total").alias("total"),
@@ -253,10 +274,9 @@ def paired_contrast(theta: DataFrame, cov: DataFrame, pairs: DataFrame) -> DataF
 def arm_influences(df: DataFrame, design: SurveyDesign, outcome: str, arm: str,
                    domain: Column | None = None) -> DataFrame:
     """Influence columns ``u_control``, ``u_treated`` and ``u_gap`` of the two weighted arm means."""
-    out = df
-    for name, value in (("u_control", 0), ("u_treated", 1)):
-        out = domain_proportion(out, design, outcome, _in(domain) & (F.col(arm) == value), f"_p_{name}", name)
-    return out.withColumn("u_gap", F.col("u_treated") - F.col("u_control"))
+    arms = {name: _in(domain) & (F.col(arm) == a) for name, a in (("u_control", 0), ("u_treated", 1))}
+    return df.withColumns(domain_influences(df, design.weight, outcome, arms)).withColumn(
+        "u_gap", F.col("u_treated") - F.col("u_control"))
 
 
 METRICS = ("control", "treated", "gap")

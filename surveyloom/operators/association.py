@@ -96,22 +96,24 @@ def cramers_v(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
     """Pairwise-complete Spearman correlation of every column pair and whether it reaches the threshold."""
-    cells = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).cast("double").alias("x"),
-                               F.col(b).cast("double").alias("y")) for a, b in combinations(columns, 2)])
-    pairs = df.select(F.inline(cells)).where("x is not null and y is not null").groupBy(
-        "first", "second", "x", "y").agg(F.count("*").alias("c"))
-    spread = pairs.withColumn("pair", F.concat_ws("|", "first", "second"))
+    names = list(combinations(columns, 2))
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                      for i, (a, b) in enumerate(names)])
+    pairs = df.select(F.inline(cells)).where("x is not null and y is not null").groupBy("pair", "x", "y").agg(
+        F.count("*").alias("c"))
     ranks = {}
     for side in ("x", "y"):
-        counts = spread.groupBy("pair", side).agg(F.sum("c").alias("ties"))
+        counts = pairs.groupBy("pair", side).agg(F.sum("c").alias("ties"))
         run = running_sums(counts, ["pair"], side, {"n": F.col("ties")})
         ranks[side] = run.select("pair", side, (F.col("n_before") + (F.col("ties") + 1) / 2.0
                                                 - (F.col("n_total") + 1) / 2.0).alias(f"_r{side}"))
-    both = spread.join(ranks["x"], ["pair", "x"]).join(ranks["y"], ["pair", "y"])
+    both = pairs.join(ranks["x"], ["pair", "x"]).join(ranks["y"], ["pair", "y"])
     c, a, b = F.col("c"), F.col("_rx"), F.col("_ry")
     rho = F.try_divide(F.sum(c * a * b), F.sqrt(F.sum(c * a * a) * F.sum(c * b * b)))
-    return both.groupBy("first", "second").agg(F.sum(c).alias("n"), rho.alias("spearman")).withColumn(
-        "flagged", F.coalesce(F.abs("spearman") >= threshold, F.lit(False)))
+    label = lambda side: F.array(*[F.lit(pair[side]) for pair in names])[F.col("pair")]
+    return both.groupBy("pair").agg(F.sum(c).alias("n"), rho.alias("spearman")).select(
+        label(0).alias("first"), label(1).alias("second"), "n", "spearman",
+        F.coalesce(F.abs("spearman") >= threshold, F.lit(False)).alias("flagged"))
 
 
 def two_wave_profile(df: DataFrame, wave: str, columns: Sequence[str], weight: str) -> DataFrame:

@@ -29,9 +29,15 @@ def cluster_slots(clusters: DataFrame, design: SurveyDesign) -> DataFrame:
 
 
 def _draws(slots: DataFrame, design: SurveyDesign, reps: int, seed: int, size: Column) -> DataFrame:
-    """Each slot up to ``size`` draws one slot of its stratum in every replicate."""
+    """Each slot up to ``size`` draws one slot of its stratum in every replicate.
+
+    The slots are spread over all cores first, because each becomes ``reps`` rows.
+    """
+    tasks = slots.sparkSession.sparkContext.defaultParallelism
     chosen = F.floor(uniform(seed, *design.strata, "slot", "replicate") * F.col("stratum_psus")) + 1
-    return slots.where(F.col("slot") <= size).select(
+    spread = slots.where(F.col("slot") <= size).select(*design.strata, "slot", "stratum_psus").repartition(
+        tasks, *design.strata, "slot")
+    return spread.select(
         *design.strata, "slot", "stratum_psus", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("replicate")).select(
         *design.strata, "replicate", chosen.cast("long").alias("slot"))
 

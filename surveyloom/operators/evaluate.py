@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.operators.profile import _long
-from surveyloom.operators.scale import exact_quantiles, running_sums
+from surveyloom.operators.scale import count_below, exact_quantiles, running_sums
 
 
 def _weight(weight: str | None) -> Column:
@@ -74,15 +74,16 @@ def calibration_curve(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:
     """Mean prediction and observed rate per quantile bin; empty bins are absent."""
     names = {f"q{i:03d}": i / bins for i in range(1, bins)}
     edges = exact_quantiles(df, [], p, names).select(F.array(*names).alias("v")).scalar()
-    number = F.size(F.filter("_edges", lambda e: e < F.col(p)))
+    number = count_below(F.col("_edges"), bins - 1, F.col(p))
     return df.withColumn("_edges", edges).groupBy(number.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(y).alias("fraction_positive"))
 
 
 def threshold_sweep(df: DataFrame, y: str, p: str, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Metrics at every threshold from one pass: rows are counted in the cell between two thresholds."""
-    grid = F.array(*[F.lit(float(t)) for t in thresholds])
-    index = F.size(F.filter(grid, lambda t: t <= F.col(p)))
+    thresholds = sorted(float(t) for t in thresholds)
+    grid = F.array(*[F.lit(-t) for t in reversed(thresholds)])
+    index = len(thresholds) - count_below(grid, len(thresholds), -F.col(p))
     cells = df.groupBy(*by, index.alias("_cell")).agg(
         F.count_if(F.col(y) == 1).cast("double").alias("_pos"), F.count_if(F.col(y) == 0).cast("double").alias("_neg"))
     steps = F.array(*[F.struct(F.lit(i + 1).alias("_i"), F.lit(float(t)).alias("threshold"))

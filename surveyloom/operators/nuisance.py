@@ -133,20 +133,21 @@ def tmle(df: DataFrame, weight: str, outcome: str, exposure: str, e: str, mu1: s
 
     Each Newton step is one aggregate over the rows for both arms.
     """
-    g1, a = clip(e, eps), F.col(exposure)
-    q = {1: clip(mu1, TINY), 0: clip(mu0, TINY)}
-    g = {1: g1, 0: 1 - g1}
-    w, y = F.col(weight), F.col(outcome)
-    total = F.sum(w)
+    # Only what the steps need is kept, so repeated passes do not rescan the source.
+    score = lambda p: F.ln(clip(p, TINY) / (1 - clip(p, TINY)))
+    rows = df.select(F.col(weight).alias("w"), F.col(outcome).cast("double").alias("y"), F.col(exposure).alias("a"),
+                     clip(e, eps).alias("g1"), score(mu1).alias("l1"), score(mu0).alias("l0")).persist()
+    w, y, a, total = F.col("w"), F.col("y"), F.col("a"), F.sum("w")
+    g = {1: F.col("g1"), 0: 1 - F.col("g1")}
     epsilon = {1: 0.0, 0: 0.0}
-    updated = lambda arm: sigmoid(F.ln(q[arm] / (1 - q[arm])) + F.lit(epsilon[arm]) / g[arm])
+    updated = lambda arm: sigmoid(F.col(f"l{arm}") + F.lit(epsilon[arm]) / g[arm])
     for _ in range(steps):
         sums = []
         for arm in (1, 0):
             here, p = a == arm, updated(arm)
             sums += [(F.sum(F.when(here, w / g[arm] * (y - p))) / total).alias(f"s{arm}"),
                      (F.sum(F.when(here, w / (g[arm] * g[arm]) * p * (1 - p))) / total).alias(f"d{arm}")]
-        row = df.agg(*sums).first()
+        row = rows.agg(*sums).first()
         if max(abs(row["s1"]), abs(row["s0"])) < 1e-12:
             break
         for arm in (1, 0):
@@ -154,11 +155,13 @@ def tmle(df: DataFrame, weight: str, outcome: str, exposure: str, e: str, mu1: s
     else:
         raise RuntimeError("The targeting step did not converge")
     mean = lambda v: F.sum(w * v) / total
-    result = df.agg(F.count("*").alias("n"), mean(updated(1)).alias("risk_treated"), mean(updated(0)).alias("risk_control"))
-    r1, r0 = F.col("risk_treated"), F.col("risk_control")
-    return result.select("n", r1, r0, (r1 - r0).alias("risk_difference"), F.try_divide(r1, r0).alias("risk_ratio"),
-                         F.lit(epsilon[1]).alias("epsilon_treated"), F.lit(epsilon[0]).alias("epsilon_control"),
-                         F.lit(float(row["s1"])).alias("score_treated"), F.lit(float(row["s0"])).alias("score_control"))
+    last = rows.agg(F.count("*"), mean(updated(1)), mean(updated(0))).first()
+    rows.unpersist()
+    n, r1, r0 = int(last[0]), float(last[1]), float(last[2])
+    return df.sparkSession.createDataFrame(
+        [(n, r1, r0, r1 - r0, r1 / r0, epsilon[1], epsilon[0], float(row["s1"]), float(row["s0"]))],
+        "n long, risk_treated double, risk_control double, risk_difference double, risk_ratio double, "
+        "epsilon_treated double, epsilon_control double, score_treated double, score_control double")
 
 
 def stack_two_learners(df: DataFrame, encoding: Encoding, outcome: str, weight: str, group: Sequence[str], k: int, seed: int,
@@ -337,7 +340,7 @@ def fit_authorized(df: DataFrame, encoding: Encoding, outcome: str, partition: s
 
 
 def fit_multinomial(df: DataFrame, encoding: Encoding, level: str, weight: str, ridge: float):
-    """Ridge multinomial logit on covariate cells. Returns (levels, probability columns for a prepared frame)."""
+    """Ridge multinomial logit on covariate cells. Returns (levels, coefficient rows) for ``multinomial_scores``."""
     cells = covariate_cells(df.where(F.col(level).isNotNull()), encoding, level, {"_w": F.col(weight)}).where("_w > 0")
     levels = _levels(cells, "_y")
     index = F.create_map(*[F.lit(x) for i, v in enumerate(levels) for x in (v, float(i))])
@@ -345,10 +348,19 @@ def fit_multinomial(df: DataFrame, encoding: Encoding, level: str, weight: str,
     model = LogisticRegression(family="multinomial", weightCol="w", regParam=ridge, elasticNetParam=0.0, standardization=False,
                                tol=1e-8, maxIter=200).fit(rows)
     weights, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    scores = [encoding.linear([float(b), *map(float, c)]) for b, c in zip(intercepts, weights)]
-    top = F.greatest(*scores)
-    powers = [F.exp(s - top) for s in scores]
-    total = powers[0]
-    for p in powers[1:]:
-        total = total + p
-    return levels, [p / total for p in powers]
+    return levels, [[float(b), *map(float, c)] for b, c in zip(intercepts, weights)]
+
+
+def multinomial_scores(df: DataFrame, encoding: Encoding, coefficients: Sequence[Sequence[float]], prefix: str = "p") -> DataFrame:
+    """Add one probability column per level.
+
+    Scores, their maximum and their exponentials are columns of their own so that no
+    expression repeats another.
+    """
+    k = range(len(coefficients))
+    out = encoding.prepare(df).withColumns({f"_s{i}": encoding.linear(c) for i, c in enumerate(coefficients)})
+    out = out.withColumn("_top", F.greatest(*[F.col(f"_s{i}") for i in k]))
+    out = out.withColumns({f"_e{i}": F.exp(F.col(f"_s{i}") - F.col("_top")) for i in k})
+    out = out.withColumn("_sum", sum((F.col(f"_e{i}") for i in k), F.lit(0.0)))
+    return out.withColumns({f"{prefix}{i}": F.col(f"_e{i}") / F.col("_sum") for i in k}).drop(
+        "_top", "_sum", *[f"_s{i}" for i in k], *[f"_e{i}" for i in k])

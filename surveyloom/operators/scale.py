@@ -55,6 +55,17 @@ def _grouping(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
+def count_below(cuts: Column, size: int, value: Column) -> Column:
+    """Number of the ``size`` ascending cut points below a value, as a compiled binary search."""
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(cuts[middle] < value, search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, size)
+
+
 def with_buckets(df: DataFrame, by: Sequence[str], order: str, buckets: int = BUCKETS):
     """Add ``_bucket``, increasing in ``order`` inside each group.
 
@@ -68,8 +79,7 @@ def with_buckets(df: DataFrame, by: Sequence[str], order: str, buckets: int = BU
         F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 2000).alias("_cuts")))
     small = cuts.limit(BROADCAST_ROWS // buckets + 1).count() <= BROADCAST_ROWS // buckets
     side = F.broadcast(cuts) if small else cuts
-    placed = df.join(side, keys).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    placed = df.join(side, keys).withColumn("_bucket", count_below(F.col("_cuts"), buckets - 1, F.col(order))).drop("_cuts")
     return placed, keys, small
 
 

@@ -103,7 +103,8 @@ def moments(cells: DataFrame, encoding: Encoding, beta: np.ndarray, train: str,
     """
     d, beta = len(encoding.labels), np.asarray(beta, float)
     exposure = encoding.exposure
-    columns = [F.col("_y"), F.col(train).alias("_w"), F.array(*encoding.terms()).alias("_x")]
+    x = F.col("_x") if "_x" in cells.columns else F.array(*encoding.terms())
+    columns = [F.col("_y"), F.col(train).alias("_w"), x.alias("_x")]
     if references:
         columns += [F.col(exposure).cast("double").alias("_a"), F.array(*encoding.terms(F.lit(0.0))).alias("_x0"),
                     F.array(*encoding.terms(F.lit(1.0))).alias("_x1"), F.array(*references).alias("_r")]
@@ -112,7 +113,7 @@ def moments(cells: DataFrame, encoding: Encoding, beta: np.ndarray, train: str,
         expit = lambda z: 1.0 / (1.0 + np.exp(-z))
         x, y, w = np.stack(batch["_x"]), batch["_y"].to_numpy(), batch["_w"].to_numpy()
         p = expit(x @ beta)
-        parts = [[w.sum()], (x.T @ ((w * p * (1 - p))[:, None] * x)).ravel(), x.T @ (w * (p - y))]
+        parts = [[w.sum(), w @ y], (x.T @ ((w * p * (1 - p))[:, None] * x)).ravel(), x.T @ (w * (p - y))]
         if references:
             x0, x1, r = np.stack(batch["_x0"]), np.stack(batch["_x1"]), np.stack(batch["_r"])
             q0, q1, a = expit(x0 @ beta), expit(x1 @ beta), batch["_a"].to_numpy()
@@ -123,8 +124,10 @@ def moments(cells: DataFrame, encoding: Encoding, beta: np.ndarray, train: str,
         return np.concatenate([np.asarray(part, float) for part in parts])
 
     total = _summed(cells.select(*columns), block)
-    weight, at = total[0], 1 + d * d
-    hessian, gradient = total[1:at].reshape(d, d) / weight, total[at:at + d] / weight
+    weight, at = total[0], 2 + d * d
+    if not 0 < total[1] < weight:
+        raise ValueError("Both outcome classes are required")
+    hessian, gradient = total[2:at].reshape(d, d) / weight, total[at:at + d] / weight
     at, out = at + d, {}
     for name in references:
         size, mean = total[at], total[at + 1:at + 3]
@@ -161,15 +164,13 @@ def fit_cells(cells: DataFrame, encoding: Encoding, ridge: float, weight: str =
     Newton steps on summed derivatives usually settle within ten passes; otherwise the
     built-in line-search solver provides the starting point for them.
     """
-    used = cells.where(F.col(weight) > 0).persist()
+    used = cells.where(F.col(weight) > 0).select("_y", weight, F.array(*encoding.terms()).alias("_x")).persist()
     try:
-        if used.select("_y").distinct().count() != 2:
-            raise ValueError("Both outcome classes are required")
         first = np.zeros(len(encoding.labels)) if start is None else start
         with np.errstate(over="ignore"):
             model = _newton(used, encoding, ridge, weight, first, 12)
         if model is None:
-            vectors = used.select(array_to_vector(F.array(*encoding.terms()[1:])).alias("features"), "_y", weight)
+            vectors = used.select(array_to_vector(F.slice("_x", 2, len(encoding.labels) - 1)).alias("features"), "_y", weight)
             fitted = LogisticRegression(labelCol="_y", weightCol=weight, regParam=ridge, elasticNetParam=0.0,
                                         standardization=False, tol=1e-9, maxIter=500).fit(vectors)
             model = _newton(used, encoding, ridge, weight,
@@ -209,18 +210,21 @@ def _within(test: Column | None) -> Column:
 
 def reference_influence(df: DataFrame, model: LogitModel, outcome: str, weight: str,
                         references: Mapping[str, Column | None], train: Column | None = None,
-                        metrics: Sequence[str] = METRICS) -> tuple[DataFrame, dict[str, float]]:
+                        metrics: Sequence[str] = METRICS,
+                        cells: DataFrame | None = None) -> tuple[DataFrame, dict[str, float]]:
     """Points and influence columns ``<reference>__<metric>`` for one or more reference populations.
 
     The fit used the ``train`` rows (all by default). Each influence adds the
     coefficient part on training rows and the empirical part on reference rows; rows
-    outside either get zero there.
+    outside either get zero there. ``cells`` may hold the matching covariate sums
+    (``_w`` and ``_r0``, ``_r1``...) when the caller already has them.
     """
     encoding, w, y = model.encoding, F.col(weight), F.col(outcome).cast("double")
     names = list(references)
     sums = {"_w": F.when(_within(train), w)}
     sums |= {f"_r{i}": F.when(_within(references[name]), w) for i, name in enumerate(names)}
-    cells = covariate_cells(df, encoding, outcome, sums)
+    if cells is None:
+        cells = covariate_cells(df, encoding, outcome, sums)
     result = moments(cells, encoding, model.beta, "_w", [f"_r{i}" for i in range(len(names))])
     ready = encoding.prepare(df)
     residual = y - model.probability()
@@ -277,8 +281,11 @@ def interval_rows(cov: DataFrame, points: Mapping[str, float], critical: float |
 def standardized_gap(df: DataFrame, encoding: Encoding, design: SurveyDesign, outcome: str, roster: DataFrame,
                      ridge: float, critical: float | None = None) -> DataFrame:
     """Observed and adjusted arm means and gaps with joint design intervals, in percent."""
-    model = fit_weighted_logit(df, encoding, outcome, design.weight, ridge)
-    linear, points = reference_influence(df, model, outcome, design.weight, {"full": None})
+    w = F.col(design.weight)
+    cells = covariate_cells(df, encoding, outcome, {"_w": w, "_r0": w}).persist()
+    model = fit_cells(cells, encoding, ridge)
+    linear, points = reference_influence(df, model, outcome, design.weight, {"full": None}, cells=cells)
+    cells.unpersist()
     renamed = linear.withColumnsRenamed({f"full__{m}": m for m in METRICS})
     return estimate_rows(renamed, {m: points[f"full__{m}"] for m in METRICS}, design, roster, critical)
 

@@ -13,6 +13,7 @@ from surveyloom.operators import standardize as S
 from surveyloom.operators.causal import aipw, aipw_scores
 from surveyloom.operators.joins import broadcast_group_value
 from surveyloom.operators.ranking import holm, latest_per_key
+from surveyloom.operators.scale import cut
 from surveyloom.operators.bootstrap import bayesian_psu_weights
 from surveyloom.functions.special import t_p_value
 from surveyloom.plans.models import NUMERIC, RIDGE, encoding_of
@@ -133,16 +134,15 @@ def social_model(units, seed):
                                 {"mean_sector": 1.0, "mean_outcome": 1.0})
     factors = bayesian_psu_weights(units, DESIGN, seed)
     drawn = units.join(factors, DESIGN.cluster).withColumn("fit_weight", F.col("mean_weight") * F.col("factor"))
-    levels, probabilities = N.fit_multinomial(drawn, encoding, "social_group", "fit_weight", 1e-3)
-    return encoding, [int(v) for v in levels], probabilities
+    levels, coefficients = N.fit_multinomial(drawn, encoding, "social_group", "fit_weight", 1e-3)
+    return N.multinomial_scores(units, encoding, coefficients), [int(v) for v in levels]
 
 
 @query("fit_multinomial")
 def j1(spark, sf_dir):
     units = mothers(cohort(spark, sf_dir))
-    encoding, levels, probabilities = social_model(units, 1)
-    ready = encoding.prepare(units)
-    cells = F.array(*[F.struct(F.lit(v).alias("level"), p.alias("p")) for v, p in zip(levels, probabilities)])
+    ready, levels = social_model(units, 1)
+    cells = F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"p{i}").alias("p")) for i, v in enumerate(levels)])
     observed = F.sum((F.col("social_group") == F.col("level")).cast("int")) / F.count("social_group")
     return ready.select("social_group", F.inline(cells)).groupBy("level").agg(F.avg("p").alias("mean_probability"),
                                                                               observed.alias("observed_share"))
@@ -151,12 +151,13 @@ def j1(spark, sf_dir):
 @query("impute_and_reestimate")
 def j4(spark, sf_dir):
     rows, full = cohort(spark, sf_dir), roster(spark, sf_dir)
-    units, draws = mothers(rows), None
+    units, draws = cut(mothers(rows)), None
     for m in range(1, 4):
-        encoding, levels, probabilities = social_model(units, m)
-        filled = I.draw_category(encoding.prepare(units), levels, probabilities, ["mother_id"], f"impute{m}", "social_group", "completed")
-        completed = broadcast_group_value(rows.drop("social_group"), filled.select(
-            "mother_id", F.col("completed").alias("social_group")), "mother_id")
+        ready, levels = social_model(units, m)
+        filled = I.draw_category(ready, levels, [F.col(f"p{i}") for i in range(len(levels))], ["mother_id"], f"impute{m}",
+                                 "social_group", "completed")
+        completed = cut(broadcast_group_value(rows.drop("social_group"), filled.select(
+            "mother_id", F.col("completed").alias("social_group")), "mother_id"))
         result = S.standardized_gap(completed, encoding_of(completed), DESIGN, "outcome", full, RIDGE).where(
             "singleton = 'adjust'").select("metric", "estimate", (F.col("se") * F.col("se")).alias("variance"), "design_df")
         draws = result if draws is None else draws.unionByName(result)

@@ -11,9 +11,10 @@ from surveyloom.design import SurveyDesign
 from surveyloom.operators.scale import broadcast_if_small
 
 
-def scan_microdata(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Read only the needed columns of a Parquet table."""
-    return spark.read.parquet(path).select(*columns)
+def scan_microdata(spark: SparkSession, path: str, columns: Sequence[str], schema: str | None = None) -> DataFrame:
+    """Read only the needed columns of a Parquet table; a known ``schema`` saves the look into the files."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path).select(*columns)
 
 
 def scan_lookup(spark: SparkSession, path: str, schema: str, key: Sequence[str],
@@ -45,11 +46,14 @@ def bind_labels(df: DataFrame, labels: DataFrame, code: str, label: str, label_c
 
 
 def design_roster(df: DataFrame, design: SurveyDesign) -> DataFrame:
-    """Distinct design keys of a complete file, after integer validation of every key column."""
-    keys = design.cluster
-    parsed = {c: F.col(c).cast("string").try_cast("double") for c in keys}
-    bad = df.agg(*[F.count_if(~F.coalesce((v >= 0) & (v == F.floor(v)), F.lit(False))).alias(c)
-                   for c, v in parsed.items()]).first().asDict()
-    if any(bad.values()):
-        raise ValueError(f"Invalid design identifiers: {bad}")
-    return df.select(*[F.col(c).cast("long").alias(c) for c in keys]).distinct()
+    """Distinct design keys of a complete file.
+
+    A key value that is not a non-negative integer makes the job fail when it runs.
+    """
+    checked = []
+    for c in design.cluster:
+        number = F.col(c).cast("string").try_cast("double")
+        good = F.coalesce((number >= 0) & (number == F.floor(number)), F.lit(False))
+        checked.append(F.when(good, number.cast("long")).otherwise(
+            F.raise_error(F.lit(f"Invalid design identifier in {c}"))).alias(c))
+    return df.select(*checked).distinct()

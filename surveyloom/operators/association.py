@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from surveyloom.functions.recode import MISSING
 from surveyloom.functions.special import chi2_p_value, normal_p_value
 from surveyloom.operators.profile import _long, code_frequencies, missing_profile
-from surveyloom.operators.ranking import average_ranks
 from surveyloom.operators.scale import exact_quantiles, running_sums
 
 
@@ -131,5 +130,5 @@ def two_wave_weights(df: DataFrame, wave: str, weight: str) -> DataFrame:
     return exact_quantiles(df, [wave], weight, {"min": 0.0, "p05": 0.05, "median": 0.5, "p95": 0.95, "max": 1.0})
 
 
-__all__ = ["average_ranks", "chi_square", "contingency", "cramers_v", "effect_label", "mann_whitney",
+__all__ = ["chi_square", "contingency", "cramers_v", "effect_label", "mann_whitney",
            "spearman_pairs", "two_wave_profile", "two_wave_weights"]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.recode import MISSING
-from surveyloom.operators.scale import exact_quantiles, running_sums
+from surveyloom.operators.scale import exact_quantiles, running_sums, stored_side
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
@@ -257,9 +257,12 @@ def support_cells(df: DataFrame, cells: Sequence[str], arm: str, minimum: int, w
 
 def with_support(df: DataFrame, cells: Sequence[str], arm: str, minimum: int, weight: str, out: str = "supported",
                  also: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Mark rows whose cell has enough rows in every arm."""
-    good = support_cells(df, cells, arm, minimum, weight, also).where("adequate").select(
-        *[F.col(c).alias(f"_cell_{c}") for c in cells], F.lit(True).alias("_ok"))
+    """Mark rows whose cell has enough rows in every arm.
+
+    The cells are stored first, so that the rows are not shuffled to meet a small table.
+    """
+    good = stored_side(support_cells(df, cells, arm, minimum, weight, also).where("adequate").select(
+        *[F.col(c).alias(f"_cell_{c}") for c in cells], F.lit(True).alias("_ok")))
     match = None
     for c in cells:
         test = F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) == F.col(f"_cell_{c}")

@@ -44,9 +44,9 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def scalar(df: DataFrame, value: Column) -> Column:
-    """One-row aggregate as a scalar subquery, so no join carries it."""
-    return df.agg(value.alias("v")).scalar()
+def stored_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute an aggregate once for use as a join side; broadcast it when its stored size allows."""
+    return broadcast_if_small(cut(df), rows)
 
 
 def _grouping(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.design import SurveyDesign
+from surveyloom.operators.bootstrap import cluster_totals, percentile_intervals, psu_bootstrap, ratio_sums
 from surveyloom.operators.encoding import Encoding, token_name
 from surveyloom.operators.evaluate import evaluation_sums
 from surveyloom.operators.joins import apply_contrasts, contrast_covariance
@@ -663,3 +664,13 @@ def treated_counterfactual_delta(df: DataFrame, exposure: str, observed: str, co
     quantiles = weighted_quantile(long, "delta", "_w", {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95},
                                   ["group", "level"])
     return means.join(quantiles, ["group", "level"])
+
+
+def counterfactual_delta_ci(df: DataFrame, design: SurveyDesign, exposure: str, observed: str, counterfactual: str,
+                            supported: str, levels: Mapping[str, Column], reps: int, seed: int) -> DataFrame:
+    """Cluster-bootstrap limits of the weighted mean delta of treated supported rows, per named subgroup."""
+    w, delta = F.col(design.weight), F.col(observed) - F.col(counterfactual)
+    here = (F.col(exposure) == 1) & F.col(supported)
+    sums = ratio_sums({name: here & test for name, test in levels.items()}, w * delta, w)
+    replicates = psu_bootstrap(cluster_totals(df, design, sums), design, reps, seed)
+    return percentile_intervals(replicates, {name: F.try_divide(F.col(f"num_{name}"), F.col(f"den_{name}")) for name in levels})

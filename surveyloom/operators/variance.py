@@ -76,30 +76,32 @@ def design_estimates(df: DataFrame, design: SurveyDesign, outcome: str,
                      groupings: Mapping[str, Column]) -> DataFrame:
     """Proportion, SE and clipped 95 % interval in percent for every level of every grouping.
 
-    All groupings share one pass: sums per (grouping, level, cluster) give the
-    estimates, the linearised cluster totals and the variances.
+    All groupings share one pass. The linearised cluster total is linear in the
+    cluster's weight and outcome sums, so the variance follows from their cross
+    products and no estimate has to be joined back to the clusters.
     """
     w, y = F.col(design.weight), F.col(outcome)
     levels = F.array(*[F.struct(F.lit(name).alias("grouping"), level.cast("string").alias("level"))
                        for name, level in groupings.items()])
     keys = ["grouping", "level"]
+    a, b = F.col("_a"), F.col("_b")
     cells = df.select(*design.cluster, w.alias("_w"), (w * y).alias("_wy"), F.inline(levels)).where(
         "level is not null").groupBy(*keys, *design.cluster).agg(
-        F.count("*").alias("_n"), F.sum("_w").alias("_sw"), F.sum("_wy").alias("_swy"))
-    domains = cells.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_sw").alias("_W"),
-                                       (F.sum("_swy") / F.sum("_sw")).alias("_p"))
+        F.count("*").alias("_n"), F.sum("_w").alias("_a"), F.sum("_wy").alias("_b"))
+    strata = cells.groupBy(*keys, *design.strata).agg(
+        F.sum("_n").alias("_n"), F.sum(a).alias("_sa"), F.sum(b).alias("_sb"), F.sum(a * a).alias("_aa"),
+        F.sum(a * b).alias("_ab"), F.sum(b * b).alias("_bb"))
     sizes = df.select(*design.cluster).distinct().groupBy(*design.strata).agg(F.count("*").alias("_nh"))
-    totals = cells.join(domains, keys).withColumn(
-        "_t", (F.col("_swy") - F.col("_p") * F.col("_sw")) / F.col("_W"))
-    strata = totals.groupBy(*keys, *design.strata).agg(
-        F.sum("_t").alias("_s"), F.sum(F.col("_t") * F.col("_t")).alias("_q"))
-    part = between_clusters(F.col("_nh"), F.col("_s"), F.col("_q"))
-    variances = strata.join(sizes, list(design.strata)).groupBy(*keys).agg(
-        F.coalesce(F.sum(F.greatest(part, F.lit(0.0))), F.lit(0.0)).alias("_v"))
+    part = lambda x, z, xz: F.coalesce(F.sum(between_clusters(F.col("_nh"), F.col(x), F.col(xz), F.col(z))), F.lit(0.0))
+    domains = strata.join(sizes, list(design.strata)).groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum("_sa").alias("_W"), (F.sum("_sb") / F.sum("_sa")).alias("_p"),
+        part("_sa", "_sa", "_aa").alias("_vaa"), part("_sa", "_sb", "_ab").alias("_vab"), part("_sb", "_sb", "_bb").alias("_vbb"))
     singles = sizes.agg(F.count_if(F.col("_nh") == 1).alias("v")).scalar()
     used = sizes.agg(F.count_if(F.col("_nh") > 1).alias("v")).scalar()
-    p, se = F.col("_p"), F.sqrt("_v")
-    return domains.join(variances, keys).select(
+    p = F.col("_p")
+    variance = (F.col("_vbb") - 2 * p * F.col("_vab") + p * p * F.col("_vaa")) / (F.col("_W") * F.col("_W"))
+    se = F.sqrt(F.greatest(variance, F.lit(0.0)))
+    return domains.select(
         *keys, "n", (100 * p).alias("estimate_pct"), (100 * se).alias("se_pct"),
         F.greatest(100 * (p - NORMAL_CRITICAL * se), F.lit(0.0)).alias("ci_low_pct"),
         F.least(100 * (p + NORMAL_CRITICAL * se), F.lit(100.0)).alias("ci_high_pct"),

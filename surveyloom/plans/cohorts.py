@@ -10,7 +10,7 @@ from surveyloom.functions import recode as R
 from surveyloom.operators import cohort as O
 from surveyloom.operators.scale import ensure_checkpoint_dir
 from surveyloom.plans.registry import query
-from surveyloom.plans.tables import DESIGN, cohort, customers, design_frame, roster, table, with_views
+from surveyloom.plans.tables import cohort, design_frame, roster, table, with_views
 from surveyloom.sources import bind_labels, scan_lookup, scan_microdata, write_by_site, write_results
 
 

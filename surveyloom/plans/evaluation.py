@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from surveyloom.operators import evaluate as E
 from surveyloom.plans.profiles import labelled_documents
 from surveyloom.plans.ranking import PARTITION_SQL, partitioned

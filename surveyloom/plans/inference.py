@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveyloom.operators import joins as J
 from surveyloom.operators import variance as V
 from surveyloom.plans.flagship import INFLUENCE_SQL, ROSTER_SQL
 from surveyloom.plans.registry import query

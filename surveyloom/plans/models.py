@@ -11,8 +11,8 @@ from surveyloom.operators import joins as J
 from surveyloom.operators import standardize as S
 from surveyloom.operators import variance as V
 from surveyloom.operators.profile import with_support
+from surveyloom.plans.bootstraps import REPS, SEED, bootstrap_sql
 from surveyloom.plans.cohorts import PERIODS
-from surveyloom.plans.flagship import ROSTER_SQL
 from surveyloom.plans.profiles import SUPPORT
 from surveyloom.plans.ranking import PARTITION_SQL, partitioned
 from surveyloom.plans.registry import query
@@ -301,3 +301,21 @@ def h20(spark, sf_dir):
     rows = supported_rows(spark, sf_dir).withColumn(
         "risk", R.primary_risk(F.col("delivery_order") == 1, "maternal_age", "twin_order"))
     return S.treated_counterfactual_delta(rows, "sector", "mu1_hat", "mu0_hat", "weight", "supported", "risk")
+
+
+@query("counterfactual_delta_ci", with_views("""
+    , s as (select state, residence, wealth_index from cohort group by all having count(*) filter (sector = 0) >= 60
+        and count(*) filter (sector = 1) >= 60),
+      d as (select *, mu1_hat - mu0_hat as delta, sector = 1 and (state, residence, wealth_index) in (select (state, residence,
+        wealth_index) from s) as ok from cohort),
+      t as (select state, stratum, psu, coalesce(sum(weight * delta) filter (ok), 0) as na, coalesce(sum(weight) filter (ok), 0) as da,
+        coalesce(sum(weight * delta) filter (ok and delivery_order = 1), 0) as nb,
+        coalesce(sum(weight) filter (ok and delivery_order = 1), 0) as db from d group by all),
+    """ + bootstrap_sql("t", "na da nb db") + """
+    , l as (select 'overall' as statistic, na / da as v from reps union all select 'first_event', nb / db from reps)
+    select statistic, count(*) as replicates, avg(v) as mean, quantile_cont(v, 0.025) as ci_low,
+      quantile_cont(v, 0.975) as ci_high from l group by statistic"""))
+def h20_ci(spark, sf_dir):
+    levels = {"overall": F.lit(True), "first_event": F.col("delivery_order") == 1}
+    return S.counterfactual_delta_ci(supported_rows(spark, sf_dir), DESIGN, "sector", "mu1_hat", "mu0_hat", "supported", levels,
+                                     REPS, SEED)

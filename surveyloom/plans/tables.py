@@ -7,7 +7,7 @@ order are clusters that contribute zero.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom import SurveyDesign
@@ -16,6 +16,7 @@ from surveyloom.sources import design_roster, scan_microdata
 
 DESIGN = SurveyDesign(weight="weight", strata=("state", "stratum"), psu=("psu",))
 INTERVIEW_CMC = 1224
+RECALL_MONTHS = 60
 PLACE_CODES = {"1-URGENT": 31, "2-HIGH": 32, "3-MEDIUM": 21, "5-LOW": 22, "4-NOT SPECIFIED": 11}
 NUMERIC = ("birth_order", "education_years")
 CATEGORICAL = ("state", "wealth_index", "residence", "social_group", "twin_order")
@@ -59,10 +60,15 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 11 != 0, (key % 5 == 1).cast("int")).alias("swelling"))
 
 
-def design_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with survey-style coded columns."""
+def design_frame(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
+    """One row per order with survey-style coded columns.
+
+    ``keep`` is a condition on raw order columns, so that it reaches the Parquet scan.
+    """
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                    "o_orderdate", "o_orderpriority")
+    if keep is not None:
+        orders = orders.where(keep)
     row = F.col("o_orderkey")
     pairs = [F.lit(x) for item in PLACE_CODES.items() for x in item]
     births = orders.select(
@@ -93,9 +99,15 @@ def design_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows inside the recall window whose place belongs to one of the two sectors."""
-    return design_frame(spark, sf_dir).where(
-        R.in_recall_window("interview_cmc", "event_cmc", 60) & F.col("sector").isNotNull())
+    """Rows inside the recall window whose place belongs to one of the two sectors.
+
+    Both rules are also stated on the raw columns: the coded ones cannot be pushed down.
+    """
+    month = lambda c: F.lit(f"{1900 + (c - 1) // 12}-{(c - 1) % 12 + 1:02d}-01").cast("timestamp_ntz")
+    dated = (F.col("o_orderdate") >= month(INTERVIEW_CMC - RECALL_MONTHS + 1)) & (F.col("o_orderdate") < month(INTERVIEW_CMC + 1))
+    placed = F.col("o_orderpriority").isin([name for name, code in PLACE_CODES.items() if code >= 20])
+    return design_frame(spark, sf_dir, dated & placed).where(
+        R.in_recall_window("interview_cmc", "event_cmc", RECALL_MONTHS) & F.col("sector").isNotNull())
 
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:

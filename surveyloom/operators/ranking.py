@@ -23,14 +23,18 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
 
 
 def holm(df: DataFrame, p: str, family: Sequence[str], tie: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Step-down adjusted p-values within a family of tests; ties keep ``tie`` order."""
-    ordered = Window.partitionBy(*family).orderBy(p, *tie)
-    size = F.count("*").over(Window.partitionBy(*family))
+    """Step-down adjusted p-values within a family of tests; ties keep ``tie`` order.
+
+    Tests without a p-value rank last, do not count and stay unadjusted.
+    """
+    ordered = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), *tie)
+    size = F.count(p).over(Window.partitionBy(*family))
     ranked = df.withColumns({"holm_rank": F.row_number().over(ordered), "family_size": size})
     step = (F.col("family_size") - F.col("holm_rank") + 1) * F.col(p)
     running = F.max("_step").over(
         Window.partitionBy(*family).orderBy("holm_rank").rowsBetween(Window.unboundedPreceding, 0))
-    out = ranked.withColumn("_step", step).withColumn("holm_p", F.least(F.lit(1.0), running)).drop("_step")
+    out = ranked.withColumn("_step", step).withColumn(
+        "holm_p", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), running))).drop("_step")
     return out.withColumns({
         "reject": F.col("holm_p") <= alpha,
         "overturned": (F.col(p) <= alpha) & ~(F.col("holm_p") <= alpha)})

@@ -145,11 +145,11 @@ def i21(spark, sf_dir):
 @query("e_value", with_views(PSI + f"""
     , t as (select nation, {AIPW} from s group by nation),
       i as (select *, risk_ratio * exp(-4 / sqrt(n)) as low, risk_ratio * exp(4 / sqrt(n)) as high from t),
-      x as (select *, case when abs(low - 1) < abs(high - 1) then low else high end as near from i)
-    select nation, risk_ratio, greatest(risk_ratio, 1 / risk_ratio)
-        + sqrt(greatest(risk_ratio, 1 / risk_ratio) * (greatest(risk_ratio, 1 / risk_ratio) - 1)) as e_value,
-      case when (near - 1) * (risk_ratio - 1) < 0 then 1 else greatest(near, 1 / near)
-        + sqrt(greatest(near, 1 / near) * (greatest(near, 1 / near) - 1)) end as e_value_interval from x"""))
+      x as (select *, case when abs(low - 1) < abs(high - 1) then low else high end as near from i),
+      v as (select *, case when risk_ratio < 1 then 1 / risk_ratio else risk_ratio end as r,
+        case when near < 1 then 1 / near else near end as b from x)
+    select nation, risk_ratio, r + sqrt(r * (r - 1)) as e_value,
+      case when (near - 1) * (risk_ratio - 1) < 0 then 1 else b + sqrt(b * (b - 1)) end as e_value_interval from v"""))
 def i24(spark, sf_dir):
     table = C.aipw(scored(spark, sf_dir), "weight", ["nation"])
     rr, width = F.col("risk_ratio"), 4 / F.sqrt("n")

@@ -312,8 +312,8 @@ def h20(spark, sf_dir):
         coalesce(sum(weight * delta) filter (ok and delivery_order = 1), 0) as nb,
         coalesce(sum(weight) filter (ok and delivery_order = 1), 0) as db from d group by all),
     """ + bootstrap_sql("t", "na da nb db") + """
-    , l as (select 'overall' as statistic, na / da as v from reps union all select 'first_event', nb / db from reps)
-    select statistic, count(*) as replicates, avg(v) as mean, quantile_cont(v, 0.025) as ci_low,
+    , l as (select 'overall' as statistic, na / nullif(da, 0) as v from reps union all select 'first_event', nb / nullif(db, 0) from reps)
+    select statistic, count(v) as replicates, avg(v) as mean, quantile_cont(v, 0.025) as ci_low,
       quantile_cont(v, 0.975) as ci_high from l group by statistic"""))
 def h20_ci(spark, sf_dir):
     levels = {"overall": F.lit(True), "first_event": F.col("delivery_order") == 1}

@@ -21,9 +21,9 @@ def e1(spark, sf_dir):
     , t as (select wave, nation, 1e0 / (1 + count(*) * abs(avg(outcome) filter (sector = 1) - avg(outcome)
         filter (sector = 0))) ^ 3 as p from cohort group by all),
       r as (select *, row_number() over (partition by wave order by p, nation) as holm_rank,
-        count(*) over (partition by wave) as family_size from t),
-      h as (select *, least(1, max((family_size - holm_rank + 1) * p) over (partition by wave order by holm_rank)) as holm_p
-        from r)
+        count(p) over (partition by wave) as family_size from t),
+      h as (select *, case when p is not null then least(1, max((family_size - holm_rank + 1) * p)
+        over (partition by wave order by holm_rank)) end as holm_p from r)
     select *, holm_p <= 0.05 as reject, p <= 0.05 and not holm_p <= 0.05 as overturned from h"""))
 def e2(spark, sf_dir):
     arm = lambda a: F.avg(F.when(F.col("sector") == a, F.col("outcome")))

@@ -5,7 +5,7 @@ reaches over such a cut, so the piece lattice of a text is the chain of the latt
 The forward sums are computed once per distinct part of a run of texts. Each occurrence is then
 sampled backward from its end: an edge is chosen with the probability its start's forward sum gives it. The draws
 are a hash of (seed, row key, part, step), so a row's segmentation does not depend on how rows are
-partitioned. Bytes without a piece fall back to byte pieces; a literal word-start mark in a text
+partitioned. Characters without a piece fall back to byte pieces; a literal word-start mark in a text
 does too, which keeps decoding lossless.
 """
 
@@ -24,6 +24,25 @@ from surveyloom.llm.textarrays import _BASE, _BYTE, _powers, chunks, mix
 
 _MARK = "▁"
 _SPACE = 0x20
+_FILTER_BITS = 22
+CHUNK_BYTES = 4 << 20
+#: Bytes of a UTF-8 character by its first byte.
+_WIDTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * np.uint64(_BASE)) >> np.uint64(64 - _FILTER_BITS)
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative integers, 16 bits at a time."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    top = int(values.max(initial=0)) >> 16
+    while top:
+        values = values >> 16
+        order = order[np.argsort((values[order] & 0xFFFF).astype(np.uint16), kind="stable")]
+        top >>= 16
+    return order
 
 
 class Lattice:
@@ -55,7 +74,12 @@ class Lattice:
         self.weight[self.byte_ids] = -sharpness * np.log(4.0 * size)
         self.longest = max(forms)
         self.pieces = {n: self._sorted([f for f, _ in x], [i for _, i in x]) for n, x in forms.items()}
-        self.prefixes = {n: np.sort(self._hash(list(x))) for n, x in prefixes.items()}
+        # filters by the top bits of a hash: what passes them wrongly fails the exact look-up
+        self.begun, self.whole = np.zeros(1 << _FILTER_BITS, bool), np.zeros(1 << _FILTER_BITS, bool)
+        for n, x in prefixes.items():
+            self.begun[_slot(self._hash(list(x)))] = True
+            if n in self.pieces:
+                self.whole[_slot(self.pieces[n][0])] = True
         self.lengths = np.array([len(s) for s in self.surface])
         self.starts = np.r_[0, np.cumsum(self.lengths)]
         self.bytes = np.frombuffer(b"".join(self.surface), np.uint8)
@@ -76,21 +100,30 @@ class Lattice:
         up, down = _powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[:len(data)], out=sums[1:])
-        alive = np.arange(len(data))
-        found = [(alive, alive + 1, self.byte_ids[data])]
+        alive, found = np.arange(len(data)), []
+        # bytes of characters that have a piece of their own need no byte pieces
+        alone = np.ones(len(data), bool)
+        width = _WIDTH[data]
         for n in range(1, self.longest + 1):
             alive = alive[alive + n <= last[alive]]
             if not len(alive):
                 break
             hashes = (sums[alive + n] - sums[alive]) * down[alive]
-            known = self.prefixes[n]
-            fits = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-            alive, hashes = alive[fits], hashes[fits]
+            slots = _slot(hashes)
+            fits = self.begun[slots]
+            alive, hashes, slots = alive[fits], hashes[fits], slots[fits]
             if n in self.pieces:
                 table, ids = self.pieces[n]
-                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                hit = table[at] == hashes
-                found.append((alive[hit], alive[hit] + n, ids[at[hit]]))
+                maybe = self.whole[slots]
+                starts, sought = alive[maybe], hashes[maybe]
+                at = np.minimum(np.searchsorted(table, sought), len(table) - 1)
+                hit = table[at] == sought
+                starts = starts[hit]
+                found.append((starts, starts + n, ids[at[hit]]))
+                for i in range(n if n <= 4 else 0):
+                    alone[starts[width[starts] == n] + i] = False
+        rest = np.flatnonzero(alone)
+        found.append((rest, rest + 1, self.byte_ids[data[rest]]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -108,26 +141,24 @@ def _forward(kit: Lattice, data: np.ndarray, begins: np.ndarray, ends: np.ndarra
     part = np.repeat(np.arange(len(begins)), ends - begins)
     start, end, piece = kit.edges(data, last)
     own = part[start]
-    source, target, local = start + own, end + own, end - begins[own]
-    order = np.lexsort((target, local))
-    source, target, piece, local = source[order], target[order], piece[order], local[order]
-    weight = kit.weight[piece]
-    alpha = np.zeros(len(data) + len(begins))
-    steps = np.r_[0, np.flatnonzero(np.diff(local)) + 1, len(local)]
-    heads = np.r_[0, np.flatnonzero(np.diff(target)) + 1] if len(target) else np.zeros(0, np.int64)
-    group = np.searchsorted(heads, steps)
-    for s in range(len(steps) - 1):
-        a, b = steps[s], steps[s + 1]
-        inner = heads[group[s]:group[s + 1]] - a
-        value = alpha[source[a:b]] + weight[a:b]
+    source, target = start + own, end + own
+    order = _order(target)
+    source, target, piece = source[order], target[order], piece[order]
+    local = target - (begins + np.arange(len(begins)))[own[order]]
+    weight, alpha = kit.weight[piece], np.zeros(len(data) + len(begins))
+    first = np.searchsorted(target, np.arange(len(alpha) + 1))
+    # the forward sums of all parts at once, one local place after the other
+    turn = _order(local)
+    steps = np.r_[0, np.flatnonzero(np.diff(local[turn])) + 1, len(turn)]
+    for a, b in zip(steps[:-1], steps[1:]):
+        own_edges = turn[a:b]
+        into = target[own_edges]
+        inner = np.r_[0, np.flatnonzero(np.diff(into)) + 1]
+        value = alpha[source[own_edges]] + weight[own_edges]
         top = np.maximum.reduceat(value, inner)
         sizes = np.diff(np.r_[inner, b - a])
-        alpha[target[a + inner]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes)), inner))
-    by_end = np.argsort(target, kind="stable")
-    source, target, piece = source[by_end], target[by_end], piece[by_end]
-    chance = np.exp(alpha[source] + weight[by_end] - alpha[target])
-    first = np.searchsorted(target, np.arange(len(alpha) + 1))
-    return source, piece, np.cumsum(chance), first
+        alpha[into[inner]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes)), inner))
+    return source, piece, np.cumsum(np.exp(alpha[source] + weight - alpha[target])), first
 
 
 def sample(kit: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +187,8 @@ def sample(kit: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray
     state = mix(keys[text_of].astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed))
     state = mix(state + number.astype(np.uint64) * np.uint64(_BASE))
     at = (floor + sizes)[kind]
-    active, counts, chosen = np.arange(len(begins)), np.zeros(len(begins), np.int64), []
+    # occurrences of a part next to each other: their look-ups fall in the same place
+    active, counts, chosen = _order(kind), np.zeros(len(begins), np.int64), []
     bottom = floor[kind]
     while len(active):
         here = at[active]
@@ -181,7 +213,7 @@ def _encode(model_file: str, sharpness: float, seed: int, keep: int):
         kit = lattice(model_file, sharpness)
         for batch in batches:
             keys, texts = pc.fill_null(batch.column(keep), 0).to_numpy(), batch.column(keep + 1)
-            for begin, end, data, offsets in chunks(texts):
+            for begin, end, data, offsets in chunks(texts, CHUNK_BYTES):
                 # one space in front of every text that is not empty
                 full = np.diff(offsets) > 0
                 spaced = np.insert(data, offsets[:-1][full], _SPACE)

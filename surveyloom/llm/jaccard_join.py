@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,21 +134,45 @@ def _signatures(words: int, percent: int, frequent, rank):
     return run
 
 
-def _token_lists(words: int):
+def _stored_texts(words: int):
+    """Arrow function: every node with its lower-cased text, compressed: a third of the size of its token hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            nodes, lists = [], []
-            for tokens in _sets(batch.column(0), words):
-                node = node_of(tokens)
-                if len(tokens) and node not in known:
-                    known.add(node)
-                    nodes.append(node)
-                    lists.append(tokens.view(np.int64))
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                                             ["node", "tokens"])
+            nodes, texts = [], []
+            for _, _, data, offsets in chunks(batch.column(0)):
+                split = split_words(data, offsets, lower=True)
+                for i, tokens in enumerate(shingle_sets(split, words)):
+                    node = node_of(tokens)
+                    if len(tokens) and node not in known:
+                        known.add(node)
+                        nodes.append(node)
+                        texts.append(packer.compress(split.data[offsets[i]:offsets[i + 1]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], ["node", "body"])
+    return run
+
+
+def _compare(words: int, percent: int):
+    """Arrow function over ``(a, b, left, right)``: the pairs whose sets reach the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker, recent = zstandard.ZstdDecompressor(), {}
+
+        def tokens_of(node: int, body: pa.Scalar) -> np.ndarray:
+            if node not in recent:
+                if len(recent) >= 64:
+                    recent.clear()
+                data = np.frombuffer(unpacker.decompress(body.as_py()), np.uint8)
+                recent[node] = next(shingle_sets(split_words(data, np.array([0, len(data)])), words))
+            return recent[node]
+
+        for batch in batches:
+            keep = []
+            for a, b, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                one, other = tokens_of(a, left), tokens_of(b, right)
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(one) + len(other) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -178,22 +203,25 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose token sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    shared = F.size(F.array_intersect("left", "right"))
-    return (pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
-            .where((100 + percent) * F.col("shared") >= percent * (F.size("left") + F.size("right"))).select("a", "b"))
+def _only(stored: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``stored`` whose node is wanted; the list is broadcast after a count, else both sides are shuffled."""
+    few = nodes.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES
+    return stored.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Pairs whose token sets reach the similarity. Only texts of the pairs are shuffled."""
+    left = _only(texts, pairs.select(F.col("a").alias("node")).distinct()).select(F.col("node").alias("a"), F.col("body").alias("left"))
+    right = _only(texts, pairs.select(F.col("b").alias("node")).distinct()).select(F.col("node").alias("b"), F.col("body").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_compare(words, percent), "a long, b long")
 
 
-def linked_components(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
+def linked_components(buckets: DataFrame, texts: DataFrame, percent: int, words: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """``(node, root)`` of the components that links between members of a bucket make.
 
     ``buckets`` holds ``(sig, node, size)`` with two or more members each.
     """
-    spark = buckets.sparkSession
-    links = tried = roots = None
+    tried = roots = None
     rows = buckets
     for turn in range(rounds + 1):
         own = (rows.withColumn("root", F.col("node")) if roots is None else
@@ -214,9 +242,9 @@ def linked_components(buckets: DataFrame, sets: DataFrame, percent: int, rounds:
         pairs = pairs.distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionAll(pairs)
-        found = _verified(pairs, sets, percent)
-        links = cut(found if roots is None else found.unionAll(links))
-        roots = components(links)
+        found = _verified(pairs, texts, percent, words)
+        # the stars of earlier rounds stand for their links
+        roots = components(found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if turn < rounds and rows.isEmpty():
             break
     return roots
@@ -239,10 +267,8 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
         "low.node != high.node").select("sig")
     buckets = cut(keyed.join(several, "sig").distinct())
     nodes = cut(buckets.select("node").distinct())
-    listed = texts.select("text").mapInArrow(_token_lists(words), "node long, tokens array<long>")
-    wanted = F.broadcast(nodes) if nodes.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES else nodes
-    sets = cut(listed.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    roots = linked_components(buckets, sets, percent)
+    stored = cut(_only(texts.select("text").mapInArrow(_stored_texts(words), "node long, body binary"), nodes).dropDuplicates(["node"]))
+    roots = linked_components(buckets, stored, percent, words)
     return docs.join(roots, "node", "left").select("row", "doc_id", "size", F.coalesce("root", "node").alias("class"))
 
 

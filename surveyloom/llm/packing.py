@@ -85,9 +85,9 @@ class Windows:
         return self.pieces[0]
 
 
-def _pack(rank_file: str, end_id: int, special_id: int, size: int, windows: int):
+def _pack(rank_file: str, end_id: int, size: int, windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = pretokens.piece_ids(rank_file), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         state = Windows(size, windows, part << 33)
 
@@ -102,7 +102,7 @@ def _pack(rank_file: str, end_id: int, special_id: int, size: int, windows: int)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = cache.text(text or "", special_id) + end
+                ids = pretokens.text_ids(rank_file, text or "").astype("<u4").tobytes() + end
                 state.place(doc_id, 0, ids, len(ids) // 4)
                 if len(state.rows) >= _OUT:
                     yield rows()
@@ -122,8 +122,7 @@ def _merge(size: int, windows: int, groups: int):
     return run
 
 
-def pack(documents: DataFrame, rank_file: str, size: int = 1024, windows: int = 16, end_id: int = 0,
-         special_id: int = 50256, merge_parts: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(documents: DataFrame, rank_file: str, size: int = 1024, windows: int = 16, end_id: int = 0, merge_parts: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: document, place in it, checksum of its ids, and place in its sequence.
 
     Every row of ``documents`` is a document of its own, also when ids repeat or are null; a null
@@ -132,7 +131,7 @@ def pack(documents: DataFrame, rank_file: str, size: int = 1024, windows: int =
     Memory of a task is ``windows * size`` ids and one text. An empty table gives no rows.
     """
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packed = cut(texts.mapInArrow(_pack(rank_file, end_id, special_id, size, windows), _OPEN))
+    packed = cut(texts.mapInArrow(_pack(rank_file, end_id, size, windows), _OPEN))
     names = [x.split()[0] for x in PIECE.split(", ")]
     merged = (packed.where("leftover").withColumn("group", F.expr(f"part div {merge_parts}"))
               .groupBy("group").applyInPandas(_merge(size, windows, merge_parts), PIECE))

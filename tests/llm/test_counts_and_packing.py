@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 from surveyloom.llm import packing, pretokens, token_counts
 from surveyloom.llm.common import table, vocabulary
 
+SPECIAL = pretokens.SPECIAL
 JSON, RANKS = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
 ODD = [(1, None), (2, ""), (3, "a <|endoftext|>  b<|endoftext|>"), (4, "x" * 30_000), (4, "x" * 30_000), (None, "it's  ½ Ⅷ ²_a \n\n \t\x1c!"),
        (7, "<|endoftext|>"), (8, "🙂中文 " * 700)]
@@ -24,10 +25,13 @@ def odd(spark):
 
 
 def test_pretokens_give_the_vocabularys_ids(tok):
-    ids = pretokens.piece_ids(RANKS)
     for base in range(0, 0x30000, 211):
         text = "".join(f"a{chr(c)}1 {chr(c)}b !{chr(c)} " for c in range(base, base + 211) if not 0xD800 <= c < 0xE000)
-        assert np.frombuffer(ids.text(text, 50256), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        expected = tok.encode(text, add_special_tokens=False).ids
+        assert pretokens.text_ids(RANKS, text).tolist() == expected
+        assert sum(len(x) for x in tok.encode_batch(pretokens.split(text), add_special_tokens=False)) == len(expected)
+    for text in ("", " ", "x  ", "\n\n", " \n x", SPECIAL, f"a {SPECIAL}  {SPECIAL}b", "''s 'S", "a\x1cb \x85 c"):
+        assert pretokens.text_ids(RANKS, text).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("flush", [400_000, 50])

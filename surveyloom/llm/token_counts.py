@@ -3,8 +3,9 @@
 1. Each run of documents becomes postings ``(pre-token, documents, frequencies)``. Pre-tokens that
    are entries of the vocabulary itself (a table no larger than the vocabulary) are added up on the
    spot, so the very frequent ones never reach the shuffle.
-2. The distinct remaining pre-tokens are counted once each by the tokenizer.
-3. Postings join the counts on the pre-token and are summed per document.
+2. Postings are dealt out by pre-token. There the tokenizer counts each distinct one once, and the
+   counts join the postings without another shuffle. A pre-token that fills much of a run is salted by the run.
+3. Frequencies times pieces are summed per document.
 """
 
 from __future__ import annotations
@@ -21,40 +22,40 @@ from surveyloom.llm import pretokens
 from surveyloom.llm.common import with_row_key
 
 FLUSH = 400_000
+HOT_POSTINGS, SALTS = 2_000, 64
 _ORDINAL = (1 << 33) - 1
-_POSTINGS = "pretoken string, part long, rows array<int>, counts array<int>, doc_ids array<long>, n_bytes array<long>"
+_POSTINGS = pa.schema([("pretoken", pa.string()), ("salt", pa.int32()), ("part", pa.int64()),
+                       ("rows", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
 
 def _postings(json_file: str):
-    """Arrow function: postings of the unknown pre-tokens, and rows without a pre-token that carry the known sums."""
+    """Arrow function: postings of the unknown pre-tokens; the known sums are postings of the empty string, which is no pre-token."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part = pretokens.entry_counts(json_file), 0
-        schema = pa.schema([("pretoken", pa.string()), ("part", pa.int64()), ("rows", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())),
-                            ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
-        tokens, at, counts = [], [], []
-        base = ([], [], [], [])
+        known, part, made = pretokens.entry_counts(json_file), 0, 0
+        tokens, at, counts, sums_at, sums = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
+            nonlocal made
+            made += 1
             coded = pa.array(tokens, pa.string()).dictionary_encode()
-            codes = coded.indices.to_numpy()
+            codes, names = coded.indices.to_numpy(), coded.dictionary
+            sizes = np.bincount(codes, minlength=len(names))
             order = np.argsort(codes, kind="stable")
-            ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary))).astype(np.int32)
-            n, offsets = len(coded.dictionary), np.r_[np.int32(0), ends]
-            # one more row for the sums that are known already
-            offsets = pa.array(np.r_[offsets, offsets[-1] + np.int32(len(base[0]))], pa.int32())
+            run_salt = (part * 31 + made) % SALTS + 1
+            salts = np.r_[np.where(sizes >= HOT_POSTINGS, run_salt, 0), -run_salt]
+            offsets = pa.array(np.r_[0, np.cumsum(np.r_[sizes, len(sums)])], pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.r_[np.array(x, np.int32)[order], np.array(y, np.int32)], pa.int32()))
-                     for x, y in ((at, base[0]), (counts, base[1]))]
-            empty = [pa.array([None] * n + [x], pa.list_(pa.int64())) for x in base[2:]]
-            names = pa.concat_arrays([coded.dictionary, pa.array([None], pa.string())])
-            out = pa.RecordBatch.from_arrays([names, pa.array(np.full(n + 1, part)), *lists, *empty], schema=schema)
-            for x in (tokens, at, counts, *base):
+                     for x, y in ((at, sums_at), (counts, sums))]
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([""])]), pa.array(salts, pa.int32()),
+                                              pa.array(np.full(len(salts), part)), *lists], schema=_POSTINGS)
+            for x in (tokens, at, counts, sums_at, sums):
                 x.clear()
             return out
 
         for batch in batches:
-            for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                part, row, text = key >> 33, key & _ORDINAL, text or ""
-                found, total = pretokens.pretokens(text)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part, row = key >> 33, key & _ORDINAL
+                found, total = pretokens.pretokens(text or "")
                 for token, count in Counter(found).items():
                     pieces = known.get(token)
                     if pieces is None:
@@ -63,43 +64,33 @@ def _postings(json_file: str):
                         counts.append(count)
                     else:
                         total += pieces * count
-                for x, y in zip(base, (row, total, doc_id, len(text.encode()))):
-                    x.append(y)
-                if len(tokens) + len(base[0]) >= FLUSH:
+                sums_at.append(row)
+                sums.append(total)
+                if len(tokens) + len(sums) >= FLUSH:
                     yield flush()
-        if base[0]:
+        if sums:
             yield flush()
     return run
 
 
-def _distinct(json_file: str):
-    """Arrow function: the pre-tokens that are no vocabulary entry, each once per run of documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = pretokens.entry_counts(json_file).keys(), set()
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found - known), pa.string())], ["pretoken"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(pretokens.pretokens(text or "")[0])
-                if len(found) >= FLUSH:
-                    yield flush()
-                    found.clear()
-        yield flush()
-    return run
-
-
 def _pieces(json_file: str):
+    """Arrow function: adds the pieces of each pre-token; the empty string stands for sums of pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = pretokens.tokenizer(json_file)
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            sizes = [len(x) for x in tok.encode_batch_fast(names, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["pretoken", "pieces"])
+            sizes = [len(x) or 1 for x in tok.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "pieces"])
     return run
 
 
+def pretoken_table(postings: DataFrame, json_file: str) -> DataFrame:
+    """Pieces of every distinct pre-token, with the documents and occurrences it has outside the vocabulary table."""
+    return (postings.groupBy("pretoken", "salt")
+            .agg(F.count("part").alias("runs"), F.sum(F.size("rows")).alias("documents"),
+                 F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("occurrences"))
+            .mapInArrow(_pieces(json_file), "pretoken string, salt int, runs long, documents long, occurrences long, pieces long"))
+
+
 def token_counts(documents: DataFrame, json_file: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)``, one row for each row of ``documents``.
 
@@ -107,19 +98,17 @@ def token_counts(documents: DataFrame, json_file: str, limit: int = 512, doc_id:
     each, with the id as it is. Other columns are ignored, an empty table gives no rows, and texts
     of any length are read whole.
     """
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    postings = with_row_key(texts).select("_row", "doc_id", "text").mapInArrow(_postings(json_file), _POSTINGS)
-    pieces = (texts.select("text").mapInArrow(_distinct(json_file), "pretoken string").distinct()
-              .mapInArrow(_pieces(json_file), "pretoken string, pieces long"))
-    key = F.shiftleft(F.col("part"), 33)
-    counted = (postings.where(F.col("pretoken").isNotNull()).join(pieces, "pretoken")
+    texts = with_row_key(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    postings = (texts.select("_row", "text").mapInArrow(_postings(json_file), "pretoken string, salt int, part long, rows array<int>, counts array<int>")
+                .where("pretoken is not null and salt is not null")  # said once here, else the join says it on one of its sides only
+                .repartition("pretoken", "salt"))
+    pieces = pretoken_table(postings, json_file).select("pretoken", "salt", "pieces")
+    counted = (postings.join(pieces, ["pretoken", "salt"])
                .select("part", "pieces", F.explode(F.arrays_zip("rows", "counts")).alias("p"))
-               .select((key + F.col("p.rows")).alias("row"), (F.col("p.counts") * F.col("pieces")).alias("tokens"),
+               .select((F.shiftleft(F.col("part"), 33) + F.col("p.rows")).alias("_row"), (F.col("p.counts") * F.col("pieces")).alias("tokens"),
                        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes")))
-    known = (postings.where(F.col("pretoken").isNull())
-             .select("part", F.explode(F.arrays_zip("rows", "counts", "doc_ids", "n_bytes")).alias("p"))
-             .select((key + F.col("p.rows")).alias("row"), F.col("p.counts").cast("long").alias("tokens"),
-                     F.col("p.doc_ids").alias("doc_id"), F.col("p.n_bytes").alias("n_bytes")))
-    return (counted.unionAll(known).groupBy("row")
+    rows = texts.select("_row", F.lit(0).cast("long").alias("tokens"), "doc_id",
+                        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return (counted.unionAll(rows).groupBy("_row")
             .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

@@ -6,7 +6,7 @@ function of seed, replicate and cluster, so results repeat on any cluster size.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +42,19 @@ def _draws(slots: DataFrame, design: SurveyDesign, reps: int, seed: int, size: C
         *design.strata, "replicate", chosen.cast("long").alias("slot"))
 
 
-def psu_bootstrap(totals: DataFrame, design: SurveyDesign, reps: int, seed: int) -> DataFrame:
-    """Replicate sums: as many clusters as the stratum has are drawn with replacement in each stratum."""
-    slots = cluster_slots(totals, design)
-    values = [c for c in totals.columns if c not in design.cluster]
-    drawn = _draws(slots, design, reps, seed, F.col("stratum_psus"))
-    return drawn.join(slots.select(*design.strata, "slot", *values), [*design.strata, "slot"]).groupBy(
-        "replicate").agg(*[F.sum(v).alias(v) for v in values])
+def psu_bootstrap(totals: DataFrame, design: SurveyDesign, reps: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Replicate sums: as many clusters as the stratum has are drawn with replacement in each stratum.
+
+    With ``by``, totals hold a row per cluster and level; the draws of clusters serve all levels.
+    """
+    clusters = totals.select(*design.cluster).distinct() if by else totals
+    slots = cluster_slots(clusters, design)
+    values = [c for c in totals.columns if c not in (*design.cluster, *by)]
+    drawn = _draws(slots, design, reps, seed, F.col("stratum_psus")).groupBy(*design.strata, "slot", "replicate").agg(
+        F.count("*").alias("_times"))
+    placed = totals.join(slots.select(*design.cluster, "slot"), list(design.cluster)) if by else slots
+    return drawn.join(placed.select(*by, *design.strata, "slot", *values), [*design.strata, "slot"]).groupBy(
+        *by, "replicate").agg(*[F.sum(F.col("_times") * F.col(v)).alias(v) for v in values])
 
 
 def percentile_intervals(replicates: DataFrame, statistics: Mapping[str, Column],

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from surveyloom.functions.recode import MISSING, UNKNOWN, category_token
 from surveyloom.operators.scale import exact_quantiles
 
-MAX_LEVELS = 5000
 
 
 def token_name(column: str) -> str:
@@ -86,13 +85,11 @@ class Encoding:
 
 def learn_encoding(df: DataFrame, exposure: str | None, numeric: Mapping[str, float], categorical: Sequence[str],
                    plain: Mapping[str, float] | None = None, interactions: Sequence[tuple[str, str]] = ()) -> Encoding:
-    """Collect the level vocabularies; the number of levels is checked, never cut."""
+    """Collect the level vocabularies: as many levels as the model has terms, which the driver holds anyway."""
     found: dict[str, set[str]] = {c: set() for c in categorical}
     if categorical:
         cells = F.array(*[F.struct(F.lit(c).alias("c"), category_token(c).alias("t")) for c in categorical])
-        rows = df.select(F.inline(cells)).distinct().limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"More than {MAX_LEVELS} levels; encode this column differently")
+        rows = df.select(F.inline(cells)).distinct().collect()  # one row per model term
         for row in rows:
             found[row["c"]].add(row["t"])
     vocabulary = tuple((c, (*sorted(found[c] - {MISSING, UNKNOWN}), MISSING, UNKNOWN)) for c in categorical)

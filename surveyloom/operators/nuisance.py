@@ -89,11 +89,26 @@ def cross_fit(df: DataFrame, numeric: Mapping[str, float], categorical: Sequence
     return stored
 
 
+def cross_fit_within(df: DataFrame, by: Sequence[str], *args, **more) -> DataFrame:
+    """:func:`cross_fit` on the rows of each level of ``by`` alone: folds and models never see other levels.
+
+    One fit is made per level, so ``by`` names a few strata or groups; rows with a null level are left out.
+    """
+    if not by:
+        return cross_fit(df, *args, **more)
+    levels = [r[0] for r in df.select(by[0]).where(F.col(by[0]).isNotNull()).distinct().collect()]
+    parts = [cross_fit_within(df.where(F.col(by[0]) == v), by[1:], *args, **more) for v in sorted(levels)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def fitted_aipw(scored: DataFrame, design: SurveyDesign, outcome: str, exposure: str, reps: int, seed: int,
                 by: Sequence[str] = (), eps: float = 1e-6) -> DataFrame:
     """Doubly robust risks with cluster-bootstrap percentile limits, overall or per level of one column.
 
-    All levels share the same draws of clusters.
+    All levels share the same draws of clusters; their number is not limited.
     """
     rows = aipw_scores(scored, outcome, exposure, "e_fit", "mu1_fit", "mu0_fit", eps)
     w, points = F.col(design.weight), aipw(rows, design.weight, by)
@@ -104,13 +119,8 @@ def fitted_aipw(scored: DataFrame, design: SurveyDesign, outcome: str, exposure:
         replicates = psu_bootstrap(totals, design, reps, seed)
         limits = replicates.agg(*_limits())
         return points.select("*", *[limits.select(c).scalar().alias(c) for c in ("rd_low", "rd_high", "rr_low", "rr_high")])
-    levels = _levels(totals, by[0])
-    wide = totals.groupBy(*design.cluster).pivot(by[0], levels).agg(
-        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("w", "w1", "w0")])
-    replicates = psu_bootstrap(wide.na.fill(0.0), design, reps, seed)
-    cells = F.array(*[F.struct(F.lit(v).alias(by[0]), *[F.col(f"{v}_{c}").alias(c) for c in ("w", "w1", "w0")]) for v in levels])
-    limits = replicates.select(F.inline(cells)).groupBy(by[0]).agg(*_limits())
-    return points.join(limits, by[0])
+    limits = psu_bootstrap(totals, design, reps, seed, by).groupBy(*by).agg(*_limits())
+    return points.join(limits, list(by))
 
 
 def _limits() -> list[Column]:
@@ -120,13 +130,6 @@ def _limits() -> list[Column]:
         (rd, 0.025, "rd_low"), (rd, 0.975, "rd_high"), (rr, 0.025, "rr_low"), (rr, 0.975, "rr_high"))]
 
 
-def _levels(df: DataFrame, column: str, limit: int = 200) -> list:
-    rows = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
-    if len(rows) > limit:
-        raise ValueError(f"More than {limit} levels in {column}")
-    return sorted(rows)
-
-
 def tmle(df: DataFrame, weight: str, outcome: str, exposure: str, e: str, mu1: str, mu0: str, eps: float = 0.01,
          steps: int = 30) -> DataFrame:
     """Targeted risks: one fluctuation per arm, solved on its weighted score equation.
@@ -206,14 +209,16 @@ def context_split_aipw(scored: DataFrame, design: SurveyDesign, outcome: str, ex
     """Doubly robust contrast in units above and below the median of a unit-level measure.
 
     Returns (estimates of both groups with the high-minus-low difference, the
-    difference recomputed without each unit). Both come from one table of unit sums.
+    difference recomputed without each unit). Both come from one table of unit sums. The
+    median unit counts as high; a unit without a measure belongs to neither group.
     """
     rows = aipw_scores(scored, outcome, exposure, "e_fit", "mu1_fit", "mu0_fit")
     w = F.col(design.weight)
     units = rows.groupBy(unit).agg(F.max(measure).alias("_m"), F.count("*").alias("n"), F.sum(w).alias("_w"),
                                    F.sum(w * F.col("psi1")).alias("_w1"), F.sum(w * F.col("psi0")).alias("_w0"))
-    middle = units.agg(F.percentile("_m", 0.5).alias("v")).scalar()
-    split = units.withColumn("high", F.col("_m") > middle)
+    units = units.where(F.col("_m").isNotNull())
+    middle = exact_quantiles(units, [], "_m", {"v": 0.5}).scalar()
+    split = units.withColumn("high", F.col("_m") >= middle)
     both = split.groupBy("high").agg(F.count("*").alias("units"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("_w", "_w1", "_w0")])
     rd = (F.col("_w1") - F.col("_w0")) / F.col("_w")
     value = lambda side: both.where(F.col("high") == side).select(rd.alias("v")).scalar()
@@ -342,7 +347,7 @@ def fit_authorized(df: DataFrame, encoding: Encoding, outcome: str, partition: s
 def fit_multinomial(df: DataFrame, encoding: Encoding, level: str, weight: str, ridge: float):
     """Ridge multinomial logit on covariate cells. Returns (levels, coefficient rows) for ``multinomial_scores``."""
     cells = covariate_cells(df.where(F.col(level).isNotNull()), encoding, level, {"_w": F.col(weight)}).where("_w > 0")
-    levels = _levels(cells, "_y")
+    levels = sorted(r[0] for r in cells.select("_y").distinct().collect())  # as many as the model has classes
     index = F.create_map(*[F.lit(x) for i, v in enumerate(levels) for x in (v, float(i))])
     rows = cells.select(_features(encoding).alias("features"), index[F.col("_y")].alias("label"), F.col("_w").alias("w"))
     model = LogisticRegression(family="multinomial", weightCol="w", regParam=ridge, elasticNetParam=0.0, standardization=False,

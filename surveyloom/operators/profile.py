@@ -40,7 +40,7 @@ def prevalence_table(df: DataFrame, outcome: str, weight: str, by: Sequence[str]
 
     A grouped-out column is null and ``grouping_id`` tells it from a real null.
     """
-    return df.rollup(*by).agg(
+    return df.cube(*by).agg(
         F.grouping_id().alias("grouping_id"), F.count("*").alias("n"), F.sum(outcome).alias("events"),
         F.sum(weight).alias("weight"), F.avg(outcome).alias("raw_prevalence"),
         (F.sum(F.col(weight) * F.col(outcome)) / F.sum(weight)).alias("weighted_prevalence"))

@@ -89,11 +89,20 @@ def stratified_group_folds(df: DataFrame, group: Sequence[str], label: str, k: i
 
 
 def stratified_sample(df: DataFrame, label: str, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """About ``n`` rows with class shares kept: ``round(n * class share)`` per class, exact and repeatable."""
+    """Exactly ``n`` rows (all, if fewer) with class shares kept, repeatable.
+
+    Each class gets the whole part of ``n * class share``; the rows still missing go to the classes
+    with the largest remainders, ties to the smaller label.
+    """
     ranked = hash_ranks(df.withColumn("_h", digest(seed, *key)), [label], "_h", "_rank", "_size")
-    total = df.agg(F.count("*").alias("v")).scalar()
-    quota = F.bround(F.lit(float(n)) * F.col("_size") / total, 0)
-    return ranked.where(F.col("_rank") <= quota).select(*df.columns)
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy()  # over one row per class
+    share = sizes.withColumn("_all", F.sum("_n").over(whole)).withColumn("_exact", F.least(F.lit(n), F.col("_all")) * F.col("_n"))
+    base = share.withColumn("_base", F.expr("_exact div _all")).withColumn("_left", F.expr("_exact % _all"))
+    spare = F.least(F.lit(n), F.col("_all")) - F.sum("_base").over(whole)
+    turn = F.row_number().over(whole.orderBy(F.desc("_left"), F.col(label)))
+    quotas = base.select(F.col(label).alias("_label"), (F.col("_base") + (turn <= spare).cast("long")).alias("_quota"))
+    return (ranked.join(quotas, F.col(label).eqNullSafe(F.col("_label"))).where(F.col("_rank") <= F.col("_quota")).select(*df.columns))
 
 
 def ranked_table(df: DataFrame, metric: str, k: int, tie: Sequence[str], ascending: bool = False) -> DataFrame:

@@ -13,8 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-BUCKETS = 64
+BROADCAST_BYTES = 32 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
+_SEARCHED = 31
 _ALL = "_all_rows"
 
 
@@ -39,14 +40,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that the side has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def planned_bytes(df: DataFrame) -> int:
+    """Upper estimate of a frame's size from its plan, without running it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def stored_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute an aggregate once for use as a join side; broadcast it when its stored size allows."""
-    return broadcast_if_small(cut(df), rows)
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint if the plan bounds the side by ``limit`` bytes.
+
+    Otherwise the join stays open: adaptive execution broadcasts a side whose measured bytes are
+    small and shuffles any other one.
+    """
+    return F.broadcast(df) if planned_bytes(df) <= limit else df
+
+
+def stored_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Compute an aggregate once for use as a join side."""
+    return broadcast_if_small(cut(df), limit)
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Buckets for one group that may hold all rows: twice the cluster's cores, within bounds."""
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def _grouping(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -56,17 +71,23 @@ def _grouping(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def count_below(cuts: Column, size: int, value: Column) -> Column:
-    """Number of the ``size`` ascending cut points below a value, as a compiled binary search."""
+    """Number of the ``size`` ascending cut points below a value.
+
+    A compiled binary search finds the stretch of cut points; a long stretch is then counted through.
+    """
+    step = 1 if size <= 2 * _SEARCHED else -(-size // (_SEARCHED + 1))
+
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(cuts[middle] < value, search(middle + 1, high)).otherwise(search(low, middle))
+        return F.when(cuts[(middle + 1) * step - 1] < value, search(middle + 1, high)).otherwise(search(low, middle))
 
-    return search(0, size)
+    found = search(0, size // step)
+    return found if step == 1 else found * step + F.size(F.filter(F.slice(cuts, found * step + 1, step), lambda c: c < value))
 
 
-def with_buckets(df: DataFrame, by: Sequence[str], order: str, buckets: int = BUCKETS):
+def with_buckets(df: DataFrame, by: Sequence[str], order: str, buckets: int | None = None):
     """Add ``_bucket``, increasing in ``order`` inside each group.
 
     Approximate quantiles serve only as cut points: any cut points give the same
@@ -75,16 +96,18 @@ def with_buckets(df: DataFrame, by: Sequence[str], order: str, buckets: int = BU
     ``small`` says that the number of groups was checked to allow broadcasts.
     """
     df, keys = _grouping(df, by)
+    buckets = buckets or buckets_for(df)
     cuts = cut(df.groupBy(*keys).agg(
         F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 2000).alias("_cuts")))
-    small = cuts.limit(BROADCAST_ROWS // buckets + 1).count() <= BROADCAST_ROWS // buckets
+    most = BROADCAST_BYTES // (8 * buckets)  # groups whose cut points fit
+    small = cuts.limit(most + 1).count() <= most
     side = F.broadcast(cuts) if small else cuts
     placed = df.join(side, keys).withColumn("_bucket", count_below(F.col("_cuts"), buckets - 1, F.col(order))).drop("_cuts")
     return placed, keys, small
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, Column],
-                 buckets: int = BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Exclusive running sums ``<name>_before`` and group totals ``<name>_total``.
 
     ``df`` must hold each ``(by, order)`` pair once; group keys must not be null.
@@ -126,7 +149,7 @@ def hash_ranks(df: DataFrame, by: Sequence[str], digest: str, rank: str = "rank"
 
 
 def running_last(df: DataFrame, by: Sequence[str], order: str, tie: str, value: str, out: str,
-                 buckets: int = BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Last non-null ``value`` strictly before each row in ``(order, tie)`` order."""
     placed, keys, small = with_buckets(df, by, order, buckets)
     position = F.struct(F.col(order), F.col(tie))

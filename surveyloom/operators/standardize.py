@@ -426,8 +426,12 @@ def rank_of_design(cells: DataFrame, encoding: Encoding, tolerance: float = 1e-1
 
 
 def period_gaps(df: DataFrame, encoding: Encoding, outcome: str, weight: str, period: str, periods: Sequence[str],
-                unit: str, minimum: int, ridge: float) -> DataFrame:
-    """Adjusted gap per period on its own supported units and on the common target of all periods."""
+                unit: str, minimum: int, ridge: float, least_rows: int = 100) -> DataFrame:
+    """Adjusted gap per period on its own supported units and on the common target of all periods.
+
+    A period with fewer than ``least_rows`` rows in supported units, or with one outcome only, is
+    reported without estimates.
+    """
     counts = df.groupBy(period, unit).agg(F.count_if(F.col(encoding.exposure) == 0).alias("_n0"),
                                           F.count_if(F.col(encoding.exposure) == 1).alias("_n1"))
     good = counts.where((F.col("_n0") >= minimum) & (F.col("_n1") >= minimum)).select(period, unit, F.lit(True).alias("_own"))
@@ -445,7 +449,7 @@ def period_gaps(df: DataFrame, encoding: Encoding, outcome: str, weight: str, pe
         has_common = marked.where("_common").limit(1).count() > 0
         for name in periods:
             r = tallies.get(name)
-            if r is None or r["model_n"] < 100 or r["lo"] == r["hi"]:
+            if r is None or r["model_n"] < least_rows or r["lo"] == r["hi"]:
                 rows.append((name, int(r["n"]) if r else 0, int(r["model_n"]) if r else 0, int(r["units"]) if r else 0,
                              None, None, "insufficient_data"))
                 continue
@@ -471,18 +475,24 @@ def period_influence(df: DataFrame, encoding: Encoding, design: SurveyDesign, ou
     """Period gaps on one shared target with joint covariance, and later-minus-earlier contrasts.
 
     A period whose design leaves terms unidentified, or in which some level has a single
-    outcome, is only accepted with a positive ridge.
+    outcome, is only accepted with a positive ridge. A level of the shared target that a period's
+    training rows never show is refused with any ridge: its coefficient would be the penalty's.
     """
     w = design.weight
+    tokens = [token_name(c) for c, _ in encoding.categorical]
+    levels = F.array(*[F.struct(F.lit(t).alias("c"), F.col(t).alias("l")) for t in tokens])
+    wanted = {tuple(r) for r in encoding.prepare(df).select(F.inline(levels)).distinct().collect()} if tokens else set()
     linear, points, notes = df, {}, {}
     for name in periods:
         train = F.col(period) == name
         cells = covariate_cells(df, encoding, outcome, {"_w": F.when(train, F.col(w))}).where("_w > 0").persist()
         rank, terms = rank_of_design(cells, encoding)
-        tokens = [token_name(c) for c, _ in encoding.categorical]
-        levels = F.array(*[F.struct(F.lit(t).alias("c"), F.col(t).alias("l")) for t in tokens])
-        pure = cells.select("_y", F.inline(levels)).groupBy("c", "l").agg(
-            F.min("_y").alias("lo"), F.max("_y").alias("hi")).where("lo = hi").count()
+        shown = cells.select("_y", F.inline(levels)).groupBy("c", "l").agg(
+            F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect() if tokens else []
+        pure = sum(r["lo"] == r["hi"] for r in shown)
+        unseen = sorted(wanted - {(r["c"], r["l"]) for r in shown})
+        if unseen:
+            raise ValueError(f"{name}: levels of the target without training rows: {unseen[:5]}")
         if ridge <= 0 and (rank < terms or pure):
             raise ValueError(f"{name}: unidentified terms ({terms - rank}) or single-outcome levels ({pure})")
         model = fit_cells(cells, encoding, ridge)

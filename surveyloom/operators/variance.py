@@ -163,11 +163,17 @@ def roster_moments(df: DataFrame, design: SurveyDesign, metrics: Sequence[str],
           for i, j in pairs])
 
 
+def _with_regular(regular: Column, value: Column) -> Column:
+    """The value, or a failing job if no stratum holds two or more clusters."""
+    return F.when(regular > 0, value).otherwise(F.raise_error(F.lit("No stratum holds two or more clusters")))
+
+
 def covariance_from_moments(moments: DataFrame, metrics: Sequence[str], diagonal: bool = False) -> DataFrame:
     """Long covariance ``(singleton, row_key, col_key, cov, design_df)`` under three single-cluster rules.
 
     adjust: single clusters are centred on the mean of all cluster totals, average:
-    they get the mean contribution of the regular strata, zero: they add nothing.
+    they get the mean contribution of the regular strata, zero: they add nothing. Without a
+    stratum of two or more clusters there is no variance to estimate and the job fails.
     """
     psus, singles = F.col("roster_psus"), F.col("singleton_strata")
     regular = F.col("strata") - singles
@@ -181,7 +187,7 @@ def covariance_from_moments(moments: DataFrame, metrics: Sequence[str], diagonal
             values = {"adjust": base + lonely, "average": base + F.coalesce(F.try_divide(singles * base, regular),
                                                                             F.lit(0.0)), "zero": base}
             rows += [F.struct(F.lit(rule).alias("singleton"), F.lit(metrics[i]).alias("row_key"),
-                              F.lit(metrics[j]).alias("col_key"), values[rule].alias("cov"))
+                              F.lit(metrics[j]).alias("col_key"), _with_regular(regular, values[rule]).alias("cov"))
                      for rule in SINGLETON_RULES]
     return moments.select((psus - F.col("strata")).alias("design_df"), F.inline(F.array(*rows)))
 
@@ -208,9 +214,9 @@ def variance_from_sufficient_stats(stats: DataFrame, strata: Sequence[str]) -> D
         F.sum("total").alias("_grand"),
         F.coalesce(F.sum(F.when(lonely, F.col("total"))), F.lit(0.0)).alias("_ls"),
         F.coalesce(F.sum(F.when(lonely, F.col("squares"))), F.lit(0.0)).alias("_lq"))
-    mean, k = F.col("_grand") / F.col("_psus"), F.col("_k")
+    mean, k, regular = F.col("_grand") / F.col("_psus"), F.col("_k"), F.col("_regular")
     return sums.select(
-        "remove", (F.col("remove") + F.col("_lq") - 2 * mean * F.col("_ls") + k * mean * mean).alias("adjust"),
+        _with_regular(regular, F.col("remove")).alias("remove"), (F.col("remove") + F.col("_lq") - 2 * mean * F.col("_ls") + k * mean * mean).alias("adjust"),
         (F.col("remove") + F.coalesce(F.try_divide(k * F.col("remove"), F.col("_regular")), F.lit(0.0))
          ).alias("average"),
         k.alias("singleton_strata"), (F.col("_psus") - F.col("_strata")).alias("design_df"))

@@ -8,10 +8,10 @@ from surveyloom.operators import bootstrap as B
 from surveyloom.operators import causal as C
 from surveyloom.plans.cohorts import scratch
 from surveyloom.plans.registry import query
-from surveyloom.plans.tables import DESIGN, cohort, with_views
+from surveyloom.plans.tables import DESIGN, cohort, roster, with_views
 from surveyloom.sources import write_results
 
-REPS = 200
+REPS = 500
 SEED = 42
 PSI = """
     , s as (select *, mu1_hat + sector / e_hat * (outcome - mu1_hat) as psi1,
@@ -27,16 +27,16 @@ def slots_sql(source: str, prefix: str = "") -> str:
         count(*) over (partition by state, stratum) as stratum_psus from {source})"""
 
 
-def draws_sql(prefix: str = "", size: str = "stratum_psus") -> str:
+def draws_sql(prefix: str = "", size: str = "stratum_psus", seed: int = SEED) -> str:
     return f"""
-      {prefix}draws as (select state, stratum, replicate, 1 + cast(floor(('0x' || substr(sha256(concat_ws('|', '{SEED}', state,
+      {prefix}draws as (select state, stratum, replicate, 1 + cast(floor(('0x' || substr(sha256(concat_ws('|', '{seed}', state,
           stratum, slot, replicate)), 1, 8))::bigint / 4294967296e0 * stratum_psus) as bigint) as slot
         from {prefix}slots, range(1, {REPS + 1}) t(replicate) where slot <= {size})"""
 
 
-def bootstrap_sql(totals: str, values: str, prefix: str = "") -> str:
+def bootstrap_sql(totals: str, values: str, prefix: str = "", seed: int = SEED) -> str:
     sums = ", ".join(f"sum({v}) as {v}" for v in values.split())
-    return slots_sql(totals, prefix) + "," + draws_sql(prefix) + f""",
+    return slots_sql(totals, prefix) + "," + draws_sql(prefix, seed=seed) + f""",
       {prefix}reps as (select replicate, {sums} from {prefix}draws join {prefix}slots using (state, stratum, slot)
         group by replicate)"""
 
@@ -50,10 +50,10 @@ def scored(spark, sf_dir):
     return C.aipw_scores(cohort(spark, sf_dir), "outcome", "sector", "e_hat", "mu1_hat", "mu0_hat")
 
 
-def aipw_replicates(rows):
+def aipw_replicates(rows, seed=SEED):
     w = F.col("weight")
     totals = B.cluster_totals(rows, DESIGN, {"w": w, "w1": w * F.col("psi1"), "w0": w * F.col("psi0")})
-    return B.psu_bootstrap(totals, DESIGN, REPS, SEED).select(
+    return B.psu_bootstrap(totals, DESIGN, REPS, seed).select(
         "replicate", ((F.col("w1") - F.col("w0")) / F.col("w")).alias("rd"), (F.col("w1") / F.col("w0")).alias("rr"))
 
 
@@ -81,7 +81,7 @@ def i10(spark, sf_dir):
 @query("wave_change_bootstrap", with_views(PSI + AIPW_TOTALS.format(where="where wave = 5").replace("t as", "ta as")
                                            + bootstrap_sql("ta", "w w1 w0", "a_")
                                            + AIPW_TOTALS.format(where="where wave = 4").replace("t as", "tb as")
-                                           + bootstrap_sql("tb", "w w1 w0", "b_") + """
+                                           + bootstrap_sql("tb", "w w1 w0", "b_", SEED + 1) + """
     , c as (select (a.w1 - a.w0) / a.w - (b.w1 - b.w0) / b.w as rd, a.w1 / a.w0 / (b.w1 / b.w0) as rr
         from a_reps a join b_reps b using (replicate)),
       l as (select 'rd_change' as statistic, rd as v from c union all select 'rr_ratio', rr from c)
@@ -89,12 +89,12 @@ def i10(spark, sf_dir):
       quantile_cont(v, 0.975) as ci_high from l group by statistic"""))
 def i11(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    change = B.wave_change_bootstrap(aipw_replicates(rows.where("wave = 5")), aipw_replicates(rows.where("wave = 4")))
+    change = B.wave_change_bootstrap(aipw_replicates(rows.where("wave = 5")), aipw_replicates(rows.where("wave = 4"), SEED + 1))
     return B.percentile_intervals(change, {"rd_change": F.col("rd_change"), "rr_ratio": F.col("rr_ratio")})
 
 
 def factor_sql(size: str, factor: str) -> str:
-    return with_views(", t as (select distinct state, stratum, psu from cohort)," + slots_sql("t") + "," + draws_sql(size=size)
+    return with_views(", t as (select * from roster where (state, stratum) in (select (state, stratum) from cohort))," + slots_sql("t") + "," + draws_sql(size=size)
                       + f""", c as (select state, stratum, replicate, slot, count(*) as k from draws group by all),
       f as (select r.replicate, state, stratum, psu, {factor} as factor from slots
         cross join range(1, {REPS + 1}) r(replicate) left join c using (replicate, state, stratum, slot))
@@ -107,15 +107,20 @@ def factor_summary(factors):
                                                 F.count_if(F.col("factor") == 0).alias("never"))
 
 
+def active_roster(spark, sf_dir):
+    """All clusters of the strata with cohort rows: clusters without such rows are drawn too."""
+    return roster(spark, sf_dir).join(cohort(spark, sf_dir).select(*DESIGN.strata).distinct(), list(DESIGN.strata), "left_semi")
+
+
 @query("rao_wu_factors", factor_sql(
     "stratum_psus - 1", "case when stratum_psus = 1 then 1 else coalesce(k, 0) * stratum_psus / (stratum_psus - 1e0) end"))
 def i12_rescaled(spark, sf_dir):
-    return factor_summary(B.psu_factors(cohort(spark, sf_dir).select(*DESIGN.cluster).distinct(), DESIGN, REPS, SEED, True))
+    return factor_summary(B.psu_factors(active_roster(spark, sf_dir), DESIGN, REPS, SEED, True))
 
 
 @query("psu_multipliers", factor_sql("stratum_psus", "coalesce(k, 0) * 1e0"))
 def i12_plain(spark, sf_dir):
-    return factor_summary(B.psu_factors(cohort(spark, sf_dir).select(*DESIGN.cluster).distinct(), DESIGN, REPS, SEED, False))
+    return factor_summary(B.psu_factors(active_roster(spark, sf_dir), DESIGN, REPS, SEED, False))
 
 
 @query("bayesian_psu_weights", with_views("""

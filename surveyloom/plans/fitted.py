@@ -13,7 +13,7 @@ from surveyloom.operators import standardize as S
 from surveyloom.operators.causal import aipw, aipw_scores
 from surveyloom.operators.joins import broadcast_group_value
 from surveyloom.operators.ranking import holm, latest_per_key
-from surveyloom.operators.scale import cut
+from surveyloom.operators.scale import cut, exact_quantiles
 from surveyloom.operators.bootstrap import bayesian_psu_weights
 from surveyloom.functions.special import t_p_value
 from surveyloom.plans.models import NUMERIC, RIDGE, encoding_of
@@ -21,11 +21,11 @@ from surveyloom.plans.ranking import partitioned
 from surveyloom.plans.registry import query
 from surveyloom.plans.tables import CATEGORICAL, DESIGN, cohort, roster
 
-FOLDS, REPS, SEED = 3, 200, 42
+FOLDS, REPS, SEED = 5, 500, 42
 
 
-def scored(rows, model="logistic", **more):
-    return N.cross_fit(rows, NUMERIC, CATEGORICAL, "sector", "outcome", "weight", ["mother_id"], FOLDS, SEED, model, **more)
+def scored(rows, model="logistic", by=(), **more):
+    return N.cross_fit_within(rows, by, NUMERIC, CATEGORICAL, "sector", "outcome", "weight", ["mother_id"], FOLDS, SEED, model, **more)
 
 
 @query("cross_fit")
@@ -58,7 +58,8 @@ def with_risk(rows):
 
 @query("risk_stratified_aipw")
 def i19_risk(spark, sf_dir):
-    return N.fitted_aipw(with_risk(scored(cohort(spark, sf_dir))), DESIGN, "outcome", "sector", REPS, SEED, ["risk"])
+    rows = scored(with_risk(cohort(spark, sf_dir)), by=["risk"])
+    return N.fitted_aipw(rows, DESIGN, "outcome", "sector", REPS, SEED, ["risk"])
 
 
 @query("first_event_aipw")
@@ -75,7 +76,9 @@ def i19_one(spark, sf_dir):
 def split_by_context(spark, sf_dir):
     rows = cohort(spark, sf_dir)
     measure = rows.groupBy("nation").agg(F.avg("maternal_age").alias("measure"))
-    return N.context_split_aipw(broadcast_group_value(scored(rows), measure, "nation"), DESIGN, "outcome", "sector", "nation", "measure")
+    middle = exact_quantiles(measure, [], "measure", {"v": 0.5}).first()["v"]
+    rows = broadcast_group_value(rows, measure, "nation").withColumn("half", F.col("measure") >= middle)
+    return N.context_split_aipw(scored(rows, by=["half"]), DESIGN, "outcome", "sector", "nation", "measure")
 
 
 @query("context_split_aipw")

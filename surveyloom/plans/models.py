@@ -193,14 +193,14 @@ def with_periods(spark, sf_dir):
 @query("period_gaps")
 def h12(spark, sf_dir):
     rows = with_periods(spark, sf_dir)
-    return S.period_gaps(rows, encoding_of(rows), "outcome", "weight", "period", ["B", "C", "D"], "nation", 12, RIDGE)
+    return S.period_gaps(rows, encoding_of(rows), "outcome", "weight", "period", ["A", "B", "C", "D"], "nation", 12, RIDGE)
 
 
 @query("period_influence")
 def h13(spark, sf_dir):
     rows = with_periods(spark, sf_dir)
-    return S.period_influence(rows, encoding_of(rows), DESIGN, "outcome", roster(spark, sf_dir), "period", ["B", "C", "D"],
-                              [("C", "B"), ("D", "C")], RIDGE)
+    return S.period_influence(rows, encoding_of(rows), DESIGN, "outcome", roster(spark, sf_dir), "period", ["A", "B", "C", "D"],
+                              [("B", "A"), ("C", "B"), ("D", "C")], RIDGE)
 
 
 SCALES = {"share": 1.0, "level": 10.0}

@@ -20,7 +20,7 @@ def d1(spark, sf_dir):
 @query("prevalence_table", with_views("""
     select state, sector, cast(grouping(state, sector) as bigint) as grouping_id, count(*) as n,
       cast(sum(outcome) as bigint) as events, sum(weight) as weight, avg(outcome) as raw_prevalence,
-      sum(weight * outcome) / sum(weight) as weighted_prevalence from cohort group by rollup (state, sector)"""))
+      sum(weight * outcome) / sum(weight) as weighted_prevalence from cohort group by cube (state, sector)"""))
 def d2(spark, sf_dir):
     return P.prevalence_table(cohort(spark, sf_dir), "outcome", "weight", ["state", "sector"])
 

@@ -84,8 +84,11 @@ def e6(spark, sf_dir):
 @query("stratified_sample", """
     with r as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() over (partition by l_returnflag
         order by sha256(concat_ws('|', '3', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice))) as k,
-        count(*) over (partition by l_returnflag) as n, count(*) over () as t from lineitem)
-    select l_returnflag, count(*) as n from r where k <= round_even(1000e0 * n / t, 0) group by 1""")
+        count(*) over (partition by l_returnflag) as n, count(*) over () as t from lineitem),
+      c as (select distinct l_returnflag, least(1000, t) * n // t as base, least(1000, t) * n % t as rest, least(1000, t) as want from r),
+      q as (select l_returnflag, base + case when row_number() over (order by rest desc, l_returnflag)
+        <= want - sum(base) over () then 1 else 0 end as quota from c)
+    select l_returnflag, count(*) as n from r join q using (l_returnflag) where k <= quota group by 1""")
 def e7(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
                   "l_extendedprice")
@@ -95,8 +98,11 @@ def e7(spark, sf_dir):
 
 @query("stratified_sample_rows", with_views("""
     , r as (select row_id, outcome, row_number() over (partition by outcome order by sha256(concat_ws('|', '3', row_id)))
-        as k, count(*) over (partition by outcome) as n, count(*) over () as t from cohort)
-    select row_id, outcome from r where k <= round_even(1000e0 * n / t, 0)"""))
+        as k, count(*) over (partition by outcome) as n, count(*) over () as t from cohort),
+      c as (select distinct outcome, least(1000, t) * n // t as base, least(1000, t) * n % t as rest, least(1000, t) as want from r),
+      q as (select outcome, base + case when row_number() over (order by rest desc, outcome)
+        <= want - sum(base) over () then 1 else 0 end as quota from c)
+    select row_id, outcome from r join q using (outcome) where k <= quota"""))
 def e7_rows(spark, sf_dir):
     return R.stratified_sample(cohort(spark, sf_dir).select("row_id", "outcome"), "outcome", ["row_id"], 1000, 3)
 

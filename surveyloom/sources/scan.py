@@ -48,12 +48,16 @@ def bind_labels(df: DataFrame, labels: DataFrame, code: str, label: str, label_c
 def design_roster(df: DataFrame, design: SurveyDesign) -> DataFrame:
     """Distinct design keys of a complete file.
 
-    A key value that is not a non-negative integer makes the job fail when it runs.
+    A key value that is not a non-negative integer makes the job fail when it runs. Integers keep
+    every digit; a value that is only readable as a double must lie below 2**53, where doubles
+    still tell neighbouring integers apart.
     """
     checked = []
     for c in design.cluster:
-        number = F.col(c).cast("string").try_cast("double")
-        good = F.coalesce((number >= 0) & (number == F.floor(number)), F.lit(False))
-        checked.append(F.when(good, number.cast("long")).otherwise(
+        text = F.col(c).cast("string")
+        whole, number = text.try_cast("long"), text.try_cast("double")
+        exact = (number == F.floor(number)) & (F.abs(number) < 2.0**53)
+        key = F.coalesce(whole, F.when(exact, number.try_cast("long")))
+        checked.append(F.when(F.coalesce(key >= 0, F.lit(False)), key).otherwise(
             F.raise_error(F.lit(f"Invalid design identifier in {c}"))).alias(c))
     return df.select(*checked).distinct()

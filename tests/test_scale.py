@@ -35,6 +35,14 @@ def test_running_sums(values):
         assert all(row.n_before == (source < row.x).sum() for row in part.itertuples())
 
 
+@pytest.mark.parametrize("size", [1, 5, 62, 63, 200, 1023])
+def test_count_below_any_number_of_cut_points(spark, size):
+    cuts = [2.0 * i for i in range(size)]
+    df = spark.range(-1, 2 * size + 2, 7).withColumn("cuts", F.array(*[F.lit(c) for c in cuts]))
+    for row in df.select("id", S.count_below(F.col("cuts"), size, F.col("id")).alias("n")).collect():
+        assert row["n"] == sum(c < row["id"] for c in cuts)
+
+
 def test_exact_quantiles_match_numpy(values):
     frame, df = values
     probs = {"a": 0.0, "b": 0.037, "c": 0.5, "d": 0.99, "e": 1.0}

@@ -8,10 +8,11 @@ from surveyloom.operators import bootstrap as B
 from surveyloom.operators import causal as C
 from surveyloom.plans.cohorts import scratch
 from surveyloom.plans.registry import query
-from surveyloom.plans.tables import DESIGN, cohort, roster, with_views
+from surveyloom.plans.tables import DESIGN, cohort, roster, table, with_views
 from surveyloom.sources import write_results
 
 REPS = 500
+NEEDED = 475
 SEED = 42
 PSI = """
     , s as (select *, mu1_hat + sector / e_hat * (outcome - mu1_hat) as psi1,
@@ -132,12 +133,38 @@ def i13(spark, sf_dir):
 
 
 @query("bootstrap_status", with_views(PSI + AIPW_TOTALS.format(where="") + bootstrap_sql("t", "w w1 w0") + f"""
-    select count(*) as successful, {REPS} as attempted, 200 as needed, 'interval' as status,
+    select count(*) as successful, {REPS} as attempted, {NEEDED} as needed, 'interval' as status,
       quantile_cont((w1 - w0) / w, 0.025) as ci_low, quantile_cont((w1 - w0) / w, 0.975) as ci_high from reps"""))
 def i14(spark, sf_dir):
     return B.bootstrap_status(aipw_replicates(scored(spark, sf_dir)), "rd", REPS)
 
 
+@query("bootstrap_status_few", f"""
+    select count(*) filter (o_orderkey % 3 > 0) as successful, {REPS} as attempted, {NEEDED} as needed,
+      case when count(*) filter (o_orderkey % 3 > 0) >= {NEEDED} then 'interval' else 'point_only_too_few_replicates' end as status,
+      cast(null as double) as ci_low, cast(null as double) as ci_high from orders where o_orderkey <= {REPS}""")
+def i14_few(spark, sf_dir):
+    """A third of the replicates failed: no interval."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").where(F.col("o_orderkey") <= REPS)
+    values = rows.select(F.col("o_orderkey").alias("replicate"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("rd"))
+    return B.bootstrap_status(values, "rd", REPS)
+
+
+@query("replicates_torn", f"""
+    with r as (select o_orderkey - (o_orderkey % 7 = 0)::int as replicate, case when o_orderkey % 5 > 0 then o_totalprice end as rd
+        from orders where o_orderkey <= {REPS}),
+      l as (select quantile_cont(rd, 0.025) as lo, quantile_cont(rd, 0.975) as hi from r)
+    select count(*) as n, count(distinct replicate) = count(*) and min(replicate) = 1 and max(replicate) = count(*) as consecutive,
+      count(rd) = count(*) as all_finite, max(abs(lo - 1000)) <= 1e-9 and max(abs(hi - 1000)) <= 1e-9 as limits_match from r, l""")
+def i15_torn(spark, sf_dir):
+    """Repeated ids, missing values and another interval: every check fails."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").where(F.col("o_orderkey") <= REPS)
+    values = rows.select((F.col("o_orderkey") - (F.col("o_orderkey") % 7 == 0).cast("int")).alias("replicate"),
+                         F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).alias("rd"))
+    stored = spark.range(1).select(F.lit(1000.0).alias("ci_low"), F.lit(1000.0).alias("ci_high"))
+    return B.replicates_reproduce(values, "rd", stored, 1e-9)
+
+
 @query("replicates_reproduce", with_views(PSI + AIPW_TOTALS.format(where="") + bootstrap_sql("t", "w w1 w0") + """
     select count(*) as n, count(distinct replicate) = count(*) as consecutive,
       count(*) = count((w1 - w0) / w) as all_finite, true as limits_match from reps"""))

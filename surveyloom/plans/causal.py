@@ -129,13 +129,25 @@ def i16(spark, sf_dir):
     return C.aipw_influence_ci(scored(spark, sf_dir), DESIGN, roster(spark, sf_dir), 1.96)
 
 
+@query("row_folds_leak", with_views("""
+    , f as (select *, row_id % 5 as fold from cohort),
+      k as (select count(*) as leaking from (select state, stratum, psu from f group by all having count(distinct fold) > 1))
+    select fold, count(distinct (state, stratum, psu)) as psus, count(*) as n, max(leaking) as leaking_psus from f, k group by fold"""))
+def i21_leak(spark, sf_dir):
+    """Folds drawn by row tear clusters apart."""
+    return fold_leaks(cohort(spark, sf_dir).withColumn("fold", F.col("row_id") % 5))
+
+
 @query("psu_grouped_folds", with_views("""
     , g as (select state, stratum, psu, cast(floor(avg(sector) * 4) as int) as c from cohort group by all),
       r as (select *, row_number() over (partition by c order by sha256(concat_ws('|', '11', state, stratum, psu))) as k from g)
     select cast((k - 1 + c) % 5 as int) as fold, count(distinct (state, stratum, psu)) as psus, count(*) as n,
       0 as leaking_psus from cohort join r using (state, stratum, psu) group by fold"""))
 def i21(spark, sf_dir):
-    folded = stratified_group_folds(cohort(spark, sf_dir), DESIGN.cluster, "sector", 5, 11)
+    return fold_leaks(stratified_group_folds(cohort(spark, sf_dir), DESIGN.cluster, "sector", 5, 11))
+
+
+def fold_leaks(folded):
     leaks = folded.groupBy(*DESIGN.cluster).agg((F.min("fold") != F.max("fold")).alias("_leak")).agg(
         F.count_if("_leak").alias("v")).scalar()
     return folded.groupBy("fold").agg(F.count_distinct(*DESIGN.cluster).alias("psus"), F.count("*").alias("n")).withColumn(

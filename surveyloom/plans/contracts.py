@@ -46,6 +46,42 @@ def l2(spark, sf_dir):
     return K.audit_partition(partitioned(spark, sf_dir), "mother_id", "partition", "outcome", ["train", "validation", "test"])
 
 
+@query("audit_partition_torn", with_views("""
+    , d as (select *, case row_id % 3 when 0 then 'train' when 1 then 'test' else 'spare' end as partition from cohort where row_id % 3 < 2 or outcome = 1),
+      x as (select count(*) as torn from (select mother_id from d group by mother_id having count(distinct partition) > 1))
+    select partition, count(*) as rows, count(distinct mother_id) as groups, count(*) filter (outcome = 1) as positives,
+      count(*) filter (outcome = 0) as negatives, partition in ('train', 'validation', 'test') as known_label,
+      count(*) filter (outcome = 1) > 0 and count(*) filter (outcome = 0) > 0 as both_classes, max(torn) as groups_in_several_parts
+    from d, x group by partition"""))
+def l2_torn(spark, sf_dir):
+    """Parts drawn by row, one of them unknown and of one class only."""
+    part = F.when(F.col("row_id") % 3 == 0, "train").when(F.col("row_id") % 3 == 1, "test").otherwise("spare")
+    rows = cohort(spark, sf_dir).where((F.col("row_id") % 3 < 2) | (F.col("outcome") == 1)).withColumn("partition", part)
+    return K.audit_partition(rows, "mother_id", "partition", "outcome", ["train", "validation", "test"])
+
+
+@query("guard_wave_transfer_off", with_views("""
+    , a as (select * from cohort where event_cmc < 1190), b as (select * from cohort where event_cmc >= 1180)
+    select *, train_rows_off_wave = 0 and evaluation_rows_off_wave = 0 and shared_units = 0 as valid from (select
+      (select count(*) from a) as train_rows, (select count(*) from a where wave <> 4) as train_rows_off_wave,
+      (select count(*) from b) as evaluation_rows, (select count(*) from b where wave <> 5) as evaluation_rows_off_wave,
+      (select count(*) from (select distinct mother_id from a intersect select distinct mother_id from b)) as shared_units)"""))
+def l3_off(spark, sf_dir):
+    rows = cohort(spark, sf_dir)
+    return K.guard_wave_transfer(rows.where("event_cmc < 1190"), rows.where("event_cmc >= 1180"), "wave", 4, 5, "mother_id")
+
+
+@query("guard_wave_transfer_clean", with_views("""
+    , a as (select * from cohort where wave = 4 and psu % 2 = 0), b as (select * from cohort where wave = 5 and psu % 2 = 1)
+    select *, train_rows_off_wave = 0 and evaluation_rows_off_wave = 0 and shared_units = 0 as valid from (select
+      (select count(*) from a) as train_rows, (select count(*) from a where wave <> 4) as train_rows_off_wave,
+      (select count(*) from b) as evaluation_rows, (select count(*) from b where wave <> 5) as evaluation_rows_off_wave,
+      (select count(*) from (select distinct mother_id from a intersect select distinct mother_id from b)) as shared_units)"""))
+def l3_clean(spark, sf_dir):
+    rows = cohort(spark, sf_dir)
+    return K.guard_wave_transfer(rows.where("wave = 4 and psu % 2 = 0"), rows.where("wave = 5 and psu % 2 = 1"), "wave", 4, 5, "mother_id")
+
+
 @query("guard_wave_transfer", with_views("""
     select (select count(*) from cohort where wave = 4) as train_rows, 0 as train_rows_off_wave,
       (select count(*) from cohort where wave = 5) as evaluation_rows, 0 as evaluation_rows_off_wave,
@@ -122,6 +158,23 @@ def l7(spark, sf_dir):
     return K.result_consistency(direct, design, ["level"], {"estimate": 1e-6, "n": 0.0})
 
 
+@query("result_consistency_off", with_views("""
+    , a as (select cast(state as varchar) as level, sum(weight * outcome) / sum(weight) + case when state = 3 then 0.5 else 0 end as estimate,
+        count(*) * 1e0 as n from cohort where state <> 0 group by state),
+      b as (select cast(state as varchar) as level, sum(weight * outcome) / sum(weight) as estimate, count(*) * 1e0 as n from cohort where state <> 1 group by state),
+      j as (select a.level as x, b.level as y, abs(a.estimate - b.estimate) as estimate, abs(a.n - b.n) as n from a full join b using (level))
+    select v.value, (select count(*) from j where x is not null and y is not null) as matched, (select count(*) from j where y is null) as only_new,
+      (select count(*) from j where x is null) as only_old, false as consistent from (select unnest(['estimate', 'n']) as value) v"""))
+def l7_off(spark, sf_dir):
+    """One side lacks a state each, and one estimate is off."""
+    rows = cohort(spark, sf_dir)
+    rates = lambda df: df.groupBy("state").agg((F.sum(F.col("weight") * F.col("outcome")) / F.sum("weight")).alias("estimate"),
+                                               F.count("*").cast("double").alias("n"))
+    named = lambda df: df.select(F.col("state").cast("string").alias("level"), "estimate", "n")
+    first = rates(rows.where("state <> 0")).withColumn("estimate", F.col("estimate") + F.when(F.col("state") == 3, 0.5).otherwise(0.0))
+    return K.result_consistency(named(first), named(rates(rows.where("state <> 1"))), ["level"], {"estimate": 1e-6, "n": 0.0})
+
+
 @query("master_results", with_views("""
     , a as (select sum(weight) filter (sector = 0) as w0, sum(weight) filter (sector = 1) as w1,
         sum(weight * outcome) filter (sector = 0) / sum(weight) filter (sector = 0) as p0,

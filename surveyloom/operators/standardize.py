@@ -25,9 +25,9 @@ from surveyloom.operators.evaluate import evaluation_sums
 from surveyloom.operators.joins import apply_contrasts, contrast_covariance
 from surveyloom.operators.profile import grouped_levels, weighted_quantile
 from surveyloom.operators.ranking import hash_split
+from surveyloom.operators.scale import broadcast_if_small, cut
 from surveyloom.operators.variance import intervals, roster_covariance, roster_variances
 
-MAX_UNITS = 2000
 METRICS = ("observed_control", "observed_treated", "observed_gap",
            "adjusted_control", "adjusted_treated", "adjusted_gap")
 
@@ -524,29 +524,30 @@ def heterogeneity_change(theta: DataFrame, cov: DataFrame, contrasts: DataFrame,
 def residualize_context(df: DataFrame, columns: Mapping[str, float], unit: str, year: str, month: str) -> tuple[DataFrame, DataFrame]:
     """Residuals of context columns on unit, calendar-year and annual sine/cosine terms (unweighted).
 
-    The projection is solved on summed normal equations. A term that the nuisance
+    The projection is solved on summed normal equations; unit effects are removed by unit means, so the
+    number of units is not limited and only year and season terms are dense. A term that the nuisance
     terms or earlier context terms explain is dropped. Returns (rows with
     ``<column>_residual``, table of terms).
     """
-    units = [r[0] for r in df.select(F.col(unit).cast("string")).distinct().limit(MAX_UNITS + 1).collect()]
-    years = [r[0] for r in df.select(year).distinct().limit(MAX_UNITS + 1).collect()]
-    if len(units) > MAX_UNITS or len(years) > MAX_UNITS:
-        raise ValueError("Too many units or years for a dense projection")
-    units, years = sorted(units), sorted(years)
+    years = sorted(r[0] for r in df.select(year).where(F.col(year).isNotNull()).distinct().collect())
     angle = 2 * np.pi * F.col(month) / 12
-    nuisance = ([F.lit(1.0)] + [(F.col(unit).cast("string") == u).cast("double") for u in units[1:]]
-                + [(F.col(year) == v).cast("double") for v in years[1:]] + [F.sin(angle), F.cos(angle)])
+    nuisance = [(F.col(year) == v).cast("double") for v in years[1:]] + [F.sin(angle), F.cos(angle)]
     values = [F.col(c).cast("double") / float(d) for c, d in columns.items()]
     k, m = len(nuisance), len(values)
+    terms = [*nuisance, *values]
     cells = df.groupBy(unit, year, month, *columns).agg(F.count("*").cast("double").alias("_n"))
+    units = cut(cells.groupBy(unit).agg(F.sum("_n").alias("_n"), *[F.sum(F.col("_n") * t).alias(f"_s{i}") for i, t in enumerate(terms)]))
 
     def block(batch: pd.DataFrame) -> np.ndarray:
         z = np.stack(batch["_z"])
         return (z.T @ (batch["_n"].to_numpy()[:, None] * z)).ravel()
 
-    cross = _summed(cells.select(F.array(*nuisance, *values).alias("_z"), "_n"), block).reshape(k + m, k + m)
-    beta = np.linalg.lstsq(cross[:k, :k], cross[:k, k:], rcond=1e-12)[0]
-    left = cross[k:, k:] - cross[k:, :k] @ beta
+    # unit effects are absorbed: squares about unit means are all squares less those of the means
+    cross = _summed(cells.select(F.array(*terms).alias("_z"), "_n"), block).reshape(k + m, k + m)
+    means = units.select(F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(k + m)]).alias("_z"), "_n")
+    within = cross - _summed(means, block).reshape(k + m, k + m)
+    beta = np.linalg.lstsq(within[:k, :k], within[:k, k:], rcond=1e-12)[0]
+    left = within[k:, k:] - within[k:, :k] @ beta
     kept, table = [], []
     for j, name in enumerate(columns):
         raw = max(left[j, j], 0.0)
@@ -557,15 +558,13 @@ def residualize_context(df: DataFrame, columns: Mapping[str, float], unit: str,
         keep = bool(np.sqrt(independent) > 1e-6 * max(1.0, np.sqrt(cross[k + j, k + j])))
         kept += [j] if keep else []
         table.append((name, float(columns[name]), float(np.sqrt(raw)), float(np.sqrt(independent)), keep))
-    out = {}
-    for j, name in enumerate(columns):
-        fitted = F.lit(0.0)
-        for term, b in zip(nuisance, beta[:, j]):
-            fitted = fitted + term * float(b)
-        out[f"{name}_residual"] = values[j] - fitted
-    terms = df.sparkSession.createDataFrame(table, "term string, divisor double, residual_norm double, "
+    centred = [t - F.col(f"_s{i}") / F.col("_units_n") for i, t in enumerate(terms)]
+    out = {f"{name}_residual": centred[k + j] - sum((z * float(b) for z, b in zip(centred[:k], beta[:, j])), F.lit(0.0))
+           for j, name in enumerate(columns)}
+    terms_table = df.sparkSession.createDataFrame(table, "term string, divisor double, residual_norm double, "
                                                    "independent_norm double, included boolean")
-    return df.withColumns(out), terms
+    joined = df.join(broadcast_if_small(units.withColumnRenamed("_n", "_units_n")), unit, "left")
+    return joined.withColumns(out).drop("_units_n", *[f"_s{i}" for i in range(k + m)]), terms_table
 
 
 

@@ -1,6 +1,6 @@
 """Exact Jaccard join of word-shingle sets with token-combination prefixes, and its components.
 
-Order the tokens of every set by the corpus frequency class, rare ones first. With
+Order the tokens of every set by how often the corpus has them, rare ones first. With
 ``need = ceil(t * size)`` shared tokens required, two similar sets share a token in their first
 ``size - need + 1`` tokens, and at least k tokens in their first ``size - need + k``. Therefore
 
@@ -31,8 +31,8 @@ from surveyloom.llm.common import cut, with_row_key
 from surveyloom.llm.textarrays import _BASE, chunks, mix, shingle_sets, split_words
 
 FLUSH_TOKENS = 4_000_000
-#: Bounds of what is broadcast: frequent tokens by rank (12 bytes each), nodes of a join filter.
-MAX_FREQUENT, MAX_BROADCAST_NODES = 1 << 18, 1_000_000
+#: Bounds of what is broadcast: repeated tokens with their rank (12 bytes each), nodes of a join filter.
+MAX_RANKED, MAX_BROADCAST_NODES = 1 << 20, 1_000_000
 LEADER_ROUNDS = 4
 
 
@@ -90,19 +90,27 @@ def groups_of(size: int) -> int:
     return 1 << max(0, (size // 16).bit_length() - 1)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set: single rare prefix tokens and pairs of frequent tokens of extended prefixes."""
+def signatures(tokens: np.ndarray, ranked: np.ndarray, rank: np.ndarray, first_frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set: single rare prefix tokens and pairs of frequent tokens of extended prefixes.
+
+    ``ranked`` holds the repeated tokens (ascending) and ``rank`` their place by frequency; other
+    tokens come before them, by value. Tokens of rank ``first_frequent`` and up are the frequent class.
+    """
     size = len(tokens)
     need = -(-size * percent // 100)
     if size < 2:
-        return np.zeros(0, np.uint64)
-    at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
-    often = frequent[at] == tokens if len(frequent) else np.zeros(size, bool)
-    rare = tokens[~often]
-    out = [rare[:size - need + 1]]
-    usual = tokens[often][np.argsort(rank[at[often]], kind="stable")] if often.any() else tokens[:0]
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    place = np.full(size, -1, np.int64)
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, tokens), len(ranked) - 1)
+        known = ranked[at] == tokens
+        place[known] = rank[at[known]]
+    ordered = np.argsort(place, kind="stable")
+    rare = int((place < first_frequent).sum())
+    single, out = tokens[ordered[:min(rare, size - need + 1)]], [tokens[:0]]
+    usual = tokens[ordered[rare:]]
     for groups in sorted({groups_of(need), groups_of(size)}):
-        some = usual[:max(0, size - need + groups + 1 - len(rare))]
+        some = usual[:max(0, size - need + groups + 1 - rare)]
         if len(some) < 2:
             continue
         group = mix(some ^ np.uint64(_BASE)) % np.uint64(groups)
@@ -111,26 +119,28 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, perce
             a, b = np.triu_indices(len(own), 1)
             low, high = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
             out.append(mix(mix(low + np.uint64(groups)) + high))
-    return np.unique(np.concatenate(out))
+    return single, np.unique(np.concatenate(out))
 
 
-def _signatures(words: int, percent: int, frequent, rank):
+def _signatures(words: int, percent: int, ranked, rank, first_frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        tokens_of, ranks = frequent.value, rank.value
+        repeated, ranks = ranked.value, rank.value
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, alone = [], [], [], []
             for tokens in _sets(batch.column(0), words):
                 node = node_of(tokens)
                 if len(tokens) and node not in known:
                     known.add(node)
-                    found = signatures(tokens, tokens_of, ranks, percent)
+                    single, pairs = signatures(tokens, repeated, ranks, first_frequent, percent)
+                    found = np.concatenate([single, pairs])
                     keys.append(found.view(np.int64))
                     nodes.append(np.full(len(found), node))
                     sizes.append(np.full(len(found), len(tokens)))
+                    alone.append(np.where(np.arange(len(found)) < len(single), len(single), 0))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, sizes)],
-                                                 ["sig", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, sizes, alone)],
+                                                 ["sig", "node", "size", "singles"])
     return run
 
 
@@ -198,9 +208,22 @@ def components(links: DataFrame) -> DataFrame:
         state = found
 
 
+def reachable(buckets: DataFrame, percent: int) -> DataFrame:
+    """Adds ``reach``, the most tokens a set can share with any other one, and drops sets that reach nobody.
+
+    A rare prefix token whose bucket has no second member is in no other set, so sharing is
+    bounded by the size less the number of such tokens.
+    """
+    live = buckets.groupBy("node").agg(F.first("size").alias("_size"), F.max("singles").alias("_singles"), F.count_if(F.col("singles") > 0).alias("_live"))
+    reach = live.select("node", (F.col("_size") - F.col("_singles") + F.col("_live")).alias("reach")).where(
+        100 * F.col("reach") >= percent * F.col("_size"))
+    return cut(buckets.join(reach, "node").drop("singles"))
+
+
 def _alike(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that a pair of the asked similarity can have."""
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+    """Whether two sets, as structs of ``size`` and ``reach``, can have the asked similarity."""
+    shared = F.least(a["size"], b["size"], a["reach"], b["reach"])
+    return (100 + percent) * shared >= percent * (a["size"] + b["size"])
 
 
 def _only(stored: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -219,34 +242,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 def linked_components(buckets: DataFrame, texts: DataFrame, percent: int, words: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """``(node, root)`` of the components that links between members of a bucket make.
 
-    ``buckets`` holds ``(sig, node, size)`` with two or more members each.
+    ``buckets`` holds ``(sig, node, size, reach)`` with two or more members each.
     """
-    tried = roots = None
-    rows = buckets
+    tried, roots, rows, here = None, None, buckets, F.struct("size", "reach")
     for turn in range(rounds + 1):
         own = (rows.withColumn("root", F.col("node")) if roots is None else
                rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         facts = own.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                       F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+                                       # the set that can share most is the likeliest centre of a group
+                                       F.max_by(F.struct("node", "size", "reach", "root"), F.struct(F.col("reach") / F.col("size"), F.xxhash64("node"))).alias("lead"))
         open_rows = own.join(facts.where("low != high").drop("low", "high"), "sig")
         if turn < rounds:
             rows = cut(open_rows.where("node != lead.node"))
-            pairs = rows.where((F.col("root") != F.col("lead.root")) & _alike(F.col("size"), F.col("lead.size"), percent)).select(
+            if turn and rows.isEmpty():
+                break
+            pairs = rows.where((F.col("root") != F.col("lead.root")) & _alike(here, F.col("lead"), percent)).select(
                 F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
             rows = rows.drop("lead")
         else:
-            other = open_rows.select("sig", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+            other = open_rows.select("sig", F.col("node").alias("b"), F.struct("size", "reach").alias("other"), F.col("root").alias("b_root"))
             pairs = (open_rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))
-                                                        & _alike(F.col("size"), F.col("b_size"), percent))
+                                                        & _alike(here, F.col("other"), percent))
                      .select(F.col("node").alias("a"), "b"))
         pairs = pairs.distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionAll(pairs)
+        if turn and pairs.isEmpty():
+            continue
         found = _verified(pairs, texts, percent, words)
         # the stars of earlier rounds stand for their links
         roots = components(found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if turn < rounds and rows.isEmpty():
-            break
     return roots
 
 
@@ -256,16 +281,18 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
     texts = with_row_key(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "row").select("row", "doc_id", "text")
     first = cut(texts.mapInArrow(_first_pass(words), "row long, doc_id long, size long, node long, token long, seen long"))
     docs = first.where("row is not null").select("row", "doc_id", "size", "node")
-    often = (first.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least_frequent)
-             .orderBy(F.desc("seen"), "token").limit(MAX_FREQUENT).toPandas())
-    tokens = often["token"].to_numpy(np.int64).view(np.uint64)
+    often = (first.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
+             .orderBy(F.desc("seen"), "token").limit(MAX_RANKED).toPandas())
+    # the first of the list is the most frequent one and gets the last rank
+    tokens, places = often["token"].to_numpy(np.int64).view(np.uint64), np.arange(len(often))[::-1].astype(np.int32)
     order = np.argsort(tokens)
-    frequent, rank = spark.sparkContext.broadcast(tokens[order]), spark.sparkContext.broadcast((-order).astype(np.int32))
-    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, frequent, rank), "sig long, node long, size long")
+    ranked, rank = spark.sparkContext.broadcast(tokens[order]), spark.sparkContext.broadcast(places[order])
+    first_frequent = int((often["seen"] < least_frequent).sum())
+    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, ranked, rank, first_frequent), "sig long, node long, size long, singles long")
              .repartition("sig"))
-    several = keyed.groupBy("sig").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).where(
+    several = keyed.groupBy("sig").agg(F.min(F.struct("node", "size", "singles")).alias("low"), F.max(F.struct("node", "size", "singles")).alias("high")).where(
         "low.node != high.node").select("sig")
-    buckets = cut(keyed.join(several, "sig").distinct())
+    buckets = reachable(cut(keyed.join(several, "sig").distinct()), percent)
     nodes = cut(buckets.select("node").distinct())
     stored = cut(_only(texts.select("text").mapInArrow(_stored_texts(words), "node long, body binary"), nodes).dropDuplicates(["node"]))
     roots = linked_components(buckets, stored, percent, words)

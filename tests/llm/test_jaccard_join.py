@@ -71,10 +71,11 @@ def test_signatures_of_similar_sets_meet():
         shared = len(np.intersect1d(base, other))
         if 100 * shared < 80 * (len(base) + len(other) - shared):
             continue
-        frequent = np.sort(rng.choice(base, int(len(base) * rng.random()), replace=False))
-        rank = rng.permutation(len(frequent)).astype(np.int32)
-        a, b = (jaccard_join.signatures(s, frequent, rank, 80) for s in (base, other))
-        assert len(base) == len(other) == shared or len(np.intersect1d(a, b)), (len(base), len(other), shared, len(frequent))
+        ranked = np.sort(rng.choice(base, int(len(base) * rng.random()), replace=False))
+        rank = rng.permutation(len(ranked)).astype(np.int32)
+        first = int(rng.integers(0, len(ranked) + 1))
+        a, b = (np.concatenate(jaccard_join.signatures(s, ranked, rank, first, 80)) for s in (base, other))
+        assert len(base) == len(other) == shared or len(np.intersect1d(a, b)), (len(base), len(other), shared, len(ranked), first)
 
 
 def test_shingles_are_counted_as_words_are():

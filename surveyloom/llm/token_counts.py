@@ -24,8 +24,9 @@ from surveyloom.llm.common import with_row_key
 FLUSH = 400_000
 HOT_POSTINGS, SALTS = 2_000, 64
 _ORDINAL = (1 << 33) - 1
-_POSTINGS = pa.schema([("pretoken", pa.string()), ("salt", pa.int32()), ("part", pa.int64()),
-                       ("rows", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+#: A posting: place of the document in its partition, and how often it has the pre-token.
+_POSTING = np.dtype([("row", "<u4"), ("count", "<u4")])
+_SCHEMA = "pretoken string, salt int, part int, postings binary"
 
 
 def _postings(json_file: str):
@@ -43,11 +44,13 @@ def _postings(json_file: str):
             order = np.argsort(codes, kind="stable")
             run_salt = (part * 31 + made) % SALTS + 1
             salts = np.r_[np.where(sizes >= HOT_POSTINGS, run_salt, 0), -run_salt]
-            offsets = pa.array(np.r_[0, np.cumsum(np.r_[sizes, len(sums)])], pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.r_[np.array(x, np.int32)[order], np.array(y, np.int32)], pa.int32()))
-                     for x, y in ((at, sums_at), (counts, sums))]
+            packed = np.zeros(len(at) + len(sums), _POSTING)
+            packed["row"] = np.r_[np.array(at, np.uint32)[order], np.array(sums_at, np.uint32)]
+            packed["count"] = np.r_[np.array(counts, np.uint32)[order], np.array(sums, np.uint32)]
+            ends = np.r_[0, np.cumsum(np.r_[sizes, len(sums)])].astype(np.int32) * _POSTING.itemsize
+            bodies = pa.Array.from_buffers(pa.binary(), len(salts), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
             out = pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([""])]), pa.array(salts, pa.int32()),
-                                              pa.array(np.full(len(salts), part)), *lists], schema=_POSTINGS)
+                                              pa.array(np.full(len(salts), part), pa.int32()), bodies], ["pretoken", "salt", "part", "postings"])
             for x in (tokens, at, counts, sums_at, sums):
                 x.clear()
             return out
@@ -83,12 +86,24 @@ def _pieces(json_file: str):
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function over ``(part, pieces, postings)``: pieces per document, added up within a batch."""
+    for batch in batches:
+        bodies = batch.column(2)
+        ends = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1, bodies.offset * 4)
+        found = np.frombuffer(bodies.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(_POSTING) if len(bodies) else np.zeros(0, _POSTING)
+        sizes = np.diff(ends) // _POSTING.itemsize
+        keys = (np.repeat(batch.column(0).to_numpy().astype(np.int64), sizes) << 33) + found["row"]
+        rows, at = np.unique(keys, return_inverse=True)
+        tokens = np.bincount(at, np.repeat(batch.column(1).to_numpy(), sizes) * found["count"].astype(np.int64), len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(tokens.astype(np.int64))], ["_row", "tokens"])
+
+
 def pretoken_table(postings: DataFrame, json_file: str) -> DataFrame:
-    """Pieces of every distinct pre-token, with the documents and occurrences it has outside the vocabulary table."""
+    """Pieces of every distinct pre-token, with the runs and documents it has outside the vocabulary table."""
     return (postings.groupBy("pretoken", "salt")
-            .agg(F.count("part").alias("runs"), F.sum(F.size("rows")).alias("documents"),
-                 F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("occurrences"))
-            .mapInArrow(_pieces(json_file), "pretoken string, salt int, runs long, documents long, occurrences long, pieces long"))
+            .agg(F.count("part").alias("runs"), F.sum(F.octet_length("postings") / _POSTING.itemsize).cast("long").alias("documents"))
+            .mapInArrow(_pieces(json_file), "pretoken string, salt int, runs long, documents long, pieces long"))
 
 
 def token_counts(documents: DataFrame, json_file: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,14 +114,12 @@ def token_counts(documents: DataFrame, json_file: str, limit: int = 512, doc_id:
     of any length are read whole.
     """
     texts = with_row_key(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    postings = (texts.select("_row", "text").mapInArrow(_postings(json_file), "pretoken string, salt int, part long, rows array<int>, counts array<int>")
+    postings = (texts.select("_row", "text").mapInArrow(_postings(json_file), _SCHEMA)
                 .where("pretoken is not null and salt is not null")  # said once here, else the join says it on one of its sides only
                 .repartition("pretoken", "salt"))
     pieces = pretoken_table(postings, json_file).select("pretoken", "salt", "pieces")
-    counted = (postings.join(pieces, ["pretoken", "salt"])
-               .select("part", "pieces", F.explode(F.arrays_zip("rows", "counts")).alias("p"))
-               .select((F.shiftleft(F.col("part"), 33) + F.col("p.rows")).alias("_row"), (F.col("p.counts") * F.col("pieces")).alias("tokens"),
-                       F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes")))
+    counted = (postings.join(pieces, ["pretoken", "salt"]).select("part", "pieces", "postings").mapInArrow(_sums, "_row long, tokens long")
+               .select("_row", "tokens", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes")))
     rows = texts.select("_row", F.lit(0).cast("long").alias("tokens"), "doc_id",
                         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return (counted.unionAll(rows).groupBy("_row")

@@ -40,7 +40,7 @@ def _make_tiles(scale: float, rows: int):
         def emit(dim: int) -> pa.RecordBatch:
             nonlocal made
             ids, keys, cells = zip(*held.pop(dim))
-            cells = np.concatenate([c.reshape(-1, dim) for c in cells])
+            cells = np.concatenate(cells)
             made += 1
             # floats beyond 2**53 are whole numbers that fit no long in general: kept as doubles
             wide = bool(cells.size and np.abs(cells).max() >= 2**31)
@@ -159,7 +159,7 @@ def _match(k: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(q_keys[n]), pa.array(q_ids[n]), pa.array(ids[picks[real]]),
                     pa.array([max(-_LONG - 1, min(_LONG, v)) for v in exact], pa.int64()),
-                    pa.array([float(v) if abs(v) < 1e308 else np.copysign(np.inf, v) for v in exact], pa.float64())], names)
+                    pa.array([float(v) if abs(v) < 1e308 else (np.inf if v > 0 else -np.inf) for v in exact], pa.float64())], names)
     return run
 
 

@@ -9,7 +9,7 @@ from surveyloom.llm.queries import op3_sentencepiece, op4_toxicity, op8_quality_
 from tests.compare import connect, differences
 from tests.llm.brute import held_out
 
-BIG = "/root/testdata/sf0.01"
+BIG = "/root/testdata/sf0.1"
 PIECES = vocabulary("piece_bpe_32k.model")
 
 
@@ -52,7 +52,7 @@ def test_license_scan_equals_sql(spark, sf_dir):
 
 def test_license_scan_of_odd_texts(spark):
     mit = licenses.TEMPLATES["mit/text"]
-    rows = [(1, None), (2, ""), (3, "x\n\nRELEASED under the mit license!\n" + mit), (3, mit.replace("copy", "COPY") + " extra words"), (None, "Licensed under CC BY-NC 4.0"), (5, "a b " * 100_000)]
+    rows = [(1, None), (2, ""), (3, "x\n\nRELEASED under the mit license!\n" + mit), (4, mit.replace("copy", "COPY") + " extra words"), (None, "Licensed under CC BY-NC 4.0"), (5, "a b " * 100_000)]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, shared string")
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")

@@ -114,16 +114,20 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole[0] @ whole[1].T if size else np.zeros((len(a), len(b)))
 
 
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k highest scores of each row, ties to the earlier column: k passes of argmax."""
+def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the k highest scores of each row, ties to the earlier column: k passes of argmax.
+
+    A row with fewer candidates gets minus infinity for what it lacks.
+    """
     low = -np.inf
     left = scores.astype(object).copy() if scores.dtype == object else scores.copy()
     out = np.zeros((len(left), min(k, left.shape[1])), np.int64)
-    rows = np.arange(len(left))
+    values, rows = np.empty(out.shape, left.dtype), np.arange(len(left))
     for i in range(out.shape[1]):
         out[:, i] = left.argmax(axis=1)
+        values[:, i] = left[rows, out[:, i]]
         left[rows, out[:, i]] = low
-    return out
+    return out, values
 
 
 def _match(k: int):
@@ -151,9 +155,8 @@ def _match(k: int):
                     else:
                         for i, s in own:
                             scores[i, s] = -np.inf
-                picks = best(scores, k)
-                found = np.take_along_axis(scores, picks, axis=1)
-                real = found > -np.inf
+                picks, found = best(scores, k)
+                real = (found > -np.inf).astype(bool)
                 n = np.repeat(np.arange(len(q_ids)), picks.shape[1]).reshape(picks.shape)[real]
                 exact = [int(v) for v in found[real]]
                 yield pa.RecordBatch.from_arrays([

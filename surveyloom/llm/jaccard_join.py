@@ -108,6 +108,8 @@ def signatures(tokens: np.ndarray, ranked: np.ndarray, rank: np.ndarray, first_f
     ordered = np.argsort(place, kind="stable")
     rare = int((place < first_frequent).sum())
     single, out = tokens[ordered[:min(rare, size - need + 1)]], [tokens[:0]]
+    if rare > size - need:
+        return single, tokens[:0]  # too few frequent tokens to be all that a partner shares
     usual = tokens[ordered[rare:]]
     for groups in sorted({groups_of(need), groups_of(size)}):
         some = usual[:max(0, size - need + groups + 1 - rare)]
@@ -127,7 +129,7 @@ def _signatures(words: int, percent: int, ranked, rank, first_frequent: int):
         known: set[int] = set()
         repeated, ranks = ranked.value, rank.value
         for batch in batches:
-            keys, nodes, sizes, alone = [], [], [], []
+            keys, nodes, sizes, reach = [], [], [], []
             for tokens in _sets(batch.column(0), words):
                 node = node_of(tokens)
                 if len(tokens) and node not in known:
@@ -137,10 +139,11 @@ def _signatures(words: int, percent: int, ranked, rank, first_frequent: int):
                     keys.append(found.view(np.int64))
                     nodes.append(np.full(len(found), node))
                     sizes.append(np.full(len(found), len(tokens)))
-                    alone.append(np.where(np.arange(len(found)) < len(single), len(single), 0))
+                    # pairs come only with all rare tokens as singles, which they leave unshared
+                    reach.append(len(tokens) - np.minimum(np.arange(len(found)), len(single)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, sizes, alone)],
-                                                 ["sig", "node", "size", "singles"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, sizes, reach)],
+                                                 ["sig", "node", "size", "reach"])
     return run
 
 
@@ -208,20 +211,13 @@ def components(links: DataFrame) -> DataFrame:
         state = found
 
 
-def reachable(buckets: DataFrame, percent: int) -> DataFrame:
-    """Adds ``reach``, the most tokens a set can share with any other one, and drops sets that reach nobody.
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether two rows of a bucket, as structs of ``size`` and ``reach``, can be a pair to find in this bucket.
 
-    A rare prefix token whose bucket has no second member is in no other set, so sharing is
-    bounded by the size less the number of such tokens.
+    ``reach`` is what a set can share if the first token it shares is that of the bucket or, in the bucket of
+    a pair, a frequent one: the tokens from there on. The first shared token of a link is the same on
+    both sides, so every link is admitted by some bucket, wherever else its tokens lie in the two orders.
     """
-    live = buckets.groupBy("node").agg(F.first("size").alias("_size"), F.max("singles").alias("_singles"), F.count_if(F.col("singles") > 0).alias("_live"))
-    reach = live.select("node", (F.col("_size") - F.col("_singles") + F.col("_live")).alias("reach")).where(
-        100 * F.col("reach") >= percent * F.col("_size"))
-    return cut(buckets.join(reach, "node").drop("singles"))
-
-
-def _alike(a: Column, b: Column, percent: int) -> Column:
-    """Whether two sets, as structs of ``size`` and ``reach``, can have the asked similarity."""
     shared = F.least(a["size"], b["size"], a["reach"], b["reach"])
     return (100 + percent) * shared >= percent * (a["size"] + b["size"])
 
@@ -288,11 +284,11 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
     order = np.argsort(tokens)
     ranked, rank = spark.sparkContext.broadcast(tokens[order]), spark.sparkContext.broadcast(places[order])
     first_frequent = int((often["seen"] < least_frequent).sum())
-    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, ranked, rank, first_frequent), "sig long, node long, size long, singles long")
+    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, ranked, rank, first_frequent), "sig long, node long, size long, reach long")
              .repartition("sig"))
-    several = keyed.groupBy("sig").agg(F.min(F.struct("node", "size", "singles")).alias("low"), F.max(F.struct("node", "size", "singles")).alias("high")).where(
+    several = keyed.groupBy("sig").agg(F.min(F.struct("node", "size", "reach")).alias("low"), F.max(F.struct("node", "size", "reach")).alias("high")).where(
         "low.node != high.node").select("sig")
-    buckets = reachable(cut(keyed.join(several, "sig").distinct()), percent)
+    buckets = cut(keyed.join(several, "sig").distinct())
     nodes = cut(buckets.select("node").distinct())
     stored = cut(_only(texts.select("text").mapInArrow(_stored_texts(words), "node long, body binary"), nodes).dropDuplicates(["node"]))
     roots = linked_components(buckets, stored, percent, words)

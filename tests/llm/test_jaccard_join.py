@@ -80,3 +80,21 @@ def test_signatures_of_similar_sets_meet():
 
 def test_shingles_are_counted_as_words_are():
     assert len(shingles("a b c d e f")) == 2
+
+
+@pytest.mark.parametrize("seed, parts, least", [(1, 1, 16), (2, 1, 3), (3, 3, 16)])
+def test_appended_and_truncated_copies_equal_all_pairs(spark, seed, parts, least):
+    """A partner's own tokens can fill its prefix, so shared tokens of the other one's prefix lie beyond it."""
+    rng = random.Random(seed)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for percent in range(2, 26):
+        base = words(rng.choice((84, 104, 204)))
+        more = len(base) * percent // 100
+        texts += [base, base + words(more)] if percent % 3 else [base, words(more) + base]
+        base = words(120)
+        texts += [base, base[:len(base) * (100 - percent) // 100]]
+    rows = list(enumerate((" ".join(t) for t in texts), 10))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert found(df, least_frequent=least) == components(rows)

@@ -1,6 +1,7 @@
 """License scans: normalised text against templates by the Dice coefficient of word bigrams.
 
-Compared are each whole text and each of its lines. Words are runs of letters, digits and
+``license_matches`` compares each whole text and each of its lines; ``license_passages`` finds the wording
+wherever it stands, wrapped over lines or inside a longer text. Words are runs of letters, digits and
 characters beyond ASCII, with A-Z in lower case. Two bigram sets of sizes a and b reach a
 coefficient c only if a lies between ``b * c / (2 - c)`` and ``b * (2 - c) / c``, so most units meet no
 template at all; hashes find the units that share enough bigrams with the templates.
@@ -8,6 +9,8 @@ template at all; hashes find the units that share enough bigrams with the templa
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect, insort
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -15,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.llm.license_texts import FULL_TEXTS
 from surveyloom.llm.textarrays import chunks, sequence_hashes, split_words
 
 #: Wording of public licenses and of the usual notices that name them.
@@ -127,6 +131,104 @@ def license_matches(documents: DataFrame, templates: Mapping[str, str] = TEMPLAT
     return found.withColumn("dice", 2 * F.col("shared") / F.col("sizes"))
 
 
+def _previous(values: np.ndarray) -> np.ndarray:
+    """Place of the last earlier equal value, or -1."""
+    order = np.argsort(values, kind="stable")
+    same = np.flatnonzero(values[order[1:]] == values[order[:-1]])
+    out = np.full(len(values), -1, np.int64)
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def best_windows(marked: np.ndarray, before: np.ndarray, size: int, longest: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """``(start, end, shared, sizes)`` of the windows of bigrams that reach the threshold, the highest coefficient first.
+
+    ``marked`` tells which bigrams of the text are in the template of ``size`` distinct ones, ``before`` where each was
+    last. Taken is again and again the best window beside those taken. Starts are tried in the order of
+    what they can reach at most, and only as long as that beats what is found.
+    """
+    places = np.flatnonzero(marked)
+    # a bigram is new in the windows that start after its last place
+    opened = np.bincount(np.maximum(before[places] + 1, np.maximum(places - longest + 1, 0)), minlength=len(marked) + 1)
+    closed = np.bincount(places + 1, minlength=len(marked) + 1)
+    most = np.cumsum(opened - closed)[places]
+    likely = 200 * most >= percent * (most + size)
+    heap = [(-2 * m / (m + size), 0, i) for i, m in zip(places[likely].tolist(), most[likely].tolist())]
+    heapq.heapify(heap)
+    taken: list[tuple[int, int]] = []
+    out = []
+    while heap:
+        _, known, start, *window = heapq.heappop(heap)
+        at = bisect(taken, (start, len(marked) + 1))
+        if at and taken[at - 1][1] > start:
+            continue
+        room = taken[at][0] if at < len(taken) else len(marked)
+        if known and window[0] <= room:
+            insort(taken, (start, window[0]))
+            out.append((start, *window))
+            continue
+        end = min(start + longest, room)
+        new = before[start:end] < start
+        sizes = np.cumsum(new) + size
+        shared = np.cumsum(new & marked[start:end])
+        best = int(np.argmax(shared / sizes))
+        if 200 * shared[best] >= percent * sizes[best]:
+            heapq.heappush(heap, (-2 * int(shared[best]) / int(sizes[best]), 1, start, start + best + 1, int(shared[best]), int(sizes[best])))
+    return out
+
+
+def _find_passages(templates: Mapping[str, str], percent: int):
+    names = ["doc_id", "template", "first_word", "words", "shared", "sizes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = template_sets(templates)
+        longest = {}
+        for name in sets:
+            data = np.frombuffer(templates[name].encode(), np.uint8)
+            longest[name] = len(_bigrams(data, np.array([0, len(data)]))[0]) * (200 - percent) // percent
+        vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), *sets.values()]))
+        member = {name: np.isin(vocabulary, own) for name, own in sets.items()}
+        for batch in batches:
+            ids, rows = batch.column(0).to_pylist(), []
+            for begin, end, data, offsets in chunks(batch.column(1)):
+                grams, first = _bigrams(data, offsets)
+                at = np.minimum(np.searchsorted(vocabulary, grams), len(vocabulary) - 1)
+                places = np.flatnonzero(vocabulary[at] == grams)
+                unit = np.searchsorted(first, places, side="right") - 1
+                inside = places < first[unit + 1] - 1
+                unit, entry = np.divmod(np.unique(unit[inside] * len(vocabulary) + at[places[inside]]), len(vocabulary))
+                before: dict[int, np.ndarray] = {}
+                for name, own in sets.items():
+                    count = np.bincount(unit[member[name][entry]], minlength=end - begin)
+                    for u in np.flatnonzero(count * (200 - percent) >= len(own) * percent).tolist():
+                        a, b = int(first[u]), int(first[u + 1]) - 1
+                        if u not in before:
+                            before[u] = _previous(grams[a:b])
+                        marked = member[name][at[a:b]] & (vocabulary[at[a:b]] == grams[a:b])
+                        for start, stop, shared, sizes in best_windows(marked, before[u], len(own), longest[name], percent):
+                            rows.append((ids[begin + u], name, start, stop - start + 1, shared, sizes))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    return run
+
+
+def license_passages(documents: DataFrame, templates: Mapping[str, str] = {**TEMPLATES, **FULL_TEXTS}, percent: int = THRESHOLD_PERCENT,
+                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, template, first_word, words, shared, sizes, dice)``: the passages of each text that match a template.
+
+    Windows of the whole text's words are compared, line breaks or not, that begin with a bigram of the template and
+    have at most ``(200 - percent) / percent`` times its bigrams; fewer than the inverse cannot match. For
+    each template the best window that reaches the threshold is taken (then the earliest, then the shortest), then the best one
+    that shares no bigram with those taken, and so on. ``first_word`` counts from 0. Null and empty texts give no row; repeated
+    rows give their passages each; a null id stays null. An empty table gives no rows.
+    """
+    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = texts.mapInArrow(_find_passages(dict(templates), percent),
+                             "doc_id long, template string, first_word long, words long, shared long, sizes long")
+    return found.withColumn("dice", 2 * F.col("shared") / F.col("sizes"))
+
+
 def oracle(templates: Mapping[str, str] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> str:
     """The same result in DuckDB SQL."""
     rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates.items())

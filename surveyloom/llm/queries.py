@@ -16,6 +16,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op1_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wording of licenses anywhere in the texts; ``op1_license_scan`` sees whole texts and single lines only."""
+    return licenses.license_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -64,6 +69,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_sentencepiece, op4_toxicity, op5_exact_topk, op6_packing,
+    f.__name__: f for f in (op1_license_scan, op1_license_passages, op2_token_counts, op3_sentencepiece, op4_toxicity, op5_exact_topk, op6_packing,
                             op7_jaccard_join, op8_quality_model, op9_quality_rules, op10_secret_scan)}
 ORACLES = {"op1_license_scan": licenses.oracle()}

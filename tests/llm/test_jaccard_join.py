@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -98,3 +99,8 @@ def test_appended_and_truncated_copies_equal_all_pairs(spark, seed, parts, least
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     assert found(df, least_frequent=least) == components(rows)
+
+
+def test_stated_broadcast_bound_is_the_one_that_runs():
+    stated = (Path(__file__).parents[2] / "README.md").read_text()
+    assert f"{jaccard_join.MAX_RANKED:,} repeated tokens" in stated and "262,144" not in stated

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import (jaccard_join, licenses, packing, pieces, quality_model, quality_rules, secret_scan, token_counts,
-                            topk, toxicity)
+from surveyloom.llm import (jaccard_join, licenses, packing, pieces, quality_model, quality_rules, secret_scan, simhash,
+                            token_counts, topk, toxicity)
 from surveyloom.llm.common import table, vocabulary
 
 
@@ -68,7 +68,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.joined(F.concat("base", "added")).alias("spans"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), bits=4, length=4, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op1_license_passages, op2_token_counts, op3_sentencepiece, op4_toxicity, op5_exact_topk, op6_packing,
-                            op7_jaccard_join, op8_quality_model, op9_quality_rules, op10_secret_scan)}
+                            op7_jaccard_join, op8_quality_model, op9_quality_rules, op10_secret_scan, op13_simhash)}
 ORACLES = {"op1_license_scan": licenses.oracle()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm import (jaccard_join, licenses, packing, pieces, quality_model, quality_rules, secret_scan, simhash,
-                            token_counts, topk, toxicity)
+                            token_counts, topk, toxicity, whitening)
 from surveyloom.llm.common import table, vocabulary
 
 
@@ -68,11 +68,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.joined(F.concat("base", "added")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    fit = whitening.fit_whitening(vectors, components=32, scale=64.0, offset=1_000_000)
+    explained = F.array(*[F.lit(float(x)) for x in (fit.explained if fit else [0.0])])
+    return whitening.whitened(vectors, fit).select(
+        "vec_id", "component", F.lit(fit.n if fit else 0).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), "whitened",
+        F.get(explained, F.col("component") - 1).alias("explained"), F.lit(fit.identity_error if fit else 0.0).alias("identity_error"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), bits=4, length=4, seed=42)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op1_license_passages, op2_token_counts, op3_sentencepiece, op4_toxicity, op5_exact_topk, op6_packing,
-                            op7_jaccard_join, op8_quality_model, op9_quality_rules, op10_secret_scan, op13_simhash)}
+                            op7_jaccard_join, op8_quality_model, op9_quality_rules, op10_secret_scan, op11_whitening, op13_simhash)}
 ORACLES = {"op1_license_scan": licenses.oracle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import (jaccard_join, licenses, packing, pieces, quality_model, quality_rules, secret_scan, simhash,
+from surveyloom.llm import (jaccard_join, licenses, packing, pieces, prefix_trie, quality_model, quality_rules, secret_scan, simhash,
                             token_counts, topk, toxicity, whitening)
 from surveyloom.llm.common import table, vocabulary
 
@@ -77,11 +77,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(explained, F.col("component") - 1).alias("explained"), F.lit(fit.identity_error if fit else 0.0).alias("identity_error"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), bits=4, length=4, seed=42)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op1_license_passages, op2_token_counts, op3_sentencepiece, op4_toxicity, op5_exact_topk, op6_packing,
-                            op7_jaccard_join, op8_quality_model, op9_quality_rules, op10_secret_scan, op11_whitening, op13_simhash)}
+                            op7_jaccard_join, op8_quality_model, op9_quality_rules, op10_secret_scan, op11_whitening, op12_prefix_trie,
+                            op13_simhash)}
 ORACLES = {"op1_license_scan": licenses.oracle()}

@@ -11,9 +11,13 @@ Order the tokens of every set by how often the corpus has them, rare ones first.
   groups by hash; with k = m + 1 some group holds two shared tokens, so pairs within a group suffice.
   m grows with the set, which keeps the number of pairs in proportion to the set's size.
 
+The order needs no exact frequencies, only to be the same everywhere: tokens are hashed to a fixed
+number of slots, and their order is that of (class of the slot's count, token).
+
 Sets that are equal are one node. Inside a bucket, one leader is compared with the other members;
 members that end in the leader's component need no more comparing among each other. After a few
-rounds of leaders, the pairs of a bucket that still lie in different components are compared, so
+rounds of leaders, the members of a bucket that still lie in different components, and may have a
+partner there, are dealt into tiles, and two tiles at a time are compared by one matrix product. So
 no link between components is lost and no group is expanded into all its pairs.
 """
 
@@ -28,12 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.common import cut, with_row_key
-from surveyloom.llm.textarrays import _BASE, chunks, mix, shingle_sets, split_words
+from surveyloom.llm.textarrays import _BASE, _STEP, chunks, mix, shingle_sets, split_words
 
 FLUSH_TOKENS = 4_000_000
-#: Bounds of what is broadcast: repeated tokens with their rank (12 bytes each), nodes of a join filter.
-MAX_RANKED, MAX_BROADCAST_NODES = 1 << 20, 1_000_000
-LEADER_ROUNDS = 4
+#: Slots of the table of token frequencies (a byte each is broadcast), and slots to a row of it.
+SLOT_BITS, SLOT_ROW = 22, 4096
+#: Nodes of a join filter that may be broadcast.
+MAX_BROADCAST_NODES = 1_000_000
+LEADER_ROUNDS = 2
+#: A tile of sets: members and tokens, about; members of a bucket that are searched for partners before texts are fetched.
+TILE, TILE_TOKENS, SEARCHED = 256, 2_000_000, 4096
+_COLUMNS = 1 << 15
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -48,20 +57,27 @@ def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(split_words(data, offsets, lower=True), words)
 
 
+def slots_of(tokens: np.ndarray) -> np.ndarray:
+    """Slot of each token in the table of frequencies."""
+    return (mix(tokens ^ np.uint64(_STEP)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _first_pass(words: int):
-    """Arrow function: a row per document, and the tokens met twice or more in a run of distinct sets."""
-    names = ["row", "doc_id", "size", "node", "token", "seen"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """Arrow function: a row per document, and rows of the partition's token counts per slot, over distinct sets of a run."""
+    names = ["row", "doc_id", "size", "node", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        held, count = [], 0
+        held, count, total = [], 0, np.zeros(1 << SLOT_BITS, np.uint32)
 
-        def flush() -> pa.RecordBatch:
-            tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
-            nothing = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(tokens), pa.array(seen)], names)
+        def flush() -> None:
+            nonlocal count
+            total[:] += np.bincount(slots_of(np.concatenate(held)), minlength=len(total)).astype(np.uint32)
+            held.clear()
+            known.clear()
+            count = 0
 
         for batch in batches:
             sizes, nodes = [], []
@@ -74,37 +90,65 @@ def _first_pass(words: int):
                     held.append(tokens)
                     count += len(tokens)
                     if count >= FLUSH_TOKENS:
-                        yield flush()
-                        held, count = [], 0
-                        known.clear()
-            nothing = pa.nulls(len(sizes), pa.int64())
+                        flush()
+            nothing = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                                              nothing, nothing], schema=pa.schema(list(zip(names, kinds))))
+                                              pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary())], schema=schema)
         if held:
-            yield flush()
+            flush()
+        packer, rows = zstandard.ZstdCompressor(level=1), total.reshape(-1, SLOT_ROW)
+        used = np.flatnonzero(rows.any(axis=1))
+        if len(used):
+            nothing = pa.nulls(len(used), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(used, pa.int32()), pa.array([packer.compress(rows[i].tobytes()) for i in used])],
+                                             schema=schema)
     return run
 
 
+def _added_counts(rows: pa.Table) -> pa.Table:
+    """Arrow function over rows of one stretch of slots: their sum."""
+    unpacker, total = zstandard.ZstdDecompressor(), np.zeros(SLOT_ROW, np.int64)
+    for body in rows.column("counts"):
+        total += np.frombuffer(unpacker.decompress(body.as_py()), np.uint32)
+    return pa.table({"chunk": rows.column("chunk").slice(0, 1), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())])})
+
+
+def _classes(rows: pa.Table) -> pa.Table:
+    """Arrow function: a byte per slot, the number of bits of its count, and the tokens counted."""
+    unpacker, total = zstandard.ZstdDecompressor(), np.zeros(SLOT_ROW, np.int64)
+    for body in rows.column("counts"):
+        total += np.frombuffer(unpacker.decompress(body.as_py()), np.int64)
+    bits = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
+    return pa.table({"chunk": rows.column("chunk").slice(0, 1), "classes": pa.array([bits.tobytes()]), "tokens": pa.array([int(total.sum())])})
+
+
+def slot_classes(first: DataFrame) -> tuple[np.ndarray, int]:
+    """Class of every slot (4 MB, whatever the corpus) and the number of tokens counted."""
+    counts = first.where("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % 64).alias("_some"))
+    found = (counts.groupBy("chunk", "_some").applyInArrow(_added_counts, "chunk int, counts binary")
+             .groupBy("chunk").applyInArrow(_classes, "chunk int, classes binary, tokens long").collect())
+    out = np.zeros((1 << SLOT_BITS) // SLOT_ROW * SLOT_ROW, np.uint8).reshape(-1, SLOT_ROW)
+    for r in found:
+        out[r["chunk"]] = np.frombuffer(r["classes"], np.uint8)
+    return out.ravel(), sum(r["tokens"] for r in found)
+
+
 def groups_of(size: int) -> int:
     """Hash groups for the frequent tokens of sets whose smaller partner has ``size`` tokens."""
     return 1 << max(0, (size // 16).bit_length() - 1)
 
 
-def signatures(tokens: np.ndarray, ranked: np.ndarray, rank: np.ndarray, first_frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, classes: np.ndarray, first_frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of a set: single rare prefix tokens and pairs of frequent tokens of extended prefixes.
 
-    ``ranked`` holds the repeated tokens (ascending) and ``rank`` their place by frequency; other
-    tokens come before them, by value. Tokens of rank ``first_frequent`` and up are the frequent class.
+    ``classes`` holds the class of each slot; the order of tokens is that of class, then value. Tokens of
+    class ``first_frequent`` and up are the frequent ones.
     """
     size = len(tokens)
     need = -(-size * percent // 100)
     if size < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    place = np.full(size, -1, np.int64)
-    if len(ranked):
-        at = np.minimum(np.searchsorted(ranked, tokens), len(ranked) - 1)
-        known = ranked[at] == tokens
-        place[known] = rank[at[known]]
+    place = classes[slots_of(tokens)]
     ordered = np.argsort(place, kind="stable")
     rare = int((place < first_frequent).sum())
     single, out = tokens[ordered[:min(rare, size - need + 1)]], [tokens[:0]]
@@ -124,17 +168,17 @@ def signatures(tokens: np.ndarray, ranked: np.ndarray, rank: np.ndarray, first_f
     return single, np.unique(np.concatenate(out))
 
 
-def _signatures(words: int, percent: int, ranked, rank, first_frequent: int):
+def _signatures(words: int, percent: int, table, first_frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        repeated, ranks = ranked.value, rank.value
+        classes = table.value
         for batch in batches:
             keys, nodes, sizes, reach = [], [], [], []
             for tokens in _sets(batch.column(0), words):
                 node = node_of(tokens)
                 if len(tokens) and node not in known:
                     known.add(node)
-                    single, pairs = signatures(tokens, repeated, ranks, first_frequent, percent)
+                    single, pairs = signatures(tokens, classes, first_frequent, percent)
                     found = np.concatenate([single, pairs])
                     keys.append(found.view(np.int64))
                     nodes.append(np.full(len(found), node))
@@ -222,17 +266,142 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * shared >= percent * (a["size"] + b["size"])
 
 
-def _only(stored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of ``stored`` whose node is wanted; the list is broadcast after a count, else both sides are shuffled."""
-    few = nodes.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES
-    return stored.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+def _only(stored: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of ``stored`` whose node is wanted; the list is broadcast behind a bound or count, else both sides are shuffled."""
+    if most is None:
+        most = nodes.limit(MAX_BROADCAST_NODES + 1).count()
+    return stored.join(F.broadcast(nodes) if most <= MAX_BROADCAST_NODES else nodes, "node", "left_semi")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+def _verified(pairs: DataFrame, count: int, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Pairs whose token sets reach the similarity. Only texts of the pairs are shuffled."""
-    left = _only(texts, pairs.select(F.col("a").alias("node")).distinct()).select(F.col("node").alias("a"), F.col("body").alias("left"))
-    right = _only(texts, pairs.select(F.col("b").alias("node")).distinct()).select(F.col("node").alias("b"), F.col("body").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_compare(words, percent), "a long, b long")
+    side = lambda c, body: _only(texts, pairs.select(F.col(c).alias("node")).distinct(), count).select(
+        F.col("node").alias(c), F.col("body").alias(body))
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
+        _compare(words, percent), "a long, b long")
+
+
+def _possible(size: np.ndarray, reach: np.ndarray, root: np.ndarray, percent: int) -> np.ndarray:
+    """Matrix of the members of a bucket (``_alike`` in arrays) that may be a pair and lie in different components."""
+    least = np.minimum(size, reach)
+    shared = np.minimum(least[:, None], least[None, :])
+    return ((100 + percent) * shared >= percent * (size[:, None] + size[None, :])) & (root[:, None] != root[None, :])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], budget: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` as runs of whole groups of about ``budget`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= budget:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            same = np.ones(len(rows), bool)
+            for c in keys:
+                x = rows.column(c).to_numpy()
+                same &= x == x[-1]
+            last = int(np.argmax(same))
+            if last:
+                yield rows.slice(0, last)
+                rest = rows.slice(last).combine_chunks()
+                held, size = rest.to_batches(), rest.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _borders(rows: pa.Table, keys: list[str]) -> list[int]:
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in keys:
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return [*np.flatnonzero(new).tolist(), len(rows)]
+
+
+def _with_partner(percent: int):
+    """Arrow function over open buckets in order: members that may have a partner in another component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["sig"], 8 << 20):
+            size, reach, root = (rows.column(c).to_numpy() for c in ("size", "reach", "root"))
+            keep, edges = np.zeros(len(rows), bool), _borders(rows, ["sig"])
+            for a, b in zip(edges, edges[1:]):
+                # a larger bucket goes to its tiles unsearched
+                keep[a:b] = b - a > SEARCHED or _possible(size[a:b], reach[a:b], root[a:b], percent).any(axis=1)
+            yield from rows.filter(pa.array(keep)).to_batches()
+    return run
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shared tokens between all sets: products of 0/1 matrices over stretches of tokens."""
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    several = np.bincount(at, minlength=len(tokens)) > 1
+    place = np.cumsum(several) - 1
+    kept = several[at]
+    owner, column = owner[kept], place[at[kept]]
+    total = np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(several.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        block = np.zeros((len(sets), min(_COLUMNS, int(several.sum()) - first)), np.float32)
+        block[owner[a:b], column[a:b] - first] = 1
+        total += block @ block.T
+    return total
+
+
+def _tile_links(words: int, percent: int):
+    """Arrow function over tiles in order (one, or two of the same bucket): links that join the components of all links there."""
+    keys = ["sig", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+
+        def tokens_of(body: bytes) -> np.ndarray:
+            data = np.frombuffer(unpacker.decompress(body), np.uint8)
+            return next(shingle_sets(split_words(data, np.array([0, len(data)])), words))
+
+        for rows in _groups(batches, keys, 16 << 20):
+            ones, others = [], []
+            size, reach, root, tile, node = (rows.column(c).to_numpy() for c in ("size", "reach", "root", "tile", "node"))
+            edges = _borders(rows, keys)
+            for a, b in zip(edges, edges[1:]):
+                possible = _possible(size[a:b], reach[a:b], root[a:b], percent)
+                if tile[a:b].min() != tile[a:b].max():
+                    possible &= tile[a:b, None] != tile[None, a:b]  # pairs of one tile are compared where it is alone
+                members = np.flatnonzero(possible.any(axis=1))
+                if not len(members):
+                    continue
+                sets = [tokens_of(rows.column("body")[a + int(i)].as_py()) for i in members]
+                shared = _overlaps(sets)
+                own = size[a:b][members]
+                good = possible[np.ix_(members, members)] & (100 * shared >= percent * (own[:, None] + own[None, :] - shared))
+                labels, names = np.arange(len(members)), node[a:b][members]
+                while True:
+                    lower = np.where(good, labels[None, :], len(labels)).min(axis=1, initial=len(labels))
+                    fresh = np.minimum(labels, lower)
+                    if np.array_equal(fresh, labels):
+                        break
+                    labels = fresh[fresh]
+                apart = labels != np.arange(len(labels))
+                ones.append(names[apart])
+                others.append(names[labels[apart]])
+            empty = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else empty, pa.int64()) for x in (ones, others)], ["a", "b"])
+    return run
+
+
+def _rest(open_rows: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links between members of a bucket that lie in different components."""
+    kept = cut(open_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(
+        _with_partner(percent), "sig long, node long, size long, reach long, root long"))
+    sizes = kept.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_TOKENS)).cast("int").alias("tiles"))
+    dealt = kept.join(sizes, "sig").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    columns = ["sig", "node", "size", "reach", "root", "tile", "body"]
+    tiles = dealt.join(_only(texts, kept.select("node").distinct()), "node").select(*columns, other.alias("other")).select(
+        *columns, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    return tiles.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_tile_links(words, percent), "a long, b long")
 
 
 def linked_components(buckets: DataFrame, texts: DataFrame, percent: int, words: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
@@ -248,24 +417,17 @@ def linked_components(buckets: DataFrame, texts: DataFrame, percent: int, words:
                                        # the set that can share most is the likeliest centre of a group
                                        F.max_by(F.struct("node", "size", "reach", "root"), F.struct(F.col("reach") / F.col("size"), F.xxhash64("node"))).alias("lead"))
         open_rows = own.join(facts.where("low != high").drop("low", "high"), "sig")
-        if turn < rounds:
+        if turn == rounds:
+            found = _rest(open_rows.select("sig", "node", "size", "reach", "root"), texts, percent, words)
+        else:
             rows = cut(open_rows.where("node != lead.node"))
-            if turn and rows.isEmpty():
-                break
             pairs = rows.where((F.col("root") != F.col("lead.root")) & _alike(here, F.col("lead"), percent)).select(
                 F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
             rows = rows.drop("lead")
-        else:
-            other = open_rows.select("sig", F.col("node").alias("b"), F.struct("size", "reach").alias("other"), F.col("root").alias("b_root"))
-            pairs = (open_rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))
-                                                        & _alike(here, F.col("other"), percent))
-                     .select(F.col("node").alias("a"), "b"))
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if turn and pairs.isEmpty():
-            continue
-        found = _verified(pairs, texts, percent, words)
+            pairs = pairs.distinct()
+            pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.unionAll(pairs)
+            found = _verified(pairs, pairs.count(), texts, percent, words)
         # the stars of earlier rounds stand for their links
         roots = components(found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return roots
@@ -275,16 +437,13 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
     """``(row, doc_id, size, class)``: rows of a class are linked; empty sets have no class."""
     spark = documents.sparkSession
     texts = with_row_key(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "row").select("row", "doc_id", "text")
-    first = cut(texts.mapInArrow(_first_pass(words), "row long, doc_id long, size long, node long, token long, seen long"))
+    first = cut(texts.mapInArrow(_first_pass(words), "row long, doc_id long, size long, node long, chunk int, counts binary"))
     docs = first.where("row is not null").select("row", "doc_id", "size", "node")
-    often = (first.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
-             .orderBy(F.desc("seen"), "token").limit(MAX_RANKED).toPandas())
-    # the first of the list is the most frequent one and gets the last rank
-    tokens, places = often["token"].to_numpy(np.int64).view(np.uint64), np.arange(len(often))[::-1].astype(np.int32)
-    order = np.argsort(tokens)
-    ranked, rank = spark.sparkContext.broadcast(tokens[order]), spark.sparkContext.broadcast(places[order])
-    first_frequent = int((often["seen"] < least_frequent).sum())
-    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, ranked, rank, first_frequent), "sig long, node long, size long, reach long")
+    found, tokens = slot_classes(first)
+    # where the corpus has many more tokens than slots, a rare token shares its slot with many others
+    usual = max(least_frequent, 4 * tokens >> SLOT_BITS)
+    table = spark.sparkContext.broadcast(found)
+    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, table, usual.bit_length()), "sig long, node long, size long, reach long")
              .repartition("sig"))
     several = keyed.groupBy("sig").agg(F.min(F.struct("node", "size", "reach")).alias("low"), F.max(F.struct("node", "size", "reach")).alias("high")).where(
         "low.node != high.node").select("sig")

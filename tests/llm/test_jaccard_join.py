@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from surveyloom.llm import jaccard_join
@@ -72,11 +73,10 @@ def test_signatures_of_similar_sets_meet():
         shared = len(np.intersect1d(base, other))
         if 100 * shared < 80 * (len(base) + len(other) - shared):
             continue
-        ranked = np.sort(rng.choice(base, int(len(base) * rng.random()), replace=False))
-        rank = rng.permutation(len(ranked)).astype(np.int32)
-        first = int(rng.integers(0, len(ranked) + 1))
-        a, b = (np.concatenate(jaccard_join.signatures(s, ranked, rank, first, 80)) for s in (base, other))
-        assert len(base) == len(other) == shared or len(np.intersect1d(a, b)), (len(base), len(other), shared, len(ranked), first)
+        classes = rng.integers(0, 9, 1 << jaccard_join.SLOT_BITS).astype(np.uint8)
+        first = int(rng.integers(0, 10))
+        a, b = (np.concatenate(jaccard_join.signatures(s, classes, first, 80)) for s in (base, other))
+        assert len(base) == len(other) == shared or len(np.intersect1d(a, b)), (len(base), len(other), shared, first)
 
 
 def test_shingles_are_counted_as_words_are():
@@ -103,4 +103,53 @@ def test_appended_and_truncated_copies_equal_all_pairs(spark, seed, parts, least
 
 def test_stated_broadcast_bound_is_the_one_that_runs():
     stated = (Path(__file__).parents[2] / "README.md").read_text()
-    assert f"{jaccard_join.MAX_RANKED:,} repeated tokens" in stated and "262,144" not in stated
+    assert f"{1 << jaccard_join.SLOT_BITS:,} slots" in stated
+
+
+def test_slot_classes_are_the_bits_of_summed_counts(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 300)) for _ in range(40)] + [None, "", "one two"]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(5)
+    first = df.mapInArrow(jaccard_join._first_pass(2), "row long, doc_id long, size long, node long, chunk int, counts binary")
+    classes, tokens = jaccard_join.slot_classes(first)
+    counts = np.zeros(1 << jaccard_join.SLOT_BITS, int)
+    for own in jaccard_join._sets(pa.array(texts, pa.string()), 2):
+        counts[jaccard_join.slots_of(own)] += 1
+    assert tokens == counts.sum() and [int(x).bit_length() for x in counts[counts > 0]] == classes[counts > 0].tolist() and not classes[counts == 0].any()
+
+
+def links_of(texts, percent=80):
+    """All links of many texts by counting shared shingles token by token."""
+    sets, members = [shingles(t) for t in texts], {}
+    for i, own in enumerate(sets):
+        for token in own:
+            members.setdefault(token, []).append(i)
+    shared = np.zeros((len(texts), len(texts)), np.int32)
+    for own in members.values():
+        if len(own) > 1:
+            shared[np.ix_(own, own)] += 1
+    size = np.array([len(x) for x in sets])
+    return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+
+
+@pytest.mark.parametrize("tile, searched", [(256, 4096), (700, 100)])
+def test_a_bucket_of_5000_members_equals_all_pairs(spark, monkeypatch, tile, searched):
+    """Copies of one text with so many changes that most lie apart: nothing is settled by the leader."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "SEARCHED", searched)
+    rng = random.Random(11)
+    base = [f"word{i}" for i in range(100)]
+    texts = []
+    for i in range(5000):
+        own = list(base)
+        for _ in range(rng.randint(2, 5)):
+            own[rng.randrange(5, 100)] = f"new{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    good, labels = links_of(texts), np.arange(5000)
+    while True:
+        fresh = np.where(good, labels[None, :], 5000).min(axis=1)
+        if np.array_equal(fresh, labels):
+            break
+        labels = fresh[fresh]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert [r[2] for r in got] == labels.tolist() and len(set(labels.tolist())) > 300

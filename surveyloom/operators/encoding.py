@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,31 @@ class Encoding:
         out += [(F.col(token_name(c)) == level).cast("double") for c, levels in self.categorical for level in levels[1:]]
         return out + [a * (F.col(token_name(c)) == level).cast("double") for c, level in self.interactions]
 
+    def matrix(self, rows: pd.DataFrame, exposure: float | None = None) -> np.ndarray:
+        """The terms of the ``keys`` columns of a prepared frame as a dense block, inside a task."""
+        out = np.zeros((len(rows), len(self.labels)))
+        out[:, 0], at = 1.0, 1
+        if self.exposure:
+            a = rows[self.exposure].to_numpy(float) if exposure is None else np.full(len(rows), float(exposure))
+            out[:, 1], at = a, 2
+        k = len(self.numeric)
+        for i, (c, divisor) in enumerate(self.numeric):
+            value = rows[c].to_numpy(float)
+            missing = np.isnan(value)
+            out[:, at + i], out[:, at + k + i] = np.where(missing, 0.0, value) / float(divisor), missing
+        at += 2 * k
+        for i, (c, divisor) in enumerate(self.plain):
+            out[:, at + i] = rows[c].to_numpy(float) / float(divisor)
+        at += len(self.plain)
+        for c, levels in self.categorical:
+            codes = pd.Categorical(rows[token_name(c)], categories=list(levels[1:])).codes
+            known = np.flatnonzero(codes >= 0)
+            out[known, at + codes[known]] = 1.0
+            at += len(levels) - 1
+        for i, (c, level) in enumerate(self.interactions):
+            out[:, at + i] = a * (rows[token_name(c)] == level).to_numpy()
+        return out
+
     def linear(self, coefficients: Sequence[float], exposure: Column | None = None) -> Column:
         """Dot product of the terms with coefficients as one built-in expression."""
         values = dict(zip(self.labels, map(float, coefficients)))

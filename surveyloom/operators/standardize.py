@@ -25,6 +25,7 @@ from surveyloom.operators.evaluate import evaluation_sums
 from surveyloom.operators.joins import apply_contrasts, contrast_covariance
 from surveyloom.operators.profile import grouped_levels, weighted_quantile
 from surveyloom.operators.ranking import hash_split
+from surveyloom.operators.refits import Fits, fit_many, refit_replicates, weighted_cells
 from surveyloom.operators.scale import broadcast_if_small, cut
 from surveyloom.operators.variance import intervals, roster_covariance, roster_variances
 
@@ -425,48 +426,62 @@ def rank_of_design(cells: DataFrame, encoding: Encoding, tolerance: float = 1e-1
     return int((values > tolerance).sum()), d
 
 
-def period_gaps(df: DataFrame, encoding: Encoding, outcome: str, weight: str, period: str, periods: Sequence[str],
-                unit: str, minimum: int, ridge: float, least_rows: int = 100) -> DataFrame:
-    """Adjusted gap per period on its own supported units and on the common target of all periods.
+def period_gaps(df: DataFrame, encoding: Encoding, design: SurveyDesign, outcome: str, by: Sequence[str], unit: str, minimum: int,
+                ridge: float, roster: DataFrame | None = None, reps: int = 0, seed: int = 0, least_rows: int = 100,
+                least_success: int = 200, share: float = 0.95) -> DataFrame:
+    """Adjusted gap of every domain (a combination of ``by``) on its own supported units and on the target common to all domains.
 
-    A period with fewer than ``least_rows`` rows in supported units, or with one outcome only, is
-    reported without estimates.
+    A unit supports a domain with ``minimum`` rows in each arm there; the others are listed. A domain with fewer than
+    ``least_rows`` rows in supported units, one arm or one outcome only is reported without estimates. With
+    ``reps``, the model is refitted in every replicate of a bootstrap of the roster's clusters, all domains and replicates
+    at once; limits are given if enough of them succeed.
     """
-    counts = df.groupBy(period, unit).agg(F.count_if(F.col(encoding.exposure) == 0).alias("_n0"),
-                                          F.count_if(F.col(encoding.exposure) == 1).alias("_n1"))
-    good = counts.where((F.col("_n0") >= minimum) & (F.col("_n1") >= minimum)).select(period, unit, F.lit(True).alias("_own"))
-    common = good.where(F.col(period).isin(list(periods))).groupBy(unit).agg(F.count("*").alias("_k")).where(
-        F.col("_k") == len(periods)).select(unit, F.lit(True).alias("_common"))
-    marked = df.join(good, [period, unit], "left").join(common, unit, "left").withColumns(
-        {"_own": F.coalesce("_own", F.lit(False)), "_common": F.coalesce("_common", F.lit(False))}).persist()
-    w, rows = F.col(weight), []
-    try:
-        tallies = {r[period]: r for r in marked.groupBy(period).agg(
-            F.count("*").alias("n"), F.count_if("_own").alias("model_n"),
-            F.count_distinct(F.when(F.col("_own"), F.col(unit))).alias("units"),
-            F.min(F.when(F.col("_own"), F.col(outcome))).alias("lo"), F.max(F.when(F.col("_own"), F.col(outcome))).alias("hi"),
-        ).collect()}
-        has_common = marked.where("_common").limit(1).count() > 0
-        for name in periods:
-            r = tallies.get(name)
-            if r is None or r["model_n"] < least_rows or r["lo"] == r["hi"]:
-                rows.append((name, int(r["n"]) if r else 0, int(r["model_n"]) if r else 0, int(r["units"]) if r else 0,
-                             None, None, "insufficient_data"))
-                continue
-            sums = {"_w": F.when(F.col("_own") & (F.col(period) == name), w),
-                    "_target": F.when(F.col("_common") & F.col(period).isin(list(periods)), w)}
-            cells = covariate_cells(marked, encoding, outcome, sums).persist()
-            model = fit_cells(cells, encoding, ridge)
-            refs = moments(cells, encoding, model.beta, "_w", ["_w", *(["_target"] if has_common else [])]).references
-            cells.unpersist()
-            gap = lambda ref: 100 * float(ref.mean[1] - ref.mean[0])
-            rows.append((name, int(r["n"]), int(r["model_n"]), int(r["units"]), gap(refs["_w"]),
-                         gap(refs["_target"]) if has_common else None, "point_estimate"))
-    finally:
-        marked.unpersist()
+    a, w = F.col(encoding.exposure), F.col(design.weight)
+    rows = df.withColumn("_domain", F.concat_ws("|", *[F.col(c).cast("string") for c in by]))
+    counts = rows.groupBy("_domain", *by, unit).agg(
+        F.count("*").alias("n"), F.count_if(a == 0).alias("n0"), F.count_if(a == 1).alias("n1"), F.sum(outcome).alias("events"))
+    support = cut(counts.withColumn("own", (F.col("n0") >= minimum) & (F.col("n1") >= minimum)))
+    own = lambda v: F.coalesce(F.sum(F.when(F.col("own"), v)), F.lit(0))
+    tallies = {r["_domain"]: r for r in support.groupBy("_domain", *by).agg(
+        F.sum("n").alias("n"), own(F.col("n")).alias("model_n"), F.count_if("own").alias("units"),
+        own(F.col("events")).alias("events"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("own"), F.col(unit).cast("string")))), "|").alias("left_out"),
+    ).collect()}  # one row per domain
+    fitted = sorted(k for k, r in tallies.items() if r["model_n"] >= least_rows and 0 < r["events"] < r["model_n"])
+    common = support.where("own").groupBy(unit).count().where(F.col("count") == len(tallies)).select(unit)
+    kept = rows.join(broadcast_if_small(support.where("own").select("_domain", unit)), ["_domain", unit], "left_semi")
+    fits: dict[str, Fits] = {}
+    if fitted and reps:
+        fits, _ = refit_replicates(kept, encoding, design, outcome, F.col("_domain"), roster, reps, seed, ridge, fitted)
+    elif fitted:
+        cells = cut(weighted_cells(kept, encoding, outcome, w, F.col("_domain")).withColumn("_ws", F.array("_w")))
+        fits = fit_many(cells, encoding, ridge, dict.fromkeys(fitted, 1))
+    target = _target_gaps(rows.join(broadcast_if_small(common), unit, "left_semi"), encoding, w,
+                          {k: f.beta[0] for k, f in fits.items() if f.status[0] == "ok"})
+    kinds, out = dict(df.dtypes), []
+    for name, r in sorted(tallies.items()):
+        line = [*[r[c] for c in by], int(r["n"]), int(r["model_n"]), int(r["units"]), r["left_out"]]
+        if name not in fits:
+            out.append((*line, None, None, None, None, None, "insufficient_data"))
+            continue
+        gaps = 100 * fits[name].gap
+        good = gaps[1:][np.isfinite(gaps[1:])]
+        enough = reps and len(good) >= max(least_success, int(np.ceil(reps * share)))
+        limits = np.percentile(good, [2.5, 97.5]).tolist() if enough else [None, None]
+        status = "point_estimate" if not reps else ("interval" if enough else "too_few_replicates")
+        point = float(gaps[0]) if np.isfinite(gaps[0]) else None
+        out.append((*line, point, target.get(name), len(good) if reps else None, *limits, status if point is not None else fits[name].status[0]))
     return df.sparkSession.createDataFrame(
-        rows, "period string, eligible_n long, model_n long, units_retained long, own_target_gap_pp double, "
-              "common_target_gap_pp double, status string")
+        out, ", ".join(f"{c} {kinds[c]}" for c in by) + ", eligible_n long, model_n long, units_retained long, units_excluded string, "
+        "own_target_gap_pp double, common_target_gap_pp double, replicates_ok int, ci_low double, ci_high double, status string")
+
+
+def _target_gaps(df: DataFrame, encoding: Encoding, weight: Column, betas: Mapping[str, np.ndarray]) -> dict[str, float | None]:
+    """Adjusted gap, in percent, of several models on the same rows, in one pass."""
+    if not betas:
+        return {}
+    mean = lambda b, a: F.sum(weight * sigmoid(encoding.linear(b, F.lit(a)))) / F.sum(weight)
+    row = encoding.prepare(df).agg(*[(100 * (mean(b, 1.0) - mean(b, 0.0))).alias(k) for k, b in betas.items()]).first()
+    return row.asDict()
 
 
 def period_influence(df: DataFrame, encoding: Encoding, design: SurveyDesign, outcome: str, roster: DataFrame, period: str,

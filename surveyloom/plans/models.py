@@ -193,7 +193,7 @@ def with_periods(spark, sf_dir):
 @query("period_gaps")
 def h12(spark, sf_dir):
     rows = with_periods(spark, sf_dir)
-    return S.period_gaps(rows, encoding_of(rows), "outcome", "weight", "period", ["A", "B", "C", "D"], "nation", 12, RIDGE)
+    return S.period_gaps(rows, encoding_of(rows), DESIGN, "outcome", ["wave", "period"], "nation", 12, RIDGE, roster(spark, sf_dir), REPS, SEED)
 
 
 @query("period_influence")

@@ -14,6 +14,7 @@ from surveyloom.operators import nuisance as N
 from surveyloom.operators import standardize as S
 from surveyloom.operators import variance as V
 from surveyloom.plans.bootstraps import REPS, SEED, draws_sql, slots_sql
+from surveyloom.plans.models import with_periods
 from surveyloom.plans.registry import query
 from surveyloom.plans.tables import DESIGN, cohort, roster, with_views
 
@@ -140,3 +141,37 @@ def i19_saturated(spark, sf_dir):
     """Nuisance models fitted within each level."""
     rows = plain_scores(cohort(spark, sf_dir), ["residence"])
     return N.fitted_aipw(rows, DESIGN, "outcome", "sector", REPS, SEED, ["residence"]).withColumnRenamed("residence", "level")
+
+
+PERIOD_SQL = "case when event_cmc < 1177 then 'A' when event_cmc < 1195 then 'B' when event_cmc < 1210 then 'C' else 'D' end"
+
+
+@query("period_gaps_saturated", with_views(f"""
+    , d as (select *, {PERIOD_SQL} as period, wave || '|' || {PERIOD_SQL} as dom from cohort),
+      sup as (select dom, wave, period, state, count(*) as n, count(*) filter (sector = 0) >= 12 and count(*) filter (sector = 1) >= 12 as own,
+        sum(outcome) as events from d group by all),
+      ty as (select dom, wave, period, cast(sum(n) as bigint) as eligible_n, cast(coalesce(sum(n) filter (own), 0) as bigint) as model_n,
+        count(*) filter (own) as units_retained, coalesce(string_agg(cast(state as varchar), '|' order by state) filter (not own), '') as units_excluded,
+        coalesce(sum(events) filter (own), 0) as events from sup group by all),
+      ok as (select dom from ty where model_n >= 100 and events between 1 and model_n - 1),
+      common as (select state from sup where own group by state having count(*) = (select count(*) from ty)),
+      """ + slots_sql("roster") + "," + draws_sql() + """
+    , times as (select state, stratum, psu, replicate, count(*) as m from draws join slots using (state, stratum, slot) group by all
+        union all select state, stratum, psu, 0, 1 from roster),
+      kept as (select d.* from d join ok using (dom) join sup using (dom, state) where own),
+      c as (select dom, replicate, residence, sector, sum(weight * m) as w, sum(weight * m * outcome) / sum(weight * m) as p
+        from kept join times using (state, stratum, psu) group by all),
+      r as (select dom, replicate, residence, sum(w) as w, max(p) filter (sector = 1) - max(p) filter (sector = 0) as diff from c group by all),
+      g as (select dom, replicate, 100 * sum(w * diff) / sum(w) as gap from r group by all),
+      tg as (select residence, sum(weight) as w from d semi join common using (state) group by residence),
+      cg as (select dom, 100 * sum(tg.w * diff) / sum(tg.w) as common_target_gap_pp from r join tg using (residence) where replicate = 0 group by dom),
+      b as (select dom, max(gap) filter (replicate = 0) as own_target_gap_pp, cast(count(gap) filter (replicate > 0) as int) as replicates_ok,
+        quantile_cont(gap, 0.025) filter (replicate > 0) as ci_low, quantile_cont(gap, 0.975) filter (replicate > 0) as ci_high from g group by dom)
+    select wave, period, eligible_n, model_n, units_retained, units_excluded, own_target_gap_pp, common_target_gap_pp, replicates_ok,
+      case when replicates_ok >= 475 then ci_low end as ci_low, case when replicates_ok >= 475 then ci_high end as ci_high,
+      case when own_target_gap_pp is null then 'insufficient_data' when replicates_ok >= 475 then 'interval' else 'too_few_replicates' end as status
+    from ty left join b using (dom) left join cg using (dom)"""))
+def h12_saturated(spark, sf_dir):
+    """Refits in every replicate: with a saturated model these are the replicate's own cell means."""
+    rows = with_periods(spark, sf_dir)
+    return S.period_gaps(rows, saturated_encoding(rows), DESIGN, "outcome", ["wave", "period"], "state", 12, TINY, roster(spark, sf_dir), REPS, SEED)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +22,7 @@ from surveyloom.operators.bootstrap import cluster_totals, psu_bootstrap
 from surveyloom.operators.causal import aipw, aipw_scores
 from surveyloom.operators.encoding import Encoding, learn_encoding, token_name
 from surveyloom.operators.ranking import quantile_bins, stratified_group_folds
+from surveyloom.operators.refits import fit_many, multiplier_bytes
 from surveyloom.operators.scale import cut, exact_quantiles, hash_ranks
 from surveyloom.operators.standardize import covariate_cells, fit_cells, sigmoid
 
@@ -130,41 +134,82 @@ def _limits() -> list[Column]:
         (rd, 0.025, "rd_low"), (rd, 0.975, "rd_high"), (rr, 0.025, "rr_low"), (rr, 0.975, "rr_high"))]
 
 
-def tmle(df: DataFrame, weight: str, outcome: str, exposure: str, e: str, mu1: str, mu0: str, eps: float = 0.01,
-         steps: int = 30) -> DataFrame:
-    """Targeted risks: one fluctuation per arm, solved on its weighted score equation.
+def targeted(df: DataFrame, design: SurveyDesign, outcome: str, exposure: str, e: str, mu1: str, mu0: str, eps: float = 0.01,
+             reps: int = 0, seed: int = 0, bound: float = 50.0, tolerance: float = 1e-13, passes: int = 60) -> DataFrame:
+    """Doubly robust and targeted risks from the same scores, with percentile limits of both from the same draws of clusters.
 
-    Each Newton step is one aggregate over the rows for both arms.
+    The targeting step fluctuates each arm's prediction until its weighted score is zero. The roots of the
+    sample and of all replicates are found together: every pass sums score and slope of each at its own
+    point, the sign narrows its bracket (first ``bound`` to both sides), and the next point is Newton's if it lies
+    inside the bracket and the middle otherwise. Returns one row per method.
     """
-    # Only what the steps need is kept, so repeated passes do not rescan the source.
-    score = lambda p: F.ln(clip(p, TINY) / (1 - clip(p, TINY)))
-    rows = df.select(F.col(weight).alias("w"), F.col(outcome).cast("double").alias("y"), F.col(exposure).alias("a"),
-                     clip(e, eps).alias("g1"), score(mu1).alias("l1"), score(mu0).alias("l0")).persist()
-    w, y, a, total = F.col("w"), F.col("y"), F.col("a"), F.sum("w")
-    g = {1: F.col("g1"), 0: 1 - F.col("g1")}
-    epsilon = {1: 0.0, 0: 0.0}
-    updated = lambda arm: sigmoid(F.col(f"l{arm}") + F.lit(epsilon[arm]) / g[arm])
-    for _ in range(steps):
-        sums = []
-        for arm in (1, 0):
-            here, p = a == arm, updated(arm)
-            sums += [(F.sum(F.when(here, w / g[arm] * (y - p))) / total).alias(f"s{arm}"),
-                     (F.sum(F.when(here, w / (g[arm] * g[arm]) * p * (1 - p))) / total).alias(f"d{arm}")]
-        row = rows.agg(*sums).first()
-        if max(abs(row["s1"]), abs(row["s0"])) < 1e-12:
-            break
-        for arm in (1, 0):
-            epsilon[arm] += row[f"s{arm}"] / row[f"d{arm}"]
+    score = lambda p: F.ln(clip(p, TINY) / (1 - clip(p, TINY)))
+    clusters = df.select(*design.cluster).distinct()
+    rows = df.select(*design.cluster, F.col(design.weight).cast("double").alias("w"), F.col(outcome).cast("double").alias("y"),
+                     F.col(exposure).cast("double").alias("a"), clip(e, eps).cast("double").alias("g1"), score(mu1).alias("l1"), score(mu0).alias("l0"))
+    if reps:
+        rows = rows.join(multiplier_bytes(clusters, design, reps, seed), list(design.cluster))
     else:
+        rows = rows.withColumn("multipliers", F.lit(bytes([1])))
+    rows = cut(rows.drop(*design.cluster))
+    count = reps + 1
+    point = np.zeros((2, count))
+    low, high, done = np.full((2, count), -bound), np.full((2, count), bound), np.zeros(count, bool)
+    for _ in range(passes):
+        sums = _targeting_pass(rows, point, reps + 1)
+        s, slope = sums["score"] / sums["weight"], sums["slope"] / sums["weight"]
+        done = (np.abs(s) < tolerance).all(axis=0) | ((high - low) < 1e-15 * bound).all(axis=0) | ~(slope > 0).all(axis=0)
+        if done.all():
+            break
+        low, high = np.where(s > 0, point, low), np.where(s < 0, point, high)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            new = point + s / slope
+        point = np.where(np.abs(s) < tolerance, point, np.where((new > low) & (new < high), new, (low + high) / 2))
+    if not done[0] or not (np.abs(s[:, 0]) < 1e-9).all():
         raise RuntimeError("The targeting step did not converge")
-    mean = lambda v: F.sum(w * v) / total
-    last = rows.agg(F.count("*"), mean(updated(1)), mean(updated(0))).first()
-    rows.unpersist()
-    n, r1, r0 = int(last[0]), float(last[1]), float(last[2])
+    good = done & (np.abs(s) < 1e-9).all(axis=0)
+    out, n = [], int(sums["rows"])
+    for method in ("aipw", "tmle"):
+        r1, r0 = sums[method] / sums["weight"]
+        used = np.isfinite(r1 - r0) if method == "aipw" else good
+        draws = {"rd": (r1 - r0)[1:][used[1:]], "rr": (r1 / r0)[1:][used[1:]]}
+        limits = [float(x) for v in draws.values() for x in (np.percentile(v, [2.5, 97.5]) if len(v) else (np.nan, np.nan))] if reps else [None] * 4
+        extra = [float(x) for x in (*point[:, 0], *s[:, 0])] if method == "tmle" else [None] * 4
+        out.append((method, n, float(r1[0]), float(r0[0]), float(r1[0] - r0[0]), float(r1[0] / r0[0]), int(used[1:].sum()), *limits, *extra))
     return df.sparkSession.createDataFrame(
-        [(n, r1, r0, r1 - r0, r1 / r0, epsilon[1], epsilon[0], float(row["s1"]), float(row["s0"]))],
-        "n long, risk_treated double, risk_control double, risk_difference double, risk_ratio double, "
-        "epsilon_treated double, epsilon_control double, score_treated double, score_control double")
+        out, "method string, n long, risk_treated double, risk_control double, risk_difference double, risk_ratio double, replicates int, "
+        "rd_low double, rd_high double, rr_low double, rr_high double, epsilon_treated double, epsilon_control double, "
+        "score_treated double, score_control double")
+
+
+def _targeting_pass(rows: DataFrame, point: np.ndarray, count: int) -> dict[str, np.ndarray]:
+    """Sums of both arms (first index: treated) at the given fluctuations, for the sample and every replicate."""
+    def run(batches):
+        total, seen = np.zeros((9, count)), 0
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at:at + 4096]
+                w = part["w"].to_numpy()[:, None] * np.frombuffer(b"".join(part["multipliers"]), np.uint8).reshape(len(part), count)
+                y, a, g1 = (part[c].to_numpy() for c in ("y", "a", "g1"))
+                total[0] += w.sum(axis=0)
+                for i, (l, g, mine) in enumerate(((part["l1"].to_numpy(), g1, a == 1), (part["l0"].to_numpy(), 1 - g1, a == 0))):
+                    p = 1 / (1 + np.exp(-np.clip(l[:, None] + point[i] / g[:, None], -700, 700)))
+                    q, h = 1 / (1 + np.exp(-l)), mine / g
+                    total[1 + i] += (w * h[:, None] * (y[:, None] - p)).sum(axis=0)
+                    total[3 + i] += (w * (h / g)[:, None] * p * (1 - p)).sum(axis=0)
+                    total[5 + i] += (w * p).sum(axis=0)
+                    total[7 + i] += (q + h * (y - q)) @ w
+                seen += len(part)
+        yield pd.DataFrame([(TaskContext.get().partitionId() % 32, seen, total.tobytes())], columns=["slot", "n", "sums"])
+
+    def add(frame):
+        return pd.DataFrame([(int(frame["slot"].iloc[0]), int(frame["n"].sum()), sum(np.frombuffer(x) for x in frame["sums"]).tobytes())],
+                            columns=["slot", "n", "sums"])
+
+    schema = "slot int, n long, sums binary"
+    found = rows.mapInPandas(run, schema).groupBy("slot").applyInPandas(add, schema).collect()  # at most 32 rows
+    cells = sum(np.frombuffer(r["sums"]) for r in found).reshape(9, count)
+    return {"rows": sum(r["n"] for r in found), "weight": cells[0], "score": cells[1:3], "slope": cells[3:5], "tmle": cells[5:7], "aipw": cells[7:9]}
 
 
 def stack_two_learners(df: DataFrame, encoding: Encoding, outcome: str, weight: str, group: Sequence[str], k: int, seed: int,

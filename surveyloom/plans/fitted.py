@@ -10,16 +10,16 @@ from surveyloom.operators import impute as I
 from surveyloom.operators import nuisance as N
 from surveyloom.operators import profile as P
 from surveyloom.operators import standardize as S
-from surveyloom.operators.causal import aipw, aipw_scores
 from surveyloom.operators.joins import broadcast_group_value
 from surveyloom.operators.ranking import holm, latest_per_key
 from surveyloom.operators.scale import cut, exact_quantiles
 from surveyloom.operators.bootstrap import bayesian_psu_weights
 from surveyloom.functions.special import t_p_value
+from surveyloom.plans.bootstraps import draws_sql, slots_sql
 from surveyloom.plans.models import NUMERIC, RIDGE, encoding_of
 from surveyloom.plans.ranking import partitioned
 from surveyloom.plans.registry import query
-from surveyloom.plans.tables import CATEGORICAL, DESIGN, cohort, roster
+from surveyloom.plans.tables import CATEGORICAL, DESIGN, cohort, roster, with_views
 
 FOLDS, REPS, SEED = 5, 500, 42
 
@@ -40,9 +40,39 @@ def i1_aipw(spark, sf_dir):
     return N.fitted_aipw(scored(cohort(spark, sf_dir)), DESIGN, "outcome", "sector", REPS, SEED)
 
 
-@query("tmle")
+def targeted_sql(before: str = "", source: str = "cohort", e: str = "e_hat", mu1: str = "mu1_hat", mu0: str = "mu0_hat", extra: str = "",
+                 steps: int = 12) -> str:
+    """Both estimators and their limits; the root of every replicate by Newton steps, one CTE each."""
+    p = lambda arm: f"(1 / (1 + exp(-(l{arm} + x{arm} / g{arm}))))"
+    step = lambda arm: (f"max(x{arm}) + sum(case when a = {arm} then w / g{arm} * (y - {p(arm)}) else 0 end)"
+                        f" / sum(case when a = {arm} then w / (g{arm} * g{arm}) * {p(arm)} * (1 - {p(arm)}) else 0 end) as x{arm}")
+    newton = "".join(f", n{k} as materialized (select replicate, {step(1)}, {step(0)} from b join n{k - 1} using (replicate) group by replicate)"
+                     for k in range(1, steps + 1))
+    score = lambda arm: f"sum(case when a = {arm} then w / g{arm} * (y - {p(arm)}) else 0 end) / sum(w)"
+    plain = lambda arm: (f"sum(w * (1 / (1 + exp(-l{arm})) + case when a = {arm} then (y - 1 / (1 + exp(-l{arm}))) / g{arm} else 0 end)) / sum(w)")
+    return with_views(before + f", t as (select distinct state, stratum, psu from {source})," + slots_sql("t") + "," + draws_sql() + f"""
+    , times as (select state, stratum, psu, replicate, count(*) as m from draws join slots using (state, stratum, slot) group by all
+        union all select state, stratum, psu, 0, 1 from t),
+      b as materialized (select replicate, m * weight as w, outcome as y, sector as a, least(greatest({e}, 0.01e0), 0.99e0) as g1, 1 - g1 as g0,
+        ln({mu1} / (1 - {mu1})) as l1, ln({mu0} / (1 - {mu0})) as l0 from {source} join times using (state, stratum, psu)),
+      n0 as (select distinct replicate, 0e0 as x1, 0e0 as x0 from times){newton},
+      r as (select replicate, count(*) as n, max(x1) as e1, max(x0) as e0, {score(1)} as s1, {score(0)} as s0, sum(w * {p(1)}) / sum(w) as t1,
+        sum(w * {p(0)}) / sum(w) as t0, {plain(1)} as p1, {plain(0)} as p0 from b join n{steps} using (replicate) group by replicate),
+      l as (select 'aipw' as method, replicate, n, p1 as r1, p0 as r0, null as e1, null as e0 from r
+        union all select 'tmle', replicate, n, t1, t0, e1, e0 from r)
+    select method, max(n) filter (replicate = 0) as n, max(r1) filter (replicate = 0) as risk_treated, max(r0) filter (replicate = 0) as risk_control,
+      risk_treated - risk_control as risk_difference, risk_treated / risk_control as risk_ratio, cast(count(*) filter (replicate > 0) as int) as replicates,
+      quantile_cont(r1 - r0, 0.025) filter (replicate > 0) as rd_low, quantile_cont(r1 - r0, 0.975) filter (replicate > 0) as rd_high,
+      quantile_cont(r1 / r0, 0.025) filter (replicate > 0) as rr_low, quantile_cont(r1 / r0, 0.975) filter (replicate > 0) as rr_high,
+      max(e1) filter (replicate = 0) as epsilon_treated, max(e0) filter (replicate = 0) as epsilon_control,
+      case when method = 'tmle' then 0e0 end as score_treated, case when method = 'tmle' then 0e0 end as score_control{extra} from l group by method""")
+
+
+@query("tmle", targeted_sql())
 def i17(spark, sf_dir):
-    return N.tmle(cohort(spark, sf_dir), "weight", "outcome", "sector", "e_hat", "mu1_hat", "mu0_hat")
+    """Both estimators on given scores; the twin states the solved scores as zero."""
+    found = N.targeted(cohort(spark, sf_dir), DESIGN, "outcome", "sector", "e_hat", "mu1_hat", "mu0_hat", reps=REPS, seed=SEED)
+    return found.withColumns({c: F.round(c, 9) + 0.0 for c in ("score_treated", "score_control")})
 
 
 @query("stack_two_learners")
@@ -112,18 +142,21 @@ def i23(spark, sf_dir):
                                     ["row_id"], "weight", 2, SEED)
 
 
-@query("exclusion_variant")
-def i25(spark, sf_dir):
-    rows = scored(cohort(spark, sf_dir).where("coalesce(social_group, 0) <> 4"))
-    plain = aipw(aipw_scores(rows, "outcome", "sector", "e_fit", "mu1_fit", "mu0_fit", 0.01), "weight").withColumn("method", F.lit("aipw"))
-    targeted = N.tmle(rows, "weight", "outcome", "sector", "e_fit", "mu1_fit", "mu0_fit").withColumn("method", F.lit("tmle"))
+def without_group(rows, scores):
+    """Both estimators after one social group is left out, with the spread of fitted propensities in each arm."""
+    rows = scores(rows.where("coalesce(social_group, 0) <> 4"))
+    both = N.targeted(rows, DESIGN, "outcome", "sector", "e_fit", "mu1_fit", "mu0_fit", reps=REPS, seed=SEED)
     spread = N.propensity_range(rows, "sector")
     pick = lambda a, c: spread.where(F.col("sector") == a).select(c).scalar().alias(f"propensity_{c}_{a}")
-    columns = ["method", "n", "risk_treated", "risk_control", "risk_difference", "risk_ratio"]
-    return plain.select(*columns).unionByName(targeted.select(*columns)).select(
+    return both.withColumns({c: F.round(c, 9) + 0.0 for c in ("score_treated", "score_control")}).select(
         "*", *[pick(a, c) for a in (0, 1) for c in ("minimum", "median", "maximum")])
 
 
+@query("exclusion_variant")
+def i25(spark, sf_dir):
+    return without_group(cohort(spark, sf_dir), scored)
+
+
 def mothers(rows):
     """One row per mother with the features that predict a missing social group."""
     stable = ["social_group", "state", "stratum", "psu", "residence", "wealth_index"]

@@ -14,6 +14,7 @@ from surveyloom.operators import nuisance as N
 from surveyloom.operators import standardize as S
 from surveyloom.operators import variance as V
 from surveyloom.plans.bootstraps import REPS, SEED, draws_sql, slots_sql
+from surveyloom.plans.fitted import targeted_sql, without_group
 from surveyloom.plans.models import with_periods
 from surveyloom.plans.registry import query
 from surveyloom.plans.tables import DESIGN, cohort, roster, with_views
@@ -92,12 +93,12 @@ def h6_saturated(spark, sf_dir):
     return S.estimate_rows(linear, points, DESIGN, roster(spark, sf_dir), V.NORMAL_CRITICAL)
 
 
-def folds_sql(within: str = "1") -> str:
+def folds_sql(within: str = "1", where: str = "true") -> str:
     """Rows with their fold and the means of the other folds, apart for each value of ``within``."""
     other = lambda v, test: f"(sum({v}) filter ({test}) over (partition by lv) - sum({v}) filter ({test}) over (partition by lv, fold))"
     ratio = lambda v, test: f"{other(f'weight * {v}', test)} / {other('weight', test)}"
     return f"""
-    , lv as (select *, {within} as lv from cohort),
+    , lv as (select *, {within} as lv from cohort where {where}),
       gr as (select lv, mother_id, cast(floor(avg(sector) * 4) as int) as c from lv group by all),
       fo as (select *, row_number() over (partition by lv, c order by sha256(concat_ws('|', '{SEED}', mother_id))) as k from gr),
       f as (select lv.*, cast((k - 1 + c) % {FOLDS} as int) as fold from lv join fo using (lv, mother_id)),
@@ -175,3 +176,12 @@ def h12_saturated(spark, sf_dir):
     """Refits in every replicate: with a saturated model these are the replicate's own cell means."""
     rows = with_periods(spark, sf_dir)
     return S.period_gaps(rows, saturated_encoding(rows), DESIGN, "outcome", ["wave", "period"], "state", 12, TINY, roster(spark, sf_dir), REPS, SEED)
+
+
+SPREAD = "".join(f", (select quantile_cont(e_fit, {q}) from s where sector = {a}) as propensity_{c}_{a}"
+                 for a in (0, 1) for c, q in (("minimum", 0), ("median", 0.5), ("maximum", 1)))
+
+
+@query("exclusion_variant_saturated", targeted_sql(folds_sql(where="coalesce(social_group, 0) <> 4"), "s", "e_fit", "mu1_fit", "mu0_fit", SPREAD))
+def i25_saturated(spark, sf_dir):
+    return without_group(cohort(spark, sf_dir), plain_scores)

@@ -36,7 +36,7 @@ from surveyloom.llm.textarrays import _BASE, _STEP, chunks, mix, shingle_sets, s
 
 FLUSH_TOKENS = 4_000_000
 #: Slots of the table of token frequencies (a byte each is broadcast), and slots to a row of it.
-SLOT_BITS, SLOT_ROW = 22, 4096
+SLOT_BITS, SLOT_ROW = 24, 1 << 14
 #: Nodes of a join filter that may be broadcast.
 MAX_BROADCAST_NODES = 1_000_000
 LEADER_ROUNDS = 2
@@ -74,7 +74,7 @@ def _first_pass(words: int):
 
         def flush() -> None:
             nonlocal count
-            total[:] += np.bincount(slots_of(np.concatenate(held)), minlength=len(total)).astype(np.uint32)
+            np.add.at(total, slots_of(np.concatenate(held)), np.uint32(1))
             held.clear()
             known.clear()
             count = 0
@@ -123,7 +123,7 @@ def _classes(rows: pa.Table) -> pa.Table:
 
 
 def slot_classes(first: DataFrame) -> tuple[np.ndarray, int]:
-    """Class of every slot (4 MB, whatever the corpus) and the number of tokens counted."""
+    """Class of every slot (16 MB, whatever the corpus) and the number of tokens counted."""
     counts = first.where("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % 64).alias("_some"))
     found = (counts.groupBy("chunk", "_some").applyInArrow(_added_counts, "chunk int, counts binary")
              .groupBy("chunk").applyInArrow(_classes, "chunk int, classes binary, tokens long").collect())
@@ -186,8 +186,8 @@ def _signatures(words: int, percent: int, table, first_frequent: int):
                     # pairs come only with all rare tokens as singles, which they leave unshared
                     reach.append(len(tokens) - np.minimum(np.arange(len(found)), len(single)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, sizes, reach)],
-                                                 ["sig", "node", "size", "reach"])
+                columns = [pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (nodes, np.int64), (sizes, np.int32), (reach, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "size", "reach"])
     return run
 
 
@@ -262,6 +262,7 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     a pair, a frequent one: the tokens from there on. The first shared token of a link is the same on
     both sides, so every link is admitted by some bucket, wherever else its tokens lie in the two orders.
     """
+    a, b = ({c: x[c].cast("long") for c in ("size", "reach")} for x in (a, b))
     shared = F.least(a["size"], b["size"], a["reach"], b["reach"])
     return (100 + percent) * shared >= percent * (a["size"] + b["size"])
 
@@ -322,7 +323,8 @@ def _with_partner(percent: int):
     """Arrow function over open buckets in order: members that may have a partner in another component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["sig"], 8 << 20):
-            size, reach, root = (rows.column(c).to_numpy() for c in ("size", "reach", "root"))
+            size, reach = (rows.column(c).to_numpy().astype(np.int64) for c in ("size", "reach"))
+            root = rows.column("root").to_numpy()
             keep, edges = np.zeros(len(rows), bool), _borders(rows, ["sig"])
             for a, b in zip(edges, edges[1:]):
                 # a larger bucket goes to its tiles unsearched
@@ -363,7 +365,7 @@ def _tile_links(words: int, percent: int):
 
         for rows in _groups(batches, keys, 16 << 20):
             ones, others = [], []
-            size, reach, root, tile, node = (rows.column(c).to_numpy() for c in ("size", "reach", "root", "tile", "node"))
+            size, reach, root, tile, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("size", "reach", "root", "tile", "node"))
             edges = _borders(rows, keys)
             for a, b in zip(edges, edges[1:]):
                 possible = _possible(size[a:b], reach[a:b], root[a:b], percent)
@@ -394,7 +396,7 @@ def _tile_links(words: int, percent: int):
 def _rest(open_rows: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Links between members of a bucket that lie in different components."""
     kept = cut(open_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(
-        _with_partner(percent), "sig long, node long, size long, reach long, root long"))
+        _with_partner(percent), "sig long, node long, size int, reach int, root long"))
     sizes = kept.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_TOKENS)).cast("int").alias("tiles"))
     dealt = kept.join(sizes, "sig").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -443,7 +445,7 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
     # where the corpus has many more tokens than slots, a rare token shares its slot with many others
     usual = max(least_frequent, 4 * tokens >> SLOT_BITS)
     table = spark.sparkContext.broadcast(found)
-    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, table, usual.bit_length()), "sig long, node long, size long, reach long")
+    keyed = (texts.select("text").mapInArrow(_signatures(words, percent, table, usual.bit_length()), "sig long, node long, size int, reach int")
              .repartition("sig"))
     several = keyed.groupBy("sig").agg(F.min(F.struct("node", "size", "reach")).alias("low"), F.max(F.struct("node", "size", "reach")).alias("high")).where(
         "low.node != high.node").select("sig")

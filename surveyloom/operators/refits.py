@@ -155,10 +155,10 @@ def _solve(d: int, ridge: float):
     return run
 
 
-def _pass(rows: DataFrame, encoding: Encoding, ridge: float, active: dict) -> dict[str, list]:
+def _pass(rows: DataFrame, block_sums, solve, active: dict) -> dict[str, list]:
+    """One job: sums per task and block of fits, added up and solved in tasks; a step per fit comes back."""
     block = "domain string, block int, slot int, sums binary"
-    solve = _solve(len(encoding.labels), ridge)
-    sums = rows.mapInPandas(_block_sums(encoding, active), block)
+    sums = rows.mapInPandas(block_sums(active), block)
     if rows.rdd.getNumPartitions() > FAN:
         sums = sums.groupBy("domain", "block", "slot").applyInPandas(_add, block)
     found = sums.groupBy("domain", "block").applyInPandas(
@@ -178,50 +178,54 @@ def fit_many(rows: DataFrame, encoding: Encoding, ridge: float, columns: dict[st
     without weight, with one outcome only, or with one arm only has status ``one_sided``; one that does not
     settle has ``not_converged``.
     """
-    d = len(encoding.labels)
-    out = {name: Fits(np.zeros((n, d)), ["open"] * n, {k: np.full(n, np.nan) for k in _SCALARS}) for name, n in columns.items()}
-    turns = [{name: np.array([0]) for name in columns}] if first else []
-    turns.append({name: np.arange(1 if first else 0, n) for name, n in columns.items()})
-    for k, some in enumerate(turns):
-        if first and k:
-            for name in columns:
-                if out[name].status[0] == "ok":
-                    out[name].beta[1:] = out[name].beta[0]
-        _settle(rows, encoding, ridge, out, some, tolerance, passes)
+    two_arms = bool(encoding.exposure)
+
+    def one_sided(scalars: np.ndarray) -> bool:
+        weight, events, treated = scalars[:3]
+        return not 0 < events < weight or (two_arms and not 0 < treated < weight)
+
+    out = {name: Fits(np.zeros((n, len(encoding.labels))), ["open"] * n, {k: np.full(n, np.nan) for k in _SCALARS}) for name, n in columns.items()}
+    solve = _solve(len(encoding.labels), ridge)
+    run = lambda active: _pass(rows, lambda a: _block_sums(encoding, a), solve, active)
+    if first:
+        _settle(run, out, {name: np.array([0]) for name in columns}, one_sided, tolerance, passes)
+        for fits in out.values():
+            if fits.status[0] == "ok":
+                fits.beta[1:] = fits.beta[0]
+    _settle(run, out, {name: np.arange(1 if first else 0, n) for name, n in columns.items()}, one_sided, tolerance, passes)
     return out
 
 
-def _settle(rows, encoding, ridge, out: dict[str, Fits], some: dict[str, np.ndarray], tolerance: float, passes: int) -> None:
+def _settle(run, out: dict[str, Fits], some: dict[str, np.ndarray], one_sided, tolerance: float, passes: int) -> None:
+    """Newton steps of all open fits together; a step that raises a fit's loss is halved for that fit alone."""
     # per fit: accepted coefficients and loss, and the step under trial
     base = {(n, i): (out[n].beta[i].copy(), np.inf, None) for n, at in some.items() for i in at}
-    for turn in range(passes):
-        active = {n: (np.array([i for i in at if out[n].status[i] == "open"], int), None) for n, at in some.items()}
-        active = {n: (at, out[n].beta[at]) for n, (at, _) in active.items() if len(at)}
+    for _ in range(passes):
+        active = {n: np.array([i for i in at if out[n].status[i] == "open"], int) for n, at in some.items()}
+        active = {n: (at, out[n].beta[at]) for n, at in active.items() if len(at)}
         if not active:
             return
-        for name, found in _pass(rows, encoding, ridge, active).items():
+        for name, found in run(active).items():
             fits = out[name]
             for i, result in zip(active[name][0].tolist(), found):
                 if result is None:
                     fits.status[i] = "one_sided"
                     continue
                 loss, slope, scalars, step = result
-                for label, value in zip(_SCALARS, scalars):
+                for label, value in zip(fits.sums, scalars):
                     fits.sums[label][i] = value
-                weight, events, treated = scalars[:3]
-                if not 0 < events < weight or (encoding.exposure and not 0 < treated < weight):
+                if one_sided(scalars):
                     fits.status[i] = "one_sided"
-                    continue
-                if slope < tolerance:
+                elif slope < tolerance:
                     fits.status[i] = "ok"
-                    continue
-                kept, least, trial = base[name, i]
-                if loss <= least + 1e-12 * abs(least) or trial is None:
-                    base[name, i] = (fits.beta[i].copy(), loss, -step)
                 else:
-                    base[name, i] = (kept, least, trial / 2)
-                kept, _, trial = base[name, i]
-                fits.beta[i] = kept + trial
+                    kept, least, trial = base[name, i]
+                    if trial is None or loss <= least + 1e-12 * abs(least):
+                        base[name, i] = (fits.beta[i].copy(), loss, -step)
+                    else:
+                        base[name, i] = (kept, least, trial / 2)
+                    kept, _, trial = base[name, i]
+                    fits.beta[i] = kept + trial
     for name, at in some.items():
         for i in at:
             if out[name].status[i] == "open":
@@ -245,3 +249,211 @@ def refit_replicates(df: DataFrame, encoding: Encoding, design: SurveyDesign, ou
     table = [(name, b, float(g) * 100 if np.isfinite(g) else None, s) for name, f in fits.items()
              for b, (g, s) in enumerate(zip(f.gap, f.status)) if b]
     return fits, df.sparkSession.createDataFrame(table, "domain string, replicate int, gap_pp double, status string")
+
+
+def softmax_scores(z: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes for scores of all but the first one (its score is 0), along the last axis."""
+    z = np.concatenate([np.zeros((*z.shape[:-1], 1)), z], axis=-1)
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def _class_sums(encoding: Encoding, classes: int, active: dict):
+    d, k = len(encoding.labels), classes - 1
+    upper = np.triu_indices(d)
+
+    def run(batches):
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for name, mine in batch.groupby("domain", sort=False):
+                if name not in active:
+                    continue
+                columns, beta = active[name]
+                for at in range(0, len(mine), ROWS):
+                    rows = mine.iloc[at:at + ROWS]
+                    x, y, w = encoding.matrix(rows), rows["_y"].to_numpy(int), _weights(rows)[:, columns]
+                    z = np.einsum("nd,jkd->njk", x, beta.reshape(-1, k, d))
+                    p = softmax_scores(z)
+                    loss = -np.log(np.maximum(np.take_along_axis(p, y[:, None, None], axis=2)[:, :, 0], 1e-300))
+                    parts = [w.sum(axis=0)[:, None], (w * loss).sum(axis=0)[:, None]]
+                    parts += [(w * (p[:, :, c + 1] - (y == c + 1)[:, None])).T @ x for c in range(k)]
+                    products = x[:, upper[0]] * x[:, upper[1]]
+                    parts += [(w * p[:, :, a + 1] * ((a == b) - p[:, :, b + 1])).T @ products for a in range(k) for b in range(a, k)]
+                    every = np.concatenate(parts, axis=1)
+                    for b in range(0, len(columns), BLOCK):
+                        key, part = (name, b // BLOCK), every[b:b + BLOCK]
+                        totals[key] = part if key not in totals else totals[key] + part
+        if totals:
+            slot = TaskContext.get().partitionId() % FAN
+            yield pd.DataFrame([(n, b, slot, v.tobytes()) for (n, b), v in totals.items()], columns=["domain", "block", "slot", "sums"])
+
+    return run
+
+
+def _solve_classes(d: int, classes: int, ridge: float):
+    k, upper = classes - 1, np.triu_indices(d)
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    penalty = np.tile(np.r_[0.0, np.full(d - 1, ridge)], k)
+
+    def run(frame: pd.DataFrame, active: dict) -> pd.DataFrame:
+        name, block, t = frame["domain"].iloc[0], int(frame["block"].iloc[0]), len(upper[0])
+        sums = sum(np.frombuffer(x) for x in frame["sums"]).reshape(-1, 2 + k * d + len(pairs) * t)
+        out = []
+        for i, row in enumerate(sums):
+            b, total = active[name][1][block * BLOCK + i], max(row[0], 1e-300)
+            gradient = row[2:2 + k * d] / total + penalty * b
+            hessian = np.diag(penalty)
+            for q, (one, other) in enumerate(pairs):
+                part = np.zeros((d, d))
+                part[upper] = row[2 + k * d + q * t:2 + k * d + (q + 1) * t] / total
+                part = part + np.triu(part, 1).T
+                hessian[one * d:(one + 1) * d, other * d:(other + 1) * d] += part
+                if one != other:
+                    hessian[other * d:(other + 1) * d, one * d:(one + 1) * d] += part
+            step = np.linalg.lstsq(hessian, gradient, rcond=1e-13)[0]
+            out.append((name, block * BLOCK + i, float(row[1] / total + 0.5 * penalty @ (b * b)), float(np.abs(gradient).max()), row[:2].tobytes(), step.tobytes()))
+        return pd.DataFrame(out, columns=["domain", "at", "loss", "slope", "scalars", "step"])
+
+    return run
+
+
+def fit_many_classes(rows: DataFrame, encoding: Encoding, ridge: float, columns: dict[str, int], classes: int, tolerance: float = 1e-10,
+                     passes: int = 40) -> dict[str, Fits]:
+    """Multinomial logits with the first class as reference; ``_y`` holds 0 to ``classes`` - 1.
+
+    A fit's row of ``beta`` holds the terms of class 1, then of class 2, and so on. Penalty on all terms but the intercepts.
+    """
+    size = (classes - 1) * len(encoding.labels)
+    out = {name: Fits(np.zeros((n, size)), ["open"] * n, {k: np.full(n, np.nan) for k in ("weight", "loss")}) for name, n in columns.items()}
+    solve = _solve_classes(len(encoding.labels), classes, ridge)
+    _settle(lambda active: _pass(rows, lambda a: _class_sums(encoding, classes, a), solve, active), out,
+            {name: np.arange(n) for name, n in columns.items()}, lambda scalars: not scalars[0] > 0, tolerance, passes)
+    return out
+
+
+GAP_METRICS = tuple(f"{kind}_{arm}" for kind in ("observed", "adjusted") for arm in ("control", "treated", "gap"))
+
+
+def _curvature_sums(encoding: Encoding, active: dict):
+    d = len(encoding.labels)
+    upper = np.triu_indices(d)
+
+    def run(batches):
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for name, mine in batch.groupby("domain", sort=False):
+                if name not in active:
+                    continue
+                columns, beta = active[name]
+                for at in range(0, len(mine), ROWS):
+                    rows = mine.iloc[at:at + ROWS]
+                    x, y, w = encoding.matrix(rows), rows["_y"].to_numpy(float), _weights(rows)[:, columns]
+                    p = _expit(x @ beta.T)
+                    arms = [w * (x[:, 1] == a)[:, None] for a in (0, 1)]
+                    parts = [w.sum(axis=0)[:, None], *[v.sum(axis=0)[:, None] for v in arms], *[(v * y[:, None]).sum(axis=0)[:, None] for v in arms]]
+                    for a in (0.0, 1.0):
+                        xa = encoding.matrix(rows, a)
+                        q = _expit(xa @ beta.T)
+                        parts += [(w * q).sum(axis=0)[:, None], (w * q * (1 - q)).T @ xa]
+                    parts.append((w * p * (1 - p)).T @ (x[:, upper[0]] * x[:, upper[1]]))
+                    every = np.concatenate(parts, axis=1)
+                    for b in range(0, len(columns), BLOCK):
+                        key, part = (name, b // BLOCK), every[b:b + BLOCK]
+                        totals[key] = part if key not in totals else totals[key] + part
+        if totals:
+            slot = TaskContext.get().partitionId() % FAN
+            yield pd.DataFrame([(n, b, slot, v.tobytes()) for (n, b), v in totals.items()], columns=["domain", "block", "slot", "sums"])
+
+    return run
+
+
+def _solve_directions(d: int, ridge: float):
+    upper, penalty = np.triu_indices(d), np.r_[0.0, np.full(d - 1, ridge)]
+
+    def run(frame: pd.DataFrame, active: dict) -> pd.DataFrame:
+        name, block = frame["domain"].iloc[0], int(frame["block"].iloc[0])
+        sums = sum(np.frombuffer(x) for x in frame["sums"]).reshape(-1, 7 + 2 * d + len(upper[0]))
+        out = []
+        for i, row in enumerate(sums):
+            total, curvature = row[0], np.zeros((d, d))
+            curvature[upper] = row[7 + 2 * d:] / total
+            curvature = curvature + np.triu(curvature, 1).T + np.diag(penalty)
+            means, slopes = (row[5] / total, row[6 + d] / total), (row[6:6 + d] / total, row[7 + d:7 + 2 * d] / total)
+            directions = [np.linalg.lstsq(curvature, s, rcond=1e-12)[0] for s in slopes]
+            scalars = np.array([total, *row[1:3], *(row[3:5] / row[1:3]), *means])
+            out.append((name, block * BLOCK + i, 0.0, 0.0, scalars.tobytes(), np.concatenate(directions).tobytes()))
+        return pd.DataFrame(out, columns=["domain", "at", "loss", "slope", "scalars", "step"])
+
+    return run
+
+
+def gap_influence_totals(rows: DataFrame, encoding: Encoding, ridge: float, fits: dict[str, Fits], cluster: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Arm means and gaps of every fit, and the cluster totals of their influence values, in two passes.
+
+    Returns (``domain, fit, metric, estimate``; ``domain, fit``, cluster and a column per metric). ``rows`` must hold the
+    cluster columns.
+    """
+    d = len(encoding.labels)
+    penalty = np.r_[0.0, np.full(d - 1, ridge)]
+    active = {name: (np.arange(len(f.beta)), f.beta) for name, f in fits.items()}
+    solved = _pass(rows, lambda a: _curvature_sums(encoding, a), _solve_directions(d, ridge), active)
+    scalars = {name: np.stack([r[2] for r in found]) for name, found in solved.items()}
+    directions = {name: np.stack([r[3] for r in found]) for name, found in solved.items()}
+    points = []
+    for name, s in scalars.items():
+        for j, (_, _, _, o0, o1, m0, m1) in enumerate(s.tolist()):
+            points += [(name, j, k, v) for k, v in zip(GAP_METRICS, (o0, o1, o1 - o0, m0, m1, m1 - m0))]
+
+    def run(batches):
+        for batch in batches:
+            for name, mine in batch.groupby("domain", sort=False):
+                if name not in active:
+                    continue
+                beta, s, turn = active[name][1], scalars[name], directions[name]
+                for at in range(0, len(mine), ROWS):
+                    part = mine.iloc[at:at + ROWS]
+                    x, y, w = encoding.matrix(part), part["_y"].to_numpy(float)[:, None], _weights(part)
+                    share, values = w / s[:, 0], {}
+                    residual = y - _expit(x @ beta.T)
+                    for a, arm in ((0, "control"), (1, "treated")):
+                        direction = turn[:, a * d:(a + 1) * d]
+                        q = _expit(encoding.matrix(part, float(a)) @ beta.T)
+                        offset = (penalty * beta * direction).sum(axis=1)
+                        values[f"adjusted_{arm}"] = share * (residual * (x @ direction.T) - offset + q - s[:, 5 + a])
+                        values[f"observed_{arm}"] = w * (x[:, 1] == a)[:, None] * (y - s[:, 3 + a]) / s[:, 1 + a]
+                    for kind in ("observed", "adjusted"):
+                        values[f"{kind}_gap"] = values[f"{kind}_treated"] - values[f"{kind}_control"]
+                    keys = part[list(cluster)].drop_duplicates()
+                    code = part.groupby(list(cluster), sort=False, dropna=False).ngroup().to_numpy()
+                    order = np.argsort(code, kind="stable")
+                    starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+                    out = keys.loc[keys.index.repeat(len(beta))].reset_index(drop=True)
+                    out.insert(0, "fit", np.tile(np.arange(len(beta)), len(keys)))
+                    out.insert(0, "domain", name)
+                    for k in GAP_METRICS:
+                        out[k] = np.add.reduceat(values[k][order], starts, axis=0).ravel()
+                    yield out
+
+    kinds = dict(rows.dtypes)
+    schema = "domain string, fit int, " + ", ".join(f"{c} {kinds[c]}" for c in cluster) + "".join(f", {k} double" for k in GAP_METRICS)
+    totals = rows.mapInPandas(run, schema).groupBy("domain", "fit", *cluster).agg(*[F.sum(k).alias(k) for k in GAP_METRICS])
+    return rows.sparkSession.createDataFrame(points, "domain string, fit int, metric string, estimate double"), totals
+
+
+def adjusted_variances(totals: DataFrame, by: Sequence[str], metrics: Sequence[str], design: SurveyDesign, roster: DataFrame) -> DataFrame:
+    """Design variance of every metric for every level of ``by``, clusters of the roster without rows counting as zeros.
+
+    Strata with at least one row count; a cluster alone in its stratum is centred on the mean of all totals.
+    """
+    sizes = roster.groupBy(*design.strata).agg(F.count("*").alias("_n"))
+    long = totals.select(*by, *design.strata, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("_v")) for m in metrics])))
+    strata = long.groupBy(*by, *design.strata, "metric").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q")).join(
+        sizes, list(design.strata))
+    n, s, q, one = F.col("_n"), F.col("_s"), F.col("_q"), F.col("_n") == 1
+    sums = strata.groupBy(*by, "metric").agg(
+        F.sum(F.when(~one, n / (n - 1) * (q - s * s / n)).otherwise(0.0)).alias("_base"), F.sum(s).alias("_g"), F.sum(n).alias("_clusters"),
+        F.sum(F.when(one, s).otherwise(0.0)).alias("_l"), F.sum(F.when(one, q).otherwise(0.0)).alias("_m"),
+        F.count_if(one).alias("_k"), F.count("*").alias("_strata"))
+    mean = F.col("_g") / F.col("_clusters")
+    return sums.select(*by, "metric", (F.col("_base") + F.col("_m") - 2 * mean * F.col("_l") + F.col("_k") * mean * mean).alias("variance"),
+                       (F.col("_clusters") - F.col("_strata")).alias("design_df"))

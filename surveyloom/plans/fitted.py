@@ -157,53 +157,75 @@ def i25(spark, sf_dir):
     return without_group(cohort(spark, sf_dir), scored)
 
 
-def mothers(rows):
+def mothers(rows, unit=("mother_id",)):
     """One row per mother with the features that predict a missing social group."""
-    stable = ["social_group", "state", "stratum", "psu", "residence", "wealth_index"]
-    features = P.unit_rollup(rows.withColumn("multiple", (F.col("twin_order") > 0).cast("int")), ["mother_id"],
-                             ["event_cmc", "row_id"], ["sector", "outcome", "weight"], ["multiple"], stable)
+    stable = ["social_group", "state", "stratum", "psu", "residence", "wealth_index", "education_years"]
+    features = P.unit_rollup(rows.withColumns({"multiple": (F.col("twin_order") > 0).cast("int"), "first_delivery": (F.col("delivery_order") == 1).cast("int")}),
+                             list(unit), ["event_cmc", "row_id"], ["sector", "outcome", "weight", "birth_order"], ["multiple", "first_delivery"], stable)
     return features.withColumnsRenamed({f"first_{c}": c for c in stable})
 
 
-def social_model(units, seed):
-    encoding = E.learn_encoding(units, None, {}, ["state", "residence", "wealth_index", "any_multiple"],
-                                {"mean_sector": 1.0, "mean_outcome": 1.0})
-    factors = bayesian_psu_weights(units, DESIGN, seed)
-    drawn = units.join(factors, DESIGN.cluster).withColumn("fit_weight", F.col("mean_weight") * F.col("factor"))
-    levels, coefficients = N.fit_multinomial(drawn, encoding, "social_group", "fit_weight", 1e-3)
-    return N.multinomial_scores(units, encoding, coefficients), [int(v) for v in levels]
+IMPUTATIONS = 30
+
+
+def social_encoding(units):
+    return E.learn_encoding(units, None, {"education_years": 20.0}, ["state", "residence", "wealth_index", "any_multiple", "any_first_delivery"],
+                            {"mean_sector": 1.0, "mean_outcome": 1.0, "mean_birth_order": 10.0, "size": 5.0})
+
+
+def social_draws(rows, encoding_of_units, draws=IMPUTATIONS):
+    """Social groups of the mothers without one, per wave, and the rows with their wave as domain."""
+    units = cut(mothers(rows, ("wave", "mother_id")))
+    levels = sorted(r[0] for r in units.select("social_group").where("social_group is not null").distinct().collect())
+    return (*drawn_levels(units, encoding_of_units(units), levels, draws), levels)
+
+
+def drawn_levels(units, encoding, levels, draws):
+    return I.draw_many(units, encoding, "social_group", levels, "mean_weight", DESIGN, "wave", ["mother_id"], draws, RIDGE)
 
 
 @query("fit_multinomial")
 def j1(spark, sf_dir):
-    units = mothers(cohort(spark, sf_dir))
-    ready, levels = social_model(units, 1)
-    cells = F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"p{i}").alias("p")) for i, v in enumerate(levels)])
-    observed = F.sum((F.col("social_group") == F.col("level")).cast("int")) / F.count("social_group")
-    return ready.select("social_group", F.inline(cells)).groupBy("level").agg(F.avg("p").alias("mean_probability"),
-                                                                              observed.alias("observed_share"))
+    """Mean fitted probability of each social group beside its observed share, per wave and imputation model."""
+    units = cut(mothers(cohort(spark, sf_dir), ("wave", "mother_id")))
+    encoding = social_encoding(units)
+    levels = sorted(r[0] for r in units.select("social_group").where("social_group is not null").distinct().collect())
+    _, fits = drawn_levels(units, encoding, levels, 3)
+    rows = None
+    for wave, f in sorted(fits.items()):
+        own = units.where(F.col("wave") == int(wave))
+        coefficients = [[0.0] * len(encoding.labels), *f.beta[0].reshape(len(levels) - 1, -1).tolist()]
+        ready = N.multinomial_scores(own, encoding, coefficients)
+        cells = F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"p{i}").alias("p")) for i, v in enumerate(levels)])
+        observed = F.sum((F.col("social_group") == F.col("level")).cast("int")) / F.count("social_group")
+        part = ready.select("social_group", F.inline(cells)).groupBy("level").agg(
+            F.avg("p").alias("mean_probability"), observed.alias("observed_share")).withColumn("wave", F.lit(int(wave)))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def imputed_gaps(rows, full, encode, encoding_of_units, draws=IMPUTATIONS, ridge=RIDGE):
+    """Pooled gaps per wave of all births and of first deliveries, the latter nested in the same completed data."""
+    drawn, _, levels = social_draws(rows, encoding_of_units, draws)
+    drawn, out = cut(drawn), None
+    for name, part in (("all", rows), ("first_delivery", rows.where("delivery_order = 1"))):
+        pooled = I.impute_and_pool(part, drawn, encode(rows, name), "social_group", levels, "wave", DESIGN, "outcome", full, ["mother_id"], draws, ridge)
+        pooled = pooled.withColumns({"cohort": F.lit(name), "wave": F.col("domain").cast("int")}).drop("domain")
+        out = pooled if out is None else out.unionByName(pooled)
+    return out
+
+
+def gap_encoding(rows, name):
+    """First deliveries have no birth order to adjust for."""
+    return E.learn_encoding(rows, "sector", NUMERIC if name == "all" else {"education_years": 20.0}, CATEGORICAL)
 
 
 @query("impute_and_reestimate")
 def j4(spark, sf_dir):
-    rows, full = cohort(spark, sf_dir), roster(spark, sf_dir)
-    units, draws = cut(mothers(rows)), None
-    for m in range(1, 4):
-        ready, levels = social_model(units, m)
-        filled = I.draw_category(ready, levels, [F.col(f"p{i}") for i in range(len(levels))], ["mother_id"], f"impute{m}",
-                                 "social_group", "completed")
-        completed = cut(broadcast_group_value(rows.drop("social_group"), filled.select(
-            "mother_id", F.col("completed").alias("social_group")), "mother_id"))
-        result = S.standardized_gap(completed, encoding_of(completed), DESIGN, "outcome", full, RIDGE).where(
-            "singleton = 'adjust'").select("metric", "estimate", (F.col("se") * F.col("se")).alias("variance"), "design_df")
-        draws = result if draws is None else draws.unionByName(result)
-    pooled = I.rubin_pool(draws, ["metric"], "estimate", "variance", "design_df")
-    base = S.standardized_gap(rows, encoding_of(rows), DESIGN, "outcome", full, RIDGE).where("singleton = 'adjust'").select(
-        "metric", F.col("estimate").alias("baseline"))
-    tested = pooled.join(base, "metric").withColumns({
-        "change_from_baseline": F.col("pooled") - F.col("baseline"),
-        "p_value": t_p_value(F.col("pooled") / F.col("se"), F.col("pooling_df"))}).withColumn("family", F.lit("gaps"))
-    return holm(tested.where("metric like '%gap'"), "p_value", ["family"], ["metric"])
+    pooled = imputed_gaps(cohort(spark, sf_dir), roster(spark, sf_dir), gap_encoding, social_encoding)
+    tested = pooled.where("metric like '%gap'").withColumns(
+        {"p_value": t_p_value(F.col("pooled") / F.col("se"), F.col("pooling_df")), "family": F.lit("gaps")})
+    return holm(tested, "p_value", ["family"], ["wave", "cohort", "metric"])
 
 
 def split_scores(spark, sf_dir):

@@ -14,7 +14,7 @@ from surveyloom.operators import nuisance as N
 from surveyloom.operators import standardize as S
 from surveyloom.operators import variance as V
 from surveyloom.plans.bootstraps import REPS, SEED, draws_sql, slots_sql
-from surveyloom.plans.fitted import targeted_sql, without_group
+from surveyloom.plans.fitted import imputed_gaps, targeted_sql, without_group
 from surveyloom.plans.models import with_periods
 from surveyloom.plans.registry import query
 from surveyloom.plans.tables import DESIGN, cohort, roster, with_views
@@ -185,3 +185,58 @@ SPREAD = "".join(f", (select quantile_cont(e_fit, {q}) from s where sector = {a}
 @query("exclusion_variant_saturated", targeted_sql(folds_sql(where="coalesce(social_group, 0) <> 4"), "s", "e_fit", "mu1_fit", "mu0_fit", SPREAD))
 def i25_saturated(spark, sf_dir):
     return without_group(cohort(spark, sf_dir), plain_scores)
+
+
+def imputed_sql(draws: int = 30) -> str:
+    """Pooled gaps after imputing a two-level group by its weighted shares; models with arm, group and their product."""
+    uniform = lambda text: f"('0x' || substr(sha256({text}), 1, 8))::bigint / 4294967296e0"
+    row = {}
+    for a, arm in ((0, "control"), (1, "treated")):
+        row[f"observed_{arm}"] = f"case when sector = {a} then weight * (outcome - o{a}) / ow{a} else 0 end"
+        row[f"adjusted_{arm}"] = f"weight / rw * (p{a} - q{a}) + case when sector = {a} then weight * (outcome - p{a}) / cw{a} * pi else 0 end"
+    for kind in ("observed", "adjusted"):
+        row[f"{kind}_gap"] = f"({row[f'{kind}_treated']}) - ({row[f'{kind}_control']})"
+    value = {"observed_control": "o0", "observed_treated": "o1", "observed_gap": "o1 - o0", "adjusted_control": "q0", "adjusted_treated": "q1", "adjusted_gap": "q1 - q0"}
+    dom = "wave, cohort, m"
+    return with_views(f"""
+    , k as (select *, case when social_group <= 2 then 1 when social_group <= 4 then 2 end as half from cohort),
+      un as (select wave, mother_id, state, stratum, psu, max(half) as half, avg(weight) as mw from k group by all),
+      im as (select m from range(1, {draws + 1}) t(m)),
+      e as (select un.*, m, -ln(1 - {uniform("concat_ws('|', m, state, stratum, psu)")}) as e from un, im),
+      f as (select *, e / avg(e) over (partition by wave, m, state, stratum) as f from e),
+      sh as (select wave, m, sum(mw * f) filter (half = 1) / sum(mw * f) as p1 from f where half is not null group by all),
+      dr as (select wave, m, mother_id, coalesce(half, case when {uniform("concat_ws('|', 'impute' || m, mother_id)")} < p1 then 1 else 2 end) as level
+        from un join sh using (wave)),
+      d as (select k.*, c.cohort, m, level from k join dr using (wave, mother_id), (values ('all'), ('first_delivery')) c(cohort)
+        where c.cohort = 'all' or delivery_order = 1),
+      ce as (select {dom}, level, sector, sum(weight) as cw, sum(weight * outcome) / sum(weight) as p from d group by all),
+      t as (select {dom}, sum(weight) as rw, sum(weight) filter (sector = 0) as ow0, sum(weight) filter (sector = 1) as ow1,
+        sum(weight * outcome) filter (sector = 0) / ow0 as o0, sum(weight * outcome) filter (sector = 1) / ow1 as o1 from d group by all),
+      r as (select {dom}, level, max(p) filter (sector = 0) as p0, max(p) filter (sector = 1) as p1, max(cw) filter (sector = 0) as cw0,
+        max(cw) filter (sector = 1) as cw1, sum(cw) as lw from ce group by all),
+      q as (select {dom}, sum(lw * p0) / sum(lw) as q0, sum(lw * p1) / sum(lw) as q1 from r group by all),
+      a as (select *, lw / rw as pi from d join r using ({dom}, level) join t using ({dom}) join q using ({dom})),
+      u as (select {dom}, state, stratum, psu, {", ".join(f"sum({row[x]}) as {x}" for x in METRICS)} from a group by all),
+      lg as (select * from u unpivot (v for metric in ({", ".join(METRICS)}))),
+      rs as (select state, stratum, count(*) as n from roster group by all),
+      st as (select {dom}, metric, state, stratum, max(n) as n, sum(v) as s, sum(v * v) as qq from lg join rs using (state, stratum) group by all),
+      g as (select {dom}, metric, sum(s) / sum(n) as g, cast(sum(n) - count(*) as double) as design_df from st group by all),
+      va as (select {dom}, metric, max(design_df) as design_df, 1e4 * sum(case when n > 1 then n / (n - 1e0) * (qq - s * s / n) else (s - g) * (s - g) end) as v
+        from st join g using ({dom}, metric) group by all),
+      pt as (select {dom}, metric, 100 * value as est from (select {dom}, {", ".join(f"{v} as {x}" for x, v in value.items())} from t join q using ({dom}))
+        unpivot (value for metric in ({", ".join(METRICS)}))),
+      po as (select wave, cohort, metric, count(*) as imputations, avg(est) as pooled, avg(v) as within, var_samp(est) as between, min(design_df) as d
+        from pt join va using ({dom}, metric) group by all),
+      z as (select *, within + (1 + 1e0 / imputations) * between as total, (1 + 1e0 / imputations) * between / total as f from po)
+    select wave, cohort, metric, imputations, pooled, within, between, total, sqrt(total) as se,
+      1 / (f * f / (imputations - 1) + 1 / ((d + 1) / (d + 3) * d * (1 - f))) as pooling_df, f as between_fraction,
+      sqrt(between / imputations) as monte_carlo_se from z where metric like 'adjusted%'""")
+
+
+@query("impute_and_reestimate_saturated", imputed_sql())
+def j4_saturated(spark, sf_dir):
+    rows = cohort(spark, sf_dir).withColumn("social_group", F.when(F.col("social_group") <= 2, 1).when(F.col("social_group") <= 4, 2))
+    plain = lambda data, name: E.learn_encoding(data, "sector", {}, ["social_group"], interactions=[("social_group", "2")])
+    pooled = imputed_gaps(rows, roster(spark, sf_dir), plain, lambda units: E.learn_encoding(units, None, {}, []), ridge=TINY)
+    # observed means do not depend on the group: their variance between imputations is rounding
+    return pooled.where("metric like 'adjusted%'").drop("baseline", "baseline_se", "change_from_baseline")

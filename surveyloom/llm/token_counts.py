@@ -1,20 +1,25 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token and joined back.
 
-1. Each run of documents becomes postings ``(pre-token, documents, frequencies)``. Pre-tokens that
-   are entries of the vocabulary itself (a table no larger than the vocabulary) are added up on the
-   spot, so the very frequent ones never reach the shuffle.
-2. Postings are dealt out by pre-token. There the tokenizer counts each distinct one once, and the
-   counts join the postings without another shuffle. A pre-token that fills much of a run is salted by the run.
-3. Frequencies times pieces are summed per document.
+1. Each run of documents becomes one block per hash bucket of pre-tokens: the bucket's distinct pre-tokens and their
+   postings (document, frequency) as packed, compressed arrays. Pre-tokens that are entries of the
+   vocabulary itself (a table no larger than the vocabulary) are added up on the spot, so the very
+   frequent ones never reach the shuffle.
+2. A bucket's task counts the pieces of each distinct pre-token once, joins them to the postings of every block and
+   sums pieces times frequency per document of the block. A pre-token that fills much of a run
+   goes to a bucket that depends on the run, too, so no bucket gets all of a frequent one.
+3. The blocks' sums, packed again, go to the documents' partition and are added up there.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,40 +28,84 @@ from surveyloom.llm.common import with_row_key
 
 FLUSH = 400_000
 HOT_POSTINGS, SALTS = 2_000, 64
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
+#: Distinct pre-tokens whose pieces a bucket's task remembers; beyond, it forgets them and counts anew.
+REMEMBERED = 1_000_000
 _ORDINAL = (1 << 33) - 1
-#: A posting: place of the document in its partition, and how often it has the pre-token.
-_POSTING = np.dtype([("row", "<u4"), ("count", "<u4")])
-_SCHEMA = "pretoken string, salt int, part int, postings binary"
+_SCHEMA = "bucket int, part int, documents boolean, body binary"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
-def _postings(json_file: str):
-    """Arrow function: postings of the unknown pre-tokens; the known sums are postings of the empty string, which is no pre-token."""
+def pack(*arrays: np.ndarray, texts: list[bytes] | None = None, level: int = 3) -> bytes:
+    """Whole-number arrays, each in its narrowest type, and byte strings, compressed together."""
+    if texts is not None:
+        arrays = (*arrays, np.fromiter(map(len, texts), np.int64, len(texts)))
+    parts = [len(arrays).to_bytes(1, "little")]
+    for x in arrays:
+        x = np.asarray(x)
+        kind = next((t for t in ("<u1", "<u2", "<u4") if not len(x) or (x.min() >= 0 and x.max() <= np.iinfo(t).max)), "<i8")
+        parts += [kind.encode(), len(x).to_bytes(8, "little"), x.astype(kind).tobytes()]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts + (texts or [])))
+
+
+def unpack(body: bytes) -> tuple[list[np.ndarray], bytes]:
+    """The arrays of :func:`pack` and the bytes after them."""
+    data = zstandard.ZstdDecompressor().decompress(body)
+    at, out = 1, []
+    for _ in range(data[0]):
+        kind, n = data[at:at + 3].decode(), int.from_bytes(data[at + 3:at + 11], "little")
+        out.append(np.frombuffer(data, kind, n, at + 11).astype(np.int64))
+        at += 11 + n * int(kind[2])
+    return out, data[at:]
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], _NAMES)
+
+
+def _blocks(json_file: str, buckets: int):
+    """Arrow function over ``(row, doc_id, text)``: blocks of unknown pre-tokens, and per run its documents with their known sums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, made = pretokens.entry_counts(json_file), 0, 0
-        tokens, at, counts, sums_at, sums = [], [], [], [], []
+        tokens, at, counts = [], [], []
+        documents: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal made
             made += 1
+            first = documents[0][0]
+            ids = np.array([0 if d is None else d for _, d, _, _ in documents], np.int64)
+            nulls = np.array([d is None for _, d, _, _ in documents])
+            rows = [(made % buckets, part, True, pack(np.array([first]), ids, nulls, *(np.array([d[i] for d in documents]) for i in (2, 3))))]
+            if tokens:
+                rows += posted(first)
+            documents.clear()
+            for x in (tokens, at, counts):
+                x.clear()
+            return _rows(rows)
+
+        def posted(first: int) -> list[tuple]:
             coded = pa.array(tokens, pa.string()).dictionary_encode()
-            codes, names = coded.indices.to_numpy(), coded.dictionary
+            codes, names = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
             sizes = np.bincount(codes, minlength=len(names))
-            order = np.argsort(codes, kind="stable")
-            run_salt = (part * 31 + made) % SALTS + 1
-            salts = np.r_[np.where(sizes >= HOT_POSTINGS, run_salt, 0), -run_salt]
-            packed = np.zeros(len(at) + len(sums), _POSTING)
-            packed["row"] = np.r_[np.array(at, np.uint32)[order], np.array(sums_at, np.uint32)]
-            packed["count"] = np.r_[np.array(counts, np.uint32)[order], np.array(sums, np.uint32)]
-            ends = np.r_[0, np.cumsum(np.r_[sizes, len(sums)])].astype(np.int32) * _POSTING.itemsize
-            bodies = pa.Array.from_buffers(pa.binary(), len(salts), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
-            out = pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([""])]), pa.array(salts, pa.int32()),
-                                              pa.array(np.full(len(salts), part), pa.int32()), bodies], ["pretoken", "salt", "part", "postings"])
-            for x in (tokens, at, counts, sums_at, sums):
-                x.clear()
-            return out
+            hashes = np.fromiter(map(zlib.crc32, names), np.int64, len(names))
+            salt = (part * 31 + made) % SALTS
+            bucket = (hashes + np.where(sizes >= HOT_POSTINGS, salt, 0)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            posting = np.argsort(rank[codes], kind="stable")
+            where, often = np.array(at, np.int64)[posting] - first, np.array(counts, np.int64)[posting]
+            sizes = sizes[order]
+            ends = np.r_[0, np.cumsum(sizes)]
+            edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
+            return [(int(bucket[order[a]]), part, False, pack(np.array([first]), sizes[a:b], where[ends[a]:ends[b]], often[ends[a]:ends[b]],
+                                                              texts=[names[i] for i in order[a:b].tolist()])) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)])]
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for key, doc_id, text, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), sizes):
                 part, row = key >> 33, key & _ORDINAL
                 found, total = pretokens.pretokens(text or "")
                 for token, count in Counter(found).items():
@@ -67,43 +116,70 @@ def _postings(json_file: str):
                         counts.append(count)
                     else:
                         total += pieces * count
-                sums_at.append(row)
-                sums.append(total)
-                if len(tokens) + len(sums) >= FLUSH:
+                documents.append((row, doc_id, size, total))
+                if len(tokens) + len(documents) >= FLUSH:
                     yield flush()
-        if sums:
+        if documents:
             yield flush()
     return run
 
 
-def _pieces(json_file: str):
-    """Arrow function: adds the pieces of each pre-token; the empty string stands for sums of pieces."""
+def _counted(json_file: str):
+    """Arrow function over the blocks of some buckets: pieces per document of each block; rows of documents pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = pretokens.tokenizer(json_file)
+        tok, pieces = pretokens.tokenizer(json_file), {}
         for batch in batches:
-            sizes = [len(x) or 1 for x in tok.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "pieces"])
+            out = []
+            for bucket, part, documents, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if documents:
+                    out.append((bucket, part, True, body))
+                    continue
+                ((first,), sizes, where, often, lengths), rest = unpack(body)
+                ends = np.cumsum(lengths)
+                names = [rest[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+                fresh = [x for x in names if x not in pieces]
+                if fresh:
+                    if len(pieces) + len(fresh) > REMEMBERED:
+                        pieces.clear()
+                        fresh = names
+                    found = tok.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
+                    pieces.update(zip(fresh, map(len, found)))
+                total = np.repeat(np.array([pieces[x] for x in names], np.int64), sizes) * often
+                rows, place = np.unique(where, return_inverse=True)
+                summed = np.zeros(len(rows), np.int64)
+                np.add.at(summed, place, total)
+                out.append((bucket, part, False, pack(np.array([first]), np.diff(rows, prepend=0), summed, level=1)))
+            yield _rows(out)
     return run
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function over ``(part, pieces, postings)``: pieces per document, added up within a batch."""
-    for batch in batches:
-        bodies = batch.column(2)
-        ends = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1, bodies.offset * 4)
-        found = np.frombuffer(bodies.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(_POSTING) if len(bodies) else np.zeros(0, _POSTING)
-        sizes = np.diff(ends) // _POSTING.itemsize
-        keys = (np.repeat(batch.column(0).to_numpy().astype(np.int64), sizes) << 33) + found["row"]
-        rows, at = np.unique(keys, return_inverse=True)
-        tokens = np.bincount(at, np.repeat(batch.column(1).to_numpy(), sizes) * found["count"].astype(np.int64), len(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(tokens.astype(np.int64))], ["_row", "tokens"])
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function over rows sorted by partition: counts of each document, one batch per partition of the scan."""
+    part, documents, sums = None, [], []
 
+    def finish() -> pa.RecordBatch:
+        runs = sorted(documents, key=lambda x: x[0])
+        starts = np.array([r[0] for r in runs])
+        totals = [r[4].copy() for r in runs]
+        for first, rows, extra in sums:
+            totals[int(np.searchsorted(starts, first))][rows] += extra
+        ids = pa.array(np.concatenate([r[1] for r in runs]), mask=np.concatenate([r[2] for r in runs]).astype(bool))
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([r[3] for r in runs])), pa.array(np.concatenate(totals))], ["doc_id", "n_bytes", "n_tokens"])
 
-def pretoken_table(postings: DataFrame, json_file: str) -> DataFrame:
-    """Pieces of every distinct pre-token, with the runs and documents it has outside the vocabulary table."""
-    return (postings.groupBy("pretoken", "salt")
-            .agg(F.count("part").alias("runs"), F.sum(F.octet_length("postings") / _POSTING.itemsize).cast("long").alias("documents"))
-            .mapInArrow(_pieces(json_file), "pretoken string, salt int, runs long, documents long, pieces long"))
+    for batch in batches:
+        for own, is_documents, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if own != part:
+                if documents:
+                    yield finish()
+                part, documents, sums = own, [], []
+            arrays, _ = unpack(body)
+            first = int(arrays[0][0])
+            if is_documents:
+                documents.append((first, *arrays[1:]))
+            else:
+                sums.append((first, np.cumsum(arrays[1]), arrays[2]))
+    if documents:
+        yield finish()
 
 
 def token_counts(documents: DataFrame, json_file: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,15 +189,10 @@ def token_counts(documents: DataFrame, json_file: str, limit: int = 512, doc_id:
     each, with the id as it is. Other columns are ignored, an empty table gives no rows, and texts
     of any length are read whole.
     """
-    texts = with_row_key(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    postings = (texts.select("_row", "text").mapInArrow(_postings(json_file), _SCHEMA)
-                .where("pretoken is not null and salt is not null")  # said once here, else the join says it on one of its sides only
-                .repartition("pretoken", "salt"))
-    pieces = pretoken_table(postings, json_file).select("pretoken", "salt", "pieces")
-    counted = (postings.join(pieces, ["pretoken", "salt"]).select("part", "pieces", "postings").mapInArrow(_sums, "_row long, tokens long")
-               .select("_row", "tokens", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes")))
-    rows = texts.select("_row", F.lit(0).cast("long").alias("tokens"), "doc_id",
-                        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return (counted.unionAll(rows).groupBy("_row")
-            .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    texts = with_row_key(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    parts = texts.rdd.getNumPartitions()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (2 * parts).bit_length()))
+    blocks = texts.select("_row", "doc_id", "text").mapInArrow(_blocks(json_file, buckets), _SCHEMA)
+    summed = blocks.repartition("bucket").mapInArrow(_counted(json_file), _SCHEMA)
+    return (summed.select("part", "documents", "body").repartition("part").sortWithinPartitions("part")
+            .mapInArrow(_added, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit))

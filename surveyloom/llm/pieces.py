@@ -2,7 +2,7 @@
 
 A text, with one space put in front, is cut before each run of spaces; no piece of the vocabulary
 reaches over such a cut, so the piece lattice of a text is the chain of the lattices of its parts.
-The forward sums are computed once per distinct part of a run of texts. Each occurrence is then
+The forward sums are computed once per distinct part and kept for the later runs of a task. Each occurrence is then
 sampled backward from its end: an edge is chosen with the probability its start's forward sum gives it. The draws
 are a hash of (seed, row key, part, step), so a row's segmentation does not depend on how rows are
 partitioned. Characters without a piece fall back to byte pieces; a literal word-start mark in a text
@@ -11,7 +11,9 @@ does too, which keeps decoding lossless.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,11 @@ _MARK = "▁"
 _SPACE = 0x20
 _FILTER_BITS = 22
 CHUNK_BYTES = 1 << 20
+#: Places that all parts of a run take together, and occurrences beyond which sampling works on arrays.
+SIDE_BY_SIDE, FEW = 48, 24
+#: Edges of parts that a task keeps for its later runs (44 bytes each).
+EDGES_KEPT = 2_000_000
+_ONE, _FULL = 1 << 30, (1 << 64) - 1
 #: Bytes of a UTF-8 character by its first byte.
 _WIDTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
 
@@ -133,9 +140,10 @@ def lattice(model_file: str, sharpness: float) -> Lattice:
 
 
 def _forward(kit: Lattice, data: np.ndarray, begins: np.ndarray, ends: np.ndarray):
-    """Edges sorted by end, with the running probability of the edges into each end.
+    """Edges sorted by end, with the running probability of the edges into each end in units of 2^-30.
 
-    Ends are numbered so that part p's local place t is ``begins[p] + p + t``.
+    Ends are numbered so that part p's local place t is ``begins[p] + p + t``. Whole units that add up to 2^30
+    at every end keep the running sums exact, so a draw does not depend on what else is in the table.
     """
     last = np.repeat(ends, ends - begins)
     part = np.repeat(np.arange(len(begins)), ends - begins)
@@ -149,7 +157,8 @@ def _forward(kit: Lattice, data: np.ndarray, begins: np.ndarray, ends: np.ndarra
     first = np.searchsorted(target, np.arange(len(alpha) + 1))
     # the forward sums of all parts at once, one local place after the other
     turn = _order(local)
-    steps = np.r_[0, np.flatnonzero(np.diff(local[turn])) + 1, len(turn)]
+    turn = turn[:int(np.searchsorted(local[turn], SIDE_BY_SIDE, side="right"))]
+    steps = np.r_[0, np.flatnonzero(np.diff(local[turn])) + 1, len(turn)] if len(turn) else np.zeros(1, int)
     for a, b in zip(steps[:-1], steps[1:]):
         own_edges = turn[a:b]
         into = target[own_edges]
@@ -158,14 +167,68 @@ def _forward(kit: Lattice, data: np.ndarray, begins: np.ndarray, ends: np.ndarra
         top = np.maximum.reduceat(value, inner)
         sizes = np.diff(np.r_[inner, b - a])
         alpha[into[inner]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes)), inner))
-    return source, piece, np.cumsum(np.exp(alpha[source] + weight - alpha[target])), first
-
-
-def sample(kit: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    for p in np.flatnonzero(ends - begins > SIDE_BY_SIDE).tolist():
+        _forward_alone(alpha, int(begins[p]) + p, int(ends[p] - begins[p]), source, weight, first)
+    units = np.floor(np.exp(alpha[source] + weight - alpha[target]) * _ONE).astype(np.int64)
+    reached = np.flatnonzero(np.diff(first))
+    total = np.add.reduceat(units, first[:-1][reached]) if len(units) else units
+    units[first[1:][reached] - 1] += _ONE - total
+    return source, piece, units, first
+
+
+def _forward_alone(alpha: np.ndarray, floor: int, size: int, source: np.ndarray, weight: np.ndarray, first: np.ndarray) -> None:
+    """Forward sums of the places of a long part beyond those that all parts take together: plain numbers are faster than arrays here."""
+    values, base = alpha[floor:floor + size + 1].tolist(), int(first[floor + SIDE_BY_SIDE + 1])
+    edges = first[floor + SIDE_BY_SIDE + 1:floor + size + 2].tolist()
+    into, heavy = (source[base:edges[-1]] - floor).tolist(), weight[base:edges[-1]].tolist()
+    for t in range(SIDE_BY_SIDE + 1, size + 1):
+        a, b = edges[t - SIDE_BY_SIDE - 1] - base, edges[t - SIDE_BY_SIDE] - base
+        if b - a == 1:
+            values[t] = values[into[a]] + heavy[a]
+        elif b > a:
+            found = [values[into[i]] + heavy[i] for i in range(a, b)]
+            top = max(found)
+            values[t] = top + math.log(sum([math.exp(v - top) for v in found]))
+    alpha[floor:floor + size + 1] = values
+
+
+class Memory:
+    """Edges of the parts of earlier runs of a task, up to ``EDGES_KEPT`` edges; then it begins anew."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.floor, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.source, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.running, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.rank[at], -1)
+
+    def add(self, kit: Lattice, data: np.ndarray, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        source, piece, units, first = _forward(kit, data, begins, ends)
+        places, edges, base = len(self.first) - 1, len(self.source), self.running[-1] if len(self.running) else 0
+        self.floor = np.r_[self.floor, begins + np.arange(len(begins)) + places]
+        self.size = np.r_[self.size, ends - begins]
+        self.source, self.piece = np.r_[self.source, source + places], np.r_[self.piece, piece]
+        self.running, self.first = np.r_[self.running, base + np.cumsum(units)], np.r_[self.first, first[1:] + edges]
+        every = np.r_[self.hashes, hashes]
+        ranks = np.r_[self.rank, len(self.rank) + np.arange(len(hashes))]
+        order = np.argsort(every)
+        self.hashes, self.rank = every[order], ranks[order]
+
+
+def sample(kit: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of the texts ``data[offsets[i]:offsets[i + 1]]`` and where each text's ids begin.
 
-    Each text must begin with its added space.
+    Each text must begin with its added space. ``memory`` may hold parts of earlier calls.
     """
+    memory = Memory() if memory is None else memory
     space = data == _SPACE
     cut = space.copy()
     cut[1:] &= ~space[:-1]
@@ -176,41 +239,72 @@ def sample(kit: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(_BASE))
-    _, shown, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    sizes = (ends - begins)[shown]
-    own_begins = np.r_[0, np.cumsum(sizes)[:-1]]
-    gather = np.repeat(begins[shown] - own_begins, sizes) + np.arange(sizes.sum())
-    source, piece, running, first = _forward(kit, data[gather], own_begins, own_begins + sizes)
-    floor = own_begins + np.arange(len(sizes))
+    names, shown, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    if len(memory.source) > EDGES_KEPT:
+        memory.clear()
+    fresh = shown[memory.find(names) < 0]
+    if len(fresh):
+        sizes = (ends - begins)[fresh]
+        own_begins = np.r_[0, np.cumsum(sizes)[:-1]]
+        gather = np.repeat(begins[fresh] - own_begins, sizes) + np.arange(sizes.sum())
+        memory.add(kit, data[gather], hashes[fresh], own_begins, own_begins + sizes)
+    rank = memory.find(names)
+    floor, size = memory.floor[rank], memory.size[rank]
+    source, piece, running, first = memory.source, memory.piece, memory.running, memory.first
     text_of = np.searchsorted(offsets, begins, side="right") - 1
     number = np.arange(len(begins)) - np.searchsorted(begins, offsets[:-1])[text_of]
     state = mix(keys[text_of].astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed))
     state = mix(state + number.astype(np.uint64) * np.uint64(_BASE))
-    at = (floor + sizes)[kind]
+    at = (floor + size)[kind]
     # occurrences of a part next to each other: their look-ups fall in the same place
     active, counts, chosen = _order(kind), np.zeros(len(begins), np.int64), []
     bottom = floor[kind]
-    while len(active):
+    while len(active) > FEW:
         here = at[active]
-        draw = mix(state[active] + counts[active].astype(np.uint64)) >> np.uint64(11)
-        low, high = first[here], first[here + 1]
-        before = np.where(low > 0, running[np.maximum(low, 1) - 1], 0.0)
-        width = running[high - 1] - before
-        edge = np.clip(np.searchsorted(running, before + width * (draw.astype(np.float64) / 2.0**53), side="right"), low, high - 1)
+        draw = mix(state[active] + counts[active].astype(np.uint64)) >> np.uint64(34)
+        low = first[here]
+        before = np.where(low > 0, running[np.maximum(low, 1) - 1], 0)
+        edge = np.searchsorted(running, before + draw.astype(np.int64), side="right")
         chosen.append((active, counts[active], piece[edge]))
         counts[active] += 1
         at[active] = source[edge]
         active = active[at[active] > bottom[active]]
+    alone = {}
+    for who in active.tolist():
+        alone[who] = _walk(memory, int(at[who]), int(bottom[who]), int(state[who]), int(counts[who]))
+        counts[who] += len(alone[who])
     place = np.r_[0, np.cumsum(counts)]
     out = np.zeros(place[-1], np.int32)
     for who, step, ids in chosen:
         out[place[who] + counts[who] - 1 - step] = ids
+    for who, ids in alone.items():
+        out[place[who]:place[who] + len(ids)] = ids[::-1]
     return out, place[np.searchsorted(begins, offsets)]
 
 
+def _walk(memory: Memory, at: int, bottom: int, state: int, step: int) -> list[int]:
+    """The rest of one part's way back, edge by edge: the same draws as those of many parts together."""
+    base = int(memory.first[bottom])
+    first = memory.first[bottom:at + 2].tolist()
+    end = first[-1]
+    running = memory.running[base:end].tolist()
+    source, piece = memory.source[base:end].tolist(), memory.piece[base:end].tolist()
+    start, out = int(memory.running[base - 1]) if base else 0, []
+    while at > bottom:
+        x = state + step & _FULL
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _FULL
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & _FULL
+        low = first[at - bottom] - base
+        edge = bisect.bisect_right(running, (running[low - 1] if low else start) + ((x ^ x >> 31) >> 34), low)
+        out.append(piece[edge])
+        at = source[edge]
+        step += 1
+    return out
+
+
 def _encode(model_file: str, sharpness: float, seed: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kit = lattice(model_file, sharpness)
+        kit, memory = lattice(model_file, sharpness), Memory()
         for batch in batches:
             keys, texts = pc.fill_null(batch.column(keep), 0).to_numpy(), batch.column(keep + 1)
             for begin, end, data, offsets in chunks(texts, CHUNK_BYTES):
@@ -221,7 +315,7 @@ def _encode(model_file: str, sharpness: float, seed: int, keep: int):
                 ids, first = np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
                 if full.any():
                     used = np.r_[shifted[:-1][full], shifted[-1]]
-                    ids, own = sample(kit, spaced, used, keys[begin:end][full], seed)
+                    ids, own = sample(kit, spaced, used, keys[begin:end][full], seed, memory)
                     counts = np.zeros(len(full), np.int64)
                     counts[full] = np.diff(own)
                     first[1:] = np.cumsum(counts)

@@ -96,3 +96,18 @@ def test_best_fit_places_in_the_fullest_window_that_has_room():
     state.place(7, 0, bytes(4 * 3), 3)  # fits none: its head fills a window
     assert [(r[0], r[2]) for r in state.rows if r[5] == 2] == [(5, 9), (7, 1)]
     assert [(p[0], p[1], len(p[2]) // 4) for p in state.drain()] == [(7, 2, 1)]
+
+
+def test_blocks_keep_whole_numbers_and_texts():
+    arrays = [np.array([0, 255]), np.array([65536]), np.array([-1, 1 << 40]), np.zeros(0, int)]
+    got, rest = token_counts.unpack(token_counts.pack(*arrays, texts=[b"a", b"", "é".encode()]))
+    assert [x.tolist() for x in got] == [x.tolist() for x in arrays] + [[1, 0, 2]] and rest == "aé".encode()
+
+
+def test_a_task_that_forgets_pieces_counts_the_same(spark, sf_dir, monkeypatch):
+    df = table(spark, sf_dir, "documents")
+    usual = sorted(map(tuple, token_counts.token_counts(df, JSON).collect()))
+    monkeypatch.setattr(token_counts, "REMEMBERED", 5)
+    monkeypatch.setattr(token_counts, "HOT_POSTINGS", 2)
+    monkeypatch.setattr(token_counts, "FLUSH", 900)
+    assert sorted(map(tuple, token_counts.token_counts(df.repartition(3), JSON).collect())) == usual

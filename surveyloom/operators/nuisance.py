@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from surveyloom.operators.encoding import Encoding, learn_encoding, token_name
 from surveyloom.operators.ranking import quantile_bins, stratified_group_folds
 from surveyloom.operators.refits import fit_many, multiplier_bytes
 from surveyloom.operators.scale import cut, exact_quantiles, hash_ranks
-from surveyloom.operators.standardize import covariate_cells, fit_cells, sigmoid
+from surveyloom.operators.standardize import LogitModel, covariate_cells, fit_cells, sigmoid
 
 TINY = 1e-6
 
@@ -212,41 +213,117 @@ def _targeting_pass(rows: DataFrame, point: np.ndarray, count: int) -> dict[str,
     return {"rows": sum(r["n"] for r in found), "weight": cells[0], "score": cells[1:3], "slope": cells[3:5], "tmle": cells[5:7], "aipw": cells[7:9]}
 
 
-def stack_two_learners(df: DataFrame, encoding: Encoding, outcome: str, weight: str, group: Sequence[str], k: int, seed: int,
-                       ridge: float = 1e-5, trees: int = 10, depth: int = 3, grid: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Convex mix of a logistic and a tree learner chosen on grouped out-of-fold log loss.
+@dataclass(frozen=True)
+class LogitLearner:
+    """Ridge logistic regressions, one per column of weights, all fitted in the same passes."""
 
-    Returns (rows with ``stacked``, one-row table with the mix and its loss).
+    encoding: Encoding
+    ridge: float = 1e-5
+
+    def fit(self, cells: DataFrame, weights: Sequence[str]) -> list:
+        rows = cells.select(F.lit("all").alias("domain"), *self.encoding.keys, "_y", F.array(*weights).alias("_ws"))
+        fits = fit_many(rows, self.encoding, self.ridge, {"all": len(weights)})["all"]
+        if set(fits.status) != {"ok"}:
+            raise RuntimeError(f"Fits that did not settle: {fits.status}")
+        return [LogitModel(self.encoding, beta, self.ridge) for beta in fits.beta]
+
+    def score(self, model, df: DataFrame, out: str, exposure: Column | None = None) -> DataFrame:
+        return df.withColumn(out, model.probability(exposure))
+
+
+@dataclass(frozen=True)
+class TreeLearner:
+    """Boosted trees, one model per column of weights."""
+
+    encoding: Encoding
+    trees: int = 200
+    depth: int = 4
+    seed: int = 42
+
+    def fit(self, cells: DataFrame, weights: Sequence[str]) -> list:
+        return [fit_trees(cells, self.encoding, w, self.trees, self.depth, self.seed) for w in weights]
+
+    def score(self, model, df: DataFrame, out: str, exposure: Column | None = None) -> DataFrame:
+        return tree_probability(model, df, self.encoding, out, exposure)
+
+
+def _inner_folds(folded: DataFrame, group: Sequence[str], label: str, outer: int, inner: int, seed: int, out: str) -> DataFrame:
+    """Per group the inner fold in the training rows of every outer fold, as an array (null at the group's own fold)."""
+    groups = folded.groupBy(*group).agg(F.max("fold").alias("fold"), F.floor(F.avg(F.col(label).cast("double")) * 4).cast("int").alias("_class"))
+    long = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("_outer")).where("_outer <> fold")
+    named = long.withColumn("_h", F.sha2(F.concat_ws("|", (F.lit(seed) + F.col("_outer")).cast("string"), *[F.col(g).cast("string") for g in group]), 256))
+    ranked = hash_ranks(named, ["_outer", "_class"], "_h")
+    fold = F.pmod(F.col("rank") - 1 + F.col("_class"), F.lit(inner)).cast("int")
+    return ranked.groupBy(*group).agg(F.array(*[F.max(F.when(F.col("_outer") == f, fold)) for f in range(outer)]).alias(out))
+
+
+def profile_mix(scored: DataFrame, by: str, grid: int = 100) -> DataFrame:
+    """Share of the first of two scores with the least weighted log loss, per level of ``by``; all shares in one aggregate.
+
+    ``scored`` holds ``_h`` (weight), ``_y``, ``_one`` and ``_two``. The smallest share wins ties.
     """
-    folded = stratified_group_folds(df, group, outcome, k, seed)
-    w = F.col(weight)
-    cells = cut(covariate_cells(folded, encoding, outcome, {"_all": w} | {
-        f"_w{f}": F.when(F.col("fold") != f, w) for f in range(k)} | {f"_h{f}": F.when(F.col("fold") == f, w) for f in range(k)}))
-    parts = []
-    for f in range(k):
-        held = cells.where(F.col(f"_h{f}") > 0)
-        logit = fit_cells(cells, encoding, ridge, f"_w{f}")
-        model = fit_trees(cells, encoding, f"_w{f}", trees, depth, seed)
-        parts.append(tree_probability(model, held.withColumn("_l", logit.probability()), encoding, "_t").select(
-            "_y", F.col(f"_h{f}").alias("_h"), "_l", "_t"))
-    oof = parts[0]
+    def loss(i: int) -> Column:
+        p = clip(F.col("_one") * (i / grid) + F.col("_two") * (1 - i / grid), TINY)
+        return F.sum(F.col("_h") * -(F.col("_y") * F.ln(p) + (1 - F.col("_y")) * F.ln(1 - p))) / F.sum("_h")
+
+    sums = scored.groupBy(by).agg(F.array(*[loss(i) for i in range(grid + 1)]).alias("_losses"))
+    best = F.array_min("_losses")
+    return sums.select(by, ((F.array_position("_losses", best) - 1) / grid).alias("share"), best.alias("log_loss"),
+                       F.element_at("_losses", grid + 1).alias("log_loss_one"), F.element_at("_losses", 1).alias("log_loss_two"))
+
+
+def _stacked_models(folded: DataFrame, learners: Sequence, label: str, weight: str, inner_of: str, outer: int, inner: int, grid: int):
+    """Models of both learners per outer fold, and the table of shares profiled on inner held-out scores."""
+    w, training = F.col(weight), lambda f: F.col("fold") != f
+    at = lambda f: F.element_at(inner_of, f + 1)
+    tries = [(f, i) for f in range(outer) for i in range(inner)]
+    sums = {f"_t{f}_{i}": F.when(training(f) & (at(f) != i), w) for f, i in tries}
+    sums |= {f"_h{f}_{i}": F.when(training(f) & (at(f) == i), w) for f, i in tries} | {f"_all{f}": F.when(training(f), w) for f in range(outer)}
+    columns = [f"_t{f}_{i}" for f, i in tries] + [f"_all{f}" for f in range(outer)]
+    # the first learner's covariates hold those of the second
+    cells = cut(covariate_cells(folded, learners[0].encoding, label, sums))
+    models = [learner.fit(cells, columns) for learner in learners]
+    held = cells
+    for k, (f, i) in enumerate(tries):
+        for name, learner, fitted in zip(("one", "two"), learners, models):
+            held = learner.score(fitted[k], held, f"_{name}{f}_{i}")
+    long = held.select("_y", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("fold"), F.col(f"_h{f}_{i}").alias("_h"), F.col(f"_one{f}_{i}").alias("_one"), F.col(f"_two{f}_{i}").alias("_two"))
+        for f, i in tries]))).where("_h > 0")
+    shares = cut(profile_mix(long, "fold", grid))
+    return [m[len(tries):] for m in models], shares
+
+
+def cross_fit_stacked(df: DataFrame, propensity: Sequence, outcomes: Sequence, exposure: str, outcome: str, weight: str, group: Sequence[str],
+                      outer: int = 5, inner: int = 3, seed: int = 42, grid: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold ``e_fit``, ``mu1_fit`` and ``mu0_fit``, each a mix of two learners.
+
+    The share of each learner is chosen per outer fold on scores held out in grouped inner folds of its training rows
+    only; both learners are then fitted to all training rows. Returns (scored rows, shares per fold and model).
+    """
+    folded = stratified_group_folds(df, group, exposure, outer, seed)
+    for label, name, shift in ((exposure, "_inner_e", 0), (outcome, "_inner_q", 100)):
+        folded = folded.join(_inner_folds(folded, group, label, outer, inner, seed + shift, name), list(group))
+    folded = cut(folded)
+    e_models, e_shares = _stacked_models(folded, propensity, exposure, weight, "_inner_e", outer, inner, grid)
+    q_models, q_shares = _stacked_models(folded, outcomes, outcome, weight, "_inner_q", outer, inner, grid)
+    share = {name: {r["fold"]: r["share"] for r in table.collect()} for name, table in (("e", e_shares), ("q", q_shares))}  # one per fold
+    ready, parts = outcomes[0].encoding.prepare(folded.drop("_inner_e", "_inner_q")), []
+    for f in range(outer):
+        held = ready.where(F.col("fold") == f)
+        for out, name, learners, models, arm in (("e_fit", "e", propensity, e_models, None), ("mu1_fit", "q", outcomes, q_models, F.lit(1.0)),
+                                                 ("mu0_fit", "q", outcomes, q_models, F.lit(0.0))):
+            for part, learner, fitted in zip(("_one", "_two"), learners, models):
+                held = learner.score(fitted[f], held, part, arm)
+            a = share[name][f]
+            held = held.withColumn(out, a * F.col("_one") + (1 - a) * F.col("_two")).drop("_one", "_two")
+        parts.append(held)
+    scored = parts[0]
     for part in parts[1:]:
-        oof = oof.unionByName(part)
-    mix = lambda alpha: clip(alpha * F.col("_l") + (1 - alpha) * F.col("_t"), TINY)
-    losses = [(F.sum(F.col("_h") * -(F.col("_y") * F.ln(mix(i / grid)) + (1 - F.col("_y")) * F.ln(1 - mix(i / grid))))
-               / F.sum("_h")).alias(f"a{i}") for i in range(grid + 1)]
-    row = oof.agg(*losses).first()
-    best = min(range(grid + 1), key=lambda i: row[f"a{i}"])
-    logit = fit_cells(cells, encoding, ridge, "_all")
-    model = fit_trees(cells, encoding, "_all", trees, depth, seed)
-    alpha = best / grid
-    scored = tree_probability(model, encoding.prepare(df).withColumn("_l", logit.probability()), encoding, "_t")
-    stacked = scored.withColumn("stacked", alpha * F.col("_l") + (1 - alpha) * F.col("_t")).drop(
-        "_l", "_t", *[token_name(c) for c, _ in encoding.categorical])
-    table = df.sparkSession.createDataFrame(
-        [(alpha, 1 - alpha, float(row[f"a{best}"]), float(row[f"a{grid}"]), float(row["a0"]))],
-        "logistic double, tree double, inner_log_loss double, logistic_log_loss double, tree_log_loss double")
-    return stacked, table
+        scored = scored.unionByName(part)
+    stored = cut(scored.drop(*[token_name(c) for c, _ in outcomes[0].encoding.categorical]))
+    check_cross_fit(stored, group, ["e_fit", "mu1_fit", "mu0_fit"])
+    return stored, e_shares.withColumn("model", F.lit("propensity")).unionByName(q_shares.withColumn("model", F.lit("outcome")))
 
 
 def context_split_aipw(scored: DataFrame, design: SurveyDesign, outcome: str, exposure: str, unit: str,

@@ -75,11 +75,23 @@ def i17(spark, sf_dir):
     return found.withColumns({c: F.round(c, 9) + 0.0 for c in ("score_treated", "score_control")})
 
 
+def stacked(spark, sf_dir, trees=10, depth=4):
+    rows = cohort(spark, sf_dir)
+    full = encoding_of(rows)
+    plain = E.Encoding(None, full.numeric, full.categorical)
+    return N.cross_fit_stacked(rows, [N.LogitLearner(plain), N.TreeLearner(plain, trees, depth)], [N.LogitLearner(full), N.TreeLearner(full, trees, depth)],
+                               "sector", "outcome", "weight", ["mother_id"], FOLDS, 3, SEED)
+
+
 @query("stack_two_learners")
 def i18(spark, sf_dir):
-    rows = cohort(spark, sf_dir)
-    _, table = N.stack_two_learners(rows, encoding_of(rows), "outcome", "weight", ["mother_id"], 2, SEED, trees=5)
-    return table
+    return stacked(spark, sf_dir)[1]
+
+
+@query("stacked_risks")
+def i18_risks(spark, sf_dir):
+    """Both estimators on the same stacked scores."""
+    return N.targeted(stacked(spark, sf_dir)[0], DESIGN, "outcome", "sector", "e_fit", "mu1_fit", "mu0_fit", reps=REPS, seed=SEED)
 
 
 def with_risk(rows):

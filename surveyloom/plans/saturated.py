@@ -240,3 +240,61 @@ def j4_saturated(spark, sf_dir):
     pooled = imputed_gaps(rows, roster(spark, sf_dir), plain, lambda units: E.learn_encoding(units, None, {}, []), ridge=TINY)
     # observed means do not depend on the group: their variance between imputations is rounding
     return pooled.where("metric like 'adjusted%'").drop("baseline", "baseline_se", "change_from_baseline")
+
+
+def _mix_sql(name: str, label: str, inner: str, fine: str, coarse: str) -> str:
+    """Shares of two learners per outer fold; both are weighted means, of the cells ``fine`` and of the cells ``coarse``."""
+    of = lambda keys: f", {keys}" if keys else ""
+    using = lambda keys: f"f, i{of(keys)}"
+    means = lambda cte, keys: f"""
+      {cte}s as (select f, {inner} as i{of(keys)}, sum(weight) as w, sum(weight * {label}) as v from tr group by all),
+      {cte}a as (select f{of(keys)}, sum(w) as w, sum(v) as v from {cte}s group by all),
+      {cte} as (select k.f, t.i{of(', '.join("a." + x.strip() for x in keys.split(",")) if keys else "")}, (a.v - coalesce(o.v, 0)) / (a.w - coalesce(o.w, 0)) as p
+        from (select distinct f from tr) k join {cte}a a on a.f = k.f cross join range(0, 3) t(i) left join {cte}s o on o.f = k.f and o.i = t.i
+        {"".join(f" and o.{x.strip()} = a.{x.strip()}" for x in keys.split(",")) if keys else ""})"""
+    return f"""{means(name + "1", fine)}, {means(name + "2", coarse)},
+      {name}h as (select f, {inner} as i{of(fine)}, {label} as y, sum(weight) as h from tr group by all),
+      {name}l as (select h.f, g, sum(h * -(y * ln(p) + (1 - y) * ln(1 - p))) / sum(h) as loss from (
+        select h.f, h.h, h.y, g, greatest(1e-6, least(1 - 1e-6, a.p * (g / 1e2) + b.p * (1 - g / 1e2))) as p from {name}h h
+        join {name}1 a using ({using(fine)}) join {name}2 b using ({using(coarse)}), range(0, 101) t(g)) h group by all),
+      {name}w as (select f, min(loss) as log_loss, max(loss) filter (g = 100) as log_loss_one, max(loss) filter (g = 0) as log_loss_two,
+        (select min(g) from {name}l x where x.f = {name}l.f and x.loss = (select min(loss) from {name}l z where z.f = {name}l.f)) / 1e2 as share
+        from {name}l group by f)"""
+
+
+STACKED = folds_sql().split(",\n      sc as (")[0] + f""",
+      ig as (select t.f, mother_id, cast(floor(avg(sector) * 4) as int) as ca, cast(floor(avg(outcome) * 4) as int) as cy
+        from f as rows join range(0, {FOLDS}) t(f) on fold <> t.f group by all),
+      ir as (select f, mother_id, cast((row_number() over (partition by f, ca order by sha256(concat_ws('|', {SEED} + f, mother_id))) - 1 + ca) % 3 as int) as ie,
+        cast((row_number() over (partition by f, cy order by sha256(concat_ws('|', {SEED + 100} + f, mother_id))) - 1 + cy) % 3 as int) as iq from ig),
+      tr as (select rows.*, ir.f, ie, iq from f as rows join ir using (mother_id)),
+      {_mix_sql("e", "sector", "ie", "residence", "")}, {_mix_sql("q", "outcome", "iq", "sector, residence", "sector")}"""
+
+
+def stacked_plainly(rows):
+    """Two learners whose fits are means: with and without the residence."""
+    fine = E.learn_encoding(rows, "sector", {}, ["residence"], interactions=[("residence", "2")])
+    e = [N.LogitLearner(E.Encoding(None, (), fine.categorical), TINY), N.LogitLearner(E.Encoding(None, (), ()), TINY)]
+    q = [N.LogitLearner(fine, TINY), N.LogitLearner(E.Encoding("sector", (), ()), TINY)]
+    return N.cross_fit_stacked(rows, e, q, "sector", "outcome", "weight", ["mother_id"], FOLDS, 3, SEED)
+
+
+@query("stack_two_learners_saturated", with_views(STACKED + """
+    select 'propensity' as model, cast(f as int) as fold, share, log_loss, log_loss_one, log_loss_two from ew
+    union all select 'outcome', cast(f as int), share, log_loss, log_loss_one, log_loss_two from qw"""))
+def i18_saturated(spark, sf_dir):
+    return stacked_plainly(cohort(spark, sf_dir))[1]
+
+
+STACKED_SCORES = STACKED + """,
+      sc as (select rows.*, ew.share * e1a.v / e1a.w + (1 - ew.share) * e2a.v / e2a.w as e_fit,
+          qw.share * a1.v / a1.w + (1 - qw.share) * b1.v / b1.w as mu1_fit, qw.share * a0.v / a0.w + (1 - qw.share) * b0.v / b0.w as mu0_fit
+        from f as rows join ew on ew.f = fold join qw on qw.f = fold join e1a on e1a.f = fold and e1a.residence = rows.residence join e2a on e2a.f = fold
+        join q1a a1 on a1.f = fold and a1.residence = rows.residence and a1.sector = 1 join q1a a0 on a0.f = fold and a0.residence = rows.residence and a0.sector = 0
+        join q2a b1 on b1.f = fold and b1.sector = 1 join q2a b0 on b0.f = fold and b0.sector = 0)"""
+
+
+@query("stacked_risks_saturated", targeted_sql(STACKED_SCORES, "sc", "e_fit", "mu1_fit", "mu0_fit"))
+def i18_risks_saturated(spark, sf_dir):
+    found = N.targeted(stacked_plainly(cohort(spark, sf_dir))[0], DESIGN, "outcome", "sector", "e_fit", "mu1_fit", "mu0_fit", reps=REPS, seed=SEED)
+    return found.withColumns({c: F.round(c, 9) + 0.0 for c in ("score_treated", "score_control")})

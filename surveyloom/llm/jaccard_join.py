@@ -19,6 +19,9 @@ members that end in the leader's component need no more comparing among each oth
 rounds of leaders, the members of a bucket that still lie in different components, and may have a
 partner there, are dealt into tiles, and two tiles at a time are compared by one matrix product. So
 no link between components is lost and no group is expanded into all its pairs.
+
+Before texts are fetched, bitmaps of their sets are compared: a bit is the parity of the tokens that
+fall on it, so two sets differ in at least as many tokens as their bitmaps differ in bits.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ MAX_BROADCAST_NODES = 1_000_000
 LEADER_ROUNDS = 2
 #: A tile of sets: members and tokens, about; members of a bucket that are searched for partners before texts are fetched.
 TILE, TILE_TOKENS, SEARCHED = 256, 2_000_000, 4096
+#: Bits of a parity bitmap: a power of two, about twice the set's size.
+LEAST_BITS, MOST_BITS = 256, 8192
 _COLUMNS = 1 << 15
 
 
@@ -191,13 +196,54 @@ def _signatures(words: int, percent: int, table, first_frequent: int):
     return run
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """Bitmap of a set: bit i is the parity of the tokens whose hash is i modulo the number of bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(tokens) - 1).bit_length()))
+    place = (mix(tokens + np.uint64(_STEP)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits) & 1).tobytes()
+
+
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    """The bitmap as it would be with ``size`` bytes: the exclusive-or of its stretches."""
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, size), axis=0)
+
+
+def _near(bitmaps: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
+    """Matrix of the sets that their bitmaps let be similar: differing bits within the differing tokens of a link."""
+    both = size[:, None] + size[None, :]
+    allowed = both - 2 * -(-percent * both // (100 + percent))
+    lengths = np.array([len(x) for x in bitmaps])
+    differ = np.zeros((len(bitmaps), len(bitmaps)))
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths >= n)
+        bits = np.unpackbits(np.stack([_folded(bitmaps[i], int(n)) for i in at]), axis=1).astype(np.float32)
+        ones = bits.sum(axis=1)
+        found = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+        here = np.minimum(lengths[at][:, None], lengths[at][None, :]) == n
+        differ[np.ix_(at, at)] = np.where(here, found, differ[np.ix_(at, at)])
+    return differ <= allowed
+
+
+def _close(percent: int):
+    """Arrow function over ``(a, b, left, right, a_size, b_size)``: the pairs that their bitmaps let be similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right, one, other in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                n = min(len(left), len(right))
+                differ = int(np.bitwise_count(_folded(left, n) ^ _folded(right, n)).sum())
+                keep.append(differ <= one + other - 2 * -(-percent * (one + other) // (100 + percent)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _stored_texts(words: int):
-    """Arrow function: every node with its lower-cased text, compressed: a third of the size of its token hashes."""
+    """Arrow function: every node with its size, its bitmap and its lower-cased text, compressed: a third of the size of its token hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            nodes, texts = [], []
+            nodes, sizes, bits, texts = [], [], [], []
             for _, _, data, offsets in chunks(batch.column(0)):
                 split = split_words(data, offsets, lower=True)
                 for i, tokens in enumerate(shingle_sets(split, words)):
@@ -205,8 +251,11 @@ def _stored_texts(words: int):
                     if len(tokens) and node not in known:
                         known.add(node)
                         nodes.append(node)
+                        sizes.append(len(tokens))
+                        bits.append(parity_bits(tokens))
                         texts.append(packer.compress(split.data[offsets[i]:offsets[i + 1]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], ["node", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()),
+                                              pa.array(texts, pa.binary())], ["node", "tokens", "bits", "body"])
     return run
 
 
@@ -275,11 +324,15 @@ def _only(stored: DataFrame, nodes: DataFrame, most: int | None = None) -> DataF
 
 
 def _verified(pairs: DataFrame, count: int, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs whose token sets reach the similarity. Only texts of the pairs are shuffled."""
-    side = lambda c, body: _only(texts, pairs.select(F.col(c).alias("node")).distinct(), count).select(
-        F.col("node").alias(c), F.col("body").alias(body))
-    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
-        _compare(words, percent), "a long, b long")
+    """Pairs whose token sets reach the similarity. Bitmaps of the pairs are shuffled, then texts of those that are left."""
+    side = lambda of, most, c, *columns: _only(texts, of.select(F.col(c).alias("node")).distinct(), most).select(
+        F.col("node").alias(c), *[F.col(x).alias(y) for x, y in columns])
+    close = cut(pairs.join(side(pairs, count, "a", ("bits", "left"), ("tokens", "a_size")), "a")
+                .join(side(pairs, count, "b", ("bits", "right"), ("tokens", "b_size")), "b")
+                .select("a", "b", "left", "right", "a_size", "b_size").mapInArrow(_close(percent), "a long, b long"))
+    left = close.count()
+    return close.join(side(close, left, "a", ("body", "left")), "a").join(side(close, left, "b", ("body", "right")), "b").select(
+        "a", "b", "left", "right").mapInArrow(_compare(words, percent), "a long, b long")
 
 
 def _possible(size: np.ndarray, reach: np.ndarray, root: np.ndarray, percent: int) -> np.ndarray:
@@ -333,6 +386,29 @@ def _with_partner(percent: int):
     return run
 
 
+def _across(tile: np.ndarray) -> np.ndarray | bool:
+    """Pairs to compare here: those of two tiles; pairs of one tile are compared where it is alone."""
+    return True if tile.min() == tile.max() else tile[:, None] != tile[None, :]
+
+
+def _tile_candidates(percent: int):
+    """Arrow function over tiles in order, with bitmaps: the members that may still have a partner, without the bitmaps."""
+    keys = ["sig", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, keys, 8 << 20):
+            size, reach, root, tile = (rows.column(c).to_numpy().astype(np.int64) for c in ("size", "reach", "root", "tile"))
+            bits, keep, edges = rows.column("bits"), np.zeros(len(rows), bool), _borders(rows, keys)
+            for a, b in zip(edges, edges[1:]):
+                possible = _possible(size[a:b], reach[a:b], root[a:b], percent) & _across(tile[a:b])
+                members = np.flatnonzero(possible.any(axis=1))
+                if len(members):
+                    near = _near([bits[a + int(i)].as_py() for i in members], size[a:b][members], percent)
+                    keep[a + members] = (near & possible[np.ix_(members, members)]).any(axis=1)
+            yield from rows.drop_columns(["bits"]).filter(pa.array(keep)).to_batches()
+    return run
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Numbers of shared tokens between all sets: products of 0/1 matrices over stretches of tokens."""
     tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -368,9 +444,7 @@ def _tile_links(words: int, percent: int):
             size, reach, root, tile, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("size", "reach", "root", "tile", "node"))
             edges = _borders(rows, keys)
             for a, b in zip(edges, edges[1:]):
-                possible = _possible(size[a:b], reach[a:b], root[a:b], percent)
-                if tile[a:b].min() != tile[a:b].max():
-                    possible &= tile[a:b, None] != tile[None, a:b]  # pairs of one tile are compared where it is alone
+                possible = _possible(size[a:b], reach[a:b], root[a:b], percent) & _across(tile[a:b])
                 members = np.flatnonzero(possible.any(axis=1))
                 if not len(members):
                     continue
@@ -400,10 +474,15 @@ def _rest(open_rows: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     sizes = kept.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_TOKENS)).cast("int").alias("tiles"))
     dealt = kept.join(sizes, "sig").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    columns = ["sig", "node", "size", "reach", "root", "tile", "body"]
-    tiles = dealt.join(_only(texts, kept.select("node").distinct()), "node").select(*columns, other.alias("other")).select(
-        *columns, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
-    return tiles.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_tile_links(words, percent), "a long, b long")
+    member = ["sig", "node", "size", "reach", "root", "tile"]
+    keys, schema = ["sig", "low", "high"], "sig long, node long, size int, reach int, root long, tile int, low int, high int"
+    tiles = dealt.select(*member, other.alias("other")).select(*member, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    bits = _only(texts, kept.select("node").distinct()).select("node", "bits")
+    close = cut(tiles.join(bits, "node").select(*member, "low", "high", "bits").repartition(*keys).sortWithinPartitions(*keys)
+                .mapInArrow(_tile_candidates(percent), schema))
+    bodies = _only(texts, close.select("node").distinct()).select("node", "body")
+    return (close.join(bodies, "node").select(*member, "low", "high", "body").repartition(*keys).sortWithinPartitions(*keys)
+            .mapInArrow(_tile_links(words, percent), "a long, b long"))
 
 
 def linked_components(buckets: DataFrame, texts: DataFrame, percent: int, words: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
@@ -451,7 +530,7 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
         "low.node != high.node").select("sig")
     buckets = cut(keyed.join(several, "sig").distinct())
     nodes = cut(buckets.select("node").distinct())
-    stored = cut(_only(texts.select("text").mapInArrow(_stored_texts(words), "node long, body binary"), nodes).dropDuplicates(["node"]))
+    stored = cut(_only(texts.select("text").mapInArrow(_stored_texts(words), "node long, tokens long, bits binary, body binary"), nodes).dropDuplicates(["node"]))
     roots = linked_components(buckets, stored, percent, words)
     return docs.join(roots, "node", "left").select("row", "doc_id", "size", F.coalesce("root", "node").alias("class"))
 

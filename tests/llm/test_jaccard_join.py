@@ -153,3 +153,25 @@ def test_a_bucket_of_5000_members_equals_all_pairs(spark, monkeypatch, tile, sea
         labels = fresh[fresh]
     got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     assert [r[2] for r in got] == labels.tolist() and len(set(labels.tolist())) > 300
+
+
+def test_bitmaps_let_every_link_pass():
+    rng = np.random.default_rng(9)
+    token = lambda n: rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+    sets = []
+    for size in (1, 3, 40, 100, 130, 700, 5000):
+        base = np.unique(token(size))
+        for share in (0, 0.03, 0.1, 0.11, 0.2, 0.6):
+            changed = base[rng.random(len(base)) >= share]
+            sets.append(np.unique(np.r_[changed, token(int(share * size / 2))]) if len(changed) else base)
+    size = np.array([len(x) for x in sets])
+    maps = [jaccard_join.parity_bits(x) for x in sets]
+    near = jaccard_join._near(maps, size, 80)
+    shared = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    linked = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
+    alike = 100 * np.minimum(size[:, None], size) >= 80 * np.maximum(size[:, None], size)  # other sizes never come here
+    assert not (linked & ~near).any() and (near & alike).sum() < 1.5 * linked.sum()
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*[(i, j, maps[i], maps[j], len(sets[i]), len(sets[j])) for i, j in pairs])], list("abcdef"))
+    kept = next(jaccard_join._close(80)(iter([batch])))
+    assert set(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist())) == {(i, j) for i, j in pairs if near[i, j]}

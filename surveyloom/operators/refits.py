@@ -170,13 +170,13 @@ def _pass(rows: DataFrame, block_sums, solve, active: dict) -> dict[str, list]:
 
 
 def fit_many(rows: DataFrame, encoding: Encoding, ridge: float, columns: dict[str, int], first: bool = False,
-             tolerance: float = 1e-10, passes: int = 40) -> dict[str, Fits]:
+             tolerance: float = 1e-10, passes: int = 40, start: dict[str, np.ndarray] | None = None) -> dict[str, Fits]:
     """Fit every column of weights of every domain; ``columns`` gives their number per domain.
 
     ``rows`` (stored by the caller) hold ``domain``, the encoding's keys, ``_y`` and either ``_w`` with ``multipliers`` or
     the array ``_ws``. With ``first`` the first column of each domain is fitted alone and starts the others. A fit
     without weight, with one outcome only, or with one arm only has status ``one_sided``; one that does not
-    settle has ``not_converged``.
+    settle has ``not_converged``. ``start`` may give the coefficients to begin with.
     """
     two_arms = bool(encoding.exposure)
 
@@ -185,6 +185,8 @@ def fit_many(rows: DataFrame, encoding: Encoding, ridge: float, columns: dict[st
         return not 0 < events < weight or (two_arms and not 0 < treated < weight)
 
     out = {name: Fits(np.zeros((n, len(encoding.labels))), ["open"] * n, {k: np.full(n, np.nan) for k in _SCALARS}) for name, n in columns.items()}
+    for name, beta in (start or {}).items():
+        out[name].beta[:] = beta
     solve = _solve(len(encoding.labels), ridge)
     run = lambda active: _pass(rows, lambda a: _block_sums(encoding, a), solve, active)
     if first:

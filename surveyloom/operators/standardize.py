@@ -8,6 +8,8 @@ the design variance.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.design import SurveyDesign
+from surveyloom.functions.recode import category_token
 from surveyloom.operators.bootstrap import cluster_totals, percentile_intervals, psu_bootstrap, ratio_sums
 from surveyloom.operators.encoding import Encoding, token_name
 from surveyloom.operators.evaluate import evaluation_sums
@@ -104,21 +107,16 @@ def moments(cells: DataFrame, encoding: Encoding, beta: np.ndarray, train: str,
     Only coefficient-sized matrices reach the driver.
     """
     d, beta = len(encoding.labels), np.asarray(beta, float)
-    exposure = encoding.exposure
-    x = F.col("_x") if "_x" in cells.columns else F.array(*encoding.terms())
-    columns = [F.col("_y"), F.col(train).alias("_w"), x.alias("_x")]
-    if references:
-        columns += [F.col(exposure).cast("double").alias("_a"), F.array(*encoding.terms(F.lit(0.0))).alias("_x0"),
-                    F.array(*encoding.terms(F.lit(1.0))).alias("_x1"), F.array(*references).alias("_r")]
+    columns = [*encoding.keys, F.col("_y"), F.col(train).alias("_w")] + ([F.array(*references).alias("_r")] if references else [])
 
     def block(batch: pd.DataFrame) -> np.ndarray:
         expit = lambda z: 1.0 / (1.0 + np.exp(-z))
-        x, y, w = np.stack(batch["_x"]), batch["_y"].to_numpy(), batch["_w"].to_numpy()
+        x, y, w = encoding.matrix(batch), batch["_y"].to_numpy(float), batch["_w"].to_numpy(float)
         p = expit(x @ beta)
         parts = [[w.sum(), w @ y], (x.T @ ((w * p * (1 - p))[:, None] * x)).ravel(), x.T @ (w * (p - y))]
         if references:
-            x0, x1, r = np.stack(batch["_x0"]), np.stack(batch["_x1"]), np.stack(batch["_r"])
-            q0, q1, a = expit(x0 @ beta), expit(x1 @ beta), batch["_a"].to_numpy()
+            x0, x1, r, a = encoding.matrix(batch, 0.0), encoding.matrix(batch, 1.0), np.stack(batch["_r"]), x[:, 1]
+            q0, q1 = expit(x0 @ beta), expit(x1 @ beta)
             for j in range(r.shape[1]):
                 v = r[:, j]
                 parts += [[v.sum(), v @ q0, v @ q1], x0.T @ (v * q0 * (1 - q0)), x1.T @ (v * q1 * (1 - q1)),
@@ -166,13 +164,13 @@ def fit_cells(cells: DataFrame, encoding: Encoding, ridge: float, weight: str =
     Newton steps on summed derivatives usually settle within ten passes; otherwise the
     built-in line-search solver provides the starting point for them.
     """
-    used = cells.where(F.col(weight) > 0).select("_y", weight, F.array(*encoding.terms()).alias("_x")).persist()
+    used = cells.where(F.col(weight) > 0).select(*encoding.keys, "_y", weight).persist()
     try:
         first = np.zeros(len(encoding.labels)) if start is None else start
         with np.errstate(over="ignore"):
             model = _newton(used, encoding, ridge, weight, first, 12)
         if model is None:
-            vectors = used.select(array_to_vector(F.slice("_x", 2, len(encoding.labels) - 1)).alias("features"), "_y", weight)
+            vectors = used.select(array_to_vector(F.array(*encoding.terms()[1:])).alias("features"), "_y", weight)
             fitted = LogisticRegression(labelCol="_y", weightCol=weight, regParam=ridge, elasticNetParam=0.0,
                                         standardization=False, tol=1e-9, maxIter=500).fit(vectors)
             model = _newton(used, encoding, ridge, weight,
@@ -414,16 +412,55 @@ def exclusion_sensitivity(df: DataFrame, encoding: Encoding, design: SurveyDesig
     return estimate_rows(linear, points, design, roster, critical)
 
 
-def rank_of_design(cells: DataFrame, encoding: Encoding, tolerance: float = 1e-10) -> tuple[int, int]:
-    """(rank, number of terms) of the training design from its summed Gram matrix."""
+@dataclass(frozen=True)
+class Identification:
+    """Which terms a design identifies, in the order of its labels, and how the others follow from them."""
+
+    kept: list[int]
+    dropped: list[int]
+    relation: np.ndarray
+
+
+def identify(cells: DataFrame, encoding: Encoding, tolerance: float = 1e-9) -> Identification:
+    """Factor the summed Gram matrix term by term: a term that earlier ones explain is dropped.
+
+    ``relation[:, j]`` gives term j as a combination of the kept terms. Terms are scaled to unit length first; a term whose
+    remaining length is within ``tolerance`` is explained.
+    """
     def block(batch: pd.DataFrame) -> np.ndarray:
-        x = np.stack(batch["_x"])
-        return (x.T @ (batch["_w"].to_numpy()[:, None] * x)).ravel()
+        x = encoding.matrix(batch)
+        return (x.T @ (batch["_w"].to_numpy(float)[:, None] * x)).ravel()
 
     d = len(encoding.labels)
-    gram = _summed(cells.select(F.array(*encoding.terms()).alias("_x"), "_w"), block).reshape(d, d)
-    values = np.linalg.eigvalsh(gram / max(np.trace(gram), 1e-300))
-    return int((values > tolerance).sum()), d
+    gram = _summed(cells.select(*encoding.keys, "_w"), block).reshape(d, d)
+    size = np.sqrt(np.diag(gram))
+    scaled = gram / np.outer(np.where(size > 0, size, 1), np.where(size > 0, size, 1))
+    kept: list[int] = []
+    left, factor = np.where(size > 0, 1.0, 0.0), np.zeros((d, d))
+    for j in range(d):
+        if left[j] <= tolerance:
+            continue
+        k = len(kept)
+        factor[k] = (scaled[j] - factor[:k].T @ factor[:k, j]) / np.sqrt(left[j])
+        left = left - factor[k] ** 2
+        kept.append(j)
+    unit = np.linalg.lstsq(scaled[np.ix_(kept, kept)], scaled[kept], rcond=1e-14)[0]
+    relation = unit * np.where(size > 0, size, 0)[None, :] / size[kept][:, None]
+    return Identification(kept, [j for j in range(d) if j not in set(kept)], relation)
+
+
+def span_error(df: DataFrame, encoding: Encoding, found: Identification) -> float:
+    """Largest difference, over rows and both exposures, between a dropped term and what the kept ones make of it."""
+    if not found.dropped:
+        return 0.0
+    worst = []
+    for j in found.dropped:
+        gap = np.zeros(len(encoding.labels))
+        gap[found.kept] = -found.relation[:, j]
+        gap[j] += 1.0
+        worst += [F.max(F.abs(encoding.linear(gap, F.lit(a)))) for a in (0.0, 1.0)]
+    row = encoding.prepare(df).agg(*[w.alias(f"w{i}") for i, w in enumerate(worst)]).first()
+    return max((float(x) for x in row if x is not None), default=0.0)
 
 
 def period_gaps(df: DataFrame, encoding: Encoding, design: SurveyDesign, outcome: str, by: Sequence[str], unit: str, minimum: int,
@@ -485,43 +522,58 @@ def _target_gaps(df: DataFrame, encoding: Encoding, weight: Column, betas: Mappi
 
 
 def period_influence(df: DataFrame, encoding: Encoding, design: SurveyDesign, outcome: str, roster: DataFrame, period: str,
-                     periods: Sequence[str], pairs: Sequence[tuple[str, str]], ridge: float,
-                     critical: float | None = None) -> DataFrame:
+                     periods: Sequence[str], pairs: Sequence[tuple[str, str]], ridge: float, critical: float | None = None,
+                     reference: Column | None = None) -> DataFrame:
     """Period gaps on one shared target with joint covariance, and later-minus-earlier contrasts.
 
-    A period whose design leaves terms unidentified, or in which some level has a single
-    outcome, is only accepted with a positive ridge. A level of the shared target that a period's
-    training rows never show is refused with any ridge: its coefficient would be the penalty's.
+    The target is all rows or those of ``reference``. A level of it that a period's training rows never show is refused
+    with any ridge: its coefficient would be the penalty's. Without a penalty, terms that earlier terms
+    explain are dropped and named, which is refused if the target is not in the span of the others. A level with a
+    single outcome has its best coefficient at infinity: its training rows are set aside if the target
+    has no such rows, else it is refused.
     """
     w = design.weight
     tokens = [token_name(c) for c, _ in encoding.categorical]
     levels = F.array(*[F.struct(F.lit(t).alias("c"), F.col(t).alias("l")) for t in tokens])
-    wanted = {tuple(r) for r in encoding.prepare(df).select(F.inline(levels)).distinct().collect()} if tokens else set()
+    target = df if reference is None else df.where(reference)
+    wanted = {tuple(r) for r in encoding.prepare(target).select(F.inline(levels)).distinct().collect()} if tokens else set()  # one row per model term
     linear, points, notes = df, {}, {}
     for name in periods:
-        train = F.col(period) == name
-        cells = covariate_cells(df, encoding, outcome, {"_w": F.when(train, F.col(w))}).where("_w > 0").persist()
-        rank, terms = rank_of_design(cells, encoding)
+        train, rows_of = F.col(period) == name, lambda t: covariate_cells(
+            df, encoding, outcome, {"_w": F.when(t, F.col(w)), "_n": F.when(t, F.lit(1))}).where("_w > 0")
+        cells = cut(rows_of(train))
         shown = cells.select("_y", F.inline(levels)).groupBy("c", "l").agg(
             F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect() if tokens else []
-        pure = sum(r["lo"] == r["hi"] for r in shown)
+        pure = sorted((r["c"], r["l"]) for r in shown if r["lo"] == r["hi"])
         unseen = sorted(wanted - {(r["c"], r["l"]) for r in shown})
         if unseen:
             raise ValueError(f"{name}: levels of the target without training rows: {unseen[:5]}")
-        if ridge <= 0 and (rank < terms or pure):
-            raise ValueError(f"{name}: unidentified terms ({terms - rank}) or single-outcome levels ({pure})")
+        aside, found, error = 0, identify(cells, encoding), 0.0
+        if ridge <= 0:
+            if any(x in wanted for x in pure):
+                raise ValueError(f"{name}: single-outcome levels of the target: {[x for x in pure if x in wanted][:5]}")
+            if pure:
+                lonely = [F.col(c) == level for c, level in pure]
+                aside = int(cells.where(functools.reduce(operator.or_, lonely)).agg(F.sum("_n")).first()[0])
+                known = {token_name(c): category_token(c, v) for c, v in encoding.categorical}
+                train = train & ~functools.reduce(operator.or_, [known[c] == level for c, level in pure])
+                cells = cut(rows_of(train))
+                found = identify(cells, encoding)
+            error = span_error(target, encoding, found)
+            if error > 1e-7:
+                raise ValueError(f"{name}: the target depends on terms that its training rows do not identify")
         model = fit_cells(cells, encoding, ridge)
-        cells.unpersist()
-        linear, more = reference_influence(linear, model, outcome, w, {name: None}, train, ["adjusted_gap"])
+        linear, more = reference_influence(linear, model, outcome, w, {name: reference}, train, ["adjusted_gap"])
         points[name] = more[f"{name}__adjusted_gap"]
-        notes[name] = (rank, terms, pure)
+        notes[name] = (len(found.kept), len(encoding.labels), "|".join(encoding.labels[j] for j in found.dropped), len(pure), aside, error)
     linear = linear.withColumnsRenamed({f"{k}__adjusted_gap": k for k in points})
     for later, earlier in pairs:
         linear = linear.withColumn(f"{later}_minus_{earlier}", F.col(later) - F.col(earlier))
         points[f"{later}_minus_{earlier}"] = points[later] - points[earlier]
-        notes[f"{later}_minus_{earlier}"] = (None, None, None)
-    table = df.sparkSession.createDataFrame([(k, *v) for k, v in notes.items()],
-                                            "metric string, design_rank int, design_terms int, single_outcome_levels int")
+        notes[f"{later}_minus_{earlier}"] = (None,) * 6
+    table = df.sparkSession.createDataFrame(
+        [(k, *v) for k, v in notes.items()], "metric string, design_rank int, design_terms int, dropped_terms string, single_outcome_levels int, "
+        "rows_set_aside long, span_error double")
     return estimate_rows(linear, points, design, roster, critical).join(table, "metric")
 
 
@@ -624,21 +676,27 @@ def context_models(df: DataFrame, encoding: Encoding, calendar: Encoding, contex
 def penalty_selection(df: DataFrame, encoding: Encoding, design: SurveyDesign, outcome: str, site: str,
                       grid: Sequence[float], seeds: Sequence[int], fraction: float = 0.2) -> DataFrame:
     """Pooled hold-out log loss of every penalty over repeated cluster splits; ties go to the larger penalty."""
-    w, losses = F.col(design.weight), []
+    w, losses, split = F.col(design.weight), [], df
     units = [c for c in design.cluster if c != site]
-    for seed in seeds:
-        split = hash_split(df, units, [site], fraction, seed)
-        cells = covariate_cells(split, encoding, outcome, {
-            "_w": F.when(~F.col("holdout"), w), "_held": F.when(F.col("holdout"), w)}).persist()
-        start = None
-        for ridge in sorted(grid, reverse=True):
-            model = fit_cells(cells, encoding, ridge, start=start)
-            start = model.beta
-            z = encoding.linear(model.beta)
+    for i, seed in enumerate(seeds):
+        split = hash_split(split, units, [site], fraction, seed).withColumnRenamed("holdout", f"_out{i}")
+    outside = [F.col(f"_out{i}") for i in range(len(seeds))]
+    cells = cut(covariate_cells(split, encoding, outcome, {f"_w{i}": F.when(~o, w) for i, o in enumerate(outside)}
+                                | {f"_held{i}": F.when(o, w) for i, o in enumerate(outside)}))
+    rows = cut(cells.select(F.lit("all").alias("domain"), *encoding.keys, "_y", F.array(*[f"_w{i}" for i in range(len(seeds))]).alias("_ws")))
+    start = None
+    for ridge in sorted(grid, reverse=True):
+        # the splits are fitted together, from the coefficients of the next larger penalty
+        fits = fit_many(rows, encoding, ridge, {"all": len(seeds)}, start=start)["all"]
+        if set(fits.status) != {"ok"}:
+            raise RuntimeError(f"Fits with penalty {ridge} that did not settle: {fits.status}")
+        start, sums = {"all": fits.beta}, []
+        for i, beta in enumerate(fits.beta):
+            z = encoding.linear(beta)
             loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("_y") * z
-            total, summed = cells.agg(F.sum("_held"), F.sum(F.col("_held") * loss)).first()
-            losses.append((int(seed), float(ridge), float(total), float(summed)))
-        cells.unpersist()
+            sums += [F.sum(f"_held{i}").alias(f"t{i}"), F.sum(F.col(f"_held{i}") * loss).alias(f"l{i}")]
+        found = cells.agg(*sums).first()
+        losses += [(int(seed), float(ridge), float(found[f"t{i}"]), float(found[f"l{i}"])) for i, seed in enumerate(seeds)]
     table = df.sparkSession.createDataFrame(losses, "seed int, ridge double, weight double, loss double")
     pooled = table.groupBy("ridge").agg((F.sum("loss") / F.sum("weight")).alias("pooled_log_loss"),
                                         F.avg(F.col("loss") / F.col("weight")).alias("split_mean"),

@@ -258,10 +258,13 @@ def h16(spark, sf_dir):
     return S.context_models(ready, base, calendar, context, DESIGN, "outcome", roster(spark, sf_dir), RIDGE, F.col("has_context"))
 
 
+PENALTIES = [10.0 ** k for k in range(-6, 1)]
+
+
 @query("penalty_selection")
 def h17(spark, sf_dir):
     rows = cohort(spark, sf_dir)
-    return S.penalty_selection(rows, encoding_of(rows), DESIGN, "outcome", "state", [1e-5, 1e-3, 1e-1], [1, 2])
+    return S.penalty_selection(rows, encoding_of(rows), DESIGN, "outcome", "state", PENALTIES, range(1, 6))
 
 
 @query("site_screen", with_views("""

@@ -13,6 +13,7 @@ from surveyloom.operators import encoding as E
 from surveyloom.operators import nuisance as N
 from surveyloom.operators import standardize as S
 from surveyloom.operators import variance as V
+from surveyloom.operators.profile import with_support
 from surveyloom.plans.bootstraps import REPS, SEED, draws_sql, slots_sql
 from surveyloom.plans.fitted import imputed_gaps, targeted_sql, without_group
 from surveyloom.plans.models import with_periods
@@ -41,6 +42,51 @@ def h3_saturated(spark, sf_dir):
     return S.coefficients(rows, S.fit_weighted_logit(rows, saturated_encoding(rows), "outcome", "weight", TINY))
 
 
+def intervals_sql(keys: list[str], points: list[str], names: dict[str, str] | None = None) -> str:
+    """Design intervals, in percent, of influences whose cluster totals stand in ``u``; ``points`` give the estimates."""
+    named = "key" if names is None else f"case key {' '.join(f"when '{k}' then '{n}'" for k, n in names.items())} end"
+    return f"""al as (select state, stratum, psu, {", ".join(f"coalesce({k}, 0) as {k}" for k in keys)}
+        from (select * from roster semi join u using (state, stratum)) left join u using (state, stratum, psu)),
+      lg as (select * from al unpivot (v for key in ({", ".join(keys)}))),
+      st as (select key, state, stratum, count(*) as n, sum(v) as sv, sum(v * v) as qv from lg group by all),
+      g as (select key, avg(v) as g from lg group by key),
+      c as (select key, sum(case when n > 1 then n / (n - 1e0) * (qv - sv * sv / n) else 0 end) as base,
+        sum(case when n = 1 then (sv - g) * (sv - g) else 0 end) as lonely, count(*) filter (n = 1) as singles,
+        count(*) filter (n > 1) as regular, cast(sum(n) - count(*) as bigint) as design_df from st join g using (key) group by key),
+      w as (select key, 'adjust' as singleton, base + lonely as cov, design_df from c
+        union all select key, 'average', base + singles * base / regular, design_df from c union all select key, 'zero', base, design_df from c),
+      pt as ({" union all ".join(points)}),
+      z as (select {named} as metric, singleton, 100 * value as estimate,
+        100 * sqrt(greatest(cov, 0)) as se, design_df from w join pt using (key))
+    select *, estimate - 1.96 * se as ci_low, estimate + 1.96 * se as ci_high from z"""
+
+
+def models_sql(models: dict[str, tuple[str, str]], differences: dict[str, tuple[str, str]], before: str = "") -> str:
+    """Adjusted gaps of saturated models (training rows, reference rows) and differences of them, with design intervals."""
+    parts, joins = [], ""
+    for i, (train, ref) in enumerate(models.values()):
+        parts.append(f"""
+      c{i} as (select sector, residence, sum(weight) as cw, sum(weight * outcome) / sum(weight) as p from b where {train} group by all),
+      r{i} as (select residence, max(p) filter (sector = 0) as p0, max(p) filter (sector = 1) as p1, max(cw) filter (sector = 0) as cw0,
+        max(cw) filter (sector = 1) as cw1 from c{i} group by residence),
+      s{i} as (select residence, sum(weight) / max((select sum(weight) from b where {ref})) as pi from b where {ref} group by residence),
+      q{i} as (select sum(pi * (p1 - p0)) as v, max((select sum(weight) from b where {ref})) as rw from s{i} join r{i} using (residence)),
+      x{i} as (select residence, p0, p1, cw0, cw1, coalesce(pi, 0) as pi, v, rw from r{i} left join s{i} using (residence), q{i})""")
+        joins += f" left join x{i} on x{i}.residence = b.residence"
+    value = lambda i, train, ref: (
+        f"(case when {train} and sector = 1 then weight * (outcome - x{i}.p1) / x{i}.cw1 * x{i}.pi when {train} and sector = 0 then"
+        f" -weight * (outcome - x{i}.p0) / x{i}.cw0 * x{i}.pi else 0 end + case when {ref} then weight / x{i}.rw * (x{i}.p1 - x{i}.p0 - x{i}.v) else 0 end)")
+    own = {name: value(i, *rows) for i, (name, rows) in enumerate(models.items())}
+    place = {name: i for i, name in enumerate(models)}
+    sums = {**own, **{name: f"{own[one]} - {own[other]}" for name, (one, other) in differences.items()}}
+    points = [f"select 'm_{n}' as key, v as value from q{i}" for n, i in place.items()]
+    points += [f"select 'm_{n}', q{place[one]}.v - q{place[other]}.v from q{place[one]}, q{place[other]}" for n, (one, other) in differences.items()]
+    return with_views(f"""{before}
+    , b as (select * from {"cohort" if not before else "marked"}), {",".join(parts)},
+      u as (select b.state, b.stratum, b.psu, {", ".join(f"sum({v}) as m_{k}" for k, v in sums.items())} from b{joins} group by all),
+      {intervals_sql([f"m_{k}" for k in sums], points, {f"m_{k}": k for k in sums})}""")
+
+
 def influence_sql(names: list[str], mask: str = "true") -> str:
     """Points, cluster totals of the influences and intervals of saturated arm means over the rows of ``mask``."""
     row = {}
@@ -63,20 +109,7 @@ def influence_sql(names: list[str], mask: str = "true") -> str:
       q as (select sum(pi * p0) as q0, sum(pi * p1) as q1 from s join r using (residence)),
       u as (select state, stratum, psu, {", ".join(f"sum({row[k]}) as {k}" for k in keys)}
         from b join r using (residence) left join s using (residence), t, q group by state, stratum, psu),
-      al as (select state, stratum, psu, {", ".join(f"coalesce({k}, 0) as {k}" for k in keys)}
-        from (select * from roster semi join u using (state, stratum)) left join u using (state, stratum, psu)),
-      lg as (select * from al unpivot (v for key in ({", ".join(keys)}))),
-      st as (select key, state, stratum, count(*) as n, sum(v) as sv, sum(v * v) as qv from lg group by all),
-      g as (select key, avg(v) as g from lg group by key),
-      c as (select key, sum(case when n > 1 then n / (n - 1e0) * (qv - sv * sv / n) else 0 end) as base,
-        sum(case when n = 1 then (sv - g) * (sv - g) else 0 end) as lonely, count(*) filter (n = 1) as singles,
-        count(*) filter (n > 1) as regular, cast(sum(n) - count(*) as bigint) as design_df from st join g using (key) group by key),
-      w as (select key, 'adjust' as singleton, base + lonely as cov, design_df from c
-        union all select key, 'average', base + singles * base / regular, design_df from c union all select key, 'zero', base, design_df from c),
-      pt(key, value) as ({" union all ".join(f"select '{k}', {value[k]} from t, q" for k in keys)}),
-      z as (select case key {" ".join(f"when '{k}' then '{n}'" for k, n in zip(keys, names))} end as metric, singleton, 100 * value as estimate,
-        100 * sqrt(cov) as se, design_df from w join pt using (key))
-    select *, estimate - 1.96 * se as ci_low, estimate + 1.96 * se as ci_high from z""")
+      {intervals_sql(keys, [f"select '{k}' as key, {value[k]} as value from t, q" for k in keys], dict(zip(keys, names)))}""")
 
 
 @query("standardized_gap_saturated", influence_sql(METRICS))
@@ -298,3 +331,52 @@ STACKED_SCORES = STACKED + """,
 def i18_risks_saturated(spark, sf_dir):
     found = N.targeted(stacked_plainly(cohort(spark, sf_dir))[0], DESIGN, "outcome", "sector", "e_fit", "mu1_fit", "mu0_fit", reps=REPS, seed=SEED)
     return found.withColumns({c: F.round(c, 9) + 0.0 for c in ("score_treated", "score_control")})
+
+
+@query("training_population_saturated", models_sql({"all_rows": ("true", "state <> 3"), "subset": ("delivery_order <= 3", "state <> 3")},
+                                                   {"difference": ("subset", "all_rows")}))
+def h10_saturated(spark, sf_dir):
+    rows = cohort(spark, sf_dir)
+    return S.training_population_contrast(rows, saturated_encoding(rows), DESIGN, "outcome", roster(spark, sf_dir), TINY,
+                                          F.col("delivery_order") <= 3, F.col("state") != 3, V.NORMAL_CRITICAL)
+
+
+@query("exclusion_sensitivity_saturated", models_sql(
+    {"full": ("true", "true"), "reference_only": ("true", "state <> 3"), "refit": ("state <> 3", "state <> 3")},
+    {"reference_only_minus_full": ("reference_only", "full"), "refit_minus_reference_only": ("refit", "reference_only"), "refit_minus_full": ("refit", "full")}))
+def h11_saturated(spark, sf_dir):
+    rows = cohort(spark, sf_dir)
+    return S.exclusion_sensitivity(rows, saturated_encoding(rows), DESIGN, "outcome", roster(spark, sf_dir), TINY, F.col("state") != 3, V.NORMAL_CRITICAL)
+
+
+PERIOD_MODELS = {p: (f"({PERIOD_SQL}) = '{p}'", "true") for p in "ABCD"}
+
+
+@query("period_influence_saturated", models_sql(PERIOD_MODELS, {"B_minus_A": ("B", "A"), "C_minus_B": ("C", "B"), "D_minus_C": ("D", "C")}))
+def h13_saturated(spark, sf_dir):
+    rows = with_periods(spark, sf_dir)
+    found = S.period_influence(rows, saturated_encoding(rows), DESIGN, "outcome", roster(spark, sf_dir), "period", ["A", "B", "C", "D"],
+                               [("B", "A"), ("C", "B"), ("D", "C")], 0.0, V.NORMAL_CRITICAL)
+    return found.select("metric", "singleton", "estimate", "se", "design_df", "ci_low", "ci_high")
+
+
+MASKS_SQL = """
+    , m1 as (select state from cohort group by state having count(*) filter (sector = 0) >= 30 and count(*) filter (sector = 1) >= 30),
+      m2 as (select state, residence from cohort group by all having count(*) filter (sector = 0) >= 20 and count(*) filter (sector = 1) >= 20),
+      marked as (select *, state in (select state from m1) as states_30, (state, residence) in (select (state, residence) from m2) as cells_20 from cohort)"""
+
+
+@query("support_scenarios_saturated", models_sql(
+    {"full_reference": ("true", "true"), "states": ("true", "states_30"), "cells": ("true", "cells_20"), "cells_refit": ("cells_20", "cells_20")}, {}, MASKS_SQL).replace("select *, estimate - 1.96 * se as ci_low, estimate + 1.96 * se as ci_high from z", """, y as (select metric as scenario,
+        z.* exclude (metric), case metric when 'full_reference' then (select count(*) from b) when 'states' then (select count(*) from b where states_30)
+          else (select count(*) from b where cells_20) end as reference_n,
+        case metric when 'full_reference' then 0e0 when 'states' then (select 100 * coalesce(sum(weight) filter (not states_30), 0) / sum(weight) from b)
+          else (select 100 * coalesce(sum(weight) filter (not cells_20), 0) / sum(weight) from b) end as excluded_weight_pct,
+        estimate - (select max(estimate) from z where metric = 'full_reference') as change_from_full_pp from z)
+    select *, case when scenario <> 'cells_refit' then 2 * excluded_weight_pct end as change_bound_pp,
+      estimate - 1.96 * se as ci_low, estimate + 1.96 * se as ci_high from y"""))
+def h7_saturated(spark, sf_dir):
+    rows = with_support(cohort(spark, sf_dir), ["state"], "sector", 30, "weight", "states_30")
+    rows = with_support(rows, ["state", "residence"], "sector", 20, "weight", "cells_20")
+    return S.support_scenarios(rows, saturated_encoding(rows), DESIGN, "outcome", roster(spark, sf_dir), TINY,
+                               {"states": "states_30", "cells": "cells_20"}, ["cells"], V.NORMAL_CRITICAL)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions.recode import MISSING
 from surveyloom.functions.special import chi2_p_value, normal_p_value
 from surveyloom.operators.profile import _long, code_frequencies, missing_profile
-from surveyloom.operators.scale import exact_quantiles, running_sums
+from surveyloom.operators.scale import cut, exact_quantiles, running_sums
 
 
 def effect_label(effect: Column) -> Column:
@@ -94,25 +94,33 @@ def cramers_v(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
-    """Pairwise-complete Spearman correlation of every column pair and whether it reaches the threshold."""
-    names = list(combinations(columns, 2))
-    cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                      for i, (a, b) in enumerate(names)])
-    pairs = df.select(F.inline(cells)).where("x is not null and y is not null").groupBy("pair", "x", "y").agg(
-        F.count("*").alias("c"))
-    ranks = {}
-    for side in ("x", "y"):
-        counts = pairs.groupBy("pair", side).agg(F.sum("c").alias("ties"))
-        run = running_sums(counts, ["pair"], side, {"n": F.col("ties")})
-        ranks[side] = run.select("pair", side, (F.col("n_before") + (F.col("ties") + 1) / 2.0
-                                                - (F.col("n_total") + 1) / 2.0).alias(f"_r{side}"))
-    both = pairs.join(ranks["x"], ["pair", "x"]).join(ranks["y"], ["pair", "y"])
-    c, a, b = F.col("c"), F.col("_rx"), F.col("_ry")
-    rho = F.try_divide(F.sum(c * a * b), F.sqrt(F.sum(c * a * a) * F.sum(c * b * b)))
-    label = lambda side: F.array(*[F.lit(pair[side]) for pair in names])[F.col("pair")]
-    return both.groupBy("pair").agg(F.sum(c).alias("n"), rho.alias("spearman")).select(
-        label(0).alias("first"), label(1).alias("second"), "n", "spearman",
-        F.coalesce(F.abs("spearman") >= threshold, F.lit(False)).alias("flagged"))
+    """Pairwise-complete Spearman correlation of every column pair and whether it reaches the threshold.
+
+    A value's rank among the rows that also have another column follows from counts per distinct value and
+    other column, so each column is ranked once for all its pairs. Rows are stored once; a value meets
+    its ranks in one shuffle and its row in a second, and all pairs are sums of one aggregate.
+    """
+    k, names = range(len(columns)), list(combinations(range(len(columns)), 2))
+    stored = cut(df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).withColumn(
+        "_row", F.monotonically_increasing_id()))
+    present = F.array(*[F.col(f"_{i}").isNotNull().cast("int") for i in k])
+    long = stored.select("_row", present.alias("_with"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("column"), F.col(f"_{i}").alias("value")) for i in k]))).where("value is not null")
+    counts = long.groupBy("column", "value").agg(*[F.sum(F.col("_with")[j]).alias(f"_c{j}") for j in k])
+    run = running_sums(counts, ["column"], "value", {f"n{j}": F.col(f"_c{j}") for j in k})
+    ranks = run.select("column", "value", F.array(*[
+        F.col(f"n{j}_before") + (F.col(f"_c{j}") + 1) / 2.0 - (F.col(f"n{j}_total") + 1) / 2.0 for j in k]).alias("_rank"))
+    rows = long.select("_row", "column", "value").join(ranks, ["column", "value"]).groupBy("_row").agg(
+        *[F.max(F.when(F.col("column") == i, F.col("_rank"))).alias(f"_r{i}") for i in k])
+    sums = []
+    for q, (i, j) in enumerate(names):
+        a, b = F.col(f"_r{i}")[j], F.col(f"_r{j}")[i]
+        both = a.isNotNull() & b.isNotNull()
+        total = lambda v: F.sum(F.when(both, v))  # noqa: B023,E731
+        rho = F.try_divide(total(a * b), F.sqrt(total(a * a) * total(b * b)))
+        sums.append(F.struct(F.lit(columns[i]).alias("first"), F.lit(columns[j]).alias("second"), F.count_if(both).alias("n"), rho.alias("spearman")))
+    return rows.agg(F.array(*sums).alias("_pairs")).select(F.inline("_pairs")).where("n > 0").withColumn(
+        "flagged", F.coalesce(F.abs("spearman") >= threshold, F.lit(False)))
 
 
 def two_wave_profile(df: DataFrame, wave: str, columns: Sequence[str], weight: str) -> DataFrame:

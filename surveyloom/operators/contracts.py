@@ -65,23 +65,50 @@ def guard_wave_transfer(train: DataFrame, evaluation: DataFrame, wave: str, trai
         & (F.col("shared_units") == 0))
 
 
-def compare_codebooks(a: DataFrame, b: DataFrame, codes_a: DataFrame, codes_b: DataFrame) -> DataFrame:
-    """Per variable: codes whose labels differ, codes used on one side only, and a review status.
+MOST_CODES = 1000
 
-    Label tables are ``(variable, code, label)``, used codes ``(variable, code)``. The
-    lists are bounded by the code book, not by the data.
+
+def code_profile(df: DataFrame, variables: Mapping[str, Column], special: Mapping[str, Sequence] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What the data hold of each coded variable: ``(variable, code, n)``, and ``(variable, missing, special)`` from one pass.
+
+    ``special`` lists codes that stand for no answer; they are counted, null where a variable has none.
+    """
+    cells = F.array(*[F.struct(F.lit(k).alias("variable"), v.cast("string").alias("code")) for k, v in variables.items()])
+    codes = df.select(F.inline(cells)).where("code is not null").groupBy("variable", "code").agg(F.count("*").alias("n"))
+    counts = F.array(*[F.struct(
+        F.lit(k).alias("variable"), F.count_if(v.isNull()).alias("missing"),
+        (F.count_if(v.cast("string").isin([str(x) for x in special[k]])) if special and k in special else F.lit(None).cast("long")).alias("special"))
+        for k, v in variables.items()])
+    return codes, df.agg(counts.alias("_c")).select(F.inline("_c"))
+
+
+def compare_codebooks(a: DataFrame, b: DataFrame, codes_a: DataFrame, codes_b: DataFrame, profile_a: DataFrame | None = None,
+                      profile_b: DataFrame | None = None, most: int = MOST_CODES) -> DataFrame:
+    """Per variable: codes whose labels differ, codes used on one side only, missing and special-code counts, and a review status.
+
+    Label tables are ``(variable, code, label)``, used codes ``(variable, code)``, profiles those of :func:`code_profile`. Codes
+    used on one side are always counted and listed up to ``most``, so a continuous column taken for a coded one makes no large row.
     """
+    listed = lambda v: F.array_join(F.array_sort(F.collect_set(v)), ";")
     left = a.select("variable", "code", canonical_name("label").alias("_a"))
     right = b.select("variable", "code", canonical_name("label").alias("_b"))
     labels = left.join(right, ["variable", "code"], "full_outer").groupBy("variable").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_a") != F.col("_b"), F.col("code")))), ";").alias("label_conflicts"),
+        # the label tables are the code book itself
+        listed(F.when(F.col("_a") != F.col("_b"), F.col("code"))).alias("label_conflicts"),
         F.count_if(F.col("_a").isNotNull()).alias("labels_first"), F.count_if(F.col("_b").isNotNull()).alias("labels_second"))
-    mark = lambda df, name: df.select("variable", "code").distinct().withColumn(name, F.lit(True))
-    used = mark(codes_a, "_x").join(mark(codes_b, "_y"), ["variable", "code"], "full_outer").groupBy("variable").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_y").isNull(), F.col("code")))), ";").alias("only_first"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_x").isNull(), F.col("code")))), ";").alias("only_second"))
-    return labels.join(used, "variable", "left").withColumn(
-        "status", F.when(F.col("label_conflicts") != "", "LABEL_DIFFERENCE_REVIEW").otherwise("METADATA_LABELS_MATCH"))
+    mark = lambda df, name: df.select("variable", "code").distinct().withColumn(name, F.lit(True))
+    used = mark(codes_a, "_x").join(mark(codes_b, "_y"), ["variable", "code"], "full_outer")
+    sizes = used.groupBy("variable").agg(F.count_if(F.col("_y").isNull()).alias("only_first_n"), F.count_if(F.col("_x").isNull()).alias("only_second_n"))
+    alone = used.where("_x is null or _y is null").join(
+        F.broadcast(sizes.where(f"only_first_n + only_second_n <= {int(most)}")), "variable").groupBy("variable").agg(
+        listed(F.when(F.col("_y").isNull(), F.col("code"))).alias("only_first"), listed(F.when(F.col("_x").isNull(), F.col("code"))).alias("only_second"))
+    out = labels.join(sizes, "variable", "left").join(alone, "variable", "left")
+    few = F.coalesce(F.col("only_first_n") + F.col("only_second_n") <= most, F.lit(False))
+    out = out.withColumns({c: F.when(few, F.coalesce(c, F.lit(""))) for c in ("only_first", "only_second")})
+    for side, profile in (("first", profile_a), ("second", profile_b)):
+        if profile is not None:
+            out = out.join(profile.withColumnsRenamed({"missing": f"missing_{side}", "special": f"special_{side}"}), "variable", "left")
+    return out.withColumn("status", F.when(F.col("label_conflicts") != "", "LABEL_DIFFERENCE_REVIEW").otherwise("METADATA_LABELS_MATCH"))
 
 
 def missingness_association(df: DataFrame, column: str, categorical: Sequence[str], numeric: Sequence[str],

@@ -106,11 +106,17 @@ CODEBOOK_SQL = """
           ' +', ' ', 'g'))), '') as label_conflicts, count(a.l) as labels_first, count(b.l) as labels_second
         from a join b using (variable, code) group by a.variable),
       u as (select variable, coalesce(string_agg(code, ';' order by code) filter (not iny), '') as only_first,
-          coalesce(string_agg(code, ';' order by code) filter (not inx), '') as only_second
+          coalesce(string_agg(code, ';' order by code) filter (not inx), '') as only_second,
+          count(*) filter (not iny) as only_first_n, count(*) filter (not inx) as only_second_n
         from (select coalesce(x.variable, y.variable) as variable, coalesce(x.code, y.code) as code, x.code is not null as inx,
           y.code is not null as iny from x full join y on x.variable = y.variable and x.code = y.code) group by variable)
-    select m.*, only_first, only_second, case when label_conflicts <> '' then 'LABEL_DIFFERENCE_REVIEW'
-      else 'METADATA_LABELS_MATCH' end as status from m join u using (variable)
+    , pa as (select 'nation' as variable, count(*) filter (c_nationkey is null) as missing_first, count(*) filter (c_nationkey in (7, 8)) as special_first
+        from customer),
+      pb as (select 'nation' as variable, count(*) filter (s_nationkey is null) as missing_second, count(*) filter (s_nationkey in (7, 8)) as special_second
+        from supplier)
+    select m.*, only_first, only_second, only_first_n, only_second_n, missing_first, special_first, missing_second, special_second,
+      case when label_conflicts <> '' then 'LABEL_DIFFERENCE_REVIEW'
+      else 'METADATA_LABELS_MATCH' end as status from m join u using (variable) left join pa using (variable) left join pb using (variable)
 """
 
 
@@ -125,10 +131,11 @@ def l4(spark, sf_dir):
     lowest = nation.groupBy("n_regionkey").agg(F.min("n_name").alias("n_name"))
     second = entry(nation, "nation", "n_nationkey", "n_name").unionByName(entry(lowest, "region", "n_regionkey", "n_name"))
     supplier = table(spark, sf_dir, "supplier", "s_nationkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    codes_a = used(table(spark, sf_dir, "customer", "c_nationkey"), "nation", "c_nationkey").unionByName(
-        used(region, "region", "r_regionkey"))
-    codes_b = used(supplier, "nation", "s_nationkey").unionByName(used(supplier, "region", "n_regionkey"))
-    return K.compare_codebooks(first, second, codes_a, codes_b)
+    special = {"nation": [7, 8]}
+    found_a, profile_a = K.code_profile(table(spark, sf_dir, "customer", "c_nationkey"), {"nation": F.col("c_nationkey")}, special)
+    found_b, profile_b = K.code_profile(supplier, {"nation": F.col("s_nationkey"), "region": F.col("n_regionkey")}, special)
+    codes_a = found_a.select("variable", "code").unionByName(used(region, "region", "r_regionkey"))
+    return K.compare_codebooks(first, second, codes_a, found_b, profile_a, profile_b.where("variable = 'nation'"))
 
 
 @query("missingness_association", with_views("""

@@ -38,16 +38,16 @@ from surveyloom.llm.common import cut, with_row_key
 from surveyloom.llm.textarrays import _BASE, _STEP, chunks, mix, shingle_sets, split_words
 
 FLUSH_TOKENS = 4_000_000
-#: Slots of the table of token frequencies (a byte each is broadcast), and slots to a row of it.
-SLOT_BITS, SLOT_ROW = 24, 1 << 14
+#: Slots of the table of token frequencies (half a byte each is broadcast), and slots to a row of it.
+SLOT_BITS, SLOT_ROW = 25, 1 << 15
 #: Nodes of a join filter that may be broadcast.
 MAX_BROADCAST_NODES = 1_000_000
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: A tile of sets: members and tokens, about; members of a bucket that are searched for partners before texts are fetched.
-TILE, TILE_TOKENS, SEARCHED = 256, 2_000_000, 4096
+TILE, TILE_TOKENS, SEARCHED = 2048, 2_000_000, 4096
 #: Bits of a parity bitmap: a power of two, about twice the set's size.
 LEAST_BITS, MOST_BITS = 256, 8192
-_COLUMNS = 1 << 15
+_CELLS = 1 << 24
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -67,6 +67,12 @@ def slots_of(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens ^ np.uint64(_STEP)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def class_of(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Class of each token: the number of bits of its slot's count, 15 at most; two slots share a byte of the table."""
+    slots = slots_of(tokens)
+    return (table[slots >> 1] >> ((slots & 1) << 2).astype(np.uint8)) & np.uint8(15)
+
+
 def _first_pass(words: int):
     """Arrow function: a row per document, and rows of the partition's token counts per slot, over distinct sets of a run."""
     names = ["row", "doc_id", "size", "node", "chunk", "counts"]
@@ -75,11 +81,13 @@ def _first_pass(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        held, count, total = [], 0, np.zeros(1 << SLOT_BITS, np.uint32)
+        held, count, total = [], 0, np.zeros(1 << SLOT_BITS, np.uint8)
 
         def flush() -> None:
             nonlocal count
-            np.add.at(total, slots_of(np.concatenate(held)), np.uint32(1))
+            # a partition counts up to 255 per slot, which is enough for an order
+            slots, times = np.unique(slots_of(np.concatenate(held)), return_counts=True)
+            total[slots] = np.minimum(255, total[slots] + times)
             held.clear()
             known.clear()
             count = 0
@@ -114,17 +122,17 @@ def _added_counts(rows: pa.Table) -> pa.Table:
     """Arrow function over rows of one stretch of slots: their sum."""
     unpacker, total = zstandard.ZstdDecompressor(), np.zeros(SLOT_ROW, np.int64)
     for body in rows.column("counts"):
-        total += np.frombuffer(unpacker.decompress(body.as_py()), np.uint32)
+        total += np.frombuffer(unpacker.decompress(body.as_py()), np.uint8)
     return pa.table({"chunk": rows.column("chunk").slice(0, 1), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())])})
 
 
 def _classes(rows: pa.Table) -> pa.Table:
-    """Arrow function: a byte per slot, the number of bits of its count, and the tokens counted."""
+    """Arrow function: half a byte per slot, the number of bits of its count, and the tokens counted."""
     unpacker, total = zstandard.ZstdDecompressor(), np.zeros(SLOT_ROW, np.int64)
     for body in rows.column("counts"):
         total += np.frombuffer(unpacker.decompress(body.as_py()), np.int64)
-    bits = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
-    return pa.table({"chunk": rows.column("chunk").slice(0, 1), "classes": pa.array([bits.tobytes()]), "tokens": pa.array([int(total.sum())])})
+    bits = np.minimum(15, np.frexp(total.astype(np.float64))[1]).astype(np.uint8)
+    return pa.table({"chunk": rows.column("chunk").slice(0, 1), "classes": pa.array([(bits[::2] | bits[1::2] << 4).tobytes()]), "tokens": pa.array([int(total.sum())])})
 
 
 def slot_classes(first: DataFrame) -> tuple[np.ndarray, int]:
@@ -132,7 +140,7 @@ def slot_classes(first: DataFrame) -> tuple[np.ndarray, int]:
     counts = first.where("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % 64).alias("_some"))
     found = (counts.groupBy("chunk", "_some").applyInArrow(_added_counts, "chunk int, counts binary")
              .groupBy("chunk").applyInArrow(_classes, "chunk int, classes binary, tokens long").collect())
-    out = np.zeros((1 << SLOT_BITS) // SLOT_ROW * SLOT_ROW, np.uint8).reshape(-1, SLOT_ROW)
+    out = np.zeros(1 << SLOT_BITS - 1, np.uint8).reshape(-1, SLOT_ROW // 2)
     for r in found:
         out[r["chunk"]] = np.frombuffer(r["classes"], np.uint8)
     return out.ravel(), sum(r["tokens"] for r in found)
@@ -153,7 +161,7 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, first_frequent: int, per
     need = -(-size * percent // 100)
     if size < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    place = classes[slots_of(tokens)]
+    place = class_of(classes, tokens)
     ordered = np.argsort(place, kind="stable")
     rare = int((place < first_frequent).sum())
     single, out = tokens[ordered[:min(rare, size - need + 1)]], [tokens[:0]]
@@ -420,9 +428,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     total = np.zeros((len(sets), len(sets)))
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for first in range(0, int(several.sum()), _COLUMNS):
-        a, b = np.searchsorted(column, [first, first + _COLUMNS])
-        block = np.zeros((len(sets), min(_COLUMNS, int(several.sum()) - first)), np.float32)
+    width, shared = max(1, _CELLS // len(sets)), int(several.sum())
+    for first in range(0, shared, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        block = np.zeros((len(sets), min(width, shared - first)), np.float32)
         block[owner[a:b], column[a:b] - first] = 1
         total += block @ block.T
     return total
@@ -522,7 +531,7 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
     docs = first.where("row is not null").select("row", "doc_id", "size", "node")
     found, tokens = slot_classes(first)
     # where the corpus has many more tokens than slots, a rare token shares its slot with many others
-    usual = max(least_frequent, 4 * tokens >> SLOT_BITS)
+    usual = min(max(least_frequent, 4 * tokens >> SLOT_BITS), 1 << 14)
     table = spark.sparkContext.broadcast(found)
     keyed = (texts.select("text").mapInArrow(_signatures(words, percent, table, usual.bit_length()), "sig long, node long, size int, reach int")
              .repartition("sig"))

@@ -73,8 +73,8 @@ def test_signatures_of_similar_sets_meet():
         shared = len(np.intersect1d(base, other))
         if 100 * shared < 80 * (len(base) + len(other) - shared):
             continue
-        classes = rng.integers(0, 9, 1 << jaccard_join.SLOT_BITS).astype(np.uint8)
-        first = int(rng.integers(0, 10))
+        classes = rng.integers(0, 256, 1 << jaccard_join.SLOT_BITS - 1).astype(np.uint8)
+        first = int(rng.integers(0, 17))
         a, b = (np.concatenate(jaccard_join.signatures(s, classes, first, 80)) for s in (base, other))
         assert len(base) == len(other) == shared or len(np.intersect1d(a, b)), (len(base), len(other), shared, first)
 
@@ -111,11 +111,14 @@ def test_slot_classes_are_the_bits_of_summed_counts(spark):
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 300)) for _ in range(40)] + [None, "", "one two"]
     df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(5)
     first = df.mapInArrow(jaccard_join._first_pass(2), "row long, doc_id long, size long, node long, chunk int, counts binary")
-    classes, tokens = jaccard_join.slot_classes(first)
-    counts = np.zeros(1 << jaccard_join.SLOT_BITS, int)
+    table, tokens = jaccard_join.slot_classes(first)
+    counts, every = np.zeros(1 << jaccard_join.SLOT_BITS, int), []
     for own in jaccard_join._sets(pa.array(texts, pa.string()), 2):
         counts[jaccard_join.slots_of(own)] += 1
-    assert tokens == counts.sum() and [int(x).bit_length() for x in counts[counts > 0]] == classes[counts > 0].tolist() and not classes[counts == 0].any()
+        every.append(own)
+    every = np.concatenate(every)
+    assert tokens == counts.sum() and jaccard_join.class_of(table, every).tolist() == [int(x).bit_length() for x in counts[jaccard_join.slots_of(every)]]
+    assert len(table) == 1 << jaccard_join.SLOT_BITS - 1 and np.bitwise_count(table).astype(int).sum() == sum(int(x).bit_length().bit_count() for x in counts[counts > 0])
 
 
 def links_of(texts, percent=80):

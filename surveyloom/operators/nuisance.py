@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from surveyloom.functions.recode import clip
 from surveyloom.operators.bootstrap import cluster_totals, psu_bootstrap
 from surveyloom.operators.causal import aipw, aipw_scores
 from surveyloom.operators.encoding import Encoding, learn_encoding, token_name
+from surveyloom.operators.evaluate import ranking_metrics
 from surveyloom.operators.ranking import quantile_bins, stratified_group_folds
 from surveyloom.operators.refits import fit_many, multiplier_bytes
 from surveyloom.operators.scale import cut, exact_quantiles, hash_ranks
@@ -374,26 +376,33 @@ def permutation_importance(forest, rows: DataFrame, moderators: Encoding, variab
                            weight: str, repeats: int, seed: int) -> DataFrame:
     """Drop of weighted R2 when one original variable is shuffled across rows.
 
-    The shuffle pairs the hash order of the rows with a second hash order of the values.
+    Rows are put in hash order once. A repeat hands the values of a variable on by an offset of its own in that order, a
+    shuffle in which no row keeps its value's place; all variables and repeats travel together, are scored
+    together and are summed in one aggregate.
     """
-    base = rows.drop("features", "tau_hat", *[token_name(c) for c, _ in moderators.categorical])
-
-    def r2(frame: DataFrame) -> DataFrame:
-        scored = forest.transform(moderators.prepare(frame).withColumn("features", _features(moderators)))
-        w, t, p = F.col(weight), F.col("tau"), F.col("tau_hat")
-        return scored.agg((1 - F.sum(w * (t - p) ** 2) / (F.sum(w * t * t) - F.sum(w * t) * F.sum(w * t) / F.sum(w))).alias("r2"))
-
-    out = None
-    reference = r2(base).select("r2").scalar()
-    places = cut(hash_ranks(base.withColumn("_h", digest(f"{seed}|place", *key)), [], "_h", "_at").drop("_h", "group_size"))
-    for variable in variables:
-        for repeat in range(repeats):
-            values = hash_ranks(base.select(*key, variable).withColumn("_h", digest(f"{seed}|{variable}|{repeat}", *key)),
-                                [], "_h", "_at").select("_at", variable)
-            shuffled = places.drop(variable).join(values, "_at")
-            row = r2(shuffled).select(F.lit(variable).alias("variable"), (reference - F.col("r2")).alias("drop"))
-            out = row if out is None else out.unionByName(row)
-    return out.groupBy("variable").agg(F.avg("drop").alias("importance_mean"), F.stddev_samp("drop").alias("importance_sd"))
+    tokens = {token_name(c) for c, _ in moderators.categorical}
+    inputs = [c for c in dict.fromkeys([*[c for c, _ in (*moderators.numeric, *moderators.plain)], *[c for c, _ in moderators.categorical]])]
+    base = rows.select(*key, *[c for c in inputs if c not in key], "tau", weight)
+    placed = cut(hash_ranks(base.withColumn("_h", digest(f"{seed}|place", *key)), [], "_h", "_at", "_n").drop("_h"))
+    kinds, turns = dict(base.dtypes), []
+    for i, variable in enumerate(variables):
+        for r in range(repeats):
+            share = int(hashlib.sha256(f"{seed}|{variable}|{r}".encode()).hexdigest()[:8], 16) / 2.0**32
+            offset = 1 + F.floor(F.lit(share) * F.greatest(F.col("_n") - 1, F.lit(1)))
+            turns.append(F.struct(F.lit(i).alias("_variable"), F.lit(r).alias("_repeat"), (F.pmod(F.col("_at") - 1 + offset, "_n") + 1).alias("_at"),
+                                  F.col(variable).cast("string").alias("_value")))
+    moved = placed.select(F.inline(F.array(*turns)))
+    swapped = placed.join(moved, "_at").withColumns({
+        v: F.when(F.col("_variable") == i, F.col("_value").cast(kinds[v])).otherwise(F.col(v)) for i, v in enumerate(variables)}).drop("_value")
+    both = placed.withColumns({"_variable": F.lit(-1), "_repeat": F.lit(0)}).unionByName(swapped)
+    scored = forest.transform(moderators.prepare(both).withColumn("features", _features(moderators))).drop(*tokens)
+    w, t, p = F.col(weight), F.col("tau"), F.col("tau_hat")
+    r2 = 1 - F.sum(w * (t - p) ** 2) / (F.sum(w * t * t) - F.sum(w * t) * F.sum(w * t) / F.sum(w))
+    fits = cut(scored.groupBy("_variable", "_repeat").agg(r2.alias("r2")))
+    reference = fits.where("_variable = -1").select("r2").scalar()
+    names = F.array(*[F.lit(v) for v in variables])
+    return fits.where("_variable >= 0").groupBy(names[F.col("_variable")].alias("variable")).agg(
+        F.avg(reference - F.col("r2")).alias("importance_mean"), F.stddev_samp(reference - F.col("r2")).alias("importance_sd"))
 
 
 def propensity_range(scored: DataFrame, exposure: str) -> DataFrame:
@@ -427,21 +436,54 @@ def calibrate(oof: DataFrame, test: DataFrame, y: str, p: str, weight: str | Non
     return out, table
 
 
+def sampled_settings(model: str, choices: Mapping[str, Sequence], count: int, seed: int) -> list[dict]:
+    """``count`` different settings out of all combinations of ``choices`` (all, if fewer), in hash order."""
+    every = [dict(zip(choices, values)) for values in itertools.product(*choices.values())]
+    drawn = sorted(every, key=lambda x: hashlib.sha256(f"{seed}|{model}|{sorted(x.items())}".encode()).hexdigest())[:count]
+    return [{"model": model, **x} for x in drawn]
+
+
 def grouped_search(df: DataFrame, encoding: Encoding, outcome: str, weight: str, group: Sequence[str], k: int, seed: int,
-                   ridges: Sequence[float]) -> DataFrame:
-    """Grid search with group-disjoint folds; mean and SD of the held-out AUC per setting."""
-    folded = stratified_group_folds(df, group, outcome, k, seed)
-    rows = encoding.prepare(folded).select(_features(encoding).alias("features"), F.col(outcome).cast("double").alias("label"),
-                                           F.col(weight).alias("w"), "fold").persist()
-    estimator = LogisticRegression(weightCol="w", standardization=False, maxIter=30)
-    grid = ParamGridBuilder().addGrid(estimator.regParam, list(ridges)).build()
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(weightCol="w"),
-                            numFolds=k, foldCol="fold", parallelism=2).fit(rows)
-    rows.unpersist()
-    best = max(range(len(grid)), key=lambda i: search.avgMetrics[i])
-    return df.sparkSession.createDataFrame(
-        [(float(r), float(search.avgMetrics[i]), float(search.stdMetrics[i]), i == best) for i, r in enumerate(ridges)],
-        "ridge double, mean_auc double, sd_auc double, selected boolean")
+                   settings: Sequence[Mapping]) -> DataFrame:
+    """Grid search with group-disjoint folds over logistic, forest and boosted models.
+
+    A setting names its ``model`` (``logistic`` with ``ridge``; ``forest`` with ``trees`` and ``depth``; ``boosted`` with ``trees``,
+    ``depth`` and ``step``). Models are fitted to covariate cells; the held-out scores of all settings and folds are one
+    long table, from which the exact average precision and ROC-AUC of all follow at once. Best mean average precision is selected,
+    the first setting on ties.
+    """
+    folded, w = cut(stratified_group_folds(df, group, outcome, k, seed)), F.col(weight)
+    cells = cut(covariate_cells(folded, encoding, outcome, {f"_w{f}": F.when(F.col("fold") != f, w) for f in range(k)}
+                                | {f"_h{f}": F.when(F.col("fold") == f, w) for f in range(k)}))
+    ready = cells.select("*", _features(encoding).alias("features"), F.col("_y").alias("label"))
+    parts = []
+    for i, setting in enumerate(settings):
+        if setting["model"] == "logistic":
+            learner = LogitLearner(encoding, setting["ridge"])
+            scores = [learner.score(m, cells, "_p") for m in learner.fit(cells, [f"_w{f}" for f in range(k)])]
+        else:
+            scores = []
+            for f in range(k):
+                if setting["model"] == "forest":
+                    model = RandomForestClassifier(weightCol=f"_w{f}", numTrees=setting["trees"], maxDepth=setting["depth"], seed=seed)
+                else:
+                    model = GBTClassifier(weightCol=f"_w{f}", maxIter=setting["trees"], maxDepth=setting["depth"], stepSize=setting["step"], seed=seed)
+                fitted = model.fit(ready.where(F.col(f"_w{f}") > 0).select("features", "label", f"_w{f}"))
+                scores.append(fitted.transform(ready).withColumn("_p", vector_to_array("probability")[1]))
+        parts += [scores[f].where(F.col(f"_h{f}") > 0).select(F.lit(i).alias("setting"), F.lit(f).alias("fold"), "_y", "_p", F.col(f"_h{f}").alias("_h"))
+                  for f in range(k)]
+    table = search_table(cut(functools.reduce(DataFrame.unionByName, parts)))
+    described = F.array(*[F.lit(", ".join(f"{k}={v}" for k, v in s.items())) for s in settings])
+    return table.withColumn("settings", described[F.col("setting")])
+
+
+def search_table(scores: DataFrame) -> DataFrame:
+    """Mean and SD over folds of both ranking metrics per setting of ``(setting, fold, _y, _p, _h)``, and which setting is selected."""
+    each = ranking_metrics(scores, "_y", "_p", "_h", ["setting", "fold"])
+    table = each.groupBy("setting").agg(
+        F.count("*").alias("folds"), *[f(c).alias(f"{n}_{c}") for c in ("average_precision", "roc_auc") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    best = table.agg(F.max_by("setting", F.struct("mean_average_precision", -F.col("setting"))).alias("v")).scalar()
+    return table.withColumn("selected", F.col("setting") == best)
 
 
 def fit_authorized(df: DataFrame, encoding: Encoding, outcome: str, partition: str, weight: str | None = None,

@@ -151,7 +151,7 @@ def i22(spark, sf_dir):
 def i23(spark, sf_dir):
     model, rows, _, moderators = forest(spark, sf_dir)
     return N.permutation_importance(model, rows.where("is_test").drop("bin"), moderators, ["education_years", *MODERATORS],
-                                    ["row_id"], "weight", 2, SEED)
+                                    ["row_id"], "weight", 5, SEED)
 
 
 def without_group(rows, scores):
@@ -260,10 +260,35 @@ def k8(spark, sf_dir):
                         tested.select("calibrated").scalar().alias("test_brier_calibrated"))
 
 
+SETTINGS = [*N.sampled_settings("logistic", {"ridge": [10.0 ** k for k in range(-5, 1)]}, 6, SEED),
+            *N.sampled_settings("forest", {"trees": [20, 40], "depth": [4, 6, 8]}, 2, SEED),
+            *N.sampled_settings("boosted", {"trees": [5, 10], "depth": [2, 3, 4], "step": [0.05, 0.1, 0.3]}, 2, SEED)]
+
+
 @query("grouped_search")
 def k9(spark, sf_dir):
     rows = cohort(spark, sf_dir)
-    return N.grouped_search(rows, encoding_of(rows), "outcome", "weight", ["mother_id"], 3, SEED, [1e-4, 1e-2])
+    return N.grouped_search(rows, encoding_of(rows), "outcome", "weight", ["mother_id"], 3, SEED, SETTINGS)
+
+
+@query("search_table", with_views("""
+    , s as (select 0 as setting, cast(row_id % 3 as int) as fold, outcome as y, mu1_hat as p, weight as h from cohort
+        union all select 1, cast(row_id % 3 as int), outcome, round(mu0_hat, 1), weight from cohort),
+      g as (select setting, fold, p, sum(h) filter (y = 1) as wp, sum(h) filter (y = 0) as wn from s group by all),
+      c as (select setting, fold, p, coalesce(wp, 0) as wp, coalesce(wn, 0) as wn from g),
+      r as (select *, sum(wn) over (partition by setting, fold order by p) - wn as below, sum(wp) over (partition by setting, fold) as tp,
+        sum(wn) over (partition by setting, fold) as tn, sum(wp) over (partition by setting, fold order by p desc) as up,
+        sum(wp + wn) over (partition by setting, fold order by p desc) as ua from c),
+      e as (select setting, fold, sum(wp * (below + 0.5e0 * wn)) / (max(tp) * max(tn)) as auc, sum(wp * up / ua) / max(tp) as ap from r group by all),
+      t as (select setting, count(*) as folds, avg(ap) as mean_average_precision, stddev_samp(ap) as sd_average_precision, avg(auc) as mean_roc_auc,
+        stddev_samp(auc) as sd_roc_auc from e group by setting)
+    select *, setting = (select setting from t order by mean_average_precision desc, setting limit 1) as selected from t"""))
+def k9_table(spark, sf_dir):
+    """The search's metrics on given scores of two settings."""
+    rows = cohort(spark, sf_dir).withColumn("fold", (F.col("row_id") % 3).cast("int"))
+    given = [rows.select(F.lit(i).alias("setting"), "fold", F.col("outcome").alias("_y"), p.alias("_p"), F.col("weight").alias("_h"))
+             for i, p in enumerate((F.col("mu1_hat"), F.round("mu0_hat", 1)))]
+    return N.search_table(given[0].unionByName(given[1]))
 
 
 @query("fit_authorized")

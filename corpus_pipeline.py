@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm import jaccard_join, packing, quality_rules, secret_scan, toxicity
@@ -12,34 +12,50 @@ from surveyloom.llm.common import table, vocabulary
 from surveyloom.operators.scale import ensure_checkpoint_dir
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the whole row in one column, so that no column of the row can clash with a stage's own."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return docs.select("doc_id", "text", whole.alias("_document"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    return rows.select(*[changed.get(c, F.col(f"_document.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the voted quality rules keep."""
-    found = quality_rules.quality_verdicts(docs, keep=tuple(docs.columns), store=False)
-    return found.where("kept").select(docs.columns)
+    found = quality_rules.quality_verdicts(boxed(docs), keep=("_document",), store=False)
+    return unboxed(found.where("kept"), docs)
 
 
 def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not predict to be toxic."""
-    model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity_scores(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(docs.columns)
+    rows = boxed(docs)
+    model = toxicity.toxicity_model(rows.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return unboxed(toxicity.toxicity_scores(rows, model, keep=("_document",)).where("predicted = 0"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard_join.without_copies(docs).select(docs.columns)
+    return unboxed(jaccard_join.without_copies(boxed(docs)), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
-    found = secret_scan.secret_spans(docs, secret_scan.fit_model(docs), base="_base", added="_added")
+    """All documents, with a mark in place of each secret; ``n_chars``, if there, follows the text."""
+    rows = boxed(docs)
+    found = secret_scan.secret_spans(rows, secret_scan.fit_model(rows), base="_base", added="_added")
     clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.concat("_base", "_added")))
-    return clean.withColumn("n_chars", F.when(F.size("_base") + F.size("_added") > 0, F.char_length("text").cast("long")).otherwise(
-        F.col("n_chars").cast("long"))).select(docs.columns)
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own = F.col(f"_document.c{docs.columns.index('n_chars')}").cast("long")
+        changed["n_chars"] = F.when(F.size("_base") + F.size("_added") > 0, F.char_length("text").cast("long")).otherwise(own)
+    return unboxed(clean, docs, **changed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 1024 ids: one row per piece of a document."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"), size=1024)
+    return packing.pack(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), size=1024)
 
 
 STAGES = [("quality_rules", quality), ("toxicity", civility), ("jaccard_join", near_copies), ("secret_scan", secrets), ("packing", pack)]

@@ -85,7 +85,7 @@ def posterior(patterns: np.ndarray, share: float, up: np.ndarray) -> np.ndarray:
 
 def quality_verdicts(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.5,
                      min_words: int = 20, repeat_percent: int = 30, store: bool = True) -> DataFrame:
-    """``keep`` columns, base counts, ``base_failed``, ``votes``, ``posterior`` and ``kept`` for every row.
+    """``keep`` columns, base counts, ``base_failed``, ``kept``, ``votes`` and ``posterior`` for every row.
 
     Null and empty texts have no words: they fail the base rules and are not kept. Repeated rows
     keep a row each; other columns are ignored; an empty table gives no rows. A text is read whole.
@@ -110,4 +110,4 @@ def quality_verdicts(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",),
     table = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(rows, found)], "votes string, posterior double")
     return (voted.join(F.broadcast(table), "votes")  # at most 3 ** rules rows
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-            .select(*[F.col(k).alias(c) for k, c in zip(kept_names, keep)], *BASE, "base_failed", "votes", "posterior", "kept"))
+            .select(*[F.col(k).alias(c) for k, c in zip(kept_names, keep)], *BASE, "base_failed", "kept", "votes", "posterior"))

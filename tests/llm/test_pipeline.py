@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from surveyloom.llm.common import cut
 from tests.llm.brute import base_counts, base_spans, components, shingles
 
 
@@ -37,3 +38,17 @@ def test_run_gives_the_stages_result(spark, sf_dir):
     packed = corpus_pipeline.run(spark, sf_dir)
     per = packed.groupBy("doc_id").agg(F.sum("length").alias("got"), F.max("doc_tokens").alias("expected"))
     assert per.where("got <> expected").count() == 0 and per.count() > 100
+
+
+def test_columns_with_the_stages_own_names_stay(spark, sf_dir):
+    """Extra columns that clash with what the operators add inside."""
+    own = ["kept", "votes", "n_words", "score", "predicted", "held_out", "_copy_row", "_document_row", "_row", "row", "class", "node", "base", "added", "_document", "_base",
+           "label", "toxic", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").select("*", *[F.lit(i).alias(c) for i, c in enumerate(own)])
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        seen = cut(stage(spark, seen, sf_dir))
+        assert seen.columns == docs.columns
+        rows = seen.limit(3).collect()
+        assert rows and all([r[c] for c in own] == list(range(len(own))) for r in rows)
+    assert corpus_pipeline.STAGES[4][1](spark, seen, sf_dir).count() > 0

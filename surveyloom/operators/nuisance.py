@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from surveyloom.design import SurveyDesign
 from surveyloom.functions.hashing import digest
 from surveyloom.functions.recode import clip
-from surveyloom.operators.bootstrap import cluster_totals, psu_bootstrap
+from surveyloom.operators.bootstrap import cluster_totals, paired_bootstrap_difference, psu_bootstrap
 from surveyloom.operators.causal import aipw, aipw_scores
 from surveyloom.operators.encoding import Encoding, learn_encoding, token_name
 from surveyloom.operators.evaluate import ranking_metrics
 from surveyloom.operators.ranking import quantile_bins, stratified_group_folds
 from surveyloom.operators.refits import fit_many, multiplier_bytes
-from surveyloom.operators.scale import cut, exact_quantiles, hash_ranks
+from surveyloom.operators.scale import broadcast_if_small, cut, exact_quantiles, hash_ranks
 from surveyloom.operators.standardize import LogitModel, covariate_cells, fit_cells, sigmoid
 
 TINY = 1e-6
@@ -328,25 +328,35 @@ def cross_fit_stacked(df: DataFrame, propensity: Sequence, outcomes: Sequence, e
     return stored, e_shares.withColumn("model", F.lit("propensity")).unionByName(q_shares.withColumn("model", F.lit("outcome")))
 
 
-def context_split_aipw(scored: DataFrame, design: SurveyDesign, outcome: str, exposure: str, unit: str,
-                       measure: str) -> tuple[DataFrame, DataFrame]:
+def context_split_aipw(scored: DataFrame, design: SurveyDesign, outcome: str, exposure: str, unit: str, measure: str, reps: int = 0,
+                       seed: int = 0, trim: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Doubly robust contrast in units above and below the median of a unit-level measure.
 
     Returns (estimates of both groups with the high-minus-low difference, the
     difference recomputed without each unit). Both come from one table of unit sums. The
-    median unit counts as high; a unit without a measure belongs to neither group.
+    median unit counts as high; a unit without a measure belongs to neither group. Rows with a propensity outside
+    ``trim`` to 1 - ``trim`` are left out. With ``reps``, percentile limits of both groups and of their
+    difference come from the same draws of clusters.
     """
-    rows = aipw_scores(scored, outcome, exposure, "e_fit", "mu1_fit", "mu0_fit")
+    inside = scored.where(F.col("e_fit").between(trim, 1 - trim)) if trim else scored
+    rows = aipw_scores(inside, outcome, exposure, "e_fit", "mu1_fit", "mu0_fit")
     w = F.col(design.weight)
     units = rows.groupBy(unit).agg(F.max(measure).alias("_m"), F.count("*").alias("n"), F.sum(w).alias("_w"),
                                    F.sum(w * F.col("psi1")).alias("_w1"), F.sum(w * F.col("psi0")).alias("_w0"))
-    units = units.where(F.col("_m").isNotNull())
+    units = cut(units.where(F.col("_m").isNotNull()))
     middle = exact_quantiles(units, [], "_m", {"v": 0.5}).scalar()
     split = units.withColumn("high", F.col("_m") >= middle)
     both = split.groupBy("high").agg(F.count("*").alias("units"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("_w", "_w1", "_w0")])
     rd = (F.col("_w1") - F.col("_w0")) / F.col("_w")
     value = lambda side: both.where(F.col("high") == side).select(rd.alias("v")).scalar()
     estimates = both.select("high", "units", "n", rd.alias("risk_difference"), (value(True) - value(False)).alias("high_minus_low"))
+    if reps:
+        marked = rows.join(broadcast_if_small(split.select(unit, "high")), unit)
+        draws = cut(paired_bootstrap_difference(marked, design, F.col("high"), ~F.col("high"), F.col("psi1") - F.col("psi0"), reps, seed))
+        limit = lambda c, p: draws.agg(F.percentile(c, p).alias("v")).scalar()
+        ends = (("low", 0.025), ("high", 0.975))
+        estimates = estimates.select("*", *[F.when(F.col("high"), limit("first", p)).otherwise(limit("second", p)).alias(f"rd_{e}") for e, p in ends],
+                                     *[limit("difference", p).alias(f"difference_{e}") for e, p in ends])
     totals = both.select("high", *[F.col(c).alias(f"{c}_all") for c in ("_w", "_w1", "_w0")])
     left = lambda c: F.col(f"{c}_all") - F.col(c)
     other = F.when(F.col("high"), value(False)).otherwise(value(True))
@@ -356,6 +366,16 @@ def context_split_aipw(scored: DataFrame, design: SurveyDesign, outcome: str, ex
     return estimates, without
 
 
+def effects_by_group(scored: DataFrame, design: SurveyDesign, outcome: str, exposure: str, groups: Mapping[str, Column], predicted: Column,
+                     reps: int, seed: int) -> DataFrame:
+    """Doubly robust risks, difference and ratio with limits, and the mean prediction, per level of every grouping."""
+    levels = F.array(*[F.struct(F.lit(k).alias("group"), v.cast("string").alias("level")) for k, v in groups.items()])
+    long = scored.withColumn("_predicted", predicted).select("*", F.inline(levels)).where("level is not null")
+    means = long.groupBy("group", "level").agg(
+        (F.sum(F.col(design.weight) * F.col("_predicted")) / F.sum(design.weight)).alias("mean_predicted_effect"))
+    return fitted_aipw(long, design, outcome, exposure, reps, seed, ["group", "level"]).join(means, ["group", "level"])
+
+
 def cate_forest(scored: DataFrame, moderators: Encoding, design: SurveyDesign, outcome: str, exposure: str, split: str,
                 bins: int, trees: int = 20, depth: int = 4, seed: int = 42):
     """Regress the doubly robust row effect on moderators in development rows, bin and re-estimate on test rows.

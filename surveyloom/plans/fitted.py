@@ -115,22 +115,22 @@ def i19_one(spark, sf_dir):
     return N.fitted_aipw(scored(latest), DESIGN, "outcome", "sector", REPS, SEED)
 
 
-def split_by_context(spark, sf_dir):
-    rows = cohort(spark, sf_dir)
+def split_by_context(rows, scores):
+    """Both halves of the nations by the mean age of mothers; models are fitted within each half."""
     measure = rows.groupBy("nation").agg(F.avg("maternal_age").alias("measure"))
     middle = exact_quantiles(measure, [], "measure", {"v": 0.5}).first()["v"]
     rows = broadcast_group_value(rows, measure, "nation").withColumn("half", F.col("measure") >= middle)
-    return N.context_split_aipw(scored(rows, by=["half"]), DESIGN, "outcome", "sector", "nation", "measure")
+    return N.context_split_aipw(scores(rows, by=["half"]), DESIGN, "outcome", "sector", "nation", "measure", REPS, SEED, 0.02)
 
 
 @query("context_split_aipw")
 def i20(spark, sf_dir):
-    return split_by_context(spark, sf_dir)[0]
+    return split_by_context(cohort(spark, sf_dir), scored)[0]
 
 
 @query("context_split_leave_one_out")
 def i20_loo(spark, sf_dir):
-    return split_by_context(spark, sf_dir)[1]
+    return split_by_context(cohort(spark, sf_dir), scored)[1]
 
 
 MODERATORS = ["wealth_index", "residence", "social_group"]
@@ -144,7 +144,10 @@ def forest(spark, sf_dir):
 
 @query("cate_forest")
 def i22(spark, sf_dir):
-    return forest(spark, sf_dir)[2]
+    """Effects in bins of the predicted effect and per level of every moderator, in test rows."""
+    binned = forest(spark, sf_dir)[1].where("is_test")
+    groups = {"predicted_effect": F.col("bin"), **{c: F.col(c) for c in MODERATORS}}
+    return N.effects_by_group(binned, DESIGN, "outcome", "sector", groups, F.col("tau_hat"), REPS, SEED)
 
 
 @query("permutation_importance")

@@ -15,7 +15,7 @@ from surveyloom.operators import standardize as S
 from surveyloom.operators import variance as V
 from surveyloom.operators.profile import with_support
 from surveyloom.plans.bootstraps import REPS, SEED, draws_sql, slots_sql
-from surveyloom.plans.fitted import imputed_gaps, targeted_sql, without_group
+from surveyloom.plans.fitted import imputed_gaps, split_by_context, targeted_sql, without_group
 from surveyloom.plans.models import with_periods
 from surveyloom.plans.registry import query
 from surveyloom.plans.tables import DESIGN, cohort, roster, with_views
@@ -380,3 +380,20 @@ def h7_saturated(spark, sf_dir):
     rows = with_support(rows, ["state", "residence"], "sector", 20, "weight", "cells_20")
     return S.support_scenarios(rows, saturated_encoding(rows), DESIGN, "outcome", roster(spark, sf_dir), TINY,
                                {"states": "states_30", "cells": "cells_20"}, ["cells"], V.NORMAL_CRITICAL)
+
+
+HALF = """(select avg(maternal_age) from cohort c where c.nation = cohort.nation) >= (select quantile_cont(m, 0.5) from (select avg(maternal_age) as m
+    from cohort group by nation))"""
+
+
+@query("context_split_saturated", with_views(folds_sql(HALF) + ", t as (select distinct state, stratum, psu from s)," + slots_sql("t") + "," + draws_sql() + """
+    , tot as (select lv, state, stratum, psu, sum(weight) as w, sum(weight * (psi1 - psi0)) as v from s group by all),
+      reps as (select replicate, sum(v) filter (lv) / sum(w) filter (lv) as h, sum(v) filter (not lv) / sum(w) filter (not lv) as l
+        from draws join slots using (state, stratum, slot) join tot using (state, stratum, psu) group by replicate),
+      q as (select quantile_cont(h, 0.025) as hl, quantile_cont(h, 0.975) as hh, quantile_cont(l, 0.025) as ll, quantile_cont(l, 0.975) as lh,
+        quantile_cont(h - l, 0.025) as difference_low, quantile_cont(h - l, 0.975) as difference_high from reps),
+      g as (select lv as high, count(distinct nation) as units, count(*) as n, sum(weight * (psi1 - psi0)) / sum(weight) as risk_difference from s group by lv)
+    select high, units, n, risk_difference, (select max(risk_difference) filter (high) - max(risk_difference) filter (not high) from g) as high_minus_low,
+      case when high then hl else ll end as rd_low, case when high then hh else lh end as rd_high, difference_low, difference_high from g, q"""))
+def i20_saturated(spark, sf_dir):
+    return split_by_context(cohort(spark, sf_dir), plain_scores)[0]

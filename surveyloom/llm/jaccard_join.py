@@ -394,6 +394,27 @@ def _with_partner(percent: int):
     return run
 
 
+def _buckets(percent: int):
+    """Arrow function over index rows sorted by key and node: members of buckets, each once, that may have a partner there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["sig"], 8 << 20):
+            sig, node = (rows.column(c).to_numpy() for c in ("sig", "node"))
+            fresh = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(sig[fresh]) != 0]), len(fresh)]
+            many = np.diff(edges)
+            size, reach = (rows.column(c).to_numpy().astype(np.int64)[fresh] for c in ("size", "reach"))
+            keep = np.zeros(len(fresh), bool)
+            pair = edges[:-1][many == 2]
+            shared = np.minimum.reduce([size[pair], size[pair + 1], reach[pair], reach[pair + 1]])
+            good = pair[(100 + percent) * shared >= percent * (size[pair] + size[pair + 1])]
+            keep[good] = keep[good + 1] = True
+            for a, n in zip(edges[:-1][many > 2].tolist(), many[many > 2].tolist()):
+                # a larger bucket stays whole
+                keep[a:a + n] = n > SEARCHED or _possible(size[a:a + n], reach[a:a + n], np.arange(n), percent).any(axis=1)
+            yield from rows.take(pa.array(fresh[keep])).combine_chunks().to_batches()
+    return run
+
+
 def _across(tile: np.ndarray) -> np.ndarray | bool:
     """Pairs to compare here: those of two tiles; pairs of one tile are compared where it is alone."""
     return True if tile.min() == tile.max() else tile[:, None] != tile[None, :]
@@ -535,9 +556,7 @@ def classes(documents: DataFrame, percent: int, words: int, least_frequent: int,
     table = spark.sparkContext.broadcast(found)
     keyed = (texts.select("text").mapInArrow(_signatures(words, percent, table, usual.bit_length()), "sig long, node long, size int, reach int")
              .repartition("sig"))
-    several = keyed.groupBy("sig").agg(F.min(F.struct("node", "size", "reach")).alias("low"), F.max(F.struct("node", "size", "reach")).alias("high")).where(
-        "low.node != high.node").select("sig")
-    buckets = cut(keyed.join(several, "sig").distinct())
+    buckets = cut(keyed.sortWithinPartitions("sig", "node").mapInArrow(_buckets(percent), "sig long, node long, size int, reach int"))
     nodes = cut(buckets.select("node").distinct())
     stored = cut(_only(texts.select("text").mapInArrow(_stored_texts(words), "node long, tokens long, bits binary, body binary"), nodes).dropDuplicates(["node"]))
     roots = linked_components(buckets, stored, percent, words)

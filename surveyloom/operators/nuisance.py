@@ -71,27 +71,24 @@ def cross_fit(df: DataFrame, numeric: Mapping[str, float], categorical: Sequence
     full = Encoding(exposure, confounders.numeric, confounders.categorical)
     w, parts = F.col(weight), []
     sums = {f"_w{f}": F.when(F.col("fold") != f, w) for f in range(k)}
-    for_exposure = covariate_cells(folded, confounders, exposure, sums).persist()
-    for_outcome = covariate_cells(folded, full, outcome, sums).persist()
+    for_exposure = cut(covariate_cells(folded, confounders, exposure, sums))
+    for_outcome = cut(covariate_cells(folded, full, outcome, sums))
     ready = full.prepare(folded)
-    for f in range(k):
-        held = ready.where(F.col("fold") == f)
-        propensity = fit_cells(for_exposure, confounders, ridge, f"_w{f}")
-        held = held.withColumn("e_fit", propensity.probability())
-        if outcome_model == "logistic":
-            model = fit_cells(for_outcome, full, ridge, f"_w{f}")
-            held = held.withColumns({"mu1_fit": model.probability(F.lit(1.0)), "mu0_fit": model.probability(F.lit(0.0))})
-        else:
-            model = fit_trees(for_outcome, full, f"_w{f}", trees, depth, seed)
+    names = [f"_w{f}" for f in range(k)]
+    propensities = LogitLearner(confounders, ridge).fit(for_exposure, names)
+    outcomes = LogitLearner(full, ridge).fit(for_outcome, names) if outcome_model == "logistic" else []
+    of_fold = lambda values: F.coalesce(*[F.when(F.col("fold") == f, v) for f, v in enumerate(values)])
+    ready = ready.withColumn("e_fit", of_fold([m.probability() for m in propensities]))
+    if outcome_model == "logistic":
+        # one projection takes each row's scores from the models of its fold
+        scored = ready.withColumns({f"mu{a}_fit": of_fold([m.probability(F.lit(float(a))) for m in outcomes]) for a in (1, 0)})
+    else:
+        for f in range(k):
+            model, held = fit_trees(for_outcome, full, f"_w{f}", trees, depth, seed), ready.where(F.col("fold") == f)
             held = tree_probability(model, held, full, "mu1_fit", F.lit(1.0))
-            held = tree_probability(model, held, full, "mu0_fit", F.lit(0.0))
-        parts.append(held)
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+            parts.append(tree_probability(model, held, full, "mu0_fit", F.lit(0.0)))
+        scored = functools.reduce(DataFrame.unionByName, parts)
     stored = cut(scored.drop(*[token_name(c) for c in categorical]))
-    for_exposure.unpersist()
-    for_outcome.unpersist()
     check_cross_fit(stored, group, ["e_fit", "mu1_fit", "mu0_fit"])
     return stored
 

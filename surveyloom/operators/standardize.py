@@ -282,10 +282,9 @@ def standardized_gap(df: DataFrame, encoding: Encoding, design: SurveyDesign, ou
                      ridge: float, critical: float | None = None) -> DataFrame:
     """Observed and adjusted arm means and gaps with joint design intervals, in percent."""
     w = F.col(design.weight)
-    cells = covariate_cells(df, encoding, outcome, {"_w": w, "_r0": w}).persist()
+    cells = cut(covariate_cells(df, encoding, outcome, {"_w": w, "_r0": w}))
     model = fit_cells(cells, encoding, ridge)
     linear, points = reference_influence(df, model, outcome, design.weight, {"full": None}, cells=cells)
-    cells.unpersist()
     renamed = linear.withColumnsRenamed({f"full__{m}": m for m in METRICS})
     return estimate_rows(renamed, {m: points[f"full__{m}"] for m in METRICS}, design, roster, critical)
 
@@ -344,10 +343,9 @@ def shared_reference_gap(df: DataFrame, encoding: Encoding, design: SurveyDesign
     for m in waves:
         train = F.col(wave) == m
         sums = {"_w": F.when(train, w)} | {names[key]: F.when(test, w) for key, test in tests.items()}
-        cells = covariate_cells(df, encoding, outcome, sums).persist()
+        cells = cut(covariate_cells(df, encoding, outcome, sums))
         model = fit_cells(cells, encoding, ridge)
         result = moments(cells, encoding, model.beta, "_w", list(names.values()))
-        cells.unpersist()
         total = result.weight
         delta = model.probability(F.lit(1.0)) - model.probability(F.lit(0.0))
         out = out.withColumns({f"_res{m}": F.when(train, w / total * (y - model.probability())).otherwise(F.lit(0.0)),

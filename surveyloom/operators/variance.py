@@ -216,9 +216,10 @@ def variance_from_sufficient_stats(stats: DataFrame, strata: Sequence[str]) -> D
         F.coalesce(F.sum(F.when(lonely, F.col("squares"))), F.lit(0.0)).alias("_lq"))
     mean, k, regular = F.col("_grand") / F.col("_psus"), F.col("_k"), F.col("_regular")
     return sums.select(
-        _with_regular(regular, F.col("remove")).alias("remove"), (F.col("remove") + F.col("_lq") - 2 * mean * F.col("_ls") + k * mean * mean).alias("adjust"),
-        (F.col("remove") + F.coalesce(F.try_divide(k * F.col("remove"), F.col("_regular")), F.lit(0.0))
-         ).alias("average"),
+        # each of the three is guarded: a caller may select only one
+        _with_regular(regular, F.col("remove")).alias("remove"),
+        _with_regular(regular, F.col("remove") + F.col("_lq") - 2 * mean * F.col("_ls") + k * mean * mean).alias("adjust"),
+        _with_regular(regular, F.col("remove") + F.coalesce(F.try_divide(k * F.col("remove"), F.col("_regular")), F.lit(0.0))).alias("average"),
         k.alias("singleton_strata"), (F.col("_psus") - F.col("_strata")).alias("design_df"))
 
 

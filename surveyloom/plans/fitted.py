@@ -195,17 +195,14 @@ def social_draws(rows, encoding_of_units, draws=IMPUTATIONS):
     return (*drawn_levels(units, encoding_of_units(units), levels, draws), levels)
 
 
-def drawn_levels(units, encoding, levels, draws):
-    return I.draw_many(units, encoding, "social_group", levels, "mean_weight", DESIGN, "wave", ["mother_id"], draws, RIDGE)
+def drawn_levels(units, encoding, levels, draws, ridge=RIDGE):
+    return I.draw_many(units, encoding, "social_group", levels, "mean_weight", DESIGN, "wave", ["mother_id"], draws, ridge)
 
 
-@query("fit_multinomial")
-def j1(spark, sf_dir):
-    """Mean fitted probability of each social group beside its observed share, per wave and imputation model."""
-    units = cut(mothers(cohort(spark, sf_dir), ("wave", "mother_id")))
-    encoding = social_encoding(units)
+def social_shares(units, encoding, ridge=RIDGE):
+    """Mean fitted probability of each social group beside its observed share, per wave, from the first imputation model."""
     levels = sorted(r[0] for r in units.select("social_group").where("social_group is not null").distinct().collect())
-    _, fits = drawn_levels(units, encoding, levels, 3)
+    _, fits = drawn_levels(units, encoding, levels, 3, ridge)
     rows = None
     for wave, f in sorted(fits.items()):
         own = units.where(F.col("wave") == int(wave))
@@ -219,6 +216,12 @@ def j1(spark, sf_dir):
     return rows
 
 
+@query("fit_multinomial")
+def j1(spark, sf_dir):
+    units = cut(mothers(cohort(spark, sf_dir), ("wave", "mother_id")))
+    return social_shares(units, social_encoding(units))
+
+
 def imputed_gaps(rows, full, encode, encoding_of_units, draws=IMPUTATIONS, ridge=RIDGE):
     """Pooled gaps per wave of all births and of first deliveries, the latter nested in the same completed data."""
     drawn, _, levels = social_draws(rows, encoding_of_units, draws)
@@ -294,11 +297,15 @@ def k9_table(spark, sf_dir):
     return N.search_table(given[0].unionByName(given[1]))
 
 
-@query("fit_authorized")
-def k10(spark, sf_dir):
-    rows = partitioned(spark, sf_dir)
-    encoding = encoding_of(rows)
-    model = N.fit_authorized(rows.where("partition = 'train'"), encoding, "outcome", "partition", "weight", balance=True)
+def authorized(rows, encoding, ridge=RIDGE):
+    """Spread of the predictions of a model fitted to training rows only, per partition."""
+    model = N.fit_authorized(rows.where("partition = 'train'"), encoding, "outcome", "partition", "weight", ridge, balance=True)
     predicted = encoding.prepare(rows).withColumn("p", model.probability())
     return predicted.groupBy("partition").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.min("p").alias("min_p"),
                                               F.max("p").alias("max_p"))
+
+
+@query("fit_authorized")
+def k10(spark, sf_dir):
+    rows = partitioned(spark, sf_dir)
+    return authorized(rows, encoding_of(rows))

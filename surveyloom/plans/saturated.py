@@ -14,9 +14,11 @@ from surveyloom.operators import nuisance as N
 from surveyloom.operators import standardize as S
 from surveyloom.operators import variance as V
 from surveyloom.operators.profile import with_support
+from surveyloom.operators.scale import cut
 from surveyloom.plans.bootstraps import REPS, SEED, draws_sql, slots_sql
-from surveyloom.plans.fitted import imputed_gaps, split_by_context, targeted_sql, without_group
+from surveyloom.plans.fitted import authorized, imputed_gaps, mothers, social_shares, split_by_context, targeted_sql, without_group
 from surveyloom.plans.models import with_periods
+from surveyloom.plans.ranking import PARTITION_SQL, partitioned
 from surveyloom.plans.registry import query
 from surveyloom.plans.tables import DESIGN, cohort, roster, with_views
 
@@ -397,3 +399,27 @@ HALF = """(select avg(maternal_age) from cohort c where c.nation = cohort.nation
       case when high then hl else ll end as rd_low, case when high then hh else lh end as rd_high, difference_low, difference_high from g, q"""))
 def i20_saturated(spark, sf_dir):
     return split_by_context(cohort(spark, sf_dir), plain_scores)[0]
+
+
+@query("fit_multinomial_saturated", with_views("""
+    , un as (select wave, mother_id, state, stratum, psu, max(social_group) as g, max(residence) as residence, avg(weight) as mw from cohort group by all),
+      e as (select *, -ln(1 - ('0x' || substr(sha256(concat_ws('|', 1, state, stratum, psu)), 1, 8))::bigint / 4294967296e0) as e from un),
+      f as (select *, mw * e / avg(e) over (partition by wave, state, stratum) as v from e),
+      p as (select wave, residence, level, sum(v) filter (g = level) / sum(v) as p from f, range(1, 5) t(level) where g is not null group by all)
+    select wave, level, avg(p) as mean_probability, avg(case when g = level then 1e0 else 0 end) filter (g is not null) as observed_share
+    from un join p using (wave, residence) group by all"""))
+def j1_saturated(spark, sf_dir):
+    units = cut(mothers(cohort(spark, sf_dir), ("wave", "mother_id")))
+    return social_shares(units, E.learn_encoding(units, None, {}, ["residence"]), TINY)
+
+
+@query("fit_authorized_saturated", with_views(PARTITION_SQL + """
+    , dd as (select cohort.*, partition from cohort join part using (mother_id)),
+      ra as (select count(*) filter (outcome = 0) / (count(*) filter (outcome = 1) * 1e0) as ratio from dd where partition = 'train'),
+      cl as (select sector, residence, sum(weight * ratio) filter (outcome = 1) as w1, sum(weight) filter (outcome = 0) as w0 from dd, ra
+        where partition = 'train' group by all),
+      qq as (select partition, w1 / (w1 + w0) as p from dd join cl using (sector, residence))
+    select partition, count(*) as n, avg(p) as mean_p, min(p) as min_p, max(p) as max_p from qq group by partition"""))
+def k10_saturated(spark, sf_dir):
+    rows = partitioned(spark, sf_dir)
+    return authorized(rows, saturated_encoding(rows), TINY)

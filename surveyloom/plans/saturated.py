@@ -363,25 +363,29 @@ def h13_saturated(spark, sf_dir):
 
 
 MASKS_SQL = """
-    , m1 as (select state from cohort group by state having count(*) filter (sector = 0) >= 30 and count(*) filter (sector = 1) >= 30),
-      m2 as (select state, residence from cohort group by all having count(*) filter (sector = 0) >= 20 and count(*) filter (sector = 1) >= 20),
-      marked as (select *, state in (select state from m1) as states_30, (state, residence) in (select (state, residence) from m2) as cells_20 from cohort)"""
+    , m1 as (select nation from cohort group by nation having least(count(*) filter (sector = 0), count(*) filter (sector = 1)) >= (select count(*) // 60 from cohort)),
+      m2 as (select state, residence from cohort group by all
+        having least(count(*) filter (sector = 0), count(*) filter (sector = 1)) >= (select count(*) // 22 from cohort)),
+      marked as (select *, nation in (select nation from m1) as own_nation, (state, residence) in (select (state, residence) from m2) as own_cell from cohort)"""
 
 
 @query("support_scenarios_saturated", models_sql(
-    {"full_reference": ("true", "true"), "states": ("true", "states_30"), "cells": ("true", "cells_20"), "cells_refit": ("cells_20", "cells_20")}, {}, MASKS_SQL).replace("select *, estimate - 1.96 * se as ci_low, estimate + 1.96 * se as ci_high from z", """, y as (select metric as scenario,
-        z.* exclude (metric), case metric when 'full_reference' then (select count(*) from b) when 'states' then (select count(*) from b where states_30)
-          else (select count(*) from b where cells_20) end as reference_n,
-        case metric when 'full_reference' then 0e0 when 'states' then (select 100 * coalesce(sum(weight) filter (not states_30), 0) / sum(weight) from b)
-          else (select 100 * coalesce(sum(weight) filter (not cells_20), 0) / sum(weight) from b) end as excluded_weight_pct,
+    {"full_reference": ("true", "true"), "nations": ("true", "own_nation"), "cells": ("true", "own_cell"), "cells_refit": ("own_cell", "own_cell")}, {}, MASKS_SQL).replace("select *, estimate - 1.96 * se as ci_low, estimate + 1.96 * se as ci_high from z", """, y as (select metric as scenario,
+        z.* exclude (metric), case metric when 'full_reference' then (select count(*) from b) when 'nations' then (select count(*) from b where own_nation)
+          else (select count(*) from b where own_cell) end as reference_n,
+        case metric when 'full_reference' then 0e0 when 'nations' then (select 100 * coalesce(sum(weight) filter (not own_nation), 0) / sum(weight) from b)
+          else (select 100 * coalesce(sum(weight) filter (not own_cell), 0) / sum(weight) from b) end as excluded_weight_pct,
         estimate - (select max(estimate) from z where metric = 'full_reference') as change_from_full_pp from z)
     select *, case when scenario <> 'cells_refit' then 2 * excluded_weight_pct end as change_bound_pp,
       estimate - 1.96 * se as ci_low, estimate + 1.96 * se as ci_high from y"""))
 def h7_saturated(spark, sf_dir):
-    rows = with_support(cohort(spark, sf_dir), ["state"], "sector", 30, "weight", "states_30")
-    rows = with_support(rows, ["state", "residence"], "sector", 20, "weight", "cells_20")
+    rows = cohort(spark, sf_dir)
+    n = rows.count()
+    rows = with_support(rows, ["nation"], "sector", n // 60, "weight", "own_nation")
+    rows = with_support(rows, ["state", "residence"], "sector", n // 22, "weight", "own_cell")
     return S.support_scenarios(rows, saturated_encoding(rows), DESIGN, "outcome", roster(spark, sf_dir), TINY,
-                               {"states": "states_30", "cells": "cells_20"}, ["cells"], V.NORMAL_CRITICAL)
+                               {"nations": "own_nation", "cells": "own_cell"}, ["cells"], V.NORMAL_CRITICAL)
+
 
 
 HALF = """(select avg(maternal_age) from cohort c where c.nation = cohort.nation) >= (select quantile_cont(m, 0.5) from (select avg(maternal_age) as m

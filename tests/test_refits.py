@@ -77,3 +77,23 @@ def test_a_cluster_outside_the_roster_fails(spark, sf_dir):
     encoding = learn_encoding(rows, "sector", {}, ["residence"])
     with pytest.raises(Exception, match="not in the roster"):
         refits.refit_replicates(rows, encoding, DESIGN, "outcome", F.lit("x"), roster(spark, sf_dir).where("psu > 20"), 3, 1, 1e-4, ["x"])
+
+
+def test_summed_replicates_equal_multipliers(spark, sf_dir, monkeypatch):
+    """Weights summed per combination give the same fits, and their rows do not follow the number of clusters."""
+    rows = cohort(spark, sf_dir)
+    encoding = learn_encoding(rows, "sector", {}, ["residence"])
+    every = roster(spark, sf_dir)
+    refit = lambda: refits.refit_replicates(rows, encoding, DESIGN, "outcome", F.col("wave").cast("string"), every, 12, 3, 1e-4, ["4", "5"])[0]
+    monkeypatch.setattr(refits, "SUMMED", 1 << 40)
+    carried = refit()
+    monkeypatch.setattr(refits, "SUMMED", 0)
+    seen, plain = [], refits.replicate_sums
+    monkeypatch.setattr(refits, "replicate_sums", lambda *a: seen.append(plain(*a)) or seen[-1])
+    summed = refit()
+    assert seen[0].count() == 2 * 2 * 2 * 2  # waves, arms, levels, outcomes
+    for wave in ("4", "5"):
+        assert summed[wave].status == carried[wave].status
+        assert np.allclose(summed[wave].gap, carried[wave].gap, atol=1e-10)
+    with pytest.raises(Exception, match="not in the roster"):
+        refits.refit_replicates(rows, encoding, DESIGN, "outcome", F.lit("x"), every.where("psu > 20"), 3, 1, 1e-4, ["x"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from surveyloom.design import SurveyDesign
 from surveyloom.functions.hashing import uniform
 from surveyloom.operators.encoding import Encoding
-from surveyloom.operators.refits import (adjusted_variances, fit_many, fit_many_classes, gap_influence_totals, softmax_scores)
+from surveyloom.operators.refits import (adjusted_variances, fit_many, fit_many_classes, gap_influence_strata, softmax_scores)
 from surveyloom.operators.scale import broadcast_if_small, cut
 
 
@@ -90,7 +90,9 @@ def draw_many(units: DataFrame, encoding: Encoding, level: str, levels: Sequence
 
 def completed_cells(rows: DataFrame, drawn: DataFrame, encoding: Encoding, level: str, levels: Sequence, domain: str, outcome: str, weight: str,
                     cluster: Sequence[str], keys: Sequence[str], draws: int) -> DataFrame:
-    """Covariate cells of the data without imputation (first weight) and of every imputation, stored once for all.
+    """Covariate cells per cluster of the data without imputation (first weight) and of every imputation, stored once for all.
+
+    Each cluster lies in one partition, sorted by domain and cluster.
 
     A row without a level stands once for each level that some imputation draws for it, weighted in those imputations
     only, and once without a level in the first weight.
@@ -106,24 +108,25 @@ def completed_cells(rows: DataFrame, drawn: DataFrame, encoding: Encoding, level
         F.when(known | (at == F.col("draws")[m]), w).otherwise(0.0) for m in range(draws)]
     ready = encoding.prepare(spread.withColumn(level, value))
     return cut(ready.groupBy("domain", *cluster, *encoding.keys, F.col(outcome).cast("double").alias("_y")).agg(
-        F.array(*[F.sum(v) for v in weights]).alias("_ws")))
+        F.array(*[F.sum(v) for v in weights]).alias("_ws")).repartition(*cluster).sortWithinPartitions("domain", *cluster))
 
 
 def impute_and_pool(rows: DataFrame, drawn: DataFrame, encoding: Encoding, level: str, levels: Sequence, domain: str, design: SurveyDesign,
                     outcome: str, roster: DataFrame, keys: Sequence[str], draws: int, ridge: float) -> DataFrame:
     """Pooled arm means and gaps over the imputations of every domain, in percent, beside those without imputation.
 
-    One stored table of cells serves all fits, their influence values and the design variances; nothing is fitted one by one.
+    One stored table serves all fits, their influence values and the design variances; nothing is fitted one by one. Fits pass over
+    its sums per covariate combination, whose number does not follow that of clusters.
     """
-    cells = completed_cells(rows, drawn, encoding, level, levels, domain, outcome, design.weight, design.cluster, keys, draws)
+    owned = completed_cells(rows, drawn, encoding, level, levels, domain, outcome, design.weight, design.cluster, keys, draws)
+    cells = cut(owned.groupBy("domain", *encoding.keys, "_y").agg(F.array(*[F.sum(F.col("_ws")[m]) for m in range(draws + 1)]).alias("_ws")))
     names = [r[0] for r in cells.select("domain").distinct().collect()]  # as many as domains
     fits = fit_many(cells, encoding, ridge, dict.fromkeys(names, draws + 1), first=True)
     bad = {n: f.status for n, f in fits.items() if set(f.status) != {"ok"}}
     if bad:
         raise RuntimeError(f"Gap models that did not settle: {bad}")
-    points, totals = gap_influence_totals(cells, encoding, ridge, fits, design.cluster)
-    metrics = [c for c in totals.columns if c not in ("domain", "fit", *design.cluster)]
-    each = cut(points.join(adjusted_variances(totals, ["domain", "fit"], metrics, design, roster), ["domain", "fit", "metric"]).select(
+    points, totals = gap_influence_strata(owned, cells, encoding, ridge, fits, design)
+    each = cut(points.join(adjusted_variances(totals, ["domain", "fit"], design, roster), ["domain", "fit", "metric"]).select(
         "domain", "fit", "metric", (100 * F.col("estimate")).alias("estimate"), (1e4 * F.col("variance")).alias("variance"), "design_df"))
     pooled = rubin_pool(each.where("fit > 0"), ["domain", "metric"], "estimate", "variance", "design_df")
     base = each.where("fit = 0").select("domain", "metric", F.col("estimate").alias("baseline"), F.sqrt("variance").alias("baseline_se"))

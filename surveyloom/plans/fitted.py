@@ -75,17 +75,17 @@ def i17(spark, sf_dir):
     return found.withColumns({c: F.round(c, 9) + 0.0 for c in ("score_treated", "score_control")})
 
 
-def stacked(spark, sf_dir, trees=10, depth=4):
+def stacked(spark, sf_dir, fit=N.cross_fit_stacked, trees=10, depth=4):
     rows = cohort(spark, sf_dir)
     full = encoding_of(rows)
     plain = E.Encoding(None, full.numeric, full.categorical)
-    return N.cross_fit_stacked(rows, [N.LogitLearner(plain), N.TreeLearner(plain, trees, depth)], [N.LogitLearner(full), N.TreeLearner(full, trees, depth)],
-                               "sector", "outcome", "weight", ["mother_id"], FOLDS, 3, SEED)
+    return fit(rows, [N.LogitLearner(plain), N.TreeLearner(plain, trees, depth)], [N.LogitLearner(full), N.TreeLearner(full, trees, depth)],
+               "sector", "outcome", "weight", ["mother_id"], FOLDS, 3, SEED)
 
 
 @query("stack_two_learners")
 def i18(spark, sf_dir):
-    return stacked(spark, sf_dir)[1]
+    return stacked(spark, sf_dir, N.stacked_shares)
 
 
 @query("stacked_risks")

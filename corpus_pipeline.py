@@ -13,19 +13,23 @@ from surveyloom.operators.scale import ensure_checkpoint_dir
 
 
 def boxed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and the whole row in one column, so that no column of the row can clash with a stage's own."""
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    return docs.select("doc_id", "text", whole.alias("_document"))
+    """``doc_id``, ``text`` and the rest of the row in one column, so that no column of the row can clash with a stage's own.
+
+    The text is there once: it is most of a row, and rows travel to Python and back in batches of many.
+    """
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    return docs.select("doc_id", "text", rest.alias("_document"))
 
 
 def unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
-    """The columns of ``docs`` again, some of them replaced."""
-    return rows.select(*[changed.get(c, F.col(f"_document.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    """The columns of ``docs`` again, the text as it is in ``rows``, some others replaced."""
+    own = lambda i, c: F.col("text") if c == "text" else F.col(f"_document.c{i}")
+    return rows.select(*[changed.get(c, own(i, c)).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the voted quality rules keep."""
-    found = quality_rules.quality_verdicts(boxed(docs), keep=("_document",), store=False)
+    found = quality_rules.quality_verdicts(boxed(docs), keep=("_document", "text"), store=False)
     return unboxed(found.where("kept"), docs)
 
 
@@ -33,7 +37,7 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not predict to be toxic."""
     rows = boxed(docs)
     model = toxicity.toxicity_model(rows.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return unboxed(toxicity.toxicity_scores(rows, model, keep=("_document",)).where("predicted = 0"), docs)
+    return unboxed(toxicity.toxicity_scores(rows, model, keep=("_document", "text")).where("predicted = 0"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = boxed(docs)
     found = secret_scan.secret_spans(rows, secret_scan.fit_model(rows), base="_base", added="_added")
     clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.concat("_base", "_added")))
-    changed = {"text": F.col("text")}
+    changed = {}
     if "n_chars" in docs.columns:
         own = F.col(f"_document.c{docs.columns.index('n_chars')}").cast("long")
         changed["n_chars"] = F.when(F.size("_base") + F.size("_added") > 0, F.char_length("text").cast("long")).otherwise(own)

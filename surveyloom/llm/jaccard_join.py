@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from surveyloom.llm.common import cut, with_row_key
 from surveyloom.llm.textarrays import _BASE, _STEP, chunks, mix, shingle_sets, split_words
 
-FLUSH_TOKENS = 4_000_000
+#: Tokens of a run, whose equal sets count once; tokens that are held at once.
+FLUSH_TOKENS, HELD_TOKENS = 4_000_000, 500_000
 #: Slots of the table of token frequencies (half a byte each is broadcast), and slots to a row of it.
 SLOT_BITS, SLOT_ROW = 25, 1 << 15
 #: Nodes of a join filter that may be broadcast.
@@ -47,7 +48,15 @@ LEADER_ROUNDS = 1
 TILE, TILE_TOKENS, SEARCHED = 2048, 2_000_000, 4096
 #: Bits of a parity bitmap: a power of two, about twice the set's size.
 LEAST_BITS, MOST_BITS = 256, 8192
-_CELLS = 1 << 24
+#: Cells of a matrix that a task makes at once, and index keys that it holds.
+_CELLS, HELD_KEYS = 1 << 20, 250_000
+
+
+def _stripes(n: int, width: int) -> Iterator[slice]:
+    """Rows of a matrix of ``n`` rows in stretches of about ``_CELLS`` cells, so that no task holds several whole matrices of numbers."""
+    step = max(1, _CELLS // max(1, width))
+    for at in range(0, n, step):
+        yield slice(at, min(n, at + step))
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -81,16 +90,15 @@ def _first_pass(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        held, count, total = [], 0, np.zeros(1 << SLOT_BITS, np.uint8)
+        held, count, waiting, total = [], 0, 0, np.zeros(1 << SLOT_BITS, np.uint8)
 
         def flush() -> None:
-            nonlocal count
+            nonlocal waiting
             # a partition counts up to 255 per slot, which is enough for an order
             slots, times = np.unique(slots_of(np.concatenate(held)), return_counts=True)
             total[slots] = np.minimum(255, total[slots] + times)
             held.clear()
-            known.clear()
-            count = 0
+            waiting = 0
 
         for batch in batches:
             sizes, nodes = [], []
@@ -102,8 +110,12 @@ def _first_pass(words: int):
                     known.add(node)
                     held.append(tokens)
                     count += len(tokens)
-                    if count >= FLUSH_TOKENS:
+                    waiting += len(tokens)
+                    if waiting >= HELD_TOKENS:
                         flush()
+                    if count >= FLUSH_TOKENS:
+                        known.clear()
+                        count = 0
             nothing = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                                               pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary())], schema=schema)
@@ -185,8 +197,16 @@ def _signatures(words: int, percent: int, table, first_frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         classes = table.value
+        keys, nodes, sizes, reach = [], [], [], []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, reach)]
+            for x in (keys, nodes, sizes, reach):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, ["sig", "node", "size", "reach"])
+
         for batch in batches:
-            keys, nodes, sizes, reach = [], [], [], []
             for tokens in _sets(batch.column(0), words):
                 node = node_of(tokens)
                 if len(tokens) and node not in known:
@@ -194,13 +214,16 @@ def _signatures(words: int, percent: int, table, first_frequent: int):
                     single, pairs = signatures(tokens, classes, first_frequent, percent)
                     found = np.concatenate([single, pairs])
                     keys.append(found.view(np.int64))
-                    nodes.append(np.full(len(found), node))
-                    sizes.append(np.full(len(found), len(tokens)))
+                    nodes.append(np.full(len(found), node, np.int64))
+                    sizes.append(np.full(len(found), len(tokens), np.int32))
                     # pairs come only with all rare tokens as singles, which they leave unshared
-                    reach.append(len(tokens) - np.minimum(np.arange(len(found)), len(single)))
-            if keys:
-                columns = [pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (nodes, np.int64), (sizes, np.int32), (reach, np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "size", "reach"])
+                    reach.append((len(tokens) - np.minimum(np.arange(len(found)), len(single))).astype(np.int32))
+                    held += len(found)
+                    if held >= HELD_KEYS:
+                        yield packed()
+                        held = 0
+        if keys:
+            yield packed()
     return run
 
 
@@ -218,18 +241,23 @@ def _folded(bitmap: bytes, size: int) -> np.ndarray:
 
 def _near(bitmaps: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
     """Matrix of the sets that their bitmaps let be similar: differing bits within the differing tokens of a link."""
-    both = size[:, None] + size[None, :]
-    allowed = both - 2 * -(-percent * both // (100 + percent))
-    lengths = np.array([len(x) for x in bitmaps])
-    differ = np.zeros((len(bitmaps), len(bitmaps)))
-    for n in np.unique(lengths):
+    lengths, near = np.array([len(x) for x in bitmaps]), np.zeros((len(bitmaps), len(bitmaps)), bool)
+    for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths >= n)
-        bits = np.unpackbits(np.stack([_folded(bitmaps[i], int(n)) for i in at]), axis=1).astype(np.float32)
-        ones = bits.sum(axis=1)
-        found = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
-        here = np.minimum(lengths[at][:, None], lengths[at][None, :]) == n
-        differ[np.ix_(at, at)] = np.where(here, found, differ[np.ix_(at, at)])
-    return differ <= allowed
+        folded = np.stack([_folded(bitmaps[i], n) for i in at])
+        ones = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+        own, short = size[at], lengths[at] == n
+        for some in _stripes(len(at), len(at)):
+            shared = np.zeros((some.stop - some.start, len(at)), np.float32)
+            for part in _stripes(n, 8 * len(at)):  # bytes of all bitmaps, their bits as numbers
+                bits = np.unpackbits(folded[:, part], axis=1).astype(np.float32)
+                shared += bits[some] @ bits.T
+            both = own[some, None] + own[None, :]
+            good = ones[some, None] + ones[None, :] - 2 * shared <= both - 2 * -(-percent * both // (100 + percent))
+            # a pair counts at the length of its shorter bitmap
+            here = short[some, None] | short[None, :]
+            near[np.ix_(at[some], at)] = np.where(here, good, near[np.ix_(at[some], at)])
+    return near
 
 
 def _close(percent: int):
@@ -345,9 +373,11 @@ def _verified(pairs: DataFrame, count: int, texts: DataFrame, percent: int, word
 
 def _possible(size: np.ndarray, reach: np.ndarray, root: np.ndarray, percent: int) -> np.ndarray:
     """Matrix of the members of a bucket (``_alike`` in arrays) that may be a pair and lie in different components."""
-    least = np.minimum(size, reach)
-    shared = np.minimum(least[:, None], least[None, :])
-    return ((100 + percent) * shared >= percent * (size[:, None] + size[None, :])) & (root[:, None] != root[None, :])
+    least, out = np.minimum(size, reach), np.empty((len(size), len(size)), bool)
+    for some in _stripes(len(size), len(size)):
+        shared = np.minimum(least[some, None], least[None, :])
+        out[some] = ((100 + percent) * shared >= percent * (size[some, None] + size[None, :])) & (root[some, None] != root[None, :])
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], budget: int) -> Iterator[pa.Table]:
@@ -446,15 +476,16 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     place = np.cumsum(several) - 1
     kept = several[at]
     owner, column = owner[kept], place[at[kept]]
-    total = np.zeros((len(sets), len(sets)))
+    total = np.zeros((len(sets), len(sets)), np.int32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width, shared = max(1, _CELLS // len(sets)), int(several.sum())
+    width, shared = max(1, 4 * _CELLS // len(sets)), int(several.sum())
     for first in range(0, shared, width):
         a, b = np.searchsorted(column, [first, first + width])
         block = np.zeros((len(sets), min(width, shared - first)), np.float32)
         block[owner[a:b], column[a:b] - first] = 1
-        total += block @ block.T
+        for some in _stripes(len(sets), len(sets)):
+            total[some] += (block[some] @ block.T).astype(np.int32)
     return total
 
 
@@ -481,11 +512,13 @@ def _tile_links(words: int, percent: int):
                 sets = [tokens_of(rows.column("body")[a + int(i)].as_py()) for i in members]
                 shared = _overlaps(sets)
                 own = size[a:b][members]
-                good = possible[np.ix_(members, members)] & (100 * shared >= percent * (own[:, None] + own[None, :] - shared))
+                good = possible[np.ix_(members, members)]
+                for some in _stripes(len(members), len(members)):
+                    good[some] &= 100 * shared[some].astype(np.int64) >= percent * (own[some, None] + own[None, :] - shared[some])
                 labels, names = np.arange(len(members)), node[a:b][members]
                 while True:
-                    lower = np.where(good, labels[None, :], len(labels)).min(axis=1, initial=len(labels))
-                    fresh = np.minimum(labels, lower)
+                    lower = [np.where(good[some], labels[None, :], len(labels)).min(axis=1, initial=len(labels)) for some in _stripes(len(labels), len(labels))]
+                    fresh = np.minimum(labels, np.concatenate(lower))
                     if np.array_equal(fresh, labels):
                         break
                     labels = fresh[fresh]

@@ -101,7 +101,8 @@ def _pack(rank_file: str, end_id: int, size: int, windows: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                doc_id, text = doc_id.as_py(), text.as_py()  # one text at a time
                 ids = pretokens.text_ids(rank_file, text or "").astype("<u4").tobytes() + end
                 state.place(doc_id, 0, ids, len(ids) // 4)
                 if len(state.rows) >= _OUT:

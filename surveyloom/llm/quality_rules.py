@@ -93,10 +93,12 @@ def quality_verdicts(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",),
     ``keep`` columns, the texts are read a second time instead.
     """
     fields = {f.name: f.dataType.simpleString() for f in documents.schema}
+    own = text in keep  # a kept text is sent to Python once, as the last column
+    order, keep = keep, (*[c for c in keep if c != text], *([text] if own else []))
     kept_names = [f"_keep_{i}" for i in range(len(keep))]
     schema = ", ".join([*[f"{k} {fields[c]}" for k, c in zip(kept_names, keep)], STATISTICS_SCHEMA])
-    stats = documents.select(*[F.col(c).alias(k) for k, c in zip(kept_names, keep)], F.col(text)).mapInArrow(
-        add_statistics(kept_names), schema)
+    sent = [F.col(c).alias(k) for k, c in zip(kept_names, keep)] + ([] if own else [F.col(text)])
+    stats = documents.select(*sent).mapInArrow(add_statistics(kept_names, own), schema)
     named = rules()
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     voted = stats.select(*kept_names, *BASE, failed.alias("base_failed"),
@@ -110,4 +112,4 @@ def quality_verdicts(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",),
     table = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(rows, found)], "votes string, posterior double")
     return (voted.join(F.broadcast(table), "votes")  # at most 3 ** rules rows
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-            .select(*[F.col(k).alias(c) for k, c in zip(kept_names, keep)], *BASE, "base_failed", "kept", "votes", "posterior"))
+            .select(*[F.col(kept_names[keep.index(c)]).alias(c) for c in order], *BASE, "base_failed", "kept", "votes", "posterior"))

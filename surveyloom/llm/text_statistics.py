@@ -96,13 +96,13 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return {name: np.concatenate(x) if x else np.zeros(0, np.int64) for name, x in parts.items()}
 
 
-def add_statistics(schema_names: list[str]):
-    """Arrow function: the last column is the text; it is replaced by its statistics."""
+def add_statistics(schema_names: list[str], keep_text: bool = False):
+    """Arrow function: the last column is the text; it is followed (with ``keep_text``) or replaced by its statistics."""
     def run(batches):
         for batch in batches:
             found = statistics(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *[pa.array(found[n]) for n in NAMES]], [*schema_names, *NAMES])
+            kept = batch.columns if keep_text else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(found[n]) for n in NAMES]], [*schema_names, *NAMES])
     return run
 
 

@@ -58,11 +58,14 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     """Runs of whole texts of about ``limit`` bytes (a longer text alone): first row, end row, bytes, offsets."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    # bytes are read where they lie; only nulls make a copy
+    if texts.null_count:
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     n = len(texts)
     if not n:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32, n + 1, texts.offset * (8 if wide else 4)).astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < n:

@@ -288,14 +288,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60)
     return w
 
 
-def _score(model: ToxicityModel):
+def _score(model: ToxicityModel, keep_text: bool = False):
+    """Arrow function: the last column is the text; it is followed (with ``keep_text``) or replaced by its score."""
     def run(batches):
         for batch in batches:
-            texts = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_binary()), b"")
-            for at in range(0, len(texts), 256):
-                part = texts.slice(at, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([*[c.slice(at, 256) for c in batch.columns[:-1]], pa.array(model.score(part))],
-                                                 [*batch.schema.names[:-1], "score"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = pc.fill_null(part.column(part.num_columns - 1).cast(pa.large_binary()), b"").to_pylist()
+                kept = part.num_columns - (not keep_text)
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(model.score(texts))], [*part.schema.names[:kept], "score"])
     return run
 
 
@@ -332,9 +333,11 @@ def toxicity_scores(documents: DataFrame, model: ToxicityModel, threshold: float
     out. Repeated rows keep a row each, other columns are ignored, an empty table gives no rows.
     """
     fields = {f.name: f.dataType.simpleString() for f in documents.schema}
-    names = [f"_keep_{i}" for i in range(len(keep))]
-    texts = documents.select(*[F.col(c).alias(k) for k, c in zip(names, keep)], F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    schema = ", ".join([*[f"{k} {fields[c]}" for k, c in zip(names, keep)], "_id long, score double"])
-    scored = texts.mapInArrow(_score(model), schema)
+    own = text in keep  # a kept text is sent to Python once
+    names = ["_text" if c == text else f"_keep_{i}" for i, c in enumerate(keep)]
+    others = [(k, c) for k, c in zip(names, keep) if c != text]
+    texts = documents.select(*[F.col(c).alias(k) for k, c in others], F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    schema = ", ".join([*[f"{k} {fields[c]}" for k, c in others], "_id long", *([f"_text {fields[text]}"] if own else []), "score double"])
+    scored = texts.mapInArrow(_score(model, own), schema)
     return scored.select(*[F.col(k).alias(c) for k, c in zip(names, keep)], held_out(F.col("_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -77,9 +77,10 @@ def i17(spark, sf_dir):
 
 def stacked(spark, sf_dir, fit=N.cross_fit_stacked, trees=10, depth=4):
     rows = cohort(spark, sf_dir)
-    full = encoding_of(rows)
+    used = cut(rows.select(*dict.fromkeys([*DESIGN.cluster, "weight", "sector", "outcome", "mother_id", *NUMERIC, *CATEGORICAL])))  # read several times
+    full = encoding_of(used)
     plain = E.Encoding(None, full.numeric, full.categorical)
-    return fit(rows, [N.LogitLearner(plain), N.TreeLearner(plain, trees, depth)], [N.LogitLearner(full), N.TreeLearner(full, trees, depth)],
+    return fit(used, [N.LogitLearner(plain), N.TreeLearner(plain, trees, depth)], [N.LogitLearner(full), N.TreeLearner(full, trees, depth)],
                "sector", "outcome", "weight", ["mother_id"], FOLDS, 3, SEED)
 
 
